@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, fm_quality, kernel_lid, license_scan, mixture, packing, simhash
+from . import chat_format, fm_quality, kernel_lid, license_scan, mixture, packing, simhash, warc_zip
 from .storage import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,12 @@ def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+@registered
+def op5_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc_zip.write_archives(table(spark, sf_dir, "pages"))
+    return warc_zip.read_archives(spark, archives)
+
+
 @registered
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
