@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, fm_quality, kernel_lid, license_scan, mixture, packing, simhash, warc_zip
+from . import cap_filters, chat_format, fm_quality, kernel_lid, license_scan, mixture, onebit_ann, packing, simhash, warc_zip
 from .storage import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,11 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies", "rate")
 
 
+@registered
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @registered
 def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -74,3 +79,9 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(fm_quality.fold("doc_id", 5) == 0, F.lit(False))
     found = fm_quality.scored(docs, model)
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@registered
+def op10_onebit_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return onebit_ann.nearest(rows, rows.where(F.col("vec_id") % 20 == 0))
