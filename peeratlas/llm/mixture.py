@@ -63,24 +63,15 @@ def solve_tilt(words: np.ndarray, feature: np.ndarray, target: float, most: floa
     return float(tilt)
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), most: int = 3, seed: int = 42) -> DataFrame:
-    """How much of each document the mix takes: id, source, size, source_size, target,
-    rate, copies, taken, and row (equal for equal ids only).
+def _priced(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more) -> DataFrame:
+    size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.select(*more, F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"))
+    kind = F.when(F.col("size") > 0, F.floor(F.log2("size") * CLASSES_AN_OCTAVE)).otherwise(-1)
+    return rows.withColumn("kind", kind.cast("int"))
 
-    Size: the words of the text, 0 for null. The rates are those nearest to one copy of
-    every document (in relative entropy) that give each source its target of words and
-    none above `most`: rate = min(most, exp(tilt * size class)), one tilt a source, found
-    by Newton's method on sums by source and size class. Rates are rounded down to whole
-    copies; the words still missing go to documents in the order of u / fraction (u: a
-    hash of the id), one copy more each; the last gets the part that fits. So the taken
-    words meet the target to the word, and reruns agree: all sums are of integers.
 
-    Ties in the order go by id, then size; rows equal in all are alike. Sources without
-    words get 0. An empty table gives no rows. Other columns are ignored.
-    """
-    sizes = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    octave = F.when(F.col("size") > 0, F.floor(F.log2("size") * CLASSES_AN_OCTAVE)).otherwise(-1).cast("int")
-    sizes = cut(sizes.withColumn("kind", octave), "sizes")
+def _rates(sizes: DataFrame, weights: tuple[float, ...], most: int) -> DataFrame:
+    """(source, kind, source_size, target, rate): one tilt a source from sums by class."""
     by_kind = cut(sizes.groupBy("source", "kind").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "size-classes")
     targets = source_targets(by_kind, weights, most)
 
@@ -89,45 +80,84 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         words, feature = rows["size"].to_numpy(float), np.exp2(rows["kind"].to_numpy() / CLASSES_AN_OCTAVE)
         feature = feature / max(1e-9, words.sum() / rows["n"].sum())
         tilt = solve_tilt(words, feature, rows["target"].iloc[0], most)
-        with np.errstate(invalid="ignore"):
-            rates = np.exp(np.minimum(tilt * feature, np.log(most)))
+        rates = np.exp(np.minimum(tilt * feature, np.log(most)))
         rows["rate"] = np.where(rows["kind"] < 0, 0.0, np.where(rates > most - 1e-9, most, rates))
         return rows[["source", "kind", "source_size", "target", "rate"]]
 
     kinds = by_kind.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     source_type = sizes.schema["source"].dataType.simpleString()
-    rates = cut(kinds.groupBy("source").applyInPandas(tilted, f"source {source_type}, kind int, source_size long, target double, rate double"), "rates")
+    return cut(kinds.groupBy("source").applyInPandas(tilted, f"source {source_type}, kind int, source_size long, target double, rate double"), "rates")
 
+
+def _rated(rows: DataFrame, rates: DataFrame, seed: int) -> DataFrame:
+    """rows with rate, whole copies, and the place in the order for one copy more."""
+    met = rows.join(rates.withColumnsRenamed({"source": "of", "kind": "of_kind"}), F.col("source").eqNullSafe(F.col("of")) & (F.col("kind") == F.col("of_kind"))).drop("of", "of_kind", "kind")
     u = (F.xxhash64(F.col("id"), F.lit(seed)).bitwiseAND((1 << 52) - 1) + 1) / float(1 << 52)
-    rated = sizes.join(rates.withColumnsRenamed({"source": "of", "kind": "of_kind"}), F.col("source").eqNullSafe(F.col("of")) & (F.col("kind") == F.col("of_kind"))).select("id", "source", "size", "source_size", "target", "rate", F.floor("rate").alias("copies"), u.alias("u"))
-    part = F.col("rate") - F.col("copies")
-    priority = F.when((part > 0) & (F.col("size") > 0), F.col("u") / part)
-    rated = cut(rated.withColumn("priority", priority).withColumn("slot", F.floor(F.col("priority") / (1 + F.col("priority")) * PRIORITY_CLASSES).cast("int")), "rated")
+    part = F.col("rate") - F.floor("rate")
+    priority = F.when((part > 0) & (F.col("size") > 0), u / part)
+    met = met.withColumn("copies", F.floor("rate")).withColumn("priority", priority)
+    return met.withColumn("slot", F.floor(F.col("priority") / (1 + F.col("priority")) * PRIORITY_CLASSES).cast("int"))
+
 
-    slots = rated.groupBy("source", "slot").agg(F.sum(F.col("copies") * F.col("size")).alias("whole"), F.sum("size").alias("open"), F.first("target").alias("target"))
+def _slots(rated: DataFrame) -> DataFrame:
+    """(source, slot, room, open): what is still missing of a source's words when its
+    priority classes before this one took one copy more, and the class's own words."""
+    slots = rated.groupBy("source", "slot").agg(F.sum(F.col("copies") * F.col("size")).alias("whole"), F.sum("size").alias("open"), F.min("target").alias("target"))
     of_source = Window.partitionBy("source")
     missing = F.round("target").cast("long") - F.sum("whole").over(of_source)
-    upto = F.sum(F.when(F.col("slot").isNotNull(), F.col("open")).otherwise(0)).over(of_source.orderBy(F.col("slot").asc_nulls_first()))
-    slots = slots.select("source", "slot", "open", missing.alias("missing"), upto.alias("upto")).where("slot is not null")
-    slots = cut(slots.select("source", "slot", (F.col("missing") - F.col("upto") + F.col("open")).alias("room"), "open"), "slots")
+    before = of_source.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    taken = F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("open"))).over(before), F.lit(0))
+    return cut(slots.select("source", "slot", (missing - taken).alias("room"), "open").where("slot is not null"), "slots")
+
 
+def _extra(rated: DataFrame, slots: DataFrame) -> DataFrame:
+    """rated with taken. Only rows of the one class a source where its words run out are
+    ordered one by one."""
     whole_only = rated.where("slot is null").withColumn("extra", F.lit(0).cast("long"))
-    placed = rated.where("slot is not null").join(slots.toDF("of", "of_slot", "room", "open"), F.col("source").eqNullSafe(F.col("of")) & (F.col("slot") == F.col("of_slot"))).drop("of", "of_slot")
+    met = rated.where("slot is not null").join(slots.toDF("of", "of_slot", "room", "open"), F.col("source").eqNullSafe(F.col("of")) & (F.col("slot") == F.col("of_slot"))).drop("of", "of_slot")
     split = (F.col("room") > 0) & (F.col("room") < F.col("open"))
-    clear = placed.where(~split).withColumn("extra", F.when(F.col("room") >= F.col("open"), F.col("size")).otherwise(0))
-    before = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("priority", F.col("id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    last = placed.where(split).withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("room") - before)))
-    return clear.unionByName(last).unionByName(whole_only, allowMissingColumns=True).select("id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size") + F.col("extra")).alias("taken"))
+    clear = met.where(~split).withColumn("extra", F.when(F.col("room") >= F.col("open"), F.col("size")).otherwise(0))
+    order = Window.partitionBy("source").orderBy("priority", F.col("id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("size").over(order), F.lit(0))
+    last = met.where(split).withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("room") - before)))
+    every = clear.unionByName(last).unionByName(whole_only, allowMissingColumns=True)
+    return every.withColumn("taken", F.col("copies") * F.col("size") + F.col("extra")).drop("extra", "room", "open", "priority", "slot")
 
 
-def materialise(docs: DataFrame, takes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The mix itself, with the columns of docs: a document once for each whole copy
-    taken and once more cut after the words of a part (words joined by one blank).
-    takes: of mixed(); ids must be unique. A document without words is not taken."""
-    amounts = takes.where("taken > 0").select(F.col("id").alias("_id"), "size", "taken")
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), most: int = 3, seed: int = 42) -> DataFrame:
+    """How much of each document the mix takes: id, source, size, source_size, target,
+    rate, copies, taken.
+
+    Size: the words of the text, 0 for null. The rates are those nearest to one copy of
+    every document (in relative entropy) that give each source its target of words and
+    none above `most`: rate = min(most, exp(tilt * size class)), one tilt a source, found
+    by Newton's method on sums by source and size class. Rates are rounded down to whole
+    copies; the words still missing go to documents in the order of u / fraction (u: a
+    hash of the id), one copy more each; the last gets the part that fits. So the taken
+    words meet the target to the word, and reruns agree: all sums are of integers.
+
+    Ties in the order go by id, then size; rows equal in all are alike, each counted. A
+    null source is a source of its own; sources without words get 0. An empty table gives
+    no rows. Other columns are ignored.
+    """
+    sizes = cut(_priced(docs, id_col, text_col, source_col), "sizes")
+    rated = _rated(sizes, _rates(sizes, weights, most), seed)
+    return _extra(rated, _slots(rated))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), most: int = 3, seed: int = 42) -> DataFrame:
+    """The mix itself, with the columns of docs: a document once for each whole copy that
+    mixed() takes of it, and once more cut after the words of a part (one document a
+    source at most; its words are joined by one blank). Texts pass through the joins with
+    the small tables of rates and priority classes and are not shuffled by id."""
+    sizes = cut(_priced(docs, id_col, text_col, source_col), "sizes")
+    rates = _rates(sizes, weights, most)
+    slots = _slots(_rated(sizes, rates, seed))
+    wide = _extra(_rated(_priced(docs, id_col, text_col, source_col, F.struct(*docs.columns).alias("doc")), rates, seed), slots).where("taken > 0")
     whole, rest = F.floor(F.col("taken") / F.col("size")).cast("int"), (F.col("taken") % F.col("size")).cast("int")
-    kinds = F.concat(F.array_repeat(F.lit(0), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
-    rows = docs.join(amounts, F.col(id_col) == F.col("_id")).withColumn("_words", F.explode(kinds))
-    words = F.regexp_extract_all(text_col, F.lit(WORD), 0)
-    text = F.when(F.col("_words") > 0, F.array_join(F.slice(words, 1, F.greatest(F.lit(1), F.col("_words"))), " ")).otherwise(F.col(text_col))
-    return rows.withColumn(text_col, text).select(*docs.columns)
+    times = F.concat(F.array_repeat(F.lit(0), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
+    rows = wide.select("doc", F.explode(times).alias("words"))
+    text = F.col(f"doc.{text_col}")
+    first = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), 0), 1, F.greatest(F.lit(1), F.col("words"))), " ")
+    rows = rows.withColumn("doc", F.col("doc").withField(text_col, F.when(F.col("words") > 0, first).otherwise(text)))
+    return rows.select("doc.*")
