@@ -12,16 +12,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
-from tokenizers.pre_tokenizers import WhitespaceSplit
+from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
 from .batches import split_words, text_slices
 from .storage import cut
 
 PIECE = "id {id}, start long, length long, ids_crc32 long, doc_tokens long, part int, cls int, idx long"
-#: A blank may go between these without a change of the ids of word_bpe_49k.json: its
-#: splitter ends a piece there in any case.
-_BREAKS = re.compile(rb"(?<=[a-z0-9])(?=[!-&(-/:-@\[-`{-~'])|(?<=[!-&(-/:-@\[-`{-~])(?=[a-z0-9])")
-_PLAIN = re.compile(r"[a-z]+\Z")
+#: Words that the normaliser and splitter of word_bpe_49k.json leave as they are.
+_PLAIN = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+\Z")
+#: Byte kinds: 1 letters and digits of ASCII, 2 marks of ASCII but 3 the apostrophe, 0 others.
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = 2
+_KIND[ord("'")] = 3
+for _a, _b in ((48, 58), (65, 91), (97, 123)):
+    _KIND[_a:_b] = 1
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 class WordIds:
@@ -33,7 +38,7 @@ class WordIds:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.full = Tokenizer.from_file(path)
         self.plain = Tokenizer(self.full.model)
-        self.plain.pre_tokenizer = WhitespaceSplit()
+        self.plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         self.specials = [t.content.encode().lower() for t in self.full.get_added_tokens_decoder().values()]
         self.most_words = most_words
         self._empty()
@@ -42,50 +47,67 @@ class WordIds:
         self.known, self.ids, self.starts, self.counts = {}, array("i"), array("q"), array("i")
 
     def _learn(self, words: list[str]) -> None:
-        plain = [bool(_PLAIN.match(w)) for w in words]
-        for tokenizer, wanted in ((self.plain, True), (self.full, False)):
-            some = [w for w, p in zip(words, plain, strict=True) if p is wanted]
+        special = [w for w in words if "<|" in w]
+        plain = [w for w in words if _PLAIN.match(w)]
+        other = set(words).difference(special, plain)
+        for tokenizer, some in ((self.plain, plain), (self.full, list(other))):
             for i in range(0, len(some), 20_000):
                 block = some[i : i + 20_000]
                 got = tokenizer.encode(block, is_pretokenized=True, add_special_tokens=False)
-                owner = np.array([-1 if w is None else w for w in got.word_ids], np.int64) if wanted else None
-                if wanted:
-                    counts, ids = np.bincount(owner, minlength=len(block)), got.ids
-                else:  # one by one: a special token inside a word has no word number
-                    each = [e.ids for e in tokenizer.encode_batch(block, add_special_tokens=False)]
-                    counts, ids = np.array([len(e) for e in each], np.int64), [x for e in each for x in e]
-                at = len(self.ids) + np.cumsum(counts) - counts
-                self.known.update(zip(block, range(len(self.starts), len(self.starts) + len(block)), strict=True))
-                self.ids.extend(ids)
-                self.starts.extend(at.tolist())
-                self.counts.extend(counts.tolist())
+                self._keep(block, np.bincount(np.array(got.word_ids, np.int64), minlength=len(block)), got.ids)
+        for word in special:  # a special token has no word number
+            ids = self.full.encode(word, add_special_tokens=False).ids
+            self._keep([word], np.array([len(ids)]), ids)
+
+    def _keep(self, words: list[str], counts: np.ndarray, ids: list[int]) -> None:
+        at = len(self.ids) + np.cumsum(counts) - counts
+        self.known.update(zip(words, range(len(self.starts), len(self.starts) + len(words)), strict=True))
+        self.ids.extend(ids)
+        self.starts.extend(at.tolist())
+        self.counts.extend(counts.tolist())
+
+    def _spaced(self, texts: pa.Array) -> pa.Array:
+        """Texts with A-Z lower-cased and a blank where letters or digits meet a mark: the
+        splitter ends a piece there in any case, and there are fewer different words. (Not
+        after an apostrophe, as in 's. A text with a special token stays as it is.)"""
+        raw = texts.cast(pa.large_binary())
+        offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+        body = bytes(memoryview(raw.buffers()[2] or b"")[offsets[0] : offsets[-1]])
+        offsets = offsets - offsets[0]
+        low = np.frombuffer(body.translate(_LOWER), np.uint8)
+        kind = _KIND[low]
+        split = np.zeros(len(low) + 1, np.int32)  # blanks to go before each byte
+        if len(low):
+            split[1:-1] = ((kind[:-1] == 1) & (kind[1:] >= 2)) | ((kind[:-1] == 2) & (kind[1:] == 1))
+        if b"<|" in body:
+            low = low.copy()
+            for row in range(len(raw)):
+                a, b = offsets[row], offsets[row + 1]
+                if any(s in bytes(low[a:b]) for s in self.specials):
+                    low[a:b] = np.frombuffer(body[a:b], np.uint8)
+                    split[a : b + 1] = 0
+        moved = np.cumsum(split)
+        out = np.full(len(low) + int(moved[-1]), 32, np.uint8)
+        out[np.arange(len(low)) + moved[:-1]] = low
+        return pa.Array.from_buffers(pa.large_string(), len(raw), [None, pa.py_buffer((offsets + np.concatenate([moved, moved[-1:]])[offsets]).tobytes()), pa.py_buffer(out.tobytes())])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and where each text's begin (with a last end)."""
-        broken = []
-        for text in texts.cast(pa.large_binary()).to_pylist():
-            low = text.lower() if text.isascii() else _lower_ascii(text)
-            broken.append(text if b"<|" in low and any(s in low for s in self.specials) else _BREAKS.sub(b" ", low))
-        words, ends = split_words(pa.array(broken, pa.large_binary()).cast(pa.large_string()))
+        words, ends = split_words(self._spaced(texts))
         coded = words.dictionary_encode()
         different = coded.dictionary.to_pylist()
         if len(self.known) > self.most_words:
             self._empty()
         self._learn([w for w in different if w not in self.known])
-        numbers = np.fromiter(map(self.known.__getitem__, different), np.int64, len(different))
+        if not different:
+            return np.zeros(0, np.int32), np.zeros(len(ends), np.int64)
+        numbers = np.fromiter(map(self.known.__getitem__, different), np.int32, len(different))
         use = numbers[coded.indices.to_numpy()]
-        counts = np.frombuffer(self.counts, np.int32)[use].astype(np.int64) if len(use) else np.zeros(0, np.int64)
-        stops = np.concatenate([[0], np.cumsum(counts)])
-        place = np.arange(stops[-1]) + np.repeat(np.frombuffer(self.starts, np.int64)[use] - stops[:-1], counts) if len(use) else np.zeros(0, np.int64)
-        ids = np.frombuffer(self.ids, np.int32)[place] if len(place) else np.zeros(0, np.int32)
-        return ids, stops[ends]
-
-
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-
-
-def _lower_ascii(text: bytes) -> bytes:
-    return text.translate(_LOWER)
+        counts = np.frombuffer(self.counts, np.int32)[use]
+        stops = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+        shift = (np.frombuffer(self.starts, np.int64)[use] - stops[:-1]).astype(np.int32)  # both are under 2**31 for a slice
+        place = np.arange(stops[-1], dtype=np.int32) + np.repeat(shift, counts)
+        return np.frombuffer(self.ids, np.int32)[place], stops[ends]
 
 
 def piece_lengths(tokens: int, capacity: int) -> list[int]:
