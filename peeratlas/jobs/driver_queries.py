@@ -249,7 +249,7 @@ def assemble_coords(spark, sf_dir):
 
 @query("SELECT x0, y0, x1, y1 FROM lines")
 def drawable_edges(spark, sf_dir):
-    return edges.drawable_edges(views.graph(spark, sf_dir), views.web(spark, sf_dir), 0.5, None, 40_000)
+    return edges.drawable_edges(views.graph(spark, sf_dir), views.web(spark, sf_dir), 0.5, None, 4_000)
 
 
 @query(f"SELECT src, dst, community0, community1, cited0, cited1, {r6('weight', 'xw0', 'yw0', 'xw1', 'yw1')} FROM ends")
@@ -260,7 +260,8 @@ def edge_endpoints(spark, sf_dir):
 
 def _quantized(spark, sf_dir):
     web = views.web(spark, sf_dir)
-    ends = edges.edge_endpoints(views.graph(spark, sf_dir), web, 0.5)
+    graph = views.graph(spark, sf_dir).withColumn("weight", F.round("weight", 9))
+    ends = edges.edge_endpoints(graph, web, 0.5)
     return edges.quantize_edges(ends, community.color_lut(views.stats(web), BIG))
 
 
@@ -443,8 +444,7 @@ def export_order_points(spark, sf_dir):
 
 @query("SELECT src, dst, CAST(row_number() OVER (ORDER BY round(weight, 9) DESC, src, dst) - 1 AS BIGINT) AS row FROM ends")
 def export_order_edges(spark, sf_dir):
-    rows = _quantized(spark, sf_dir).withColumn("weight", F.round("weight", 9))
-    return export.export_order_edges(rows).select("src", "dst", "row")
+    return export.export_order_edges(_quantized(spark, sf_dir)).select("src", "dst", "row")
 
 
 @query()
@@ -587,7 +587,7 @@ def splat_pixels(spark, sf_dir):
 def edge_pixels(spark, sf_dir):
     web = views.web(spark, sf_dir)
     levels = raster.pyramid(cut(raster.pixel_majority(web), "pixels"), 8).where("z = 8")
-    lines = edges.drawable_edges(views.graph(spark, sf_dir), web, 0.5, None, 40_000)
+    lines = edges.drawable_edges(views.graph(spark, sf_dir), web, 0.5, None, 4_000)
     occupied = raster.tile_xyz(levels, 8).select("tx", "ty").distinct()
     return six(raster.edge_pixels(lines, occupied, 8, 0.08), "alpha")
 
@@ -604,7 +604,7 @@ def bloom(spark, sf_dir):
 def render_tiles(spark, sf_dir):
     web, palette = _web_palette(spark, sf_dir)
     levels = cut(raster.pyramid(raster.pixel_majority(web), 8), "levels")
-    lines = cut(edges.drawable_edges(views.graph(spark, sf_dir), web, 0.5, None, 40_000), "lines")
+    lines = cut(edges.drawable_edges(views.graph(spark, sf_dir), web, 0.5, None, 4_000), "lines")
     splats = raster.splat_tiers(web, 800)
     tiles = [raster.render_zoom(levels, palette, z, splats, lines, lines).withColumn("z", F.lit(z)) for z in (8, 9, 10)]
     return tiles[0].union(tiles[1]).union(tiles[2]).select("z", "tx", "ty", F.sha2("png", 256).alias("sha256"), F.length("png").alias("bytes"))

@@ -89,13 +89,13 @@ PARTS = {
         SELECT px + dx AS x, py + dy AS y, px, py, coalesce(r, 0.6) AS r, coalesce(g, 0.6) AS g, coalesce(b, 0.6) AS b FROM splats JOIN dxy ON dx * dx + dy * dy <= rad0 * rad0 LEFT JOIN palette USING (community))
         WHERE x >= 0 AND y >= 0 AND x // 256 = px // 256 AND y // 256 = py // 256 GROUP BY ALL""",
     "points": f"SELECT id, {_cell('xw', 262144)} AS x, {_cell('yw', 262144)} AS y FROM web WHERE NOT is_ring",
-    "lines": "SELECT p.x AS x0, p.y AS y0, q.x AS x1, q.y AS y1 FROM edges e JOIN points p ON p.id = src JOIN points q ON q.id = dst WHERE weight >= 0.5 AND sqrt((q.x - p.x)::DOUBLE ** 2 + (q.y - p.y)::DOUBLE ** 2) <= 40000",
+    "lines": "SELECT p.x AS x0, p.y AS y0, q.x AS x1, q.y AS y1 FROM edges e JOIN points p ON p.id = src JOIN points q ON q.id = dst WHERE weight >= 0.5 AND sqrt((q.x - p.x)::DOUBLE ** 2 + (q.y - p.y)::DOUBLE ** 2) <= 4000",
     "samples": """SELECT CAST(round_even(x0 + k * ((x1 - x0) / steps::DOUBLE), 0) AS INTEGER) AS px, CAST(round_even(y0 + k * ((y1 - y0) / steps::DOUBLE), 0) AS INTEGER) AS py
         FROM (SELECT *, unnest(range(0, steps + 1)) AS k FROM (SELECT *, greatest(1, abs(x1 - x0), abs(y1 - y0)) AS steps FROM (SELECT x0 >> 2 AS x0, y0 >> 2 AS y0, x1 >> 2 AS x1, y1 >> 2 AS y1 FROM lines)))""",
     "ends": """SELECT src, dst, weight, p.xw AS xw0, p.yw AS yw0, q.xw AS xw1, q.yw AS yw1, p.community AS community0, q.community AS community1, p.cited_by_count AS cited0, q.cited_by_count AS cited1
         FROM edges JOIN (FROM web WHERE NOT is_ring) p ON p.id = src JOIN (FROM web WHERE NOT is_ring) q ON q.id = dst WHERE weight >= 0.5""",
     "qedges": f"""SELECT src, dst, weight, {_byte('xw0 * 65535', 65535)} AS x0, {_byte('yw0 * 65535', 65535)} AS y0, {_byte('xw1 * 65535', 65535)} AS x1, {_byte('yw1 * 65535', 65535)} AS y1,
-        l0.r AS r0, l0.g AS g0, l0.b AS b0, l1.r AS r1, l1.g AS g1, l1.b AS b1, {_byte('greatest(0.0, least(weight, 20.0)) / 20 * 255')} AS w,
+        l0.r AS r0, l0.g AS g0, l0.b AS b0, l1.r AS r1, l1.g AS g1, l1.b AS b1, {_byte('greatest(0.0, least(round(weight, 9), 20.0)) / 20 * 255')} AS w,
         {_byte('greatest(sqrt(cited0), sqrt(cited1)) / 700 * 255')} AS s FROM ends JOIN lut l0 ON l0.community = community0 JOIN lut l1 ON l1.community = community1""",
     "both": "SELECT src AS node, dst AS other, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges",
     "label0": "SELECT DISTINCT node, node AS label FROM both",

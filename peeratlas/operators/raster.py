@@ -72,7 +72,7 @@ def tile_pixels(levels: DataFrame, palette: DataFrame) -> DataFrame:
     """The base layer of z: tx, ty, ix, iy and colour."""
     lit = levels.join(brightness(levels), ["z", "cnt"]).join(palette, "community", "left")
     shade = lambda c, other: (F.coalesce(F.col(c), F.lit(other)) * F.col("bright")).alias(c)
-    flip = F.shiftleft(F.lit(1), F.col("z")) - 1
+    flip = F.expr("shiftleft(1, z)") - 1
     place = [(F.col("px") / TILE).cast("int").alias("tx"), (flip - (F.col("py") / TILE).cast("int")).alias("ty"), (F.col("px") % TILE).alias("ix"), (TILE - 1 - F.col("py") % TILE).alias("iy")]
     return lit.select("z", *place, *[shade(c, o) for c, o in zip("rgb", MISSING, strict=True)])
 
