@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import id_number
-from ..functions.names import normalize_name, search_tokens
+from ..functions.names import normalize_name as plain_name
+from ..functions.names import search_tokens
 from ..operators import boundary, community, coords, edges, export, index, raster, regions
 from ..sources import sinks, snapshot
 from ..sources.storage import cut, new_path
@@ -489,15 +490,15 @@ _FIRST_WORDS = "array_to_string(string_split_regex(text, '\\s+')[1:3], ' ')"
 
 
 @query(f"SELECT doc_id, trim(regexp_replace(lower(strip_accents({_FIRST_WORDS})), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS norm FROM documents WHERE text IS NOT NULL")
-def normalize_names(spark, sf_dir):
+def normalize_name(spark, sf_dir):
     docs = views.table(spark, sf_dir, "documents").where("text is not null")
     words = F.array_join(F.slice(F.split("text", r"\s+"), 1, 3), " ")
-    return docs.select("doc_id", normalize_name(words).alias("norm"))
+    return docs.select("doc_id", plain_name(words).alias("norm"))
 
 
 @query("SELECT id, token FROM entries")
 def name_tokens(spark, sf_dir):
-    return views.web(spark, sf_dir).select("id", F.explode(search_tokens(normalize_name("display_name"))).alias("token"))
+    return views.web(spark, sf_dir).select("id", F.explode(search_tokens(plain_name("display_name"))).alias("token"))
 
 
 def _sharded(spark, sf_dir):
@@ -624,7 +625,7 @@ def boundary_polylines(spark, sf_dir):
 # --- graph
 
 
-@query("SELECT node, round(sum(weight), 6) AS degree, count(*) AS neighbours FROM both GROUP BY node")
+@query("SELECT node, round(sum(weight), 6) AS degree, count(*) AS neighbours FROM twoway GROUP BY node")
 def weighted_degree(spark, sf_dir):
     return six(community.weighted_degree(views.graph(spark, sf_dir)), "degree")
 

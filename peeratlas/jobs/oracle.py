@@ -97,10 +97,10 @@ PARTS = {
     "qedges": f"""SELECT src, dst, weight, {_byte('xw0 * 65535', 65535)} AS x0, {_byte('yw0 * 65535', 65535)} AS y0, {_byte('xw1 * 65535', 65535)} AS x1, {_byte('yw1 * 65535', 65535)} AS y1,
         l0.r AS r0, l0.g AS g0, l0.b AS b0, l1.r AS r1, l1.g AS g1, l1.b AS b1, {_byte('greatest(0.0, least(round(weight, 9), 20.0)) / 20 * 255')} AS w,
         {_byte('greatest(sqrt(cited0), sqrt(cited1)) / 700 * 255')} AS s FROM ends JOIN lut l0 ON l0.community = community0 JOIN lut l1 ON l1.community = community1""",
-    "both": "SELECT src AS node, dst AS other, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges",
-    "label0": "SELECT DISTINCT node, node AS label FROM both",
+    "twoway": "SELECT src AS node, dst AS other, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges",
+    "label0": "SELECT DISTINCT node, node AS label FROM twoway",
     **{
-        f"label{k}": f"SELECT node, arg_min(label, (-w, label)) AS label FROM (SELECT b.node, l.label, round(sum(weight), 9) AS w FROM both b JOIN label{k - 1} l ON l.node = b.other GROUP BY b.node, l.label) GROUP BY node"
+        f"label{k}": f"SELECT node, arg_min(label, (-w, label)) AS label FROM (SELECT b.node, l.label, round(sum(weight), 9) AS w FROM twoway b JOIN label{k - 1} l ON l.node = b.other GROUP BY b.node, l.label) GROUP BY node"
         for k in (1, 2, 3)
     },
     "top": "SELECT community, count(*) AS members, avg(xw) AS xw, avg(yw) AS yw, sqrt(var_pop(xw) + var_pop(yw)) AS spread, row_number() OVER (ORDER BY count(*) DESC, community) AS rank FROM web GROUP BY community ORDER BY rank LIMIT 12",
