@@ -52,7 +52,7 @@ def search_block(queries: pd.DataFrame, rows: pd.DataFrame, turn: np.ndarray, ce
             maybe = (guess + off >= least[:, None]) & ~own
             for row, (n, q) in enumerate(zip(name, query, strict=True)):
                 at = np.flatnonzero(maybe[row])
-                exact = vectors[at] @ q
+                exact = np.add.accumulate(vectors[at] * q, axis=1)[:, -1]  # summed in the order of components
                 order = np.lexsort((ids[at], -exact))[:k]
                 out.append(pd.DataFrame({"query_id": n, "vec_id": ids[at][order], "score": exact[order]}))
     return pd.concat(out) if out else pd.DataFrame({"query_id": np.array([], np.int64), "vec_id": np.array([], np.int64), "score": np.array([])})
