@@ -131,7 +131,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most_rows: int = 4000, i
 
     wanted = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # chosen: most_rows rows of two numbers
     rows = wanted.orderBy("id").limit(2 * most_rows).mapInArrow(of, "label int, bucket array<int>, n array<int>, stats array<double>").toArrow()
-    return list(zip(*(rows.column(c).to_pylist() for c in ("label", "bucket", "n", "stats")), strict=True))
+    lists = {c: rows.column(c).combine_chunks() for c in ("bucket", "n", "stats")}
+    cut = {c: np.split(x.flatten().to_numpy(), x.offsets.to_numpy()[1:-1] - x.offsets.to_numpy()[0]) for c, x in lists.items()} if rows.num_rows else {}
+    return [(label, *(cut[c][i] for c in ("bucket", "n", "stats"))) for i, label in enumerate(rows.column("label").to_pylist())]
 
 
 def scored(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

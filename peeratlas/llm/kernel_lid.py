@@ -54,13 +54,16 @@ def fit(kernel: Kernel, packed: list[bytes], langs: list[str], landmarks: int =
     """One-versus-rest kernel ridge regression in the Nystrom features of landmarks drawn
     from the sample. packed: presence bits of the sampled texts."""
     languages = sorted(set(langs))
-    x = np.unpackbits(np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1), axis=1).astype(np.float32)
-    x /= np.sqrt(np.maximum(1, x.sum(1)))[:, None]
-    marks = x[np.sort(np.random.default_rng(seed).permutation(len(x))[:landmarks])]
+
+    def unit_rows(bits: list[bytes]) -> np.ndarray:
+        x = np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), -1), axis=1).astype(np.float32)
+        return x / np.sqrt(np.maximum(1, x.sum(1)))[:, None]
+
+    marks = unit_rows([packed[i] for i in np.sort(np.random.default_rng(seed).permutation(len(packed))[:landmarks])])
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(float))
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
-    features = (x @ marks.T).astype(float) @ root
+    features = np.concatenate([(unit_rows(packed[i : i + 64]) @ marks.T).astype(float) @ root for i in range(0, len(packed), 64)])
     wanted = 2.0 * (np.array(langs)[:, None] == np.array(languages)) - 1
     share = 1 / np.maximum(1, (wanted > 0).sum(0))[[languages.index(a) for a in langs]]  # languages weigh alike
     share = share * len(langs) / share.sum()
@@ -68,7 +71,7 @@ def fit(kernel: Kernel, packed: list[bytes], langs: list[str], landmarks: int =
     offset = np.average(wanted, axis=0, weights=share)
     f = features - center
     solved = np.linalg.solve(f.T @ (f * share[:, None]) + ridge * len(langs) * np.eye(f.shape[1]), f.T @ ((wanted - offset) * share[:, None]))
-    return Model(kernel, languages, (marks.T.astype(float) @ (root @ solved)).astype(np.float32), offset - center @ solved)
+    return Model(kernel, languages, marks.T @ (root @ solved).astype(np.float32), offset - center @ solved)
 
 
 def learned(docs: DataFrame, per_language: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", kernel: Kernel | None = None, **fit_args) -> Model | None:
