@@ -4,6 +4,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 _OWN: dict[str, str] = {}
@@ -34,6 +35,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return kept
 
 
+def checked(table: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """A table of short rows marked for broadcast where its counted rows are at most
+    most_rows; else left to a join by shuffle."""
+    return F.broadcast(table) if table.count() <= most_rows else table
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files of a table made by cut() that no later step reads."""
     path = getattr(df, "_shared_path", None)
