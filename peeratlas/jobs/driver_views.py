@@ -83,7 +83,7 @@ def layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def web(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut(coords.web_coords(layout(spark, sf_dir), SPREAD, RING, BIG), "web")
+    return cut(coords.web_coords(cut(layout(spark, sf_dir), "layout"), SPREAD, RING, BIG), "web")
 
 
 def stats(web_table: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import unit_hash
+from ..sources.storage import cut
 from .community import community_size
 
 MARGIN = 0.02
@@ -27,24 +28,25 @@ def center_scale(coords: DataFrame) -> DataFrame:
 
 
 def radial(coords: DataFrame, ring_comm_max: int = 100) -> DataFrame:
-    """coords with comm_n, a (compressed radius), theta, is_ring and ru.
+    """coords with comm_n, a (compressed radius), theta, is_ring, ru and th. Scalars of the
+    whole map (one row each) come to the driver; the polar form is written once.
 
     Dust: members of communities smaller than ring_comm_max that lie beyond 0.9 of the
     largest radius (0: no dust). ru: radius over the largest of the rest, 1 at most;
     dust is scattered over a ring by hashes of its id.
     """
+    center = center_scale(coords).first() or {"cx": None, "cy": None, "s": None}
     sized = community_size(coords.withColumns({"x": F.col("x").cast("double"), "y": F.col("y").cast("double")}))
-    met = sized.crossJoin(F.broadcast(center_scale(coords)))
-    dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
-    polar = met.withColumn("a", F.asinh(F.sqrt(dx * dx + dy * dy) / F.col("s"))).withColumn("theta", F.atan2(dy, dx)).drop("cx", "cy", "s")
-    limit = lambda df, name: F.broadcast(df.agg(F.max("a").alias(name)).select(F.when(F.col(name) > 0, F.col(name)).otherwise(1e-9).alias(name)))
-    far = polar.crossJoin(limit(polar, "amax"))
-    ring = (F.col("comm_n") < ring_comm_max) & (F.col("a") > 0.9 * F.col("amax")) if ring_comm_max > 0 else F.lit(False)
-    flagged = far.withColumn("is_ring", ring).drop("amax")
-    scaled = flagged.crossJoin(limit(flagged.where("not is_ring"), "a2max"))
-    ru = F.when(F.col("is_ring"), 0.60 + 0.38 * unit_hash(F.col("id"))).otherwise(F.least(F.col("a") / F.col("a2max"), F.lit(1.0)))
+    dx, dy = F.col("x") - F.lit(center["cx"]), F.col("y") - F.lit(center["cy"])
+    radius = F.asinh(F.sqrt(dx * dx + dy * dy) / F.lit(center["s"]))
+    polar = cut(sized.withColumns({"a": radius, "theta": F.atan2(dy, dx)}), "polar")  # read four times from here on
+    largest = lambda df: df.agg(F.max("a")).first()[0] or 1e-9
+    ring = (F.col("comm_n") < ring_comm_max) & (F.col("a") > 0.9 * largest(polar)) if ring_comm_max > 0 else F.lit(False)
+    flagged = polar.withColumn("is_ring", ring)
+    core = largest(flagged.where("not is_ring"))
+    ru = F.when(F.col("is_ring"), 0.60 + 0.38 * unit_hash(F.col("id"))).otherwise(F.least(F.col("a") / core, F.lit(1.0)))
     th = F.when(F.col("is_ring"), 2 * F.pi() * unit_hash(F.concat("id", F.lit("/t")))).otherwise(F.col("theta"))
-    return scaled.withColumn("ru", ru).withColumn("th", th).drop("a2max")
+    return flagged.withColumns({"ru": ru, "th": th})
 
 
 def spread_communities(placed: DataFrame, spread: float = 1.35, big: int = 1000) -> DataFrame:
@@ -60,10 +62,9 @@ def web_coords(coords: DataFrame, spread: float = 1.35, ring_comm_max: int = 100
     """The whole transform: xw, yw in [MARGIN, 1 - MARGIN] and is_ring."""
     placed = radial(coords, ring_comm_max)
     shifted = spread_communities(placed, spread, big)
-    longest = shifted.agg(F.greatest(F.max(F.sqrt(F.col("sx") * F.col("sx") + F.col("sy") * F.col("sy"))), F.lit(1e-9)).alias("smax"))
-    half = 0.5 - MARGIN
-    met = shifted.crossJoin(F.broadcast(longest))
-    core = met.withColumns({"xw": 0.5 + half * F.col("sx") / F.col("smax"), "yw": 0.5 + half * F.col("sy") / F.col("smax")})
+    longest = shifted.agg(F.max(F.sqrt(F.col("sx") * F.col("sx") + F.col("sy") * F.col("sy")))).first()[0]
+    half, smax = 0.5 - MARGIN, max(longest or 0.0, 1e-9)
+    core = shifted.withColumns({"xw": 0.5 + half * F.col("sx") / smax, "yw": 0.5 + half * F.col("sy") / smax})
     dust = placed.where("is_ring").withColumns({"xw": 0.5 + half * F.col("ru") * F.cos("th"), "yw": 0.5 + half * F.col("ru") * F.sin("th")})
     return core.select(*COLUMNS).unionByName(dust.select(*COLUMNS))
 
