@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import cut
+from .storage import checked, cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Sizes are tilted by their class on a logarithmic scale with so many classes an octave.
@@ -70,58 +70,75 @@ def _priced(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more)
     return rows.withColumn("kind", kind.cast("int"))
 
 
-def _rates(sizes: DataFrame, weights: tuple[float, ...], most: int) -> DataFrame:
-    """(source, kind, source_size, target, rate): one tilt a source from sums by class."""
+def _of_source(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """rows with the columns of their source's row in table."""
+    named = checked(table.withColumnRenamed("source", "of_source"))
+    return rows.join(named, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
+
+
+def _tilts(sizes: DataFrame, weights: tuple[float, ...], most: int) -> DataFrame:
+    """(source, source_size, target, tilt, mean): a Newton solution for each source, from
+    sums by source and size class."""
     by_kind = cut(sizes.groupBy("source", "kind").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "size-classes")
     targets = source_targets(by_kind, weights, most)
 
-    def tilted(rows: pd.DataFrame) -> pd.DataFrame:
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("kind")
-        words, feature = rows["size"].to_numpy(float), np.exp2(rows["kind"].to_numpy() / CLASSES_AN_OCTAVE)
-        feature = feature / max(1e-9, words.sum() / rows["n"].sum())
-        tilt = solve_tilt(words, feature, rows["target"].iloc[0], most)
-        rates = np.exp(np.minimum(tilt * feature, np.log(most)))
-        rows["rate"] = np.where(rows["kind"] < 0, 0.0, np.where(rates > most - 1e-9, most, rates))
-        return rows[["source", "kind", "source_size", "target", "rate"]]
+        words, mean = rows["size"].to_numpy(float), max(1e-9, rows["size"].sum() / rows["n"].sum())
+        tilt = solve_tilt(words, np.exp2(rows["kind"].to_numpy() / CLASSES_AN_OCTAVE) / mean, rows["target"].iloc[0], most)
+        return rows.head(1)[["source", "source_size", "target"]].assign(tilt=tilt, mean=mean)
 
     kinds = by_kind.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     source_type = sizes.schema["source"].dataType.simpleString()
-    return cut(kinds.groupBy("source").applyInPandas(tilted, f"source {source_type}, kind int, source_size long, target double, rate double"), "rates")
+    return cut(kinds.groupBy("source").applyInPandas(solve, f"source {source_type}, source_size long, target double, tilt double, mean double"), "tilts")
 
 
-def _rated(rows: DataFrame, rates: DataFrame, seed: int) -> DataFrame:
-    """rows with rate, whole copies, and the place in the order for one copy more."""
-    met = rows.join(rates.withColumnsRenamed({"source": "of", "kind": "of_kind"}), F.col("source").eqNullSafe(F.col("of")) & (F.col("kind") == F.col("of_kind"))).drop("of", "of_kind", "kind")
+def _rated(rows: DataFrame, tilts: DataFrame, most: int, seed: int) -> DataFrame:
+    """rows with rate, whole copies, and the place in the order for one copy more (null:
+    none is due)."""
+    feature = F.pow(F.lit(2.0), F.col("kind") / CLASSES_AN_OCTAVE) / F.col("mean")
+    raw = F.exp(F.least(F.col("tilt") * feature, F.log(F.lit(float(most)))))
+    rate = F.when(F.col("size") == 0, 0.0).when(raw > most - 1e-9, float(most)).otherwise(raw)
+    met = _of_source(rows, tilts).withColumn("rate", rate).drop("kind", "mean", "tilt")
     u = (F.xxhash64(F.col("id"), F.lit(seed)).bitwiseAND((1 << 52) - 1) + 1) / float(1 << 52)
     part = F.col("rate") - F.floor("rate")
-    priority = F.when((part > 0) & (F.col("size") > 0), u / part)
-    met = met.withColumn("copies", F.floor("rate")).withColumn("priority", priority)
-    return met.withColumn("slot", F.floor(F.col("priority") / (1 + F.col("priority")) * PRIORITY_CLASSES).cast("int"))
-
-
-def _slots(rated: DataFrame) -> DataFrame:
-    """(source, slot, room, open): what is still missing of a source's words when its
-    priority classes before this one took one copy more, and the class's own words."""
-    slots = rated.groupBy("source", "slot").agg(F.sum(F.col("copies") * F.col("size")).alias("whole"), F.sum("size").alias("open"), F.min("target").alias("target"))
+    return met.withColumn("copies", F.floor("rate")).withColumn("priority", F.when(part > 0, u / part))
+
+
+def _cuts(rated: DataFrame) -> DataFrame:
+    """Where each source's missing words run out in the order of priority, id and size:
+    (source, cut_priority, cut_id, cut_size, cut_extra). What stands before the cut takes
+    one copy more, the row there cut_extra words. Words are first summed by priority
+    class; rows of the one class a source that holds the cut are then ordered."""
+    slot = F.floor(F.col("priority") / (1 + F.col("priority")) * PRIORITY_CLASSES).cast("int")
+    rated = rated.withColumn("slot", slot)
+    slots = rated.groupBy("source", "slot").agg(F.sum(F.col("copies") * F.col("size")).alias("whole"), F.sum("size").alias("words"), F.min("target").alias("target"))
+    slots = slots.withColumn("open", F.when(F.col("slot").isNotNull(), F.col("words")).otherwise(0))
     of_source = Window.partitionBy("source")
     missing = F.round("target").cast("long") - F.sum("whole").over(of_source)
-    before = of_source.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    taken = F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("open"))).over(before), F.lit(0))
-    return cut(slots.select("source", "slot", (missing - taken).alias("room"), "open").where("slot is not null"), "slots")
-
-
-def _extra(rated: DataFrame, slots: DataFrame) -> DataFrame:
-    """rated with taken. Only rows of the one class a source where its words run out are
-    ordered one by one."""
-    whole_only = rated.where("slot is null").withColumn("extra", F.lit(0).cast("long"))
-    met = rated.where("slot is not null").join(slots.toDF("of", "of_slot", "room", "open"), F.col("source").eqNullSafe(F.col("of")) & (F.col("slot") == F.col("of_slot"))).drop("of", "of_slot")
-    split = (F.col("room") > 0) & (F.col("room") < F.col("open"))
-    clear = met.where(~split).withColumn("extra", F.when(F.col("room") >= F.col("open"), F.col("size")).otherwise(0))
+    before = F.coalesce(F.sum("open").over(of_source.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    slots = cut(slots.select("source", "slot", "open", missing.alias("missing"), (missing - before).alias("room")), "slots")
+
+    cross = slots.where("slot is not null and room > 0 and room <= open").select("source", F.col("slot").alias("cut_slot"), "room")
+    rows = _of_source(rated.select("source", "slot", "priority", "id", "size"), cross).where("slot = cut_slot")
+    same = rows.groupBy("source", "room", "priority", "id", "size").agg(F.count("*").alias("n"))
     order = Window.partitionBy("source").orderBy("priority", F.col("id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("size").over(order), F.lit(0))
-    last = met.where(split).withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("room") - before)))
-    every = clear.unionByName(last).unionByName(whole_only, allowMissingColumns=True)
-    return every.withColumn("taken", F.col("copies") * F.col("size") + F.col("extra")).drop("extra", "room", "open", "priority", "slot")
+    left = same.withColumn("left", F.col("room") - F.coalesce(F.sum(F.col("n") * F.col("size")).over(order), F.lit(0)))
+    at = left.where((F.col("left") > 0) & (F.col("left") <= F.col("n") * F.col("size")))
+    at = at.select(F.col("source").alias("of"), F.col("priority").alias("cut_priority"), F.col("id").alias("cut_id"), F.col("size").alias("cut_size"), F.floor(F.col("left") / F.col("n")).alias("cut_extra"))
+    sources = slots.groupBy("source").agg(F.max("missing").alias("missing"))
+    whole = F.when(F.col("missing") > 0, float("inf")).otherwise(-1.0)  # all or none take one more
+    met = sources.join(at, F.col("source").eqNullSafe(F.col("of")), "left")
+    return cut(met.select("source", F.coalesce("cut_priority", whole).alias("cut_priority"), "cut_id", "cut_size", "cut_extra"), "cuts")
+
+
+def _taken(rated: DataFrame, cuts: DataFrame) -> DataFrame:
+    """rated with taken."""
+    p, at = F.col("priority"), F.col("cut_priority")
+    earlier = (F.col("id") < F.col("cut_id")) | (F.col("cut_id").isNull() & F.col("id").isNotNull()) | (F.col("id").eqNullSafe(F.col("cut_id")) & (F.col("size") < F.col("cut_size")))
+    here = F.col("id").eqNullSafe(F.col("cut_id")) & (F.col("size") == F.col("cut_size"))
+    extra = F.when(p < at, F.col("size")).when((p == at) & here, F.col("cut_extra")).when((p == at) & earlier, F.col("size")).otherwise(0)
+    return _of_source(rated, cuts).withColumn("taken", F.col("copies") * F.col("size") + extra).drop("priority", "cut_priority", "cut_id", "cut_size", "cut_extra")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), most: int = 3, seed: int = 42) -> DataFrame:
@@ -141,19 +158,20 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     no rows. Other columns are ignored.
     """
     sizes = cut(_priced(docs, id_col, text_col, source_col), "sizes")
-    rated = _rated(sizes, _rates(sizes, weights, most), seed)
-    return _extra(rated, _slots(rated))
+    rated = _rated(sizes, _tilts(sizes, weights, most), most, seed)
+    return _taken(rated, _cuts(rated))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), most: int = 3, seed: int = 42) -> DataFrame:
     """The mix itself, with the columns of docs: a document once for each whole copy that
     mixed() takes of it, and once more cut after the words of a part (one document a
-    source at most; its words are joined by one blank). Texts pass through the joins with
-    the small tables of rates and priority classes and are not shuffled by id."""
+    source at most; its words are joined by one blank). Texts pass through joins with
+    tables of one row a source and are not shuffled by id."""
     sizes = cut(_priced(docs, id_col, text_col, source_col), "sizes")
-    rates = _rates(sizes, weights, most)
-    slots = _slots(_rated(sizes, rates, seed))
-    wide = _extra(_rated(_priced(docs, id_col, text_col, source_col, F.struct(*docs.columns).alias("doc")), rates, seed), slots).where("taken > 0")
+    tilts = _tilts(sizes, weights, most)
+    cuts = _cuts(_rated(sizes, tilts, most, seed))
+    rows = _priced(docs, id_col, text_col, source_col, F.struct(*docs.columns).alias("doc"))
+    wide = _taken(_rated(rows, tilts, most, seed), cuts).where("taken > 0")
     whole, rest = F.floor(F.col("taken") / F.col("size")).cast("int"), (F.col("taken") % F.col("size")).cast("int")
     times = F.concat(F.array_repeat(F.lit(0), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
     rows = wide.select("doc", F.explode(times).alias("words"))
