@@ -1,43 +1,5 @@
 """Tables and files in the folder that the driver and all executors share."""
 
-import tempfile
-import uuid
+from ..sources.storage import checked, cut, drop, new_path, shared_dir
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a temporary folder only where it is unset (tests)."""
-    place = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not place:
-        app = spark.sparkContext.applicationId
-        place = _OWN.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="shared-")
-        _OWN[app] = place
-    return place.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write the rows once as a shared table and go on from there: lineage ends here,
-    so a lost executor costs a reread, not a rerun."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    kept = spark.read.schema(df.schema).parquet(path)
-    kept._shared_path = path
-    return kept
-
-
-def drop(df: DataFrame) -> None:
-    """Delete the files of a table made by cut() that no later step reads."""
-    path = getattr(df, "_shared_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+__all__ = ["checked", "cut", "drop", "new_path", "shared_dir"]
