@@ -5,7 +5,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
-def text_slices(batches, column="text", most_bytes=4 << 20):
+def text_slices(batches, column="text", most_bytes=2 << 20):
     """Batches cut into slices of at most most_bytes of text each (a longer single text
     stays whole), with nulls as empty texts: memory follows the slice, not the batch."""
     for batch in batches:

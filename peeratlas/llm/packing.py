@@ -34,7 +34,7 @@ class WordIds:
     takes a word of a-z as it is: every different word of a task is encoded once, and
     texts are put together from word ids by array operations."""
 
-    def __init__(self, path: str, most_words: int = 400_000):
+    def __init__(self, path: str, most_words: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.full = Tokenizer.from_file(path)
         self.plain = Tokenizer(self.full.model)
