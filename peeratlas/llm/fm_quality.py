@@ -126,11 +126,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most_rows: int = 4000, i
             words, ends = split_words(texts)
             found, stats = word_buckets(words, buckets), statistics(texts, ends)
             each = [np.unique(found[a:b], return_counts=True) for a, b in zip(ends, ends[1:], strict=False)]
-            columns = [rows.column(rows.schema.get_field_index("label")), pa.array([e[0] for e in each], pa.list_(pa.int32())), pa.array([e[1] for e in each], pa.list_(pa.int32())), pa.array(list(stats), pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["label", "bucket", "n", "stats"])
+            columns = [*(rows.column(rows.schema.get_field_index(c)) for c in ("id", "label")), pa.array([e[0] for e in each], pa.list_(pa.int32())), pa.array([e[1] for e in each], pa.list_(pa.int32())), pa.array(list(stats), pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "label", "bucket", "n", "stats"])
 
     wanted = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # chosen: most_rows rows of two numbers
-    rows = wanted.orderBy("id").limit(2 * most_rows).mapInArrow(of, "label int, bucket array<int>, n array<int>, stats array<double>").toArrow()
+    kind = wanted.schema["id"].dataType.simpleString()
+    rows = wanted.mapInArrow(of, f"id {kind}, label int, bucket array<int>, n array<int>, stats array<double>").toArrow().sort_by([("id", "ascending"), ("label", "ascending")])
     lists = {c: rows.column(c).combine_chunks() for c in ("bucket", "n", "stats")}
     cut = {c: np.split(x.flatten().to_numpy(), x.offsets.to_numpy()[1:-1] - x.offsets.to_numpy()[0]) for c, x in lists.items()} if rows.num_rows else {}
     return [(label, *(cut[c][i] for c in ("bucket", "n", "stats"))) for i, label in enumerate(rows.column("label").to_pylist())]
