@@ -1,7 +1,7 @@
-"""Licence detection with a positional index of rare words."""
+"""Licence detection by the rarest words of mandatory phrases and votes of the words around them."""
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +32,13 @@ _WORDS_ONLY = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32
 
 @dataclass
 class Index:
-    """Postings of the templates' words: for each word number the (template, place) pairs."""
+    """The templates and phrases as numbers of the vocabulary's words."""
 
     vocabulary: list[str]
     templates: list[np.ndarray]
     labels: list[str]
     mandatory: list[list[np.ndarray]]
     phrases: list[tuple[np.ndarray, str]]
-    postings: dict[int, list[tuple[int, int]]] = field(default_factory=dict)
     idf: np.ndarray | None = None
 
 
@@ -48,11 +47,7 @@ def build_index(templates=TEMPLATES, phrases=BASE_PHRASES) -> Index:
     vocabulary = sorted({w for _, text, keys in templates for part in (text, *keys) for w in words(part)} | {w for p, _ in phrases for w in words(p)})
     number = {w: i for i, w in enumerate(vocabulary)}
     coded = lambda text: np.array([number[w] for w in words(text)], np.int32)
-    index = Index(vocabulary, [coded(t) for _, t, _ in templates], [n for n, _, _ in templates], [[coded(k) for k in keys] for _, _, keys in templates], [(coded(p), label) for p, label in phrases])
-    for t, body in enumerate(index.templates):
-        for place, word in enumerate(body.tolist()):
-            index.postings.setdefault(word, []).append((t, place))
-    return index
+    return Index(vocabulary, [coded(t) for _, t, _ in templates], [n for n, _, _ in templates], [[coded(k) for k in keys] for _, _, keys in templates], [(coded(p), label) for p, label in phrases])
 
 
 def coded_words(texts: pa.Array, vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -78,38 +73,33 @@ def phrase_places(codes: np.ndarray, ends: np.ndarray, phrase: np.ndarray, idf:
     return at[np.searchsorted(ends, at, "right") == np.searchsorted(ends, at + len(phrase) - 1, "right")]
 
 
-def match_templates(codes: np.ndarray, index: Index, rare_words: int = 8, slack: int = 3, least_share: float = 0.6) -> list[tuple[str, float]]:
+def match_templates(codes: np.ndarray, index: Index, slack: int = 3, least_share: float = 0.6) -> list[tuple[str, float]]:
     """(label, share) of the templates in one text.
 
-    The text's rare_words licence words of highest IDF are looked up; their places less
-    their places in a template vote for where it begins. Where two or more of them agree
-    (within slack words, for edits), the template's mandatory phrases must stand in its
-    window, and least_share of its words at their place within the slack.
+    A template can stand only where its rarest mandatory phrase does. There the places of
+    all its words less their places in the template vote for where it begins. A beginning
+    counts if all mandatory phrases stand in its window, and least_share of the words at
+    their place within slack words (for edits); fewer votes than that share are no match.
     """
-    found = []
-    known = np.unique(codes[codes >= 0])
-    rare = known[np.lexsort((known, -index.idf[known]))][:rare_words]
-    votes: dict[int, list[tuple[int, int]]] = {}
-    for word in rare.tolist():
-        posted = index.postings.get(word, ())
-        if posted:
-            places = np.flatnonzero(codes == word)
-            for template, place in posted:
-                votes.setdefault(template, []).extend((p - place, word) for p in places.tolist())
-    for template, cast in votes.items():
-        cast.sort()
-        body, best, low = index.templates[template], 0.0, 0
-        tried = None
-        for high in range(len(cast)):
-            while cast[high][0] - cast[low][0] > slack:
-                low += 1
-            begin = cast[high][0]
-            if begin == tried or len({w for _, w in cast[low : high + 1]}) < min(2, len(rare)):
-                continue
-            tried = begin
+    found, whole = [], np.array([0, len(codes)])
+    for template, body in enumerate(index.templates):
+        keys = index.mandatory[template]
+        reach = len(body) + 2 * slack
+        anchors = phrase_places(codes, whole, max(keys, key=lambda k: index.idf[k].max()), index.idf)
+        if not len(anchors):
+            continue
+        edges = np.zeros(len(codes) + 1, np.int64)
+        np.add.at(edges, np.maximum(anchors - reach, 0), 1)
+        np.add.at(edges, np.minimum(anchors + reach, len(codes)), -1)
+        near = np.flatnonzero(np.cumsum(edges[:-1]) > 0)
+        votes = np.sort(np.concatenate([near[codes[near] == word] - place for place, word in enumerate(body.tolist())]))
+        begins = np.unique(votes)
+        cast = np.searchsorted(votes, begins + slack, "right") - np.searchsorted(votes, begins - slack, "left")
+        best = 0.0
+        for begin in begins[cast >= least_share * len(body)].tolist():
             window = codes[max(0, begin - slack) : max(0, begin + len(body) + slack)]
             one = np.array([0, len(window)])
-            if any(not len(phrase_places(window, one, key, index.idf)) for key in index.mandatory[template]):
+            if any(not len(phrase_places(window, one, key, index.idf)) for key in keys):
                 continue
             hit = np.zeros(len(body), bool)
             for shift in range(-slack, slack + 1):
