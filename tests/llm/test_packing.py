@@ -1,3 +1,4 @@
+import functools
 import random
 import zlib
 
@@ -41,10 +42,46 @@ def test_pieces_lie_whole_in_dense_sequences(spark):
     assert fill.sum().sum() > 0.95 * 2048 * (len(fill.sum()) - 1)
 
 
-def test_piece_lengths_fill_reciprocal_shares():
-    for n in (1, 2, 700, 2047, 2048, 2049, 10_000):
-        lengths = packing.piece_lengths(n, 2048)
-        assert sum(lengths) == n and all(2048 - 2048 // s * s < 2048 // s for s in lengths)
+def test_cuts_have_the_least_padding_and_pieces():
+    capacity, cost = 60, 4.0
+    first, count = packing.cut_table(capacity, cost)
+
+    @functools.cache
+    def best(rest):  # over all cuts
+        padding = lambda n: capacity / (capacity // n) - n
+        exact = [n for n in range(1, rest) if capacity // (capacity // n) == n]
+        return min([padding(rest), *(padding(n) + cost + best(rest - n) for n in exact)])
+
+    for rest in range(1, capacity):
+        lengths, left = [], rest
+        while left:
+            lengths.append(int(first[left]))
+            left -= lengths[-1]
+        assert sum(lengths) == rest and len(lengths) == count[rest]
+        assert np.isclose(sum(capacity / (capacity // n) - n for n in lengths) + cost * (len(lengths) - 1), best(rest))
+
+
+def test_cut_all_equals_one_by_one():
+    tokens = np.array([1, 2048, 2047, 700, 5000, 4096, 2])
+    row, start, length = packing.cut_all(tokens, 2048)
+    first, _ = packing.cut_table(2048)
+    expected = []
+    for n, total in enumerate(tokens.tolist()):
+        at = 0
+        while at < total:
+            step = 2048 if total - at >= 2048 else int(first[total - at])
+            expected.append((n, at, step))
+            at += step
+    assert list(zip(row.tolist(), start.tolist(), length.tolist(), strict=True)) == expected
+
+
+def test_another_tokenizer_encodes_whole_texts(tmp_path):
+    from tokenizers.models import WordLevel
+
+    other = Tokenizer(WordLevel({"a": 0, "b": 1, "[U]": 2}, unk_token="[U]"))
+    other.save(str(tmp_path / "t.json"))
+    ids, at = packing.WordIds(str(tmp_path / "t.json")).encode(pa.array(["a", "a b", ""]))
+    assert ids.tolist() == [0, 2] and at.tolist() == [0, 1, 2, 2]
 
 
 def test_empty_table(spark):
