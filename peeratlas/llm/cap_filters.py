@@ -1,13 +1,14 @@
 """Near-duplicate embeddings by spherical-cap filters."""
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import cut
-from .vectors import dimensions, dot, padded, usable
+from .storage import cut, drop
+from .vectors import dimensions, padded, usable
 
 
 def product_code(dims: int, codewords: int, seed: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -19,82 +20,214 @@ def product_code(dims: int, codewords: int, seed: int) -> tuple[np.ndarray, list
     return rotation, [h / np.maximum(1e-12, np.linalg.norm(h, axis=1, keepdims=True)) for h in halves]
 
 
-def list_decode(rows: np.ndarray, halves: list[np.ndarray], filters: int) -> np.ndarray:
-    """The filters directions nearest to each row, as numbers: its cap of all directions
-    is chosen so that it holds this many. The best sums of two sorted lists stand at
-    places whose product is at most their number, so only those are summed."""
-    codewords, first = len(halves[0]), rows[:, : halves[0].shape[1]] @ halves[0].T
-    second = rows[:, halves[0].shape[1] :] @ halves[1].T
-    keep = min(filters, codewords)
+def half_scores(rows: np.ndarray, halves: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Products of the rows' halves with all codewords of theirs; their sum is the row's
+    product with a direction."""
+    n = halves[0].shape[1]
+    return rows[:, :n] @ halves[0].T, rows[:, n:] @ halves[1].T
 
-    def best(scores):
-        at = np.argpartition(-scores, keep - 1, axis=1)[:, :keep]
-        at = np.take_along_axis(at, np.argsort(-np.take_along_axis(scores, at, 1), axis=1), 1)
-        return at, np.take_along_axis(scores, at, 1)
 
-    (at1, s1), (at2, s2) = best(first), best(second)
-    i, j = np.array([(a, b) for a in range(keep) for b in range(keep) if (a + 1) * (b + 1) <= filters]).T
-    sums = s1[:, i] + s2[:, j]
-    top = np.argpartition(-sums, min(filters, sums.shape[1]) - 1, axis=1)[:, :filters]
-    return at1[np.arange(len(rows))[:, None], i[top]].astype(np.int64) * codewords + at2[np.arange(len(rows))[:, None], j[top]]
+def best_sums(first: np.ndarray, second: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in two descending lists, and the n largest sums of one number of each. They
+    stand at places whose product (from 1) is at most n, so only those are summed."""
+    keep = min(n, len(first))
+    i, j = np.array([(a, b) for a in range(keep) for b in range(keep) if (a + 1) * (b + 1) <= n]).T
+    sums = first[i] + second[j]
+    top = np.argsort(-sums, kind="stable")[:n]
+    return i[top], j[top], sums[top]
+
+
+def cap_height(dims: int, code: tuple, filters: int, trials: int = 256) -> float:
+    """The height over which the median random unit vector has so many filter directions."""
+    rotation, halves = code
+    x = np.random.default_rng(0).normal(size=(trials, dims))
+    scores = half_scores(x / np.linalg.norm(x, axis=1, keepdims=True) @ rotation, halves)
+    first, second = (-np.sort(-s, axis=1)[:, :filters] for s in scores)
+    return float(np.median([best_sums(a, b, filters)[2][-1] for a, b in zip(first, second, strict=True)]))
+
+
+def list_decode(rows: np.ndarray, halves: list[np.ndarray], height: float, fewest: int) -> tuple[np.ndarray, np.ndarray]:
+    """All filter directions whose caps of this height hold each row, as numbers, and how
+    many a row has. A row in fewer than fewest caps gets its fewest nearest directions.
+
+    Scores of both halves are sorted; for each codeword of the first half those of the
+    second that make up the height are a head of the list.
+    """
+    codewords = len(halves[0])
+    scores = half_scores(rows, halves)
+    order = [np.argsort(-s, axis=1, kind="stable") for s in scores]
+    first, second = (np.take_along_axis(s, o, 1) for s, o in zip(scores, order, strict=True))
+    found, counts = [], np.zeros(len(rows), np.int64)
+    for row, (a, b) in enumerate(zip(first, second, strict=True)):
+        use = np.searchsorted(-a, b[0] - height, "right")
+        heads = np.searchsorted(-b, a[:use] - height, "right")
+        counts[row] = heads.sum()
+        if counts[row] >= fewest:
+            i = np.repeat(np.arange(use), heads)
+            j = np.arange(counts[row]) - np.repeat(np.cumsum(heads) - heads, heads)
+        else:
+            i, j, _ = best_sums(a, b, fewest)
+            counts[row] = len(i)
+        found.append(order[0][row, i].astype(np.int64) * codewords + order[1][row, j])
+    return (np.concatenate(found) if found else np.zeros(0, np.int64)), counts
 
 
 def codewords_for(n: int) -> int:
     """Codewords a half, so that there are some 16 filters a vector: a filter then holds
-    about filters / 16 unrelated vectors at any size."""
-    return int(min(1 << 15, max(64, 2 ** np.ceil(np.log2(max(2, 16 * n)) / 2))))
+    about one or two unrelated vectors, up to 2**17 codewords (a billion vectors; filters
+    fill up beyond, and the work grows with it)."""
+    return int(min(1 << 17, max(64, 2 ** np.ceil(np.log2(max(2, 16 * n)) / 2))))
 
 
-def links(classes: DataFrame, least_cosine: float, dims: int, filters: int = 24, codes: int = 2, seed: int = 3, most_flips: int = 24) -> DataFrame:
-    """(a, b, cosine), a < b: pairs of classes(id, vec) with at least that cosine.
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of rows in double precision, summed in the order of components."""
+    dot = lambda x, y: np.add.accumulate(x * y, axis=1)[:, -1]
+    return dot(a, b) / (np.sqrt(dot(a, a)) * np.sqrt(dot(b, b)))
 
-    Vectors that share a filter of one of the codes meet in a join on filters that carries
-    ids and 64 signs of random projections; pairs with more than most_flips different
-    signs are left out (at cosine 0.95, 6.5 of 64 differ on average, 24 is over seven
-    standard deviations more), the rest is verified in double precision.
-    """
+
+def near_tile(one: np.ndarray, other: np.ndarray, least: float) -> np.ndarray:
+    """Which rows of one and other have a cosine of at least least: matrix products, and
+    the exact sum where rounding could decide."""
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    found = unit(one) @ unit(other).T
+    i, j = np.nonzero(np.abs(found - least) < 1e-12)
+    found[i, j] = cosines(one[i], other[j])
+    return found >= least
+
+
+def _matrix(column: pa.Array, dims: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), dims)
+
+
+def decoded(classes: DataFrame, dims: int, filters: int, codes: int, seed: int) -> DataFrame:
+    """(cls, signs, f): the filters of each vector, and 64 signs of random projections."""
     codebooks = [product_code(dims, codewords_for(classes.count()), seed + c) for c in range(codes)]
+    heights = [cap_height(dims, code, filters) for code in codebooks]
     planes = np.random.default_rng(seed - 1).normal(size=(dims, 64))
+    at_once = max(16, (1 << 21) // len(codebooks[0][1][0]))
+    shared = classes.sparkSession.sparkContext.broadcast((codebooks, planes))  # 2 * codes * codewords * dims numbers: 270 MB at the most codewords, a few here
 
     def of(batches):
+        codebooks, planes = shared.value
         for batch in batches:
-            vec = batch.column(1)
-            x = vec.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vec), dims)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            numbers = [list_decode(x @ rotation, halves, filters) * codes + c for c, (rotation, halves) in enumerate(codebooks)]
-            signs = np.packbits(x @ planes > 0, axis=1, bitorder="little").view(np.int64)[:, 0]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signs), pa.array(list(np.concatenate(numbers, axis=1)), pa.list_(pa.int64()))], ["id", "signs", "filters"])
-
-    decoded = cut(classes.select("id", "vec").mapInArrow(of, "id long, signs long, filters array<long>"), "filters")
-    listed = decoded.select(F.explode("filters").alias("f"), "id", "signs")
-    near = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= most_flips
-    met = listed.toDF("f", "a", "sa").join(listed.toDF("f", "b", "sb"), "f").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
-    known = classes.select("id", "vec")
-    both = met.join(known.toDF("a", "va"), "a").join(known.toDF("b", "vb"), "b")
-    cosine = dot(F.col("va"), F.col("vb")) / (F.sqrt(dot(F.col("va"), F.col("va"))) * F.sqrt(dot(F.col("vb"), F.col("vb"))))
-    return both.select("a", "b", cosine.alias("cosine")).where(F.col("cosine") >= least_cosine)
+            all_rows = _matrix(batch.column(1), dims)
+            for i in range(0, len(all_rows), at_once):
+                x = all_rows[i : i + at_once]
+                x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                signs = np.packbits(x @ planes > 0, axis=1, bitorder="little").view(np.int64)[:, 0]
+                for c, ((rotation, halves), height) in enumerate(zip(codebooks, heights, strict=True)):
+                    numbers, counts = list_decode(x @ rotation, halves, height, filters * 2 // 3)
+                    row = np.repeat(np.arange(len(x)), counts)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i + row)), pa.array(signs[row]), pa.array(numbers * codes + c)], ["cls", "signs", "f"])
+
+    return classes.select("cls", "vec").mapInArrow(of, "cls long, signs long, f long")
+
+
+def verified(pairs: DataFrame, classes: DataFrame, least: float, dims: int) -> DataFrame:
+    """The rows of pairs(a, b, ...) whose vectors have a cosine of at least least."""
+
+    def of(batches):
+        for batch in batches:
+            a, b = (_matrix(batch.column(c), dims) for c in ("va", "vb"))
+            yield batch.drop_columns(["va", "vb"]).filter(pa.array(cosines(a, b) >= least, pa.bool_()))
+
+    known = classes.select("cls", "vec")
+    both = pairs.join(known.toDF("a", "va"), "a").join(known.toDF("b", "vb"), "b")
+    return both.select(*pairs.columns, "va", "vb").mapInArrow(of, pairs.schema)
+
+
+def linked_classes(classes: DataFrame, least: float, dims: int, filters: int = 24, codes: int = 2, seed: int = 3, most_flips: int = 24, star_rounds: int = 2) -> DataFrame:
+    """(id, root) for the classes(cls, vec) that are linked with another one.
+
+    Vectors that share a filter meet in joins that carry numbers and signs; pairs with
+    more than most_flips different signs of 64 are left out (at cosine 0.95, 6.5 differ on
+    average, 24 is over seven standard deviations more), the rest is verified. In star
+    rounds only one member of a filter is compared with the others, which joins a group of
+    near vectors with one pair a member. Then pairs of different classes are compared, one
+    of them outside the filter's largest class.
+    """
+    every = cut(decoded(classes, dims, filters, codes, seed), "filters")
+    shared = every.groupBy("f").agg(F.count("*").alias("rows")).where("rows > 1").select("f")
+    blocks = cut(every.join(shared, "f"), "blocks")
+    drop(every)
+    roots = cut(classes.select("cls", F.col("cls").alias("root")), "roots")
+    for turn in range(star_rounds + 1):
+        held = blocks.join(roots, "cls").select("f", F.struct("cls", "root", "signs").alias("m"))
+        pivot = F.max(F.struct(F.xxhash64("m.cls", F.lit(turn)).alias("h"), "m"))["m"]
+        mixed = held.groupBy("f").agg(F.min("m.root").alias("lo"), F.max("m.root").alias("hi"), pivot.alias("p")).where("lo < hi").select("f", "p")
+        if turn == star_rounds:
+            sizes = held.groupBy("f", F.col("m.root").alias("root")).agg(F.count("*").alias("rows"))
+            most = sizes.groupBy("f").agg(F.max(F.struct("rows", "root"))["root"].alias("most"))
+            mixed = held.join(mixed.select("f"), "f").join(most, "f").where("m.root <> most").select("f", F.col("m").alias("p"))
+        near = F.bit_count(F.col("m.signs").bitwiseXOR(F.col("p.signs"))) <= most_flips
+        pairs = held.join(mixed, "f").where((F.col("m.root") != F.col("p.root")) & near)
+        turned = F.col("m.cls") < F.col("p.cls")
+        ends = [F.when(turned, F.col(f"{x}.{c}")).otherwise(F.col(f"{y}.{c}")) for c in ("cls", "root") for x, y in (("m", "p"), ("p", "m"))]
+        pairs = cut(pairs.select(*ends).toDF("a", "b", "ra", "rb").distinct(), "pairs")
+        joined = components(verified(pairs, classes, least, dims).select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+        after = cut(roots.join(joined.toDF("root", "to"), "root", "left").select("cls", F.coalesce("to", "root").alias("root")), "roots")
+        drop(pairs)
+        drop(roots)
+        roots = after
+    drop(blocks)
+    many = roots.groupBy("root").agg(F.count("*").alias("members")).where("members > 1")
+    return roots.join(many, "root").select("cls", "root", "members")
+
+
+def count_tile(rows: pd.DataFrame, least: float) -> pd.DataFrame:
+    """(cls, links) within one bundle of small components, or between two blocks (part i
+    and part j) of a large one: links of a class count the rows of the other."""
+    out = []
+    for _, own in rows.groupby("root", sort=False):
+        i, j = int(own["i"].iloc[0]), int(own["j"].iloc[0])
+        left, right = own[own["part"] == i], own[own["part"] == j]
+        near = near_tile(np.stack(left["vec"].to_numpy()).astype(float), np.stack(right["vec"].to_numpy()).astype(float), least)
+        if i == j:
+            np.fill_diagonal(near, False)
+        out.append(pd.DataFrame({"cls": left["cls"], "links": near @ right["n"].to_numpy(np.int64)}))
+        if i != j:
+            out.append(pd.DataFrame({"cls": right["cls"], "links": left["n"].to_numpy(np.int64) @ near}))
+    return pd.concat(out)
+
+
+def link_counts(classes: DataFrame, linked: DataFrame, least: float, block: int = 1024, bundle: int = 4096) -> DataFrame:
+    """(cls, others): how many rows of other classes each class is linked with. All links
+    of a class are in its component, so products of the component's members count them:
+    small components go together in bundles, large ones are cut into blocks, and each
+    pair of blocks is a group of bounded size. Only counts leave a group, never pairs."""
+    members = linked.join(classes.select("cls", "vec", "n"), "cls")
+    parts = F.ceil(F.col("members") / block).cast("int")
+    members = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    bundles = max(1, -(-linked.count() // bundle))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    tiles = members.withColumn("to", other).withColumns({"i": F.least("part", "to"), "j": F.greatest("part", "to")})
+    key = F.when(F.col("parts") > 1, F.col("root")).otherwise(-1 - F.pmod(F.xxhash64("root"), F.lit(bundles)))
+    tiles = tiles.select(key.alias("key"), "i", "j", "root", "part", "cls", "n", "vec")
+    found = tiles.groupBy("key", "i", "j").applyInPandas(lambda rows: count_tile(rows, least), "cls long, links long")
+    return found.groupBy("cls").agg(F.sum("links").alias("others"))
 
 
 def near_duplicates(vectors: DataFrame, least_cosine: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", filters: int = 24, codes: int = 2, seed: int = 3) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept.
 
-    Equal vectors form a class with one member in the search; their links among each
-    other and to other classes are counted from the classes' sizes. Vectors that are
-    null, empty, zero or hold null or non-finite components link with nothing: 0 links,
-    their own component. Shorter vectors count as followed by zeros. Each repeated row
-    gives a row; an empty table gives none. Other columns are ignored.
+    Equal vectors form a class with a number of its own, whatever their ids; a row's links
+    are all other rows with a cosine of least_cosine or more. Vectors that are null,
+    empty, zero or hold null or non-finite components link with nothing: 0 links, their
+    own component. Shorter vectors count as followed by zeros. Each repeated row gives a
+    row; rows with one id and different vectors each count for themselves. A row without
+    an id links too but names no component unless it is alone with such. An empty table
+    gives no rows. Other columns are ignored.
     """
     dims = dimensions(vectors, vec_col)
-    rows = cut(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(usable(F.col(vec_col)), padded(F.col(vec_col), dims)).alias("vec")), "vectors")
+    vec = F.when(usable(F.col(vec_col)), padded(F.col(vec_col), dims))
+    rows = cut(vectors.select(F.col(id_col).cast("long").alias("vec_id"), vec.alias("vec"), F.xxhash64(F.lit(1), vec).alias("k1"), F.xxhash64(F.lit(2), vec).alias("k2")), "vectors")
     good = rows.where("vec is not null")
-    classes = cut(good.groupBy("vec").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")).where("id is not null"), "classes")
-    found = cut(links(classes, least_cosine, dims, filters, codes, seed).select("a", "b"), "links")
-    both = found.union(found.select("b", "a"))
-    degrees = both.join(classes.select(F.col("id").alias("b"), "n"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("others"))
-    roots = components(found)
-    smallest = roots.groupBy("root").agg(F.min("id").alias("component"))
-    named = roots.join(smallest, "root").select("id", "component")
-    known = classes.join(degrees, "id", "left").join(named, "id", "left").select("vec", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    linked = good.join(known, "vec", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    classes = cut(good.groupBy("k1", "k2", "vec").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")).withColumn("cls", F.monotonically_increasing_id()), "classes")
+    linked = cut(linked_classes(classes, least_cosine, dims, filters, codes, seed), "linked")
+    others = link_counts(classes, linked, least_cosine)
+    names = classes.select("cls", "id").join(linked.select("cls", "root"), "cls").groupBy("root").agg(F.min("id").alias("component"))
+    known = classes.select("k1", "k2", "cls", "id", "n").join(others, "cls", "left").join(linked.select("cls", "root"), "cls", "left").join(names, "root", "left")
+    known = cut(known.select("k1", "k2", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "known")
+    met = good.select("vec_id", "k1", "k2").join(known, ["k1", "k2"]).select("vec_id", "n_links", "component_id")  # 128 bits stand for the vector
     alone = rows.where("vec is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    return met.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -76,10 +76,34 @@ def test_bounds_hold():
     assert (np.abs(guess - q @ x.T) <= off).mean() > 0.97
 
 
-def test_list_decode_finds_the_best_filters():
-    rotation, halves = cap_filters.product_code(16, 32, 0)
-    v = np.random.default_rng(2).normal(size=(5, 16)) @ rotation
-    got = cap_filters.list_decode(v, halves, 10)
-    sums = (v[:, :8] @ halves[0].T)[:, :, None] + (v[:, 8:] @ halves[1].T)[:, None, :]
-    for row, all_sums in zip(got, sums.reshape(5, -1), strict=True):
-        assert set(row.tolist()) == set(np.argsort(-all_sums)[:10].tolist())
+def test_list_decode_finds_all_caps():
+    code = cap_filters.product_code(16, 32, 0)
+    rotation, halves = code
+    v = np.random.default_rng(2).normal(size=(50, 16))
+    v = v / np.linalg.norm(v, axis=1, keepdims=True) @ rotation
+    height = cap_filters.cap_height(16, code, 12)
+    numbers, counts = cap_filters.list_decode(v, halves, height, 8)
+    sums = ((v[:, :8] @ halves[0].T)[:, :, None] + (v[:, 8:] @ halves[1].T)[:, None, :]).reshape(50, -1)
+    assert 4 <= np.median((sums >= height).sum(1)) <= 24 and (counts > 12).any() and (counts == 8).any()
+    for got, all_sums in zip(np.split(numbers, np.cumsum(counts)[:-1]), sums, strict=True):
+        exceed = set(np.flatnonzero(all_sums >= height).tolist())
+        assert set(got.tolist()) == (exceed if len(exceed) >= 8 else set(np.argsort(-all_sums)[:8].tolist()))
+
+
+def test_one_id_with_two_vectors(spark):
+    table = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0], 0, 0, ""), (1, [0.0, 1.0, 0.0, 0.0], 0, 0, ""), (2, [1.0, 0.01, 0.0, 0.0], 0, 0, ""), (7, [0.0, 0.0, 1.0, 0.0], 0, 0, ""), (7, [0.0, 0.0, 1.0, 0.1], 0, 0, ""), (None, [0.0, 0.0, 0.0, 1.0], 0, 0, "")], VECTORS)
+    found = sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in cap_filters.near_duplicates(table).collect())
+    assert found == [(0, 0, 0, True), (1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False), (7, 1, 7, True), (7, 1, 7, True)]
+
+
+def test_large_components_are_counted_in_blocks(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=8) + 0.05 * rng.normal(size=(90, 8))
+    ids = [(n, [float(v) for v in r], 1) for n, r in enumerate(x)]
+    classes = spark.createDataFrame(ids, "cls long, vec array<double>, n long")
+    linked = spark.createDataFrame([(n, 0, 70) for n in range(70)] + [(n, 70, 20) for n in range(70, 90)], "cls long, root long, members long")
+    found = {r.cls: r.others for r in cap_filters.link_counts(classes, linked, 0.995, block=16).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.995
+    near[:70, 70:] = near[70:, :70] = False
+    assert 0 < near.mean() < 1 and found == dict(enumerate((near.sum(1) - 1).tolist()))
