@@ -6,9 +6,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import cut
+from .storage import checked, cut, drop
 from .vectors import dimensions, padded, usable
 
+#: Bits that a query's rotated coordinates are rounded to.
+QUERY_BITS = 4
+
 
 def rotation(dims: int, bits: int, seed: int) -> np.ndarray:
     """Orthonormal columns: vectors keep lengths and inner products in bits coordinates."""
@@ -16,80 +19,209 @@ def rotation(dims: int, bits: int, seed: int) -> np.ndarray:
 
 
 def encode(x: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Packed signs of the rotated vectors, their lengths, and the cosine of each vector
-    and its code: the correction of estimates and their error."""
+    """Packed signs of the rotated vectors (64 a word), their lengths, and the cosine of
+    each vector and its code: the correction of estimates and their error."""
     turned = x @ turn
     length = np.linalg.norm(turned, axis=1)
     fit = np.abs(turned).sum(1) / np.maximum(1e-300, length) / np.sqrt(turned.shape[1])
-    return np.packbits(turned > 0, axis=1), length, np.where(length > 0, fit, 1.0)
+    packed = np.packbits(turned > 0, axis=1, bitorder="little")
+    return np.ascontiguousarray(packed).view(np.uint64), length, np.where(length > 0, fit, 1.0)
+
+
+def query_planes(turned: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rotated queries as whole numbers of QUERY_BITS bits: bit planes packed like codes
+    (planes, queries, words), the least value and step of each query, and its numbers' sum."""
+    least = turned.min(1)
+    step = np.maximum((turned.max(1) - least) / (2**QUERY_BITS - 1), 1e-300)
+    whole = np.rint((turned - least[:, None]) / step[:, None]).astype(np.uint8)
+    planes = [np.packbits((whole >> p) & 1, axis=1, bitorder="little").view(np.uint64) for p in range(QUERY_BITS)]
+    return np.stack(planes), least, step, whole.sum(1, dtype=np.int64)
+
+
+def estimates(turned: np.ndarray, codes: np.ndarray, length: np.ndarray, fit: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated inner products of rotated queries and coded vectors, and how far off they
+    may be: width standard deviations of the part of a vector that its code doesn't tell
+    and of the queries' rounding.
+
+    A product with signs is twice the sum over bits that are set less the sum over all;
+    the sum over set bits is the bits that codes and planes share, weighed by plane.
+    """
+    bits = turned.shape[1]
+    planes, least, step, total = query_planes(turned)
+    shared = np.zeros((len(turned), len(codes)), np.int32)
+    for p in range(QUERY_BITS):
+        for word in range(codes.shape[1]):
+            shared += np.left_shift(np.bitwise_count(planes[p, :, word, None] & codes[None, :, word]), p, dtype=np.int32)
+    ones = np.bitwise_count(codes).sum(1, dtype=np.int64)
+    signed = step[:, None] * (2 * shared - total[:, None]) + least[:, None] * (2 * ones - bits)[None, :]
+    scale = length / fit / np.sqrt(bits)
+    off = np.linalg.norm(turned, axis=1)[:, None] * (length * np.sqrt(np.maximum(0, 1 - fit**2)) / fit / np.sqrt(bits - 1))[None, :]
+    rounding = step[:, None] * np.sqrt(bits / 12) * scale[None, :]
+    return signed * scale, width * np.sqrt(off**2 + rounding**2)
 
 
-def estimates(turned_queries: np.ndarray, codes: np.ndarray, length: np.ndarray, fit: np.ndarray, bits: int, width: float) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated inner products of queries and coded vectors, and how far off they may
-    be: width standard deviations of the part of a vector that its code doesn't tell."""
-    signs = np.unpackbits(codes, axis=1, count=bits).astype(np.float32) * 2 - 1
-    guess = (turned_queries.astype(np.float32) @ signs.T) * (length / fit / np.sqrt(bits)).astype(np.float32)
-    spread = width * length * np.sqrt(np.maximum(0, 1 - fit**2)) / fit / np.sqrt(bits - 1)
-    return guess, np.linalg.norm(turned_queries, axis=1)[:, None].astype(np.float32) * spread.astype(np.float32)
+def group_centers(x: np.ndarray, groups: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
+    """Centers of so many cells of a sample, by Lloyd's rounds from members of it."""
+    if len(x) == 0:
+        return np.zeros((1, x.shape[1]))
+    centers = x[np.random.default_rng(seed).permutation(len(x))[: max(1, min(groups, len(x)))]]
+    for _ in range(rounds if len(centers) > 1 else 1):
+        cell = nearest_center(x, centers)
+        sums = np.zeros_like(centers)
+        np.add.at(sums, cell, x)
+        counts = np.bincount(cell, minlength=len(centers))[:, None]
+        centers = np.where(counts > 0, sums / np.maximum(1, counts), centers)
+    return centers
 
 
-def search_block(queries: pd.DataFrame, rows: pd.DataFrame, turn: np.ndarray, center: np.ndarray, k: int, width: float, at_once: int = 256) -> pd.DataFrame:
-    """The k nearest of one block for each query. A row is reranked by its exact inner
-    product if its upper bound reaches the k-th largest lower bound of the block."""
-    out = []
+def nearest_center(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    return np.argmax(x @ centers.T - (centers**2).sum(1) / 2, axis=1)
+
+
+def needed_probes(sample: np.ndarray, centers: np.ndarray, k: int, share: float, queries: int = 256) -> int:
+    """How many cells a query must see, those with the largest inner products of their
+    centers first, to hold this share of its k nearest: measured within the sample. With
+    more rows the nearest are nearer, so the share grows."""
+    if len(centers) == 1 or len(sample) < 2:
+        return len(centers)
+    asked = sample[:queries]
+    products = asked @ sample.T
+    np.fill_diagonal(products, -np.inf)
+    best = np.argsort(-products, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
+    place = np.argsort(np.argsort(-(asked @ centers.T), axis=1, kind="stable"), axis=1)
+    at = np.take_along_axis(place, nearest_center(sample, centers)[best], 1)
+    return int(np.quantile(at, share, method="higher")) + 1
+
+
+SCAN = "query long, row long, low double, high double"
+
+
+def scan_block(queries: pd.DataFrame, rows: pd.DataFrame, turn: np.ndarray, center: np.ndarray, k: int, width: float, at_once: int = 32) -> pd.DataFrame:
+    """The rows of one block that may be among the k nearest of a query: those whose upper
+    bound reaches both the query's floor and the k-th largest lower bound of the block."""
+    parts = []
     if len(queries) and len(rows):
-        ids, vectors = rows["vec_id"].to_numpy(), np.stack(rows["vec"].to_numpy()).astype(float)
-        codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
+        ids, numbers = rows["vec_id"].to_numpy(), rows["row"].to_numpy()
+        codes = np.frombuffer(b"".join(rows["code"]), np.uint64).reshape(len(rows), -1)
         length, fit = rows["length"].to_numpy(), rows["fit"].to_numpy()
-        names, wanted = queries["vec_id"].to_numpy(), np.stack(queries["vec"].to_numpy()).astype(float)
-        for i in range(0, len(names), at_once):
-            name, query = names[i : i + at_once], wanted[i : i + at_once]
-            guess, off = estimates(query @ turn, codes, length, fit, turn.shape[1], width)
-            guess += (query @ center)[:, None].astype(np.float32)
-            own = ids[None, :] == name[:, None]
-            low = np.where(own, -np.inf, guess - off)
-            least = np.partition(low, max(0, low.shape[1] - k), axis=1)[:, max(0, low.shape[1] - k)]
-            maybe = (guess + off >= least[:, None]) & ~own
-            for row, (n, q) in enumerate(zip(name, query, strict=True)):
-                at = np.flatnonzero(maybe[row])
-                exact = np.add.accumulate(vectors[at] * q, axis=1)[:, -1]  # summed in the order of components
-                order = np.lexsort((ids[at], -exact))[:k]
-                out.append(pd.DataFrame({"query_id": n, "vec_id": ids[at][order], "score": exact[order]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": np.array([], np.int64), "vec_id": np.array([], np.int64), "score": np.array([])})
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", bits: int = 512, width: float = 2.5, block_rows: int = 4096, block_queries: int = 2048, seed: int = 9) -> DataFrame:
+        names, keys, floors = (queries[c].to_numpy() for c in ("query_id", "query", "floor"))
+        wanted = np.stack(queries["vec"].to_numpy()).astype(float)
+        for i in range(0, len(keys), at_once):
+            query = wanted[i : i + at_once]
+            guess, off = estimates(query @ turn, codes, length, fit, width)
+            guess += (query @ center)[:, None]
+            own = ids[None, :] == names[i : i + at_once, None]
+            low, high = np.where(own, -np.inf, guess - off), np.where(own, -np.inf, guess + off)
+            at = max(0, low.shape[1] - k)
+            least = np.maximum(np.partition(low, at, axis=1)[:, at], floors[i : i + at_once])
+            q, r = np.nonzero((high >= least[:, None]) & ~own)
+            parts.append((keys[i + q], numbers[r], low[q, r], high[q, r]))
+    columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.array([], t) for t in (np.int64, np.int64, float, float)]
+    return pd.DataFrame(dict(zip(("query", "row", "low", "high"), columns, strict=True)))
+
+
+def exact_products(pairs: DataFrame, dims: int) -> DataFrame:
+    """pairs(..., q, v) with score: inner products in double precision, in the order of components."""
+
+    def of(batches):
+        for batch in batches:
+            q, v = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, dims) for c in ("q", "v"))
+            score = np.add.accumulate(q * v, axis=1)[:, -1] if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(score)], [*kept, "score"])
+
+    kept = [c for c in pairs.columns if c not in ("q", "v")]
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema if f.name in kept)
+    return pairs.mapInArrow(of, f"{kinds}, score double")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", bits: int = 512, width: float = 1.25, cells: int | None = None, probes: int | None = None, sample_rows: int = 8192, block_rows: int = 16_384, block_queries: int = 4096, share: float = 0.98, seed: int = 9) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest rows by inner product in
-    double precision, ties to the smaller id, the query's own id left out; all rows where
-    there are fewer than k.
-
-    Every row is coded once in `bits` signs; rows and queries are dealt into blocks by a
-    hash of their ids, and each pair of blocks is one group of bounded size whatever the
-    number of rows. Vectors that are null, empty, zero or hold null or non-finite
-    components take no part (nor do null ids); shorter ones count as followed by zeros;
-    of rows that repeat id and vector one counts. The center that codes are taken around
-    is the mean of the 4,096 rows with the smallest hashes.
+    double precision, ties to the smaller id, rows with the query's own id left out; all
+    rows where there are fewer than k.
+
+    Every row gets the nearest of `cells` centers (one for each two blocks of rows, 1,024
+    at most) and a code of `bits` signs of its rotated difference from there. Centers come
+    from the sample_rows rows with the smallest hashes; so does the number of cells that a
+    query sees (`probes`; all cells where probes = cells, the exact way but for the error
+    bounds). Blocks of a cell's codes, without vectors, meet blocks of the queries that
+    see it, in groups of bounded size. What may be among the k nearest by its bounds, also
+    against the k-th best of the sample, is pruned again by all blocks' bounds; vectors
+    are joined only to what is left, and reranked exactly.
+
+    Bounds are `width` standard deviations either way; a neighbour is missed only beyond
+    twice that. Vectors that are null, empty, zero or hold null or non-finite components
+    take no part (nor do null ids); shorter ones count as followed by zeros; of rows that
+    repeat id and vector one counts. Rows with one id and different vectors count each: as
+    queries they are ranked apart, as candidates both may appear.
     """
     dims = max(dimensions(vectors, vec_col), dimensions(queries, vec_col))
-    clean = lambda df: df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("vec")).where(usable(F.col("vec"))).where("vec_id is not null").withColumn("vec", padded(F.col("vec"), dims)).distinct()
+    clean = lambda df: df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("vec")).where(usable(F.col("vec"))).where("vec_id is not null").withColumn("vec", padded(F.col("vec"), dims)).distinct().withColumn("row", F.monotonically_increasing_id())
     rows, asked = cut(clean(vectors), "rows"), cut(clean(queries), "queries")
-    few = rows.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(4096).select("vec").toArrow().column(0).to_pylist()
-    center = np.mean(np.array(few, float).reshape(-1, dims), axis=0) if few else np.zeros(dims)
-    turn = rotation(dims, bits, seed)
+    n_rows, n_asked = rows.count(), asked.count()
+    drawn = F.xxhash64("vec_id", F.lit(seed))
+    likely = rows if n_rows <= 4 * sample_rows else rows.where(drawn.bitwiseAND((1 << 52) - 1) < int((1 << 52) * 2.0 * sample_rows / n_rows))
+    few = likely.orderBy(drawn.bitwiseAND((1 << 52) - 1), "vec_id", "row").limit(sample_rows).select("vec_id", "vec").toArrow()
+    sample_ids = few.column(0).to_numpy()
+    sample = few.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dims)
+    centers = group_centers(sample, cells or min(1024, max(1, n_rows // (2 * block_rows))), seed=seed)
+    seen = min(probes or needed_probes(sample, centers, k, share), len(centers))
+    words = -(-max(bits, dims, 64) // 64) * 64
+    turn = rotation(dims, words, seed)
+    matrix = lambda column: column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), dims)
 
     def coded(batches):
         for batch in batches:
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, dims)
-            codes, length, fit = encode(x - center, turn)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(length), pa.array(fit)], ["vec_id", "vec", "code", "length", "fit"])
-
-    kind = rows.schema["vec"].dataType.simpleString()
-    index = cut(rows.mapInArrow(coded, f"vec_id long, vec {kind}, code binary, length double, fit double"), "index")
-    n_rows, n_asked = max(1, -(-index.count() // block_rows)), max(1, -(-asked.count() // block_queries))
-    part = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(seed + 1)), F.lit(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.withColumn("q", part(n_asked)).withColumn("r", each(n_rows))
-    right = index.withColumn("r", part(n_rows)).withColumn("q", each(n_asked))
-    found = left.groupBy("q", "r").cogroup(right.groupBy("q", "r")).applyInPandas(lambda a, b: search_block(a, b, turn, center, k, width), "query_id long, vec_id long, score double")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            x = matrix(batch.column(2))
+            cell = nearest_center(x, centers)
+            codes, length, fit = encode(x - centers[cell], turn)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(length), pa.array(fit)], ["row", "vec_id", "cell", "code", "length", "fit"])
+
+    index = cut(rows.select("row", "vec_id", "vec").mapInArrow(coded, "row long, vec_id long, cell int, code binary, length double, fit double"), "index")
+    sizes = np.zeros(len(centers), np.int64)
+    for r in index.groupBy("cell").count().collect():  # a row a cell
+        sizes[r["cell"]] = r["count"]
+    blocks = np.maximum(1, -(-sizes // block_rows))
+    rounds = max(1, -(-n_asked // block_queries))
+
+    def placed(batches):
+        for batch in batches:
+            x = matrix(batch.column(2))
+            order = np.argsort(-(x @ centers.T), axis=1, kind="stable")
+            held = np.cumsum(sizes[order], axis=1)
+            fewest = 1 + (held < 8 * k).sum(1)  # cells with hardly a row don't count
+            products = x @ sample.T
+            products[batch.column(1).to_numpy()[:, None] == sample_ids[None, :]] = -np.inf
+            floor = np.partition(products, -k, axis=1)[:, -k] if products.shape[1] >= k else np.full(len(x), -np.inf)
+            stops = np.minimum(np.maximum(seen, fewest), len(centers))
+            lists = [o[:n].tolist() for o, n in zip(order, stops, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(floor), pa.array(lists, pa.list_(pa.int32()))], ["query", "query_id", "vec", "floor", "cells"])
+
+    kind = asked.schema["vec"].dataType.simpleString()
+    wanted = asked.select("row", "vec_id", "vec").mapInArrow(placed, f"query long, query_id long, vec {kind}, floor double, cells array<int>")
+    count_of = F.array(*[F.lit(int(b)) for b in blocks])
+    part = lambda key, n: F.pmod(F.xxhash64(key, F.lit(seed + 1)), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = wanted.withColumn("cell", F.explode("cells")).drop("cells").withColumn("r", each(F.get(count_of, F.col("cell")))).withColumn("q", part("query", F.lit(rounds)))
+    right = index.withColumn("r", part("row", F.get(count_of, F.col("cell")))).withColumn("q", each(F.lit(rounds)))
+    key = ["cell", "r", "q"]
+
+    def scan(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        cell = int((a if len(a) else b)["cell"].iloc[0])
+        return scan_block(a, b, turn, centers[cell], k, width)
+
+    maybe = cut(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(scan, SCAN), "maybe")
+    lows = F.row_number().over(Window.partitionBy("query").orderBy(F.col("low").desc()))
+    least = maybe.withColumn("place", lows).where(F.col("place") <= k).groupBy("query").agg(F.min("low").alias("least"), F.count("*").alias("n"))
+    bound = checked(least.select("query", F.when(F.col("n") >= k, F.col("least")).otherwise(float("-inf")).alias("least")), 100_000)
+    near = maybe.join(bound, "query").where("high >= least").select("query", "row")
+    named = near.join(rows.select("row", "vec_id", F.col("vec").alias("v")), "row")
+    if n_asked <= 20_000:  # at most some 20,000 vectors
+        met = named.join(F.broadcast(asked.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), F.col("vec").alias("q"))), "query")
+    else:
+        met = named.join(asked.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), F.col("vec").alias("q")), "query")
+    scored = exact_products(met.select("query", "query_id", "vec_id", "row", "q", "v"), dims)
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id", "row"))
+    found = cut(scored.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nearest")
+    for table in (index, maybe):
+        drop(table)
+    return found

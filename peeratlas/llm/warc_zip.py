@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .batches import text_slices
-from .storage import cut, new_path
+from .storage import checked, cut, new_path
 
 _DATE = "2026-01-01T00:00:00Z"
 MEMBER, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -172,16 +172,19 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
     """Write a record per page; (path, records) of the archives.
 
     Of pages with equal payloads of least_bytes or more, the one with the largest id is a
-    response and the others revisit it (rows that repeat its id are responses too, as are
-    rows with null id). Null html is an empty payload. Payloads are compared by SHA-1 and
-    length; only ids and digests are shuffled for that, pre-aggregated, so copies of one
-    page may hold any share of the rows.
+    response and the others revisit it (rows that repeat its id and payload are responses
+    too, as are rows with null id). Rows with one id and different payloads are told apart
+    by payload. Null html is an empty payload. Payloads are compared by SHA-1 and length;
+    only ids and digests are shuffled for that, pre-aggregated, so copies of one page may
+    hold any share of the rows; pages stay where they are read while the revisits are few
+    enough to broadcast.
     """
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    marks = cut(pages.select(F.col(id_col).alias("page_id"), F.sha1(payload).alias("sha1"), F.octet_length(payload).alias("n")).where("page_id is not null").where(F.col("n") >= least_bytes), "page-digests")
-    largest = marks.groupBy("sha1", "n").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    revisits = marks.join(largest, ["sha1", "n"]).where("page_id <> refers_to").select("page_id", "refers_to").distinct()
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("text"))
+    keys = [F.col(id_col).alias("page_id"), F.sha1(payload).alias("sha1"), F.octet_length(payload).alias("n")]
+    marks = cut(pages.select(*keys).where("page_id is not null").where(F.col("n") >= least_bytes).groupBy("page_id", "sha1", "n").agg(F.count("*").alias("rows")), "page-digests")
+    largest = marks.groupBy("sha1", "n").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("ids")).where("ids > 1").drop("ids")
+    revisits = checked(cut(marks.join(largest, ["sha1", "n"]).where("page_id <> refers_to").select("page_id", "sha1", "n", "refers_to"), "revisits"), 100_000)
+    rows = pages.select(*keys, F.col(url_col).alias("url"), F.col(html_col).alias("text"))
     folder = folder or new_path(pages.sparkSession, "archives")
 
     def of(batches):
@@ -202,15 +205,16 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
             done.append((name, len(writer.index)))
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], ["path", "records"])
 
-    return cut(rows.join(revisits, "page_id", "left").mapInArrow(of, "path string, records long"), "archives")
+    return cut(rows.join(revisits, ["page_id", "sha1", "n"], "left").select("page_id", "url", "text", "refers_to").mapInArrow(of, "path string, records long"), "archives")
 
 
 PAGE = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def read_archives(spark: SparkSession, archives: DataFrame, with_payload: bool = False) -> DataFrame:
+def read_archives(spark: SparkSession, archives: DataFrame, with_payload: bool = False, task_bytes: int = 64 << 20) -> DataFrame:
     """All records of the archives (path): one task finds an archive's ranges through its
-    directory and index, then ranges of some MB are dealt out and read on their own."""
+    directory and index; then ranges of some MB are dealt out and read on their own, so
+    many to a task as hold task_bytes of archive, but at least a task a core."""
 
     def find(batches):
         for batch in batches:
@@ -233,5 +237,9 @@ def read_archives(spark: SparkSession, archives: DataFrame, with_payload: bool =
                 yield pa.RecordBatch.from_arrays([pa.array([r[f] for r in rows], t) for f, t in zip(fields, types, strict=False)], fields)
 
     schema = PAGE + (", payload binary" if with_payload else "")
-    ranges = archives.select("path").repartition("path").mapInArrow(find, "path string, start long, lengths array<long>")
-    return ranges.repartition("path", "start").mapInArrow(read, schema)
+    cores = spark.sparkContext.defaultParallelism
+    few = max(1, min(archives.count(), max(cores, archives.count() // 8)))
+    ranges = cut(archives.select("path").repartition(few, "path").mapInArrow(find, "path string, start long, lengths array<long>"), "ranges")
+    total, parts = ranges.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda s, n: s + n)), F.count("*")).first()
+    tasks = max(1, min(parts, max(cores, -(-(total or 0) // task_bytes))))
+    return ranges.repartition(tasks, "path", "start").mapInArrow(read, schema)

@@ -43,7 +43,7 @@ def test_near_duplicates_equal_brute_force(spark):
 def test_nearest_equal_brute_force(spark):
     good, bad = rows(400)
     table = spark.createDataFrame(good + bad + good[:2], VECTORS)
-    found = onebit_ann.nearest(table, table.where("vec_id % 20 = 0"), block_rows=64, block_queries=8).collect()
+    found = onebit_ann.nearest(table, table.where("vec_id % 20 = 0"), block_rows=32, block_queries=8, sample_rows=100).collect()
     ids, x = np.array([g[0] for g in good]), np.array([g[1] for g in good], np.float32).astype(float)
     got = {}
     for r in sorted(found, key=lambda r: (r.query_id, r.rank)):
@@ -72,8 +72,40 @@ def test_few_rows_and_none(spark):
 def test_bounds_hold():
     rng = np.random.default_rng(0)
     x, q, turn = rng.normal(size=(500, 32)), rng.normal(size=(20, 32)), onebit_ann.rotation(32, 256, 1)
-    guess, off = onebit_ann.estimates(q @ turn, *onebit_ann.encode(x, turn), 256, 2.5)
-    assert (np.abs(guess - q @ x.T) <= off).mean() > 0.97
+    guess, off = onebit_ann.estimates(q @ turn, *onebit_ann.encode(x, turn), 2.5)
+    assert (np.abs(guess - q @ x.T) <= off).mean() > 0.97 and off.mean() < 5
+
+
+def test_packed_products_equal_plain_ones():
+    rng = np.random.default_rng(1)
+    x, q, turn = rng.normal(size=(30, 16)), rng.normal(size=(5, 16)), onebit_ann.rotation(16, 128, 2)
+    codes, length, fit = onebit_ann.encode(x, turn)
+    signs = np.where(x @ turn > 0, 1.0, -1.0)
+    planes, least, step, _ = onebit_ann.query_planes(q @ turn)
+    whole = sum(np.unpackbits(p.view(np.uint8), axis=1, bitorder="little").astype(float) * 2**b for b, p in enumerate(planes))
+    rounded = whole * step[:, None] + least[:, None]
+    assert np.abs(rounded - q @ turn).max() <= step.max() / 2 + 1e-12
+    assert np.allclose(onebit_ann.estimates(q @ turn, codes, length, fit, 1.0)[0], (rounded @ signs.T) * length / fit / np.sqrt(128))
+
+
+def test_few_cells_find_the_nearest_of_clustered_rows(spark):
+    rng = np.random.default_rng(3)
+    middles = 5 * rng.normal(size=(8, 16))
+    x = np.repeat(middles, 60, axis=0) + rng.normal(size=(480, 16))
+    table = spark.createDataFrame([(i, [float(v) for v in r], 0, 0, "") for i, r in enumerate(x)], VECTORS.replace("float", "double"))
+    exact, some = ({(r.query_id, r.rank): r.vec_id for r in onebit_ann.nearest(table, table.where("vec_id % 20 = 0"), k=5, cells=8, probes=p, sample_rows=200, block_rows=40).collect()} for p in (8, None))
+    scores = x @ x.T
+    np.fill_diagonal(scores, -np.inf)
+    best = {(q, n + 1): v for q in range(0, 480, 20) for n, v in enumerate(np.argsort(-scores[q])[:5].tolist())}
+    assert np.mean([exact[at] == v for at, v in best.items()]) > 0.97
+    assert np.mean([some.get(at) == v for at, v in best.items()]) > 0.9
+    assert onebit_ann.needed_probes(x, onebit_ann.group_centers(x, 8), 5, 0.98) < 8
+
+
+def test_one_id_with_two_vectors_is_asked_and_found_apart(spark):
+    table = spark.createDataFrame([(0, [1.0, 0.0], 0, 0, ""), (0, [0.0, 1.0], 0, 0, ""), (0, [0.0, 1.0], 0, 0, ""), (1, [2.0, 0.0], 0, 0, ""), (1, [0.0, 3.0], 0, 0, "")], VECTORS)
+    found = onebit_ann.nearest(table, table.where("vec_id = 0")).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in found) == [(0, 1, 1, 2.0), (0, 1, 1, 3.0), (0, 2, 1, 0.0), (0, 2, 1, 0.0)]
 
 
 def test_list_decode_finds_all_caps():

@@ -66,5 +66,21 @@ def test_zip64_end_of_directory():
     assert m.name == "archive/x" and raw[m.start : m.start + m.size] == data
 
 
+def test_one_id_with_two_payloads(spark):
+    table = spark.createDataFrame([(1, "u", "AA", "", 0), (1, "v", "BB", "", 0), (2, "u", "AA", "", 0), (3, "u", "BB", "", 0), (1, "w", "own", "", 0)], PAGES)
+    found = [(r.page_id, bytes(r.payload) if r.payload is not None else None, r.record_type, r.refers_to) for r in warc_zip.read_archives(spark, warc_zip.write_archives(table), with_payload=True).collect()]
+    assert sorted(found, key=str) == sorted([(1, None, "revisit", 2), (1, None, "revisit", 3), (2, b"AA", "response", None), (3, b"BB", "response", None), (1, b"own", "response", None)], key=str)
+
+
+def test_ranges_are_read_by_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    pages = spark.range(400).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.sha2(F.col("id").cast("string"), 512).alias("html"))
+    archives = warc_zip.write_archives(pages.coalesce(2), records_an_archive=20)
+    found = warc_zip.read_archives(spark, archives, task_bytes=4000).withColumn("task", F.spark_partition_id())
+    assert found.select("task").distinct().count() > 4 and found.count() == 400
+
+
 def test_empty_table(spark):
     assert warc_zip.read_archives(spark, warc_zip.write_archives(spark.createDataFrame([], PAGES))).count() == 0
