@@ -9,9 +9,15 @@ PIXELS = TILE << MAX_ZOOM
 
 
 def cell(coord, cells: int) -> Column:
-    """The cell of a unit coordinate on a line of so many cells; 1.0 is in the last."""
+    """The cell of a unit coordinate on a line of so many cells; 1.0 is in the last, null
+    in none."""
     coord = F.col(coord) if isinstance(coord, str) else coord
-    return F.least(F.lit(cells - 1), F.floor(coord * cells).cast("int"))
+    return F.when(coord.isNotNull(), F.least(F.lit(cells - 1), F.floor(coord * cells).cast("int")))
+
+
+def placed() -> Column:
+    """Whether a row of the map has a position: others take no part in pixels and tiles."""
+    return F.col("xw").isNotNull() & F.col("yw").isNotNull()
 
 
 def unit_hash(text: Column) -> Column:

@@ -81,8 +81,9 @@ def community_palette(stats: DataFrame, least: int = 1000) -> DataFrame:
 
 
 def color_lut(stats: DataFrame, least: int = 1000) -> DataFrame:
-    """Export colours in bytes: small communities share the grey of community 0."""
-    small = F.col("members") < least
+    """Export colours in bytes: small communities, and authors without one, share the grey
+    of community 0."""
+    small = (F.col("members") < least) | F.col("community").isNull()
     like = stats.select("community", F.when(small, F.lit(0)).otherwise(F.col("community")).alias("k"), F.when(small, F.lit(0)).otherwise(F.col("members")).alias("m"), "cx", "cy")
     color = community_color("k", "m", "cx", "cy", F.lit(least))
     byte = lambda c: F.greatest(F.lit(0), F.least(F.lit(255), F.rint(F.col(f"c.{c}") * 255).cast("int"))).alias(c)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import unit_hash
 from ..sources.storage import cut
 from .community import community_size
+from .quantiles import exact_quantiles
 
 MARGIN = 0.02
 COLUMNS = ["id", "display_name", "xw", "yw", "community", "works_count", "cited_by_count", "institution", "field", "is_ring"]
@@ -18,16 +19,16 @@ def assemble_coords(numbered: DataFrame, positions: DataFrame, parts: DataFrame)
 
 
 def center_scale(coords: DataFrame) -> DataFrame:
-    """One row: medians of x and y, and the median distance from there (1e-9 at least)."""
+    """One row: medians of x and y, and the median distance from there (1e-9 at least);
+    nulls where no row has a position."""
     xy = coords.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    center = xy.agg(F.percentile("x", F.lit(0.5)).alias("cx"), F.percentile("y", F.lit(0.5)).alias("cy"))
-    met = xy.crossJoin(F.broadcast(center))  # one row
-    dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
-    scale = F.greatest(F.percentile(F.sqrt(dx * dx + dy * dy), F.lit(0.5)), F.lit(1e-9))
-    return met.groupBy("cx", "cy").agg(scale.alias("s"))
+    (cx,), (cy,) = exact_quantiles(xy, "x", [0.5]), exact_quantiles(xy, "y", [0.5])
+    dx, dy = F.col("x") - F.lit(cx), F.col("y") - F.lit(cy)
+    (s,) = exact_quantiles(xy.select(F.sqrt(dx * dx + dy * dy).alias("r")), "r", [0.5]) if cx is not None and cy is not None else (None,)
+    return coords.sparkSession.createDataFrame([(cx, cy, None if s is None else max(s, 1e-9))], "cx double, cy double, s double")
 
 
-def radial(coords: DataFrame, ring_comm_max: int = 100) -> DataFrame:
+def radial(coords: DataFrame, ring_comm_max: int = 100, center: DataFrame | None = None) -> DataFrame:
     """coords with comm_n, a (compressed radius), theta, is_ring, ru and th. Scalars of the
     whole map (one row each) come to the driver; the polar form is written once.
 
@@ -35,7 +36,7 @@ def radial(coords: DataFrame, ring_comm_max: int = 100) -> DataFrame:
     largest radius (0: no dust). ru: radius over the largest of the rest, 1 at most;
     dust is scattered over a ring by hashes of its id.
     """
-    center = center_scale(coords).first() or {"cx": None, "cy": None, "s": None}
+    center = (center_scale(coords) if center is None else center).first()
     sized = community_size(coords.withColumns({"x": F.col("x").cast("double"), "y": F.col("y").cast("double")}))
     dx, dy = F.col("x") - F.lit(center["cx"]), F.col("y") - F.lit(center["cy"])
     radius = F.asinh(F.sqrt(dx * dx + dy * dy) / F.lit(center["s"]))
@@ -60,17 +61,27 @@ def spread_communities(placed: DataFrame, spread: float = 1.35, big: int = 1000)
 
 def web_coords(coords: DataFrame, spread: float = 1.35, ring_comm_max: int = 100, big: int = 1000) -> DataFrame:
     """The whole transform: xw, yw in [MARGIN, 1 - MARGIN] and is_ring."""
-    placed = radial(coords, ring_comm_max)
+    return _on_the_square(radial(coords, ring_comm_max), spread, big)
+
+
+def _on_the_square(placed: DataFrame, spread: float, big: int) -> DataFrame:
     shifted = spread_communities(placed, spread, big)
     longest = shifted.agg(F.max(F.sqrt(F.col("sx") * F.col("sx") + F.col("sy") * F.col("sy")))).first()[0]
     half, smax = 0.5 - MARGIN, max(longest or 0.0, 1e-9)
     core = shifted.withColumns({"xw": 0.5 + half * F.col("sx") / smax, "yw": 0.5 + half * F.col("sy") / smax})
     dust = placed.where("is_ring").withColumns({"xw": 0.5 + half * F.col("ru") * F.cos("th"), "yw": 0.5 + half * F.col("ru") * F.sin("th")})
+    return core_dust_union(core, dust)
+
+
+def core_dust_union(core: DataFrame, dust: DataFrame) -> DataFrame:
+    """The placed rows of both kinds as one table of the web columns; other columns go."""
     return core.select(*COLUMNS).unionByName(dust.select(*COLUMNS))
 
 
-def transform_stats(coords: DataFrame, spread: float = 1.35, ring_comm_max: int = 100) -> DataFrame:
-    """One row for the meta document: n, cx, cy, s, r2max, ring_n, spread."""
-    placed = radial(coords, ring_comm_max)
+def transformed(coords: DataFrame, spread: float = 1.35, ring_comm_max: int = 100, big: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """web_coords and one row of figures for the document beside it: n, cx, cy, s, r2max,
+    ring_n, spread."""
+    center = center_scale(coords)
+    placed = radial(coords, ring_comm_max, center)
     sums = placed.agg(F.count("*").alias("n"), F.max(F.when(~F.col("is_ring"), F.col("a"))).alias("r2max"), F.count(F.when(F.col("is_ring"), 1)).alias("ring_n"))
-    return sums.crossJoin(F.broadcast(center_scale(coords))).withColumn("spread", F.lit(float(spread)))
+    return _on_the_square(placed, spread, big), sums.crossJoin(F.broadcast(center)).withColumn("spread", F.lit(float(spread)))

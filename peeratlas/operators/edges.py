@@ -3,21 +3,29 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import PIXELS, byte_of, cell, size_value
+from ..functions.expressions import PIXELS, byte_of, cell, placed, size_value
+from ..sources.storage import cut
 
 
 def dedup_works(works: DataFrame) -> DataFrame:
     """One row per work_id: of differing repeats the one with most authors, then the
-    smallest list."""
+    longest list, then the first by sorted list, list as it stands and other columns."""
     columns = [c for c in works.columns if c != "work_id"]
-    rank = F.struct(F.col("n_authors").alias("k1"), F.size("author_ids").alias("k2"))
-    return works.groupBy("work_id").agg(F.max_by(F.struct(*columns), rank).alias("kept")).select("work_id", "kept.*")
+    more = [F.to_json(F.struct(*[c for c in columns if c not in ("n_authors", "author_ids")]))] if len(columns) > 2 else []
+    listed = F.coalesce(F.size("author_ids"), F.lit(-1))
+    rank = F.struct(-F.coalesce(F.col("n_authors"), F.lit(-1)).alias("k1"), -listed.alias("k2"), F.sort_array("author_ids").alias("k3"), F.col("author_ids").alias("k4"), *[m.alias("k5") for m in more])
+    return works.groupBy("work_id").agg(F.min_by(F.struct(*columns), rank).alias("kept")).select("work_id", "kept.*")
 
 
-def distinct_work_authors(works: DataFrame, max_authors: int = 50) -> DataFrame:
-    """work_id, author_id, n_authors without repeats, of works with 2 to max_authors."""
+def work_authors(works: DataFrame, max_authors: int = 50) -> DataFrame:
+    """work_id, author_id, n_authors of works with 2 to max_authors; each author of a row once."""
     rows = works.where(F.col("n_authors").between(2, max_authors))
-    return rows.select("work_id", F.explode(F.array_distinct("author_ids")).alias("author_id"), "n_authors").distinct()
+    return rows.select("work_id", F.explode(F.array_distinct("author_ids")).alias("author_id"), "n_authors")
+
+
+def distinct_work_authors(works: DataFrame, max_authors: int = 50) -> DataFrame:
+    """work_authors() without repeats, also where a work has several rows."""
+    return work_authors(works, max_authors).distinct()
 
 
 def keep_selected_authors(work_authors: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -35,11 +43,28 @@ def author_pairs(work_authors: DataFrame) -> DataFrame:
 
 def coauthor_edges(works: DataFrame, nodes: DataFrame, max_authors: int = 50) -> DataFrame:
     """src < dst and the weight: 1 / (authors - 1) summed over shared works, with a work's
-    full number of authors."""
-    chosen = keep_selected_authors(distinct_work_authors(dedup_works(works), max_authors), nodes)
+    full number of authors.
+
+    Where nodes have node_idx, src and dst are these numbers: the pairs, the largest
+    shuffle here, then carry two integers. Numbers follow the order of ids, so src < dst
+    says the same of both.
+    """
+    chosen = work_authors(dedup_works(works), max_authors)  # one row a work: nothing to make distinct
+    if "node_idx" in nodes.columns:
+        numbers = nodes.select(F.col("id").alias("author_id"), "node_idx")
+        chosen = chosen.join(numbers, "author_id").select("work_id", F.col("node_idx").alias("author_id"), "n_authors")
+    else:
+        chosen = keep_selected_authors(chosen, nodes)
     return author_pairs(chosen).groupBy("src", "dst").agg(F.sum("w").alias("weight"))
 
 
+def named_edges(edges: DataFrame, numbered: DataFrame) -> DataFrame:
+    """Edges between node numbers as edges between ids."""
+    ids = numbered.select("node_idx", "id")
+    met = edges.join(ids.toDF("src", "s"), "src").join(ids.toDF("dst", "d"), "dst")
+    return met.select(F.col("s").alias("src"), F.col("d").alias("dst"), "weight")
+
+
 def weight_band(edges: DataFrame, least: float, below: float | None = None) -> DataFrame:
     kept = edges.where(F.col("weight") >= least)
     return kept if below is None else kept.where(F.col("weight") < below)
@@ -53,15 +78,19 @@ def edge_weight_histogram(edges: DataFrame) -> DataFrame:
 def with_row_index(rows: DataFrame, order: list, name: str) -> DataFrame:
     """A dense number from 0 in a total order, without a window over all rows.
 
-    Rows are dealt by ranges and sorted within them; the numbers of rows in the ranges
-    before (one count a range) are added to each row's place in its own.
+    Rows are dealt by ranges, sorted within them and written once, with the range and the
+    place in it as columns: ranges are drawn from samples and may be coalesced, so a second
+    evaluation could deal other rows to them. The number of rows in the ranges before (one
+    count a range) is added to the place.
     """
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = ranged.withColumn("_range", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    placed = cut(ranged.withColumns({"_range": F.spark_partition_id(), "_place": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "ranged")
     counts = placed.groupBy("_range").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     starts = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return placed.join(starts, "_range").withColumn(name, F.col("_start") + F.col("_place")).drop("_range", "_place", "_start")
+    met = placed.join(F.broadcast(starts), "_range", "left")  # at most parts rows
+    return met.withColumn(name, F.col("_start") + F.col("_place")).drop("_range", "_place", "_start")
 
 
 def number_nodes(nodes: DataFrame) -> DataFrame:
@@ -80,23 +109,24 @@ def renumber_edges(edges: DataFrame, numbered: DataFrame, min_weight: float = 0.
 def drawable_edges(edges: DataFrame, web: DataFrame, min_weight: float = 2, max_weight: float | None = None, max_len_px: float = 1536) -> DataFrame:
     """x0, y0, x1, y1: edges of the weight band between authors that aren't dust, in
     pixels of the largest zoom, up to a length."""
-    points = web.where(~F.col("is_ring")).select("id", cell("xw", PIXELS).alias("x"), cell("yw", PIXELS).alias("y"))
+    points = web.where(placed() & ~F.col("is_ring")).select("id", cell("xw", PIXELS).alias("x"), cell("yw", PIXELS).alias("y"))
     met = weight_band(edges, min_weight, max_weight).join(points.toDF("src", "x0", "y0"), "src").join(points.toDF("dst", "x1", "y1"), "dst")
     dx, dy = (F.col("x1") - F.col("x0")).cast("double"), (F.col("y1") - F.col("y0")).cast("double")
     return met.where(F.sqrt(dx * dx + dy * dy) <= max_len_px).select("x0", "y0", "x1", "y1")
 
 
 def edge_endpoints(edges: DataFrame, web: DataFrame, min_weight: float = 2) -> DataFrame:
-    """Edges with position, community and citations of both ends, dust left out."""
-    ends = web.where(~F.col("is_ring")).select("id", "xw", "yw", "community", "cited_by_count")
+    """Edges with position, community and citations of both ends; dust and authors without a
+    position left out."""
+    ends = web.where(placed() & ~F.col("is_ring")).select("id", "xw", "yw", "community", "cited_by_count")
     name = lambda n: ends.toDF("src" if n == 0 else "dst", f"xw{n}", f"yw{n}", f"community{n}", f"cited{n}")
     return weight_band(edges, min_weight).join(name(0), "src").join(name(1), "dst")
 
 
 def quantize_edges(ends: DataFrame, lut: DataFrame, weight_cap: float = 20) -> DataFrame:
     """Records of the edge export: 16-bit positions, two colours, weight and size bytes."""
-    shade = lambda n: lut.toDF(f"community{n}", f"r{n}", f"g{n}", f"b{n}")
-    met = ends.join(shade(0), "community0").join(shade(1), "community1")
+    shade = lambda n: lut.toDF(f"_of{n}", f"r{n}", f"g{n}", f"b{n}")
+    met = ends.join(shade(0), F.col("community0").eqNullSafe(F.col("_of0"))).join(shade(1), F.col("community1").eqNullSafe(F.col("_of1")))
     place = lambda c: byte_of(F.col(c) * 65535, 65535)
     weight = F.greatest(F.lit(0.0), F.least(F.col("weight").cast("double"), F.lit(float(weight_cap)))) / weight_cap * 255
     size = F.greatest(size_value(F.col("cited0")), size_value(F.col("cited1")))

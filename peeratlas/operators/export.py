@@ -3,13 +3,16 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import byte_of, id_number, size_byte
+from ..functions.expressions import byte_of, id_number, placed, size_byte
+from ..sources.storage import cut
 from .edges import with_row_index
+from .quantiles import exact_quantiles
 
 
 def export_order_points(web: DataFrame, sample: int | None = None) -> DataFrame:
-    """Authors that aren't dust with row: most cited first, then by id; the first sample."""
-    rows = web.where(~F.col("is_ring"))
+    """Placed authors that aren't dust with row: most cited first, then by id; the first
+    sample. All files of points stand in this order."""
+    rows = web.where(placed() & ~F.col("is_ring"))
     if sample:
         rows = rows.orderBy(F.col("cited_by_count").desc(), "id").limit(sample)
     return with_row_index(rows, [F.col("cited_by_count").desc(), F.col("id").asc()], "row")
@@ -19,7 +22,8 @@ def quantize_points(points: DataFrame, lut: DataFrame) -> DataFrame:
     """Records of the point export: 16-bit positions, colour and size byte."""
     place = lambda c: byte_of(F.col(c) * 65535, 65535)
     size = size_byte(F.col("cited_by_count"))
-    return points.join(lut, "community").select("row", "id", place("xw").alias("x"), place("yw").alias("y"), "r", "g", "b", size.alias("s"))
+    met = points.join(lut.withColumnRenamed("community", "_of"), F.col("community").eqNullSafe(F.col("_of")))
+    return met.select("row", "id", place("xw").alias("x"), place("yw").alias("y"), "r", "g", "b", size.alias("s"))
 
 
 def id_numbers(points: DataFrame) -> DataFrame:
@@ -36,23 +40,25 @@ def export_order_edges(quantized: DataFrame, sample: int | None = None) -> DataF
 def sample_rows(coords: DataFrame, rows: int = 2_000_000, seed: int = 42) -> DataFrame:
     """A fixed number of rows with positions: those with the smallest hashes of their ids,
     the same in every run and partitioning, found without a global sort."""
-    return coords.where("x is not null").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(rows)
+    return coords.where("x is not null").orderBy(F.md5(F.concat(F.lit(f"{seed}-"), "id")), "id").limit(rows)
 
 
 def qa_window(coords: DataFrame, width: float = 0.15) -> DataFrame:
     """id, x, y, hue of rows within width standard deviations of the median point."""
     rows = coords.where("x is not null")
-    middle = rows.agg(F.percentile("x", F.lit(0.5)).alias("mx"), F.percentile("y", F.lit(0.5)).alias("my"), F.stddev_samp("x").alias("sx"), F.stddev_samp("y").alias("sy"))
-    near = lambda v, m, s: F.col(v).between(F.col(m) - width * F.col(s), F.col(m) + width * F.col(s))
-    met = rows.crossJoin(F.broadcast(middle)).where(near("x", "mx", "sx") & near("y", "my", "sy"))
-    return met.select("id", "x", "y", (F.col("community") % 40).alias("hue"))
+    (mx,), (my,) = exact_quantiles(rows, "x", [0.5]), exact_quantiles(rows, "y", [0.5])
+    sx, sy = rows.agg(F.stddev_samp("x"), F.stddev_samp("y")).first()
+    near = lambda v, m, s: F.col(v).between(F.lit(m) - width * F.lit(s), F.lit(m) + width * F.lit(s))
+    return rows.where(near("x", mx, sx) & near("y", my, sy)).select("id", "x", "y", (F.col("community") % 40).alias("hue"))
 
 
 def citation_percentiles(web: DataFrame, exact: bool = True) -> DataFrame:
-    """p50, p99, p999, p9999 of citations; approximate ones for very large tables."""
-    shares = F.array(*[F.lit(p) for p in (0.5, 0.99, 0.999, 0.9999)])
-    values = F.percentile("cited_by_count", shares) if exact else F.percentile_approx("cited_by_count", shares, F.lit(100_000))
-    return web.agg(values.alias("p")).select(*[F.col("p")[i].cast("double").alias(n) for i, n in enumerate(("p50", "p99", "p999", "p9999"))])
+    """p50, p99, p999, p9999 of citations: exact, or approximate in one pass."""
+    shares, names = [0.5, 0.99, 0.999, 0.9999], ["p50", "p99", "p999", "p9999"]
+    if exact:
+        return web.sparkSession.createDataFrame([tuple(exact_quantiles(web, "cited_by_count", shares))], ", ".join(f"{n} double" for n in names))
+    values = F.percentile_approx("cited_by_count", F.array(*[F.lit(p) for p in shares]), F.lit(100_000))
+    return web.agg(values.alias("p")).select(*[F.col("p")[i].cast("double").alias(n) for i, n in enumerate(names)])
 
 
 def weight_distance_report(edges: DataFrame, web: DataFrame, least: float = 5.0, near: float = 0.02) -> DataFrame:
@@ -71,6 +77,20 @@ def weight_distance_report(edges: DataFrame, web: DataFrame, least: float = 5.0,
     chance = shuffled.where("id1 is not null").select(F.col("id").alias("id0"), "id1", F.lit("random").alias("kind"))
     met = strong.union(chance).join(end(0), "id0").join(end(1), "id1")
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    rows = met.withColumn("d", F.sqrt(dx * dx + dy * dy))
+    rows = cut(met.select("kind", F.sqrt(dx * dx + dy * dy).alias("d"), (F.col("c0") == F.col("c1")).alias("same")), "distances")
     share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
-    return rows.groupBy("kind").agg(F.count("*").alias("pairs"), F.percentile("d", F.lit(0.5)).alias("median_distance"), share(F.col("c0") == F.col("c1")).alias("same_community"), share(F.col("d") <= near).alias("near"))
+    found = rows.groupBy("kind").agg(F.count("*").alias("pairs"), share(F.col("same")).alias("same_community"), share(F.col("d") <= near).alias("near"))
+    medians = [(kind, exact_quantiles(rows.where(F.col("kind") == kind), "d", [0.5])[0]) for kind in ("strong", "random")]
+    return found.join(F.broadcast(web.sparkSession.createDataFrame(medians, "kind string, median_distance double")), "kind")  # two rows
+
+
+def near_coauthor_share(edges: DataFrame, web: DataFrame, near: float = 0.02) -> DataFrame:
+    """authors (placed ones that have a placed coauthor) and the share of them that have
+    one within near. Each author's smallest distance is pre-aggregated before it is shuffled."""
+    points = web.where(placed()).select("id", "xw", "yw")
+    met = edges.select("src", "dst").join(points.toDF("src", "x0", "y0"), "src").join(points.toDF("dst", "x1", "y1"), "dst")
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    rows = met.select("src", "dst", F.sqrt(dx * dx + dy * dy).alias("d"))
+    ends = rows.select(F.explode(F.array("src", "dst")).alias("id"), "d")
+    least = ends.groupBy("id").agg(F.min("d").alias("d"))
+    return least.agg(F.count("*").alias("authors"), F.avg(F.when(F.col("d") <= near, 1.0).otherwise(0.0)).alias("share"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from peeratlas.jobs import iterate
-from peeratlas.operators import community, edges, export
+from peeratlas.operators import community, edges, export, quantiles
 from peeratlas.sources import snapshot
 from peeratlas.streaming.extract import extract_new_files
 
@@ -48,6 +48,62 @@ def test_numbering_is_dense_sorted_and_independent_of_partitions(spark):
         assert sorted(r.node_idx for r in found) == list(range(500))
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_many_wide_rows_are_numbered_whole(spark, tmp_path, adaptive):
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        wide = spark.range(300_000).select(F.concat(F.lit("A"), F.col("id") * 7919 % 300_007).alias("id"), F.sha2(F.col("id").cast("string"), 256).alias("name"), F.col("id").alias("n"))
+        wide.repartition(6).write.parquet(str(tmp_path / "wide"))
+        read = spark.read.parquet(str(tmp_path / "wide"))
+        for table in (read, read.groupBy("id").agg(F.max("name").alias("name"), F.max("n").alias("n"))):  # also after a shuffle
+            found = edges.number_nodes(table)
+            rows, numbers, low, high = found.agg(F.count("*"), F.count_distinct("node_idx"), F.min("node_idx"), F.max("node_idx")).first()
+            assert (rows, numbers, low, high) == (300_000, 300_000, 0, 299_999)
+            order = found.orderBy("node_idx").select("id", "name").toPandas()
+            expected = table.select("id", "name").toPandas().sort_values("id")
+            assert order["id"].tolist() == expected["id"].tolist() and order["name"].tolist() == expected["name"].tolist()
+        ordered = export.export_order_edges(read.select(F.col("id").alias("src"), F.col("name").alias("dst"), (F.col("n") % 1000).alias("weight"), "n"))
+        got = ordered.orderBy("row").toPandas()
+        assert got["row"].tolist() == list(range(300_000)) and got["weight"].is_monotonic_decreasing
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_repeated_works_leave_the_same_row_in_any_order(spark):
+    rows = [("W", 2, ["c", "d"]), ("W", 2, ["b", "a"]), ("W", 2, ["a", "b"]), ("W", None, ["a", "a", "a"]), ("W", 1, None), ("V", None, None)]
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        found = {r.work_id: (r.n_authors, r.author_ids) for r in edges.dedup_works(spark.createDataFrame(order, WORKS)).collect()}
+        assert found == {"W": (2, ["a", "b"]), "V": (None, None)}
+
+
+def test_edges_between_numbers_say_the_same(spark):
+    works = spark.createDataFrame([("W1", 3, ["C", "A", "B"]), ("W2", 2, ["B", "C"]), ("W3", 2, ["A", "Z"])], WORKS)
+    numbered = edges.number_nodes(spark.createDataFrame([(i,) for i in "CBAX"], "id string"))
+    found = edges.coauthor_edges(works, numbered)
+    assert [f.dataType.simpleString() for f in found.schema][:2] == ["int", "int"]
+    named = {(r.src, r.dst): r.weight for r in edges.named_edges(found, numbered).collect()}
+    assert named == {("A", "B"): 0.5, ("A", "C"): 0.5, ("B", "C"): 1.5}
+
+
+@pytest.mark.parametrize("most", [10_000, 40])
+def test_exact_percentiles_without_one_task(spark, most):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for values in (rng.normal(size=3001), np.round(rng.normal(size=3000) * 3), np.concatenate([np.zeros(2990), 1e9 * rng.random(10)]), np.array([5.0])):
+        table = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+        shares = [0.0, 0.25, 0.5, 0.99, 0.9999, 1.0]
+        assert np.allclose(quantiles.exact_quantiles(table, "v", shares, most, 50), np.quantile(values, shares), rtol=1e-12)
+    assert quantiles.exact_quantiles(table.limit(0), "v", [0.5, 1.0]) == [None, None]
+
+
+def test_share_of_authors_with_a_coauthor_near(spark):
+    web = spark.createDataFrame([("a", 0.1, 0.1), ("b", 0.11, 0.1), ("c", 0.9, 0.9), ("d", None, None)], "id string, xw double, yw double")
+    links = spark.createDataFrame([("a", "b"), ("a", "c"), ("c", "d")], "src string, dst string")
+    assert tuple(export.near_coauthor_share(links, web).first()) == (3, pytest.approx(2 / 3))
+
+
 def test_renumbered_edges_drop_light_ones(spark):
     nodes = spark.createDataFrame([("B",), ("A",), ("C",)], "id string")
     table = spark.createDataFrame([("A", "B", 2.0), ("B", "C", 0.25)], "src string, dst string, weight double")
