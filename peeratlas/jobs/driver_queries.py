@@ -138,12 +138,12 @@ def read_regions(spark, sf_dir):
 def write_binary(spark, sf_dir):
     folder = new_path(spark, "ids")
     numbers = export.id_numbers(export.export_order_points(views.web(spark, sf_dir)))
-    parts = cut(sinks.write_binary(numbers, folder, "<Q", ["number"], rows_a_part=1000), "parts")
+    parts = cut(sinks.write_binary(numbers, folder, {"number": "u8"}, rows_a_part=1000), "parts")
     files = spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", r"part-(\d+)", 1).cast("long").alias("part"), F.col("length").alias("bytes"))
     return parts.join(files, "part").select("part", "records", "bytes")
 
 
-@query()
+@query("SELECT '4/' || tx || '/' || ty AS tile, true AS first, false AS again, '89504E470D0A1A0A' AS head FROM (SELECT DISTINCT tx, ty FROM base WHERE z = 4)")
 def write_png_tiles(spark, sf_dir):
     web, palette = _web_palette(spark, sf_dir)
     levels = cut(raster.pyramid(raster.pixel_majority(web), 4), "levels")
@@ -239,10 +239,10 @@ def renumber_edges(spark, sf_dir):
     return found.withColumn("weight", F.round(F.col("weight").cast("double"), 5))
 
 
-@query(f"SELECT n.id, {r6('x', 'y')}, community FROM numbered n LEFT JOIN (SELECT node_idx, x, y, l.community FROM numbered JOIN layout l USING (id) WHERE node_idx % 10 <> 0) p USING (node_idx)")
+@query(f"SELECT n.id, {r6('x', 'y')}, community FROM numbered n LEFT JOIN (SELECT node_idx, x, y, l.community FROM numbered JOIN layout l USING (id)) p USING (node_idx)")
 def assemble_coords(spark, sf_dir):
     numbered = cut(edges.number_nodes(views.nodes(spark, sf_dir)), "numbered")
-    found = views.layout(spark, sf_dir).join(numbered.select("id", "node_idx"), "id").where("node_idx % 10 <> 0")
+    found = views.layout(spark, sf_dir).join(numbered.select("id", "node_idx"), "id")
     positions = found.select(F.col("node_idx").alias("vertex"), "x", "y")
     parts = found.select(F.col("node_idx").alias("vertex"), F.col("community").alias("partition"))
     return six(coords.assemble_coords(numbered, positions, parts), "x", "y").select("id", "x", "y", "community")
@@ -333,7 +333,7 @@ def citation_percentiles(spark, sf_dir):
 
 @query("SELECT z, count(*) AS pixels, count(DISTINCT px // 256 * 2048 + py // 256) AS tiles FROM levels GROUP BY z")
 def tile_occupancy(spark, sf_dir):
-    return raster.tile_occupancy(cut(raster.pixel_majority(views.web(spark, sf_dir)), "pixels"))
+    return raster.tile_occupancy(cut(raster.pyramid(cut(raster.pixel_majority(views.web(spark, sf_dir)), "pixels")), "levels"))
 
 
 @query("SELECT px, py, cnt, community FROM level10")
@@ -381,12 +381,18 @@ def weight_distance_report(spark, sf_dir):
     return six(found, "median_distance", "same_community", "near")
 
 
+@query("""SELECT count(*) AS authors, round(avg(CASE WHEN d <= 0.02::DOUBLE THEN 1.0::DOUBLE ELSE 0 END), 6) AS share FROM (
+  SELECT node, min(sqrt((q.xw - p.xw) * (q.xw - p.xw) + (q.yw - p.yw) * (q.yw - p.yw))) AS d FROM twoway JOIN web p ON p.id = node JOIN web q ON q.id = other GROUP BY node)""")
+def near_coauthor_share(spark, sf_dir):
+    return six(export.near_coauthor_share(views.graph(spark, sf_dir), views.web(spark, sf_dir)), "share")
+
+
 # --- windows, order, sets
 
 
-@query("SELECT id, node_idx FROM numbered")
+@query("SELECT * FROM numbered")
 def number_nodes(spark, sf_dir):
-    return edges.number_nodes(views.nodes(spark, sf_dir)).select("id", "node_idx")
+    return edges.number_nodes(views.nodes(spark, sf_dir))
 
 
 _LABELS = " UNION ALL ".join(
@@ -438,24 +444,26 @@ def top_authors(spark, sf_dir):
     return index.top_authors(views.web(spark, sf_dir), 500).select("display_name", "id", "cited_by_count", "community")
 
 
-@query("SELECT id, CAST(row_number() OVER (ORDER BY cited_by_count DESC, id) - 1 AS BIGINT) AS row FROM web WHERE NOT is_ring")
+@query(f"SELECT * REPLACE ({r6('xw', 'yw')}), CAST(row_number() OVER (ORDER BY cited_by_count DESC, id) - 1 AS BIGINT) AS row FROM web WHERE NOT is_ring")
 def export_order_points(spark, sf_dir):
-    return export.export_order_points(views.web(spark, sf_dir)).select("id", "row")
+    return six(export.export_order_points(views.web(spark, sf_dir)), "xw", "yw")
 
 
-@query("SELECT src, dst, CAST(row_number() OVER (ORDER BY round(weight, 9) DESC, src, dst) - 1 AS BIGINT) AS row FROM ends")
+@query("SELECT * REPLACE (round(weight, 6) AS weight), CAST(row_number() OVER (ORDER BY round(weight, 9) DESC, src, dst) - 1 AS BIGINT) AS row FROM qedges")
 def export_order_edges(spark, sf_dir):
-    return export.export_order_edges(_quantized(spark, sf_dir)).select("src", "dst", "row")
+    return six(export.export_order_edges(_quantized(spark, sf_dir)), "weight")
 
 
-@query()
+@query("SELECT id FROM layout WHERE x IS NOT NULL ORDER BY md5('42-' || id), id LIMIT 100")
 def sample_rows(spark, sf_dir):
     return export.sample_rows(views.layout(spark, sf_dir), 100).select("id")
 
 
-@query("SELECT id, is_ring FROM web")
+@query("SELECT id, round(ru * cos(th), 6) AS xw, round(ru * sin(th), 6) AS yw, is_ring FROM placed")
 def core_dust_union(spark, sf_dir):
-    return views.web(spark, sf_dir).select("id", "is_ring")
+    placed = coords.radial(views.layout(spark, sf_dir), views.RING).withColumns({"xw": F.col("ru") * F.cos("th"), "yw": F.col("ru") * F.sin("th")})
+    found = coords.core_dust_union(placed.where("not is_ring"), placed.where("is_ring"))
+    return six(found, "xw", "yw").select("id", "xw", "yw", "is_ring")
 
 
 # --- scalar functions
@@ -528,7 +536,11 @@ def id_shards(spark, sf_dir):
 
 @query(f"SELECT id, {r6('xw', 'yw')} FROM web")
 def round_coords(spark, sf_dir):
-    return six(views.web(spark, sf_dir), "xw", "yw").select("id", "xw", "yw")
+    folder = new_path(spark, "ids")
+    rounded = index.round_coords(views.web(spark, sf_dir)).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(16)))
+    cut(sinks.write_json_shards(rounded, folder, ["shard"], ["id"], ["id", "xw", "yw"], named=True), "files")
+    back = spark.read.text(folder, wholetext=True).select(F.explode(F.from_json("value", "map<string, array<double>>")).alias("id", "at"))
+    return back.select("id", F.get("at", F.lit(0)).alias("xw"), F.get("at", F.lit(1)).alias("yw"))
 
 
 @query(f"SELECT community, {r6('r', 'g', 'b')} FROM palette")
@@ -601,14 +613,13 @@ def bloom(spark, sf_dir):
     return six(raster.bloom(raster.tile_pixels(levels, palette).where("z = 9")), "r", "g", "b")
 
 
-@query()
+@query("SELECT 10 AS z, tx, ty, ix, iy, r, g, b FROM drawn WHERE r + g + b > 0")
 def render_tiles(spark, sf_dir):
     web, palette = _web_palette(spark, sf_dir)
-    levels = cut(raster.pyramid(raster.pixel_majority(web), 8), "levels")
+    levels = cut(raster.pyramid(cut(raster.pixel_majority(web), "pixels"), 10), "levels")
     lines = cut(edges.drawable_edges(views.graph(spark, sf_dir), web, 0.5, None, 4_000), "lines")
-    splats = raster.splat_tiers(web, 800)
-    tiles = [raster.render_zoom(levels, palette, z, splats, lines, lines).withColumn("z", F.lit(z)) for z in (8, 9, 10)]
-    return tiles[0].union(tiles[1]).union(tiles[2]).select("z", "tx", "ty", F.sha2("png", 256).alias("sha256"), F.length("png").alias("bytes"))
+    tiles = cut(raster.render_zoom(levels, palette, 10, raster.splat_tiers(web, 800), None, lines), "tiles")
+    return raster.tile_bytes(tiles).select(F.lit(10).alias("z"), "tx", "ty", "ix", "iy", "r", "g", "b")
 
 
 @query("SELECT cx, cy, community FROM smooth")
@@ -616,10 +627,12 @@ def smooth_majority(spark, sf_dir):
     return boundary.smooth_majority(cut(boundary.grid_majority(views.web(spark, sf_dir), 32, 2), "cells"))
 
 
-@query()
+@query("""SELECT CAST(pos - 1 AS INTEGER) AS pos, round(pt.x, 6) AS x, round(pt.y, 6) AS y, round(length, 6) AS length FROM (
+  SELECT length, unnest(pts) AS pt, unnest(range(1, len(pts) + 1)) AS pos FROM curved WHERE length >= 0.04::DOUBLE)""")
 def boundary_polylines(spark, sf_dir):
     found = boundary.boundary_polylines(views.web(spark, sf_dir), 32, 2, 3, 0.04)
-    return found.select("grp", "n", F.to_json("points").alias("points"), F.round("length", 6).alias("length"))
+    rows = found.select(F.posexplode("points").alias("pos", "p"), "length")
+    return six(rows.select("pos", F.get("p", F.lit(0)).alias("x"), F.get("p", F.lit(1)).alias("y"), "length"), "length")
 
 
 # --- graph

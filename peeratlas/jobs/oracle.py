@@ -116,10 +116,39 @@ PARTS = {
     "cells": f"""SELECT cx, cy, first(community ORDER BY c DESC, community) AS community FROM (
         SELECT {_cell('xw', 32)} AS cx, {_cell('yw', 32)} AS cy, community, count(*) AS c FROM web WHERE NOT is_ring GROUP BY ALL) GROUP BY cx, cy HAVING sum(c) >= 2""",
     "around": "SELECT a.d AS dx, b.d AS dy FROM (SELECT unnest([-1, 0, 1]) AS d) a, (SELECT unnest([-1, 0, 1]) AS d) b",
-    "voted": """SELECT c.cx, c.cy, c.community AS own, n.community, count(*) AS k FROM cells c, around JOIN cells n ON n.cx = c.cx + dx AND n.cy = c.cy + dy GROUP BY ALL""",
-    "smooth": "SELECT cx, cy, CASE WHEN count(*) = 1 THEN min(community) ELSE min(own) END AS community FROM (SELECT *, max(k) OVER (PARTITION BY cx, cy) AS top FROM voted) WHERE k = top GROUP BY cx, cy",
+    **{
+        name: part
+        for n, (before, after) in enumerate((("cells", "smooth"), ("smooth", "smoothb"), ("smoothb", "smoothc")))
+        for name, part in (
+            (f"voted{n}", f"SELECT c.cx, c.cy, c.community AS own, n.community, count(*) AS k FROM {before} c, around JOIN {before} n ON n.cx = c.cx + dx AND n.cy = c.cy + dy GROUP BY ALL"),
+            (after, f"SELECT cx, cy, CASE WHEN count(*) = 1 THEN min(community) ELSE min(own) END AS community FROM (SELECT *, max(k) OVER (PARTITION BY cx, cy) AS top FROM voted{n}) WHERE k = top GROUP BY cx, cy"),
+        )
+    },
     "steps": """SELECT 'h' AS dir, a.cx + 1 AS line, a.cy AS pos FROM cells a JOIN cells b ON b.cx = a.cx + 1 AND b.cy = a.cy WHERE a.community <> b.community
         UNION ALL SELECT 'v', a.cy + 1, a.cx FROM cells a JOIN cells b ON b.cx = a.cx AND b.cy = a.cy + 1 WHERE a.community <> b.community""",
+    "borders": """SELECT 'h' AS dir, a.cx + 1 AS line, a.cy AS pos FROM smoothc a JOIN smoothc b ON b.cx = a.cx + 1 AND b.cy = a.cy WHERE a.community <> b.community
+        UNION ALL SELECT 'v', a.cy + 1, a.cx FROM smoothc a JOIN smoothc b ON b.cx = a.cx AND b.cy = a.cy + 1 WHERE a.community <> b.community""",
+    "spans": "SELECT dir, line / 32.0::DOUBLE AS line, min(pos) / 32.0::DOUBLE AS a, (max(pos) + 1) / 32.0::DOUBLE AS b, row_number() OVER () AS seg FROM (SELECT *, pos - row_number() OVER (PARTITION BY dir, line ORDER BY pos) AS g FROM borders) GROUP BY dir, line, g",
+    "sides": "SELECT seg, CASE WHEN dir = 'h' THEN {'x': line, 'y': a} ELSE {'x': a, 'y': line} END AS p, CASE WHEN dir = 'h' THEN {'x': line, 'y': b} ELSE {'x': b, 'y': line} END AS q FROM spans",
+    "halves": "SELECT seg, p, q FROM sides UNION ALL SELECT seg, q, p FROM sides",
+    "degrees": "SELECT p, count(*) AS n FROM halves GROUP BY p",
+    "walks": """SELECT p AS start, q AS cur, seg, [p, q] AS pts FROM halves
+        UNION ALL SELECT start, h.q, h.seg, list_append(pts, h.q) FROM walks w JOIN halves h ON h.p = w.cur AND h.seg <> w.seg WHERE w.cur <> w.start""",
+    "paths": """SELECT pts FROM walks JOIN degrees a ON a.p = start JOIN degrees b ON b.p = cur WHERE a.n = 1 AND b.n = 1 AND start < cur
+        UNION ALL SELECT pts FROM walks WHERE start = cur AND start = list_min(pts) AND pts[2] < pts[-2]""",
+    "once": "SELECT pts AS raw, CASE WHEN len(pts) < 3 THEN pts ELSE list_concat([pts[1]], flatten(list_transform(range(1, len(pts)), lambda i: [{'x': pts[i].x * 0.75::DOUBLE + pts[i + 1].x * 0.25::DOUBLE, 'y': pts[i].y * 0.75::DOUBLE + pts[i + 1].y * 0.25::DOUBLE}, {'x': pts[i].x * 0.25::DOUBLE + pts[i + 1].x * 0.75::DOUBLE, 'y': pts[i].y * 0.25::DOUBLE + pts[i + 1].y * 0.75::DOUBLE}])), [pts[-1]]) END AS pts FROM paths",
+    "curved": "SELECT list_sum(list_transform(range(1, len(raw)), lambda i: abs(raw[i].x - raw[i + 1].x) + abs(raw[i].y - raw[i + 1].y))) AS length, CASE WHEN len(raw) < 3 THEN pts ELSE list_concat([pts[1]], flatten(list_transform(range(1, len(pts)), lambda i: [{'x': pts[i].x * 0.75::DOUBLE + pts[i + 1].x * 0.25::DOUBLE, 'y': pts[i].y * 0.75::DOUBLE + pts[i + 1].y * 0.25::DOUBLE}, {'x': pts[i].x * 0.25::DOUBLE + pts[i + 1].x * 0.75::DOUBLE, 'y': pts[i].y * 0.25::DOUBLE + pts[i + 1].y * 0.75::DOUBLE}])), [pts[-1]]) END AS pts FROM once",
+    "dots": "SELECT * EXCLUDE (z) FROM base WHERE z = 10",
+    "hits": """SELECT px // 256 AS tx, 1023 - py // 256 AS ty, px % 256 AS ix, 255 - py % 256 AS iy, least(0.25::DOUBLE, count(*) * 0.05::DOUBLE) AS alpha FROM (
+        SELECT CAST(round_even(x0 + k * ((x1 - x0) / steps::DOUBLE), 0) AS INTEGER) AS px, CAST(round_even(y0 + k * ((y1 - y0) / steps::DOUBLE), 0) AS INTEGER) AS py
+        FROM (SELECT *, unnest(range(0, steps + 1)) AS k FROM (SELECT *, greatest(1, abs(x1 - x0), abs(y1 - y0)) AS steps FROM lines))) GROUP BY ALL""",
+    "layered": """SELECT tx, ty, ix, iy, max(r) AS r, max(g) AS g, max(b) AS b FROM (
+        SELECT tx, ty, ix, iy, r, g, b FROM dots
+        UNION ALL SELECT tx, ty, ix, iy, alpha * 0.45::DOUBLE, alpha * 0.50::DOUBLE, alpha * 0.60::DOUBLE FROM hits WHERE (tx, ty) IN (SELECT (tx, ty) FROM dots) AND (tx, ty, ix, iy) NOT IN (SELECT (tx, ty, ix, iy) FROM dots)
+        UNION ALL SELECT tx, ty, ix, iy, r, g, b FROM spots WHERE (tx, ty) IN (SELECT (tx, ty) FROM dots)) GROUP BY tx, ty, ix, iy""",
+    "glow": """SELECT tx, ty, x AS ix, y AS iy, sum(r * w) AS r, sum(g * w) AS g, sum(b * w) AS b FROM (
+        SELECT tx, ty, ix + dx AS x, iy + dy AS y, CASE WHEN dx <> 0 AND dy <> 0 THEN 0.06::DOUBLE ELSE 0.12::DOUBLE END AS w, r, g, b FROM layered, around WHERE dx <> 0 OR dy <> 0) WHERE x BETWEEN 0 AND 255 AND y BETWEEN 0 AND 255 GROUP BY ALL""",
+    "drawn": "SELECT tx, ty, ix, iy, CAST(floor(least(greatest(sum(r), 0.0), 1.0) * 255) AS INTEGER) AS r, CAST(floor(least(greatest(sum(g), 0.0), 1.0) * 255) AS INTEGER) AS g, CAST(floor(least(greatest(sum(b), 0.0), 1.0) * 255) AS INTEGER) AS b FROM (SELECT * FROM layered UNION ALL SELECT * FROM glow) GROUP BY tx, ty, ix, iy",
     "norms": "SELECT id, display_name AS name, xw, yw, cited_by_count, trim(regexp_replace(lower(strip_accents(coalesce(display_name, ''))), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS norm FROM web",
     "entries": """SELECT *, strlen(norm) + strlen(name) + strlen(id) + length(cited_by_count::VARCHAR) + 30 AS bytes FROM (
         SELECT *, unnest(CASE WHEN len(w) > 1 AND w[1] <> w[-1] AND length(w[-1]) >= 2 THEN [w[1], w[-1]] ELSE [w[1]] END) AS token FROM (SELECT *, string_split(norm, ' ') AS w FROM norms))""",
@@ -139,6 +168,6 @@ def sql(select: str) -> str:
             wanted.add(name)
             todo.append(PARTS[name])
     used = [name for name in PARTS if name in wanted]
-    kind = "WITH RECURSIVE " if "naming" in wanted else "WITH "
+    kind = "WITH RECURSIVE " if wanted & {"naming", "walks"} else "WITH "
     parts = ",\n".join(f"{name}{'(rank, community, taken)' if name == 'naming' else ''} AS ({PARTS[name]})" for name in used)
     return f"{kind}{parts}\n{select}" if used else select

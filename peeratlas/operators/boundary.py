@@ -1,19 +1,17 @@
 """Curves between the communities of the map."""
 
-import math
-from collections import defaultdict
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import cell
+from ..functions.expressions import cell, placed
 from ..sources.storage import cut, drop
 
 
 def grid_majority(web: DataFrame, grid: int = 512, min_cell: int = 6) -> DataFrame:
     """cx, cy, community: the majority of cells with enough members, dust left out."""
-    rows = web.where(~F.col("is_ring")).select(cell("xw", grid).alias("cx"), cell("yw", grid).alias("cy"), "community")
+    rows = web.where(placed() & ~F.col("is_ring")).select(cell("xw", grid).alias("cx"), cell("yw", grid).alias("cy"), "community")
     each = rows.groupBy("cx", "cy", "community").agg(F.count("*").alias("c"))
     first = F.max_by("community", F.struct("c", -F.col("community"))).alias("community")
     cells = each.groupBy("cx", "cy").agg(F.sum("c").alias("n"), first)
@@ -68,60 +66,69 @@ def joined_groups(lines: DataFrame) -> DataFrame:
             return keyed.join(labels, "seg").drop("seg")
 
 
-def chain(lines: list[tuple]) -> list[list[tuple]]:
-    """Polylines from segments in order: each unused segment starts one, which grows at
-    its end, then at its start, by the first unused segment there."""
-    at = defaultdict(list)
-    for n, (p, q) in enumerate(lines):
-        at[p].append(n)
-        at[q].append(n)
-    free, found = set(range(len(lines))), []
-
-    def follow(point):
-        n = next((n for n in at[point] if n in free), None)
-        if n is None:
-            return None
-        free.remove(n)
-        p, q = lines[n]
-        return q if p == point else p
-
-    for n, (p, q) in enumerate(lines):
-        if n in free:
-            free.remove(n)
-            forward, backward = [p, q], []
-            while (point := follow(forward[-1])) is not None:
-                forward.append(point)
-            while (point := follow(backward[-1] if backward else forward[0])) is not None:
-                backward.append(point)
-            found.append(backward[::-1] + forward)
-    return found
-
-
-def cut_corners(points: list[tuple], rounds: int = 2) -> list[tuple]:
+def path_points(ends: np.ndarray) -> np.ndarray:
+    """The points along one path or ring, from its segments' end points (n, 2, 2).
+
+    At a point two segments meet at most. A path runs from that of its two ends that
+    comes first by x and y; a ring from its first point towards the first of the two next
+    to it, and ends where it began.
+    """
+    points, at = np.unique(ends.reshape(-1, 2), axis=0, return_inverse=True)
+    at = at.reshape(-1)  # the point of each half: 2 * segment and 2 * segment + 1
+    order = np.argsort(at, kind="stable")
+    met = np.flatnonzero(at[order][1:] == at[order][:-1])
+    partner = np.full(len(at), -1)
+    partner[order[met]], partner[order[met + 1]] = order[met + 1], order[met]
+    open_ = np.flatnonzero(partner < 0)
+    if len(open_):
+        half = open_[np.argmin(at[open_])]
+    else:
+        two = np.flatnonzero(at == 0)
+        half = two[np.argmin(at[two ^ 1])]
+    visited = [at[half]]
+    for _ in range(len(ends)):
+        visited.append(at[half ^ 1])
+        half = partner[half ^ 1]
+    return points[visited]
+
+
+def cut_corners(points: np.ndarray, rounds: int = 2) -> np.ndarray:
     """Inner corners replaced by points at 1/4 and 3/4 of the segments; ends stay."""
     for _ in range(rounds if len(points) > 2 else 0):
-        inner = [tuple(a * (1 - t) + b * t for a, b in zip(p, q, strict=True)) for p, q in zip(points, points[1:], strict=False) for t in (0.25, 0.75)]
-        points = [points[0], *inner, points[-1]]
-    return [(round(x, 6), round(y, 6)) for x, y in points]
+        a, b = points[:-1], points[1:]
+        inner = np.stack([a * 0.75 + b * 0.25, a * 0.25 + b * 0.75], axis=1).reshape(-1, 2)
+        points = np.concatenate([points[:1], inner, points[-1:]])
+    return points
 
 
 def boundary_polylines(web: DataFrame, grid: int = 512, min_cell: int = 6, smooth_passes: int = 3, min_len: float = 0.02) -> DataFrame:
-    """grp, n, points, length of the map's smoothed boundary curves that are long enough.
-    Chains are made within one connected group of segments (at most 2 grid^2)."""
+    """points (to six digits) and length of the map's smoothed boundary curves that are
+    long enough.
+
+    Runs on a grid line are merged, so at a point end one run along the column and one
+    along the row at most: what hangs together by end points is a path or a ring, and each
+    is drawn as a group of its own (at most 2 grid^2 segments in all).
+    """
     cells = grid_majority(web, grid, min_cell)
     for _ in range(smooth_passes):
         cells = smooth_majority(cells)
     grouped = joined_groups(segments(boundary_runs(cells, grid), grid))
 
     def draw(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["dir", "line", "a"])
-        lines = [((x0, y0), (x1, y1)) for x0, y0, x1, y1 in rows[["x0", "y0", "x1", "y1"]].itertuples(index=False)]
-        out, first = [], rows.iloc[0]
-        for n, points in enumerate(chain(lines)):
-            length = sum(math.dist(p, q) for p, q in zip(points, points[1:], strict=False))
-            if length >= min_len:
-                out.append((f"{first['dir']}-{first['line']}-{first['a']}", n, [list(p) for p in cut_corners(points)], length))
-        return pd.DataFrame(out, columns=["grp", "n", "points", "length"])
+        path = path_points(rows[["x0", "y0", "x1", "y1"]].to_numpy(float).reshape(-1, 2, 2))
+        length = float(np.abs(np.diff(path, axis=0)).sum())  # all segments lie along the grid
+        return pd.DataFrame({"points": [cut_corners(path).tolist()], "length": [length]}).loc[[length >= min_len]]
 
     keyed = grouped.withColumn("key", F.to_json("grp")).drop("grp")
-    return keyed.groupBy("key").applyInPandas(lambda rows: draw(rows), "grp string, n int, points array<array<double>>, length double")
+    drawn = keyed.groupBy("key").applyInPandas(lambda rows: draw(rows), "points array<array<double>>, length double")
+    return drawn.withColumn("points", F.transform("points", lambda p: F.transform(p, lambda v: F.round(v, 6))))
+
+
+def boundary_document(lines: DataFrame, most_lines: int = 1_000_000) -> dict:
+    """The curves as a GeoJSON collection of one MultiLineString; there are at most as many
+    as the grid has segments, and more than most_lines are an error."""
+    rows = lines.select("points").orderBy("points").limit(most_lines + 1).collect()
+    if len(rows) > most_lines:
+        raise ValueError(f"more than {most_lines} curves for one document")
+    shape = {"type": "MultiLineString", "coordinates": [r["points"] for r in rows]}
+    return {"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {}, "geometry": shape}] if rows else []}

@@ -3,25 +3,32 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import cell
+from ..functions.expressions import cell, placed
 from ..functions.names import normalize_name, search_tokens
 
 LABELS_A_TILE = {6: 50, 7: 50, 8: 200, 9: 4000}
 LONGEST_PREFIX = 5
 CODEPOINT_SHARDS = 128
+#: Letters of words by which queries meet entries.
+HEAD = 3
 
 
 def by_citations() -> list[Column]:
     return [F.col("cited_by_count").desc(), F.col("id").asc()]
 
 
+def round_coords(rows: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    """rows with coordinates as they stand in JSON documents."""
+    return rows.withColumns({c: F.round(F.col(c).cast("double"), digits) for c in columns or ("xw", "yw")})
+
+
 def label_tiles(web: DataFrame, capacity: dict[int, int] = LABELS_A_TILE) -> DataFrame:
     """z, tx, ty, rn and the label: the most cited of each tile at each zoom. The rank
     filter is applied before the shuffle too (window group limit)."""
     parts = []
     for zoom, most in capacity.items():
         tiles = 1 << zoom
-        rows = web.where(~F.col("is_ring")).select(F.lit(zoom).alias("z"), cell("xw", tiles).alias("tx"), (tiles - 1 - cell("yw", tiles)).alias("ty"), "display_name", "id", "xw", "yw", "cited_by_count", "community")
+        rows = web.where(placed() & ~F.col("is_ring")).select(F.lit(zoom).alias("z"), cell("xw", tiles).alias("tx"), (tiles - 1 - cell("yw", tiles)).alias("ty"), "display_name", "id", "xw", "yw", "cited_by_count", "community")
         place = F.row_number().over(Window.partitionBy("z", "tx", "ty").orderBy(*by_citations()))
         parts.append(rows.withColumn("rn", place).where(F.col("rn") <= most))
     out = parts[0]
@@ -97,7 +104,9 @@ def search_lookup(queries: DataFrame, sharded: DataFrame, best: int = 12) -> Dat
     The shard that answers is the longest there is of five letters down to two of the
     query, then `_` by code point, then `_`. An entry matches if its words begin with the
     query's, in this order; first come names that begin with the whole query, then those
-    whose first word does with the first, then the rest, by citations.
+    whose first word does with the first, then the rest, by citations. Queries meet the
+    entries of their shard by the first letters of words, so a large shard isn't joined
+    whole to every query it answers.
     """
     asked = queries.select("query", normalize_name("query").alias("norm_q")).where("norm_q <> ''").distinct()
     joined = F.regexp_replace("norm_q", " ", "")
@@ -105,10 +114,12 @@ def search_lookup(queries: DataFrame, sharded: DataFrame, best: int = 12) -> Dat
     tries = asked.select("query", "norm_q", F.posexplode(keys).alias("turn", "shard")).where("shard is not null")
     shards = shard_sizes(sharded).select("shard")
     chosen = tries.join(shards, "shard").groupBy("query", "norm_q").agg(F.min(F.struct("turn", "shard"))["shard"].alias("shard"))
-    met = chosen.join(sharded.select("shard", "norm", "id", "cited_by_count"), "shard").distinct()
     words = F.split("norm_q", " ")
+    chosen = chosen.withColumn("head", F.substring(F.element_at(words, 1), 1, HEAD))
+    heads = F.flatten(F.transform(F.split("norm", " "), lambda w: F.transform(F.array(*[F.lit(k) for k in range(1, HEAD + 1)]), lambda k: F.substring(w, F.lit(1), k))))
+    entries = sharded.select("shard", "norm", "id", "cited_by_count", F.explode(F.array_distinct(heads)).alias("head"))
     seen = F.aggregate(F.split("norm", " "), F.lit(0), lambda n, w: F.when(w.startswith(F.coalesce(F.get(words, n), F.lit("\x00"))), n + 1).otherwise(n))
-    hits = met.where(seen == F.size(words))
+    hits = chosen.join(entries, ["shard", "head"]).where(seen == F.size(words)).drop("shard", "head").distinct()
     kind = F.when(F.col("norm").startswith(F.col("norm_q")), 0).when(F.col("norm").startswith(F.element_at(words, 1)), 1).otherwise(2)
     order = Window.partitionBy("query").orderBy(kind, F.col("cited_by_count").desc(), "id")
     return hits.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= best).select("query", "rn", "id", "norm", "cited_by_count")

@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import MAX_ZOOM, PIXELS, TILE, cell, citation_tier
+from ..functions.expressions import MAX_ZOOM, PIXELS, TILE, cell, citation_tier, placed
+from ..sources.storage import cut
 
 MISSING = (0.35, 0.35, 0.35)
 MISSING_SPLAT = (0.6, 0.6, 0.6)
@@ -32,7 +33,7 @@ def tile_xyz(pixels: DataFrame, zoom: int) -> DataFrame:
 def pixel_majority(web: DataFrame, pixels: int = PIXELS) -> DataFrame:
     """px, py, cnt and the community most rows of the pixel have (ties: the smallest).
     Both steps are plain aggregates, pre-summed before the shuffle."""
-    each = pixel_bin(web, pixels).groupBy("px", "py", "community").agg(F.count("*").alias("c"))
+    each = pixel_bin(web.where(placed()), pixels).groupBy("px", "py", "community").agg(F.count("*").alias("c"))
     first = F.max_by("community", F.struct("c", -F.col("community")))
     return each.groupBy("px", "py").agg(F.sum("c").alias("cnt"), first.alias("community"))
 
@@ -48,10 +49,11 @@ def pyramid_level(level: DataFrame, from_pixels: bool = False) -> DataFrame:
 
 
 def pyramid(pixels: DataFrame, lowest: int = 0, highest: int = MAX_ZOOM) -> DataFrame:
-    """All zooms in one table: z, px, py, cnt, community."""
+    """All zooms in one table: z, px, py, cnt, community. Each level is written once and
+    makes the next, so no plan holds more than one of the steps."""
     level, levels = pixels, [pixels.withColumn("z", F.lit(highest))]
     for z in range(highest - 1, lowest - 1, -1):
-        level = pyramid_level(level, z == highest - 1)
+        level = cut(pyramid_level(level, z == highest - 1), f"level-{z}")
         levels.append(level.withColumn("z", F.lit(z)))
     out = levels[0]
     for one in levels[1:]:
@@ -79,7 +81,7 @@ def tile_pixels(levels: DataFrame, palette: DataFrame) -> DataFrame:
 
 def splat_tiers(web: DataFrame, bottom: int = 5_000) -> DataFrame:
     """Much cited authors, dust left out: px, py at the largest zoom, community, rad0."""
-    much = web.where(~F.col("is_ring") & (F.col("cited_by_count") >= bottom))
+    much = web.where(placed() & ~F.col("is_ring") & (F.col("cited_by_count") >= bottom))
     return pixel_bin(much).select("id", "px", "py", "community", citation_tier(F.col("cited_by_count"), bottom).alias("rad0"))
 
 
@@ -173,23 +175,52 @@ def render_tiles(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("tx", "ty").applyInPandas(draw, "tx int, ty int, png binary")
 
 
-def render_zoom(levels: DataFrame, palette: DataFrame, zoom: int, splats: DataFrame | None = None, lines: DataFrame | None = None, one_off: DataFrame | None = None) -> DataFrame:
-    """Images of all occupied tiles of a zoom: tx, ty, png. Edges show at 8 and 9, one-off
-    edges at 10, splats and glow from 9 on."""
+def tile_image(body: bytes) -> np.ndarray:
+    """The pixels of an image that png() made."""
+    raw, at = b"", 8
+    while at < len(body):
+        n = int.from_bytes(body[at : at + 4], "big")
+        if body[at + 4 : at + 8] == b"IDAT":
+            raw += body[at + 8 : at + 8 + n]
+        at += 12 + n
+    width = int.from_bytes(body[16:20], "big")
+    return np.frombuffer(zlib.decompress(raw), np.uint8).reshape(-1, 1 + 3 * width)[:, 1:].reshape(-1, width, 3)
+
+
+def tile_bytes(tiles: DataFrame) -> DataFrame:
+    """tx, ty, ix, iy, r, g, b of the pixels of tiles(tx, ty, png) that aren't black."""
+
+    def read(batches):
+        for batch in batches:
+            for tx, ty, body in zip(batch["tx"], batch["ty"], batch["png"], strict=True):
+                image = tile_image(body)
+                iy, ix = np.nonzero(image.any(axis=2))
+                r, g, b = image[iy, ix].astype(np.int32).T
+                yield pd.DataFrame({"tx": np.int32(tx), "ty": np.int32(ty), "ix": ix.astype(np.int32), "iy": iy.astype(np.int32), "r": r, "g": g, "b": b})
+
+    return tiles.mapInPandas(read, "tx int, ty int, ix int, iy int, r int, g int, b int")
+
+
+def render_zoom(levels: DataFrame, palette: DataFrame, zoom: int, splats: DataFrame | None = None, lines: DataFrame | None = None, one_off: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
+    """Images of a zoom's occupied tiles, or of those in only(tx, ty): tx, ty, png."""
+    return render_tiles(zoom_pixels(levels, palette, zoom, splats, lines, one_off, only))
+
+
+def zoom_pixels(levels: DataFrame, palette: DataFrame, zoom: int, splats: DataFrame | None = None, lines: DataFrame | None = None, one_off: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
+    """The finished pixels that render_zoom draws. Edges show at 8 and 9, one-off edges at
+    10, splats and glow from 9 on."""
     nodes = tile_pixels(levels.where(F.col("z") == zoom), palette).drop("z")
+    if only is not None:  # brightness is that of the whole zoom
+        nodes = nodes.join(only, ["tx", "ty"], "left_semi")
     occupied = nodes.select("tx", "ty").distinct()
     drawn = lines if zoom in (MAX_ZOOM - 2, MAX_ZOOM - 1) else one_off if zoom == MAX_ZOOM else None
     edges = None if drawn is None else edge_layer(edge_pixels(drawn, occupied, zoom, 0.05 if zoom == MAX_ZOOM else 0.08))
     spots = None if splats is None or zoom < MAX_ZOOM - 1 else splat_pixels(splats, palette, zoom)
     layer = composed(nodes, edges, spots)
-    return render_tiles(finished(layer, bloom(layer) if zoom >= MAX_ZOOM - 1 else None))
+    return finished(layer, bloom(layer) if zoom >= MAX_ZOOM - 1 else None)
 
 
-def tile_occupancy(pixels: DataFrame, lowest: int = 0, highest: int = MAX_ZOOM) -> DataFrame:
-    """z, pixels, tiles: how many are occupied at each zoom."""
-    zooms = F.explode(F.sequence(F.lit(lowest), F.lit(highest))).alias("z")
-    rows = pixels.select("px", "py", zooms)
-    each = rows.select("z", F.expr(f"shiftright(px, {highest} - z)").alias("px"), F.expr(f"shiftright(py, {highest} - z)").alias("py")).distinct()
-    tiles = each.select("z", F.shiftright("px", 8).alias("tx"), F.shiftright("py", 8).alias("ty"), F.lit(1).alias("one"))
-    by_tile = tiles.groupBy("z", "tx", "ty").agg(F.count("*").alias("n"))
+def tile_occupancy(levels: DataFrame) -> DataFrame:
+    """z, pixels, tiles: how many of the pyramid's levels(z, px, py) are occupied."""
+    by_tile = levels.groupBy("z", F.shiftright("px", 8).alias("tx"), F.shiftright("py", 8).alias("ty")).agg(F.count("*").alias("n"))
     return by_tile.groupBy("z").agg(F.sum("n").alias("pixels"), F.count("*").alias("tiles"))

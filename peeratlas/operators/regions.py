@@ -12,9 +12,12 @@ def top_communities(web: DataFrame, top_n: int = 300) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # top_n rows
 
 
-def member_topics(web: DataFrame, authors: DataFrame, top: DataFrame) -> DataFrame:
+def member_topics(web: DataFrame, authors: DataFrame, top: DataFrame, once: bool = False) -> DataFrame:
     """community and first topic of the top communities' members that have one. Authors
-    repeated in the snapshot count as often as they come."""
+    repeated in the snapshot count as often as they come; with once, only their latest row
+    does (by updated_date, then the larger topics)."""
+    if once:
+        authors = authors.groupBy("id").agg(F.max(F.struct("updated_date", "topics"))["topics"].alias("topics"))
     members = web.select("id", "community").join(F.broadcast(top.select("community")), "community", "left_semi")  # top_n rows
     topics = authors.select("id", F.get("topics", F.lit(0))["display_name"].alias("topic")).where("topic is not null")
     return members.join(topics, "id").select("community", "topic")
@@ -63,9 +66,9 @@ def region_names(top: DataFrame, ranked: DataFrame, keep: int = 120) -> DataFram
     return pairs.select(F.col("p.es.community").alias("community"), F.col("p.names").alias("name"))
 
 
-def regions(web: DataFrame, authors: DataFrame, top_n: int = 300, keep: int = 120) -> DataFrame:
+def regions(web: DataFrame, authors: DataFrame, top_n: int = 300, keep: int = 120, once: bool = False) -> DataFrame:
     """name, xw, yw, spread, members, rank, community, zmin, zmax."""
     top = top_communities(web, top_n)
-    names = region_names(top, topic_ranking(topic_scores(member_topics(web, authors, top))), keep)
+    names = region_names(top, topic_ranking(topic_scores(member_topics(web, authors, top, once))), keep)
     large = F.col("rank") <= 30
     return top.join(names, "community").select("name", "xw", "yw", "spread", "members", "rank", "community", F.when(large, 2).otherwise(4).alias("zmin"), F.when(large, 4).otherwise(6).alias("zmax"))

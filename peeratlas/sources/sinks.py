@@ -2,9 +2,9 @@
 
 import json
 import os
-import struct
 import uuid
 
+import numpy as np
 import pandas as pd
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Observation
@@ -45,16 +45,35 @@ def remove(spark, uri: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def write_json_shards(df: DataFrame, folder: str, keys: list[str], order: list[str], fields: list[str], wrap: str | None = None) -> DataFrame:
+def write_json(path: str, document) -> None:
+    """One document made on the driver (a bounded one)."""
+    write_bytes(path, json.dumps(document, ensure_ascii=False).encode())
+
+
+def read_json(spark, path: str):
+    """A small document, None where there is no file."""
+    files, inside = filesystem(path)
+    if files.get_file_info(inside).type == pafs.FileType.NotFound:
+        return None
+    with files.open_input_stream(inside) as body:
+        return json.loads(body.read())
+
+
+def write_json_shards(df: DataFrame, folder: str, keys: list[str], order: list[str], fields: list[str], wrap: str | None = None, named: bool = False, empty: DataFrame | None = None) -> DataFrame:
     """One JSON file per key with its rows in order, as arrays of the fields; returns
     (path, entries) of the files written. The folder is removed first.
 
-    A shard is read whole by a browser, so its size is bounded by the stage that cuts the
-    shards; one row per shard carries it here.
+    wrap: the list stands under this name. named: the first field names each entry, so the
+    file is a map from it to the other fields. empty: more keys (key string), whose files
+    have no entries unless df has some. A shard is read whole by a browser, so its size is
+    bounded by the stage that cuts the shards; one row per shard carries it here.
     """
     remove(df.sparkSession, folder)
     entry = F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(order)], F.to_json(F.array(*[F.to_json(F.struct(F.col(c).alias("v"))) for c in fields])).alias("row"))
-    shards = df.groupBy(F.concat_ws("/", *[F.col(k).cast("string") for k in keys]).alias("key")).agg(F.sort_array(F.collect_list(entry)).alias("l"))
+    rows = df.select(F.concat_ws("/", *[F.col(k).cast("string") for k in keys]).alias("key"), entry.alias("e"))
+    if empty is not None:
+        rows = rows.unionByName(empty.select("key"), allowMissingColumns=True)
+    shards = rows.groupBy("key").agg(F.sort_array(F.collect_list("e")).alias("l"))  # nulls aren't collected
     bodies = shards.select("key", F.transform("l", lambda x: x["row"]).alias("rows"))
 
     def put(batches):
@@ -62,8 +81,9 @@ def write_json_shards(df: DataFrame, folder: str, keys: list[str], order: list[s
             out = []
             for key, rows in zip(batch["key"], batch["rows"], strict=True):
                 entries = [[json.loads(v).get("v") for v in json.loads(row)] for row in rows]
+                body = {e[0]: e[1:] for e in entries} if named else {wrap: entries} if wrap else entries
                 path = f"{folder}/{key}.json"
-                write_bytes(path, json.dumps({wrap: entries} if wrap else entries, ensure_ascii=False).encode())
+                write_bytes(path, json.dumps(body, ensure_ascii=False).encode())
                 out.append((path, len(entries)))
             yield pd.DataFrame(out, columns=["path", "entries"])
 
@@ -89,21 +109,42 @@ def read_regions(spark, path: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def write_binary(df: DataFrame, folder: str, layout: str, fields: list[str], row: str = "row", rows_a_part: int = 1 << 20) -> DataFrame:
+def write_binary(df: DataFrame, folder: str, fields: dict[str, str], row: str = "row", rows_a_part: int = 1 << 20) -> DataFrame:
     """Fixed-width records in the order of row: parts of rows_a_part records each, whose
-    names sort in order, so that their concatenation is the file. Returns (part, path,
-    records)."""
+    names sort in order, so that their concatenation is the file. fields: columns and
+    their little-endian formats (u1, u2, u8). Returns (part, path, records)."""
+
     def put(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(row)
         part = int(rows[row].iloc[0]) // rows_a_part
         path = f"{folder}/part-{part:08d}.bin"
-        write_bytes(path, b"".join(struct.pack(layout, *r) for r in rows[fields].itertuples(index=False)))
+        records = np.empty(len(rows), [(c, f"<{kind}") for c, kind in fields.items()])
+        for c in fields:
+            records[c] = rows[c].to_numpy()
+        write_bytes(path, records.tobytes())
         return pd.DataFrame([(part, path, len(rows))], columns=["part", "path", "records"])
 
     parts = df.select(row, *fields).withColumn("_part", F.floor(F.col(row) / rows_a_part))
     return parts.groupBy("_part").applyInPandas(put, "part long, path string, records long")
 
 
+def tile_path(folder: str, zoom: int, tx: int, ty: int) -> str:
+    return f"{folder}/{zoom}/{tx}/{ty}.png"
+
+
+def tiles_without_image(tiles: DataFrame, folder: str, zoom: int) -> DataFrame:
+    """Those of tiles(tx, ty) that have no image yet: only these need drawing."""
+
+    def look(batches):
+        for batch in batches:
+            if len(batch):
+                places = [filesystem(tile_path(folder, zoom, tx, ty)) for tx, ty in zip(batch["tx"], batch["ty"], strict=True)]
+                found = places[0][0].get_file_info([path for _, path in places])
+                yield batch[[f.type == pafs.FileType.NotFound for f in found]]
+
+    return tiles.select("tx", "ty").mapInPandas(look, "tx int, ty int")
+
+
 def write_png_tiles(tiles: DataFrame, folder: str, zoom: int) -> DataFrame:
     """{folder}/{zoom}/{tx}/{ty}.png; tiles that exist are left alone. Returns (path,
     written)."""
@@ -112,7 +153,7 @@ def write_png_tiles(tiles: DataFrame, folder: str, zoom: int) -> DataFrame:
         for batch in batches:
             out = []
             for tx, ty, png in zip(batch["tx"], batch["ty"], batch["png"], strict=True):
-                path = f"{folder}/{zoom}/{tx}/{ty}.png"
+                path = tile_path(folder, zoom, tx, ty)
                 files, inside = filesystem(path)
                 there = files.get_file_info(inside).type != pafs.FileType.NotFound
                 if not there:

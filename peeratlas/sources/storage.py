@@ -6,14 +6,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a temporary folder only where it is unset (tests)."""
+    """The cluster's spark.checkpoint.dir. Only where it is unset on a local master (tests)
+    a temporary folder; elsewhere executors would not share it, so that is an error."""
     place = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         place = _OWN.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="shared-")
         _OWN[app] = place

@@ -32,7 +32,7 @@ def test_transform_keeps_angles_and_order(spark):
     radius = {i: math.dist(p, (0.5, 0.5)) for i, p in found.items()}
     assert radius["A0"] < radius["A1"] < radius["A5"] < 10 * radius["A1"]
     assert math.atan2(found["A6"][1] - 0.5, found["A6"][0] - 0.5) == pytest.approx(-math.pi / 2)
-    stats = coords.transform_stats(layout(spark, points), ring_comm_max=0).first()
+    stats = coords.transformed(layout(spark, points), ring_comm_max=0)[1].first()
     assert set(stats.asDict()) == {"n", "cx", "cy", "s", "r2max", "ring_n", "spread"} and stats.ring_n == 0
 
 
@@ -197,14 +197,23 @@ def test_boundary_of_two_halves(spark):
 
 def test_short_boundaries_are_dropped(spark):
     rows = [(f"A{x}-{y}", (x + 0.5) / 20, (y + 0.5) / 20, 3 if (x, y) == (3, 3) else 1 if x < 10 else 2, 1, False) for x in range(20) for y in range(20)]
-    found = boundary.boundary_polylines(web(spark, rows), 20, 1, 0, 0.25).collect()
-    assert len(found) == 1 and found[0].points[0] == [0.5, 0.0] and found[0].points[-1] == [0.5, 1.0]
+    found = boundary.boundary_polylines(web(spark, rows), 20, 1, 0, 0.25)
+    (line,) = found.collect()
+    assert line.points[0] == [0.5, 0.0] and line.points[-1] == [0.5, 1.0] and line.length == pytest.approx(1)
+    shape = boundary.boundary_document(found)
+    assert shape["features"][0]["geometry"] == {"type": "MultiLineString", "coordinates": [[[0.5, 0.0], [0.5, 1.0]]]}
+    ring = max(boundary.boundary_polylines(web(spark, rows), 20, 1, 0, 0).collect(), key=lambda r: len(r.points))
+    assert ring.points[0] == ring.points[-1] == [0.15, 0.15] and ring.length == pytest.approx(0.2)
 
 
-def test_chains_and_corners():
-    assert boundary.chain([((0, 0), (0, 1)), ((5, 5), (5, 6)), ((0, 1), (1, 1)), ((0, 0), (1, 0))]) == [[(1, 0), (0, 0), (0, 1), (1, 1)], [(5, 5), (5, 6)]]
-    assert boundary.cut_corners([(0, 0), (1, 0)]) == [(0, 0), (1, 0)]
-    assert boundary.cut_corners([(0, 0), (1, 0), (1, 1)], 1) == [(0, 0), (0.25, 0), (0.75, 0), (1, 0.25), (1, 0.75), (1, 1)]
+def test_paths_and_corners():
+    lines = np.array([[(0, 0), (0, 1)], [(0, 1), (1, 1)], [(1, 0), (0, 0)]], float)
+    assert boundary.path_points(lines).tolist() == [[1, 0], [0, 0], [0, 1], [1, 1]]
+    square = np.array([[(1, 1), (0, 1)], [(0, 0), (1, 0)], [(1, 0), (1, 1)], [(0, 1), (0, 0)]], float)
+    assert boundary.path_points(square).tolist() == [[0, 0], [0, 1], [1, 1], [1, 0], [0, 0]]
+    corner = np.array([(0, 0), (1, 0), (1, 1)], float)
+    assert boundary.cut_corners(corner[:2]).tolist() == corner[:2].tolist()
+    assert boundary.cut_corners(corner, 1).tolist() == [[0, 0], [0.25, 0], [0.75, 0], [1, 0.25], [1, 0.75], [1, 1]]
 
 
 def test_binary_records_in_order(spark, tmp_path):
@@ -212,7 +221,7 @@ def test_binary_records_in_order(spark, tmp_path):
     stats = community.community_stats(table)
     points = export.export_order_points(table)
     records = export.quantize_points(points, community.color_lut(stats))
-    parts = sinks.write_binary(records, f"file://{tmp_path}/pos", "<HH", ["x", "y"], rows_a_part=4).collect()
+    parts = sinks.write_binary(records, f"file://{tmp_path}/pos", {"x": "u2", "y": "u2"}, rows_a_part=4).collect()
     assert sorted((r.part, r.records) for r in parts) == [(0, 4), (1, 4), (2, 1)]
     body = b"".join(open(f"{tmp_path}/pos/{f}", "rb").read() for f in sorted(os.listdir(tmp_path / "pos")))
     x = np.frombuffer(body, "<u2").reshape(-1, 2)[:, 0] / 65535
@@ -245,6 +254,13 @@ def test_shards_documents_and_images_on_disk(spark, tmp_path):
     with pytest.raises(ValueError):
         sinks.write_json_doc(rows, f"file://{tmp_path}/doc.json", ["k"], most_rows=2)
     assert sinks.read_regions(spark, f"file://{tmp_path}/none.json").count() == 0
+    more = spark.createDataFrame([("a",), ("c",)], "key string")
+    assert {r.entries for r in sinks.write_json_shards(rows, folder, ["k"], ["rn"], ["name", "v"], named=True, empty=more).collect()} == {0, 1, 2}
+    assert [json.loads((tmp_path / "shards" / f"{k}.json").read_text()) for k in "abc"] == [{"x": [1.5], "y": [None]}, {"ü": [2.0]}, {}]
+    sinks.write_json(f"file://{tmp_path}/one.json", {"a": 1})
+    assert sinks.read_json(spark, f"file://{tmp_path}/one.json") == {"a": 1} and sinks.read_json(spark, f"file://{tmp_path}/no.json") is None
     tiles = spark.createDataFrame([(0, 1, bytearray(b"png"))], "tx int, ty int, png binary")
     assert [[r.written for r in sinks.write_png_tiles(tiles, f"file://{tmp_path}/t", 3).collect()] for _ in range(2)] == [[True], [False]]
+    two = spark.createDataFrame([(0, 1), (1, 1)], "tx int, ty int")
+    assert [tuple(r) for r in sinks.tiles_without_image(two, f"file://{tmp_path}/t", 3).collect()] == [(1, 1)]
     assert sinks.write_table(rows, str(tmp_path / "table")) == 3
