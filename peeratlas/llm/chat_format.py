@@ -88,15 +88,16 @@ def formatted(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
             codes = ids.dictionary_encode(null_encoding="encode").indices.to_numpy()
             first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
             last = np.concatenate([first[1:], [len(codes)]])
-            trained = pc.equal(roles, trained_role).to_numpy(zero_copy_only=False)
-            raw, start, end = buffer.tobytes(), at[:, 3], at[:, 4]
-            bodies = [raw[at[a, 0] : at[b - 1, 5]] for a, b in zip(first, last, strict=True)]
-            mask = [np.flatnonzero(trained[a:b]) + a for a, b in zip(first, last, strict=True)]
-            spans = lambda x: pa.array([x[m] - at[a, 0] for m, a in zip(mask, first, strict=True)], pa.list_(pa.int64()))  # noqa: E731, B023
+            trained = np.flatnonzero(pc.equal(roles, trained_role).to_numpy(zero_copy_only=False))
             n = len(first)
+            bounds = np.append(at[first, 0], len(buffer)).astype(np.int32)  # a slice is far below 2 GB
+            bodies = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(bounds), pa.py_buffer(buffer)])
+            turns_before = np.searchsorted(trained, np.append(first, len(codes))).astype(np.int32)
+            own = bounds[:-1].astype(np.int64)[np.searchsorted(first, trained, "right") - 1]
+            spans = lambda column, t=trained, before=turns_before, own=own, at=at: pa.ListArray.from_arrays(pa.array(before), pa.array(at[t, column] - own))
             whole = np.ones(n, bool)
             whole[[0, -1]] = False
-            columns = [ids.take(pa.array(first)), pa.array(place + seen + np.arange(n)), pa.array(whole), pa.array(last - first), pa.array(bodies, pa.binary()), spans(start), spans(end)]
+            columns = [ids.take(pa.array(first)), pa.array(place + seen + np.arange(n)), pa.array(whole), pa.array(last - first), bodies, spans(3), spans(4)]
             seen += n
             yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in SEGMENT.split(", ")])
 

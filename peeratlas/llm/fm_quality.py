@@ -73,6 +73,35 @@ def scores(model: Machine, buckets: np.ndarray, ends: np.ndarray, stats: np.ndar
     return 1 / (1 + np.exp(-np.clip(linear + ((total**2).sum(1) - square) / 2, -30, 30)))
 
 
+def loss_and_gradient(p: dict, rows: list, z: np.ndarray, label: np.ndarray) -> tuple[float, dict]:
+    """The mean log loss of rows (label, word buckets, their counts, statistics) with
+    standardised statistics z, and its gradient by the parameters b, w, v, sw and sv."""
+    buckets, rank = p["v"].shape
+    counts = [np.asarray(r[2], float) for r in rows]
+    field = np.concatenate([np.asarray(r[1], np.int64) for r in rows])
+    ends = np.concatenate([[0], np.cumsum([len(c) for c in counts])])
+    n = np.array([max(1.0, c.sum()) for c in counts])
+    of = np.repeat(np.arange(len(rows)), np.diff(ends))
+    x = np.concatenate(counts) / n[of]
+    x2 = x / n[of]  # every occurrence is a field of its own
+    v = p["v"][field]
+    total = segment_sums(v * x[:, None], ends) + z @ p["sv"]
+    square = segment_sums((v**2).sum(1) * x2, ends) + (z**2) @ (p["sv"] ** 2).sum(1)
+    line = p["b"][0] + segment_sums(p["w"][field] * x, ends) + z @ p["sw"] + ((total**2).sum(1) - square) / 2
+    line = np.clip(line, -30, 30)
+    loss = float(np.mean(np.log1p(np.exp(line)) - label * line))
+    g = (1 / (1 + np.exp(-line)) - label) / len(rows)
+    each = g[of, None] * (x[:, None] * total[of] - x2[:, None] * v)
+    grad = {
+        "b": np.array([g.sum()]),
+        "w": np.bincount(field, g[of] * x, minlength=buckets),
+        "v": np.column_stack([np.bincount(field, each[:, c], minlength=buckets) for c in range(rank)]),
+        "sw": z.T @ g,
+        "sv": z.T @ (g[:, None] * total) - (z**2).T @ g[:, None] * p["sv"],
+    }
+    return loss, grad
+
+
 def train(rows: list, buckets: int = 1 << 14, rank: int = 8, epochs: int = 25, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> Machine:
     """Adam on the log loss. rows: (label, word buckets, their counts, statistics)."""
     rng = np.random.default_rng(seed)
@@ -89,22 +118,7 @@ def train(rows: list, buckets: int = 1 << 14, rank: int = 8, epochs: int = 25, r
         order = rng.permutation(len(rows))
         for i in range(0, len(rows), 256):
             pick = order[i : i + 256]
-            counts = [np.asarray(rows[j][2], float) for j in pick]
-            field = np.concatenate([np.asarray(rows[j][1], np.int64) for j in pick])
-            ends = np.concatenate([[0], np.cumsum([len(c) for c in counts])])
-            n = np.array([max(1.0, c.sum()) for c in counts])
-            of = np.repeat(np.arange(len(pick)), np.diff(ends))
-            x = np.concatenate(counts) / n[of]
-            x2 = x / n[of]  # every occurrence is a field of its own
-            z, v = z_all[pick], p["v"][field]
-            total = segment_sums(v * x[:, None], ends) + z @ p["sv"]
-            square = segment_sums((v**2).sum(1) * x2, ends) + (z**2) @ (p["sv"] ** 2).sum(1)
-            line = p["b"][0] + segment_sums(p["w"][field] * x, ends) + z @ p["sw"] + ((total**2).sum(1) - square) / 2
-            g = (1 / (1 + np.exp(-np.clip(line, -30, 30))) - label[pick]) / len(pick)
-            grad = {"b": np.array([g.sum()]), "sw": z.T @ g, "sv": z.T @ (g[:, None] * total) - (z**2).T @ g[:, None] * p["sv"]}
-            grad["w"] = np.bincount(field, g[of] * x, minlength=buckets)
-            each = g[of, None] * (x[:, None] * total[of] - x2[:, None] * v)
-            grad["v"] = np.column_stack([np.bincount(field, each[:, c], minlength=buckets) for c in range(rank)])
+            _, grad = loss_and_gradient(p, [rows[j] for j in pick], z_all[pick], label[pick])
             step += 1
             for k in p:
                 d = grad[k] + (decay * p[k] if k != "b" else 0)
@@ -116,40 +130,43 @@ def train(rows: list, buckets: int = 1 << 14, rank: int = 8, epochs: int = 25, r
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most_rows: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", buckets: int = 1 << 14) -> list:
     """Training rows of at most most_rows labelled documents: those with the smallest
-    hashes of their ids, whatever the size of the tables. Only their word counts by
-    bucket and statistics leave the tasks."""
+    hashes of their ids, whatever the size of the tables. Rows that repeat id, label and
+    text count once; where an id stands on several texts or labels, each is a row, and the
+    bound is on all rows. Only word counts by bucket and statistics leave the tasks."""
     chosen = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
-    chosen = chosen.orderBy(F.xxhash64("id"), "id", "label").limit(most_rows)
+    chosen = chosen.distinct().orderBy(F.xxhash64("id"), "id", "label").limit(most_rows)
 
     def of(batches):
         for rows, texts in text_slices(batches):
             words, ends = split_words(texts)
             found, stats = word_buckets(words, buckets), statistics(texts, ends)
             each = [np.unique(found[a:b], return_counts=True) for a, b in zip(ends, ends[1:], strict=False)]
-            columns = [*(rows.column(rows.schema.get_field_index(c)) for c in ("id", "label")), pa.array([e[0] for e in each], pa.list_(pa.int32())), pa.array([e[1] for e in each], pa.list_(pa.int32())), pa.array(list(stats), pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "label", "bucket", "n", "stats"])
+            columns = [*(rows.column(rows.schema.get_field_index(c)) for c in ("id", "label", "h")), pa.array([e[0] for e in each], pa.list_(pa.int32())), pa.array([e[1] for e in each], pa.list_(pa.int32())), pa.array(list(stats), pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "label", "h", "bucket", "n", "stats"])
 
-    wanted = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # chosen: most_rows rows of two numbers
+    wanted = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h")).join(F.broadcast(chosen), "id")  # chosen: most_rows rows of two numbers
     kind = wanted.schema["id"].dataType.simpleString()
-    rows = wanted.mapInArrow(of, f"id {kind}, label int, bucket array<int>, n array<int>, stats array<double>").toArrow().sort_by([("id", "ascending"), ("label", "ascending")])
+    counted = wanted.mapInArrow(of, f"id {kind}, label int, h long, bucket array<int>, n array<int>, stats array<double>")
+    once = counted.groupBy("id", "label", "h").agg(*[F.first(c).alias(c) for c in ("bucket", "n", "stats")])
+    rows = once.orderBy(F.xxhash64("id"), "id", "label", "h").limit(most_rows).toArrow().sort_by([(c, "ascending") for c in ("id", "label", "h")])
     lists = {c: rows.column(c).combine_chunks() for c in ("bucket", "n", "stats")}
     cut = {c: np.split(x.flatten().to_numpy(), x.offsets.to_numpy()[1:-1] - x.offsets.to_numpy()[0]) for c, x in lists.items()} if rows.num_rows else {}
     return [(label, *(cut[c][i] for c in ("bucket", "n", "stats"))) for i, label in enumerate(rows.column("label").to_pylist())]
 
 
-def scored(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scored(docs: DataFrame, model: Machine, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """docs with a column score (0 to 1), from whole texts alone, in one pass without a
     shuffle. Null and empty texts get the score of a text without words; repeated rows
-    the same score each. Columns of docs pass unread; one named score is replaced."""
-    kept = docs.drop("score")
-    schema = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())])
+    the same score each. Columns of docs pass unread; one named score_col is replaced."""
+    kept = docs.drop(score_col)
+    schema = T.StructType([*kept.schema.fields, T.StructField(score_col, T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets * (rank + 1) numbers
 
     def of(batches):
         for rows, texts in text_slices(batches, text_col):
             words, ends = split_words(texts)
             found = scores(shared.value, word_buckets(words, len(shared.value.word_w)), ends, statistics(texts, ends))
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(found)], [*rows.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(found)], [*rows.schema.names, score_col])
 
     return kept.mapInArrow(of, schema)
 

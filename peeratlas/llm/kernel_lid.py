@@ -74,17 +74,21 @@ def fit(kernel: Kernel, packed: list[bytes], langs: list[str], landmarks: int =
     return Model(kernel, languages, marks.T @ (root @ solved).astype(np.float32), offset - center @ solved)
 
 
-def learned(docs: DataFrame, per_language: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", kernel: Kernel | None = None, **fit_args) -> Model | None:
-    """A model from about per_language documents of each language (a hash of the id picks
-    them at a rate of per_language / their number, so no task or driver holds more).
-    Rows with null language or null text teach nothing; None if no row is left."""
+def learned(docs: DataFrame, per_language: int = 400, most_languages: int = 64, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", kernel: Kernel | None = None, **fit_args) -> Model | None:
+    """A model from a bounded sample: about per_language documents of each of the
+    most_languages most frequent languages, per_language * most_languages at most. A hash
+    of id and text picks them at a rate of per_language / their (estimated) number; rows
+    that repeat id, text and language count once, so neither a repeated id nor a column with
+    very many values brings more to the driver. Rows with null language or null text teach
+    nothing; None if no row is left."""
     kernel = kernel or Kernel()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
-    counts = docs.select(F.col(lang_col).alias("lang")).where("lang is not null").groupBy("lang").count().collect()  # a row a language
+    drawn = F.xxhash64("id", "text", F.lit(11))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct(drawn).alias("count")).orderBy(F.col("count").desc(), "lang").limit(most_languages).collect()
     rate = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, per_language / r["count"]))]) if counts else None
     if rate is None:
         return None
-    u = F.xxhash64("id", F.lit(11)).bitwiseAND((1 << 52) - 1) / float(1 << 52)
+    u = drawn.bitwiseAND((1 << 52) - 1) / float(1 << 52)
 
     def of(batches):
         for part, texts in text_slices(batches):
@@ -92,10 +96,11 @@ def learned(docs: DataFrame, per_language: int = 400, id_col: str = "doc_id", te
             for row, text in zip(found, texts.cast(pa.large_binary()).to_pylist(), strict=True):
                 kernel.presence(text, row)
             bits = [r.tobytes() for r in np.packbits(found, axis=1)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(part.schema.get_field_index("lang")), pa.array(bits, pa.binary())], ["id", "lang", "bits"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(bits, pa.binary())], ["drawn", "lang", "bits"])
 
-    kind = rows.schema["id"].dataType.simpleString()
-    sample = rows.where(u < rate[F.col("lang")]).mapInArrow(of, f"id {kind}, lang string, bits binary").toArrow().sort_by([("id", "ascending"), ("lang", "ascending")])
+    picked = rows.where(u < rate[F.col("lang")]).select(drawn.alias("drawn"), "text", "lang").mapInArrow(of, "drawn long, lang string, bits binary")
+    once = picked.groupBy("drawn", "lang").agg(F.first("bits").alias("bits"))
+    sample = once.orderBy("drawn", "lang").limit(per_language * len(counts)).toArrow().sort_by([("drawn", "ascending"), ("lang", "ascending")])
     if not sample.num_rows:
         return None
     return fit(kernel, sample.column("bits").to_pylist(), sample.column("lang").to_pylist(), **fit_args)
@@ -107,15 +112,15 @@ def _no_letter(text: bytes) -> bool:
     return text.isascii() or not any(map(str.isalpha, text.decode()))
 
 
-def identified(docs: DataFrame, model: Model | None, text_col: str = "text", at_once: int = 128) -> DataFrame:
+def identified(docs: DataFrame, model: Model | None, text_col: str = "text", at_once: int = 128, lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """docs with lang_pred and score (0 to 1) from whole texts alone, without a shuffle.
 
     `und` with score 0: the text is null, has no letter, or there is no model. Else the
     language with the highest score; ties go to the first by name. Columns of docs pass
-    unread; ones named lang_pred or score are replaced.
+    unread; ones named lang_col or score_col are replaced.
     """
-    kept = docs.drop("lang_pred", "score")
-    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    kept = docs.drop(lang_col, score_col)
+    schema = T.StructType([*kept.schema.fields, T.StructField(lang_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets * languages numbers
 
     def of(batches):

@@ -10,22 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import split_words, text_slices
+from .license_texts import TEXTS
 
 # Phrases whose words name a licence, with their labels.
 BASE_PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-# Public licence notices and the phrases that each of them cannot do without.
-TEMPLATES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", ("permission is hereby granted free of charge", "without restriction")),
-    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", ("licensed under the apache license", "in compliance with the license")),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version", ("redistribute it and or modify it", "general public license")),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ("redistribution and use in source and binary forms", "with or without modification")),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ("permission to use copy modify", "with or without fee")),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", ("subject to the terms of the mozilla public license",)),
-    ("cc", "this work is licensed under a creative commons attribution 4 0 international license", ("licensed under a creative commons",)),
-    ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
-    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software", ("free and unencumbered software released into the public domain",)),
-)
-
 #: Byte map of the word rule: 0-9, a-z (A-Z lower-cased) and bytes of other than ASCII stay.
 _WORDS_ONLY = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
@@ -42,8 +30,13 @@ class Index:
     idf: np.ndarray | None = None
 
 
-def build_index(templates=TEMPLATES, phrases=BASE_PHRASES) -> Index:
-    words = lambda text: text.split()
+def plain_words(text: str) -> list[str]:
+    """The words of a text by the rule of the scan."""
+    return text.encode().translate(_WORDS_ONLY).decode().split()
+
+
+def build_index(templates=TEXTS, phrases=BASE_PHRASES) -> Index:
+    words = plain_words
     vocabulary = sorted({w for _, text, keys in templates for part in (text, *keys) for w in words(part)} | {w for p, _ in phrases for w in words(p)})
     number = {w: i for i, w in enumerate(vocabulary)}
     coded = lambda text: np.array([number[w] for w in words(text)], np.int32)
@@ -136,7 +129,7 @@ def word_idf(docs: DataFrame, index: Index, text_col: str = "text") -> np.ndarra
     return np.log((counts[size] + 1) / (counts[:size] + 1))
 
 
-def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, phrases=BASE_PHRASES) -> DataFrame:
+def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEXTS, phrases=BASE_PHRASES) -> DataFrame:
     """id, n_words, n_base, first_word, last_word, base_labels, labels, score per row.
 
     Words: runs of 0-9, a-z and other than ASCII after lower-casing A-Z; whole texts. A

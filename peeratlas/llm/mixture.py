@@ -1,15 +1,11 @@
 """Mixing sources to target weights by entropy balancing."""
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import checked, cut
+from .storage import checked, cut, drop
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Sizes are tilted by their class on a logarithmic scale with so many classes an octave.
-CLASSES_AN_OCTAVE = 32
 #: Rounding priorities are first summed by so many classes.
 PRIORITY_CLASSES = 4096
 
@@ -37,37 +33,9 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), mos
     return levels.withColumn("stands", stands).select("source", "source_size", F.least("cap", F.coalesce(F.col("stands") * F.col("weight"), F.lit(0.0))).alias("target"))
 
 
-def solve_tilt(words: np.ndarray, feature: np.ndarray, target: float, most: float, steps: int = 200) -> float:
-    """The root of sum(words * min(most, exp(tilt * feature))) = target: the slope of the
-    convex dual. Newton steps, halving the bracket where a step leaves it."""
-    if target <= 0 or not words.sum():
-        return -np.inf
-    if target >= most * words.sum():
-        return np.inf
-    low, high = -1.0, 1.0
-    rate = lambda t: np.exp(np.minimum(t * feature, np.log(most)))
-    while words @ rate(low) > target:
-        low *= 2
-    while words @ rate(high) < target:
-        high *= 2
-    tilt = 0.0 if low < 0 < high else (low + high) / 2
-    for _ in range(steps):
-        rates = rate(tilt)
-        over = words @ rates - target
-        if abs(over) <= 1e-9 * target:
-            break
-        low, high = (low, tilt) if over > 0 else (tilt, high)
-        slope = (words * feature * rates)[rates < most].sum()
-        newton = tilt - over / slope if slope > 0 else np.nan
-        tilt = newton if low < newton < high else (low + high) / 2
-    return float(tilt)
-
-
 def _priced(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more) -> DataFrame:
     size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(*more, F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"))
-    kind = F.when(F.col("size") > 0, F.floor(F.log2("size") * CLASSES_AN_OCTAVE)).otherwise(-1)
-    return rows.withColumn("kind", kind.cast("int"))
+    return docs.select(*more, F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"))
 
 
 def _of_source(rows: DataFrame, table: DataFrame) -> DataFrame:
@@ -76,30 +44,62 @@ def _of_source(rows: DataFrame, table: DataFrame) -> DataFrame:
     return rows.join(named, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
 
 
-def _tilts(sizes: DataFrame, weights: tuple[float, ...], most: int) -> DataFrame:
-    """(source, source_size, target, tilt, mean): a Newton solution for each source, from
-    sums by source and size class."""
-    by_kind = cut(sizes.groupBy("source", "kind").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "size-classes")
-    targets = source_targets(by_kind, weights, most)
+def rate_of(size: str, mean: str, tilt: str, most: float):
+    """A document's rate: exp(tilt * size / mean size), most at most, 0 without words."""
+    raw = F.exp(F.least(F.col(tilt) * F.col(size) / F.col(mean), F.log(F.lit(float(most)))))
+    return F.when(F.col(size) == 0, 0.0).when(raw > most - 1e-9, float(most)).otherwise(raw)
 
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("kind")
-        words, mean = rows["size"].to_numpy(float), max(1e-9, rows["size"].sum() / rows["n"].sum())
-        tilt = solve_tilt(words, np.exp2(rows["kind"].to_numpy() / CLASSES_AN_OCTAVE) / mean, rows["target"].iloc[0], most)
-        return rows.head(1)[["source", "source_size", "target"]].assign(tilt=tilt, mean=mean)
 
-    kinds = by_kind.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    source_type = sizes.schema["source"].dataType.simpleString()
-    return cut(kinds.groupBy("source").applyInPandas(solve, f"source {source_type}, source_size long, target double, tilt double, mean double"), "tilts")
+def newton_step(state: DataFrame, by_size: DataFrame, most: float, close: float) -> DataFrame:
+    """state(source, source_size, target, mean, tilt, low, high, done) after one step.
+
+    The gradient of a source's convex dual is the words at its tilt less the target, the
+    second derivative the words times size / mean; both are sums over all documents, with
+    map-side sums, made of whole numbers so that reruns agree to the last bit. A step that
+    leaves the bracket known so far halves or doubles it instead.
+    """
+    met = _of_source(by_size, state.where("not done").select("source", "mean", "tilt"))
+    words = F.col("n") * F.col("size") * rate_of("size", "mean", "tilt", most)
+    bends = F.when(rate_of("size", "mean", "tilt", most) < most, words * F.col("size") / F.col("mean")).otherwise(0.0)
+    whole = lambda x: F.sum(F.round(x * 1024).cast("decimal(38,0)")).cast("double") / 1024
+    sums = met.groupBy("source").agg(whole(words).alias("words"), whole(bends).alias("slope")).withColumnRenamed("source", "of")
+    now = state.join(sums, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    over = F.col("words") - F.col("target")
+    now = now.withColumn("over", over).withColumns({"low": F.when(F.col("over") <= 0, F.col("tilt")).otherwise(F.col("low")), "high": F.when(F.col("over") > 0, F.col("tilt")).otherwise(F.col("high"))})
+    newton = F.when(F.col("slope") > 0, F.col("tilt") - F.col("over") / F.col("slope"))
+    inside = (newton > F.coalesce("low", F.lit(float("-inf")))) & (newton < F.coalesce("high", F.lit(float("inf"))))
+    wider = F.when(F.col("low").isNull(), F.col("high") - F.greatest(F.lit(1.0), F.abs("high"))).otherwise(F.col("low") + F.greatest(F.lit(1.0), F.abs("low")))
+    other = F.coalesce((F.col("low") + F.col("high")) / 2, wider)
+    met_now = F.abs(F.col("over")) <= close * F.col("target")
+    step = F.when(F.col("done") | met_now, F.col("tilt")).when(inside, newton).otherwise(other)
+    return now.select("source", "source_size", "target", "mean", step.alias("tilt"), "low", "high", (F.col("done") | F.coalesce(met_now, F.lit(False))).alias("done"))
+
+
+def _tilts(sizes: DataFrame, weights: tuple[float, ...], most: int, close: float = 1e-6, steps: int = 100) -> DataFrame:
+    """(source, source_size, target, tilt, mean): the tilts of all sources by distributed
+    Newton steps, an aggregate a step over the documents by their own sizes, until each is
+    within close of its target (rounding then meets it to the word)."""
+    by_size = cut(sizes.groupBy("source", "size").agg(F.count("*").alias("n")), "by-size")
+    targets = source_targets(by_size.select("source", (F.col("n") * F.col("size")).alias("size")), weights, most)
+    means = by_size.groupBy(F.col("source").alias("of")).agg((F.sum(F.col("n") * F.col("size")) / F.sum("n")).alias("mean"))
+    start = targets.join(means, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    none, all_ = (F.col("target") <= 0) | (F.col("source_size") == 0), F.col("target") >= most * F.col("source_size")
+    tilt = F.when(none, float("-inf")).when(all_, float("inf")).otherwise(0.0)
+    nothing = F.lit(None).cast("double")
+    state = cut(start.select("source", "source_size", "target", F.greatest("mean", F.lit(1e-9)).alias("mean"), tilt.alias("tilt"), nothing.alias("low"), nothing.alias("high"), (none | all_).alias("done")), "tilts")
+    for _ in range(steps):
+        if state.where("not done").isEmpty():
+            break
+        after = cut(newton_step(state, by_size, most, close), "tilts")
+        drop(state)
+        state = after
+    return state.select("source", "source_size", "target", "tilt", "mean")
 
 
 def _rated(rows: DataFrame, tilts: DataFrame, most: int, seed: int) -> DataFrame:
     """rows with rate, whole copies, and the place in the order for one copy more (null:
     none is due)."""
-    feature = F.pow(F.lit(2.0), F.col("kind") / CLASSES_AN_OCTAVE) / F.col("mean")
-    raw = F.exp(F.least(F.col("tilt") * feature, F.log(F.lit(float(most)))))
-    rate = F.when(F.col("size") == 0, 0.0).when(raw > most - 1e-9, float(most)).otherwise(raw)
-    met = _of_source(rows, tilts).withColumn("rate", rate).drop("kind", "mean", "tilt")
+    met = _of_source(rows, tilts).withColumn("rate", rate_of("size", "mean", "tilt", most)).drop("mean", "tilt")
     u = (F.xxhash64(F.col("id"), F.lit(seed)).bitwiseAND((1 << 52) - 1) + 1) / float(1 << 52)
     part = F.col("rate") - F.floor("rate")
     return met.withColumn("copies", F.floor("rate")).withColumn("priority", F.when(part > 0, u / part))
@@ -147,8 +147,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
     Size: the words of the text, 0 for null. The rates are those nearest to one copy of
     every document (in relative entropy) that give each source its target of words and
-    none above `most`: rate = min(most, exp(tilt * size class)), one tilt a source, found
-    by Newton's method on sums by source and size class. Rates are rounded down to whole
+    none above `most`: rate = min(most, exp(tilt * size / mean size)), one tilt a source,
+    found by Newton steps on sums over all documents. Rates are rounded down to whole
     copies; the words still missing go to documents in the order of u / fraction (u: a
     hash of the id), one copy more each; the last gets the part that fits. So the taken
     words meet the target to the word, and reruns agree: all sums are of integers.

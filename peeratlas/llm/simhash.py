@@ -74,15 +74,17 @@ def choose_blocks(n: int, distance: int) -> int:
     return min(range(distance + 1, distance + 6), key=cost)
 
 
-def link_components(prints: DataFrame, distance: int = 4, blocks: int | None = None) -> DataFrame:
+def link_components(prints: DataFrame, distance: int = 4, blocks: int | None = None, star_rounds: int = 1) -> DataFrame:
     """prints(fp long, n long), fp unique -> (fp, root): components under links of at
     most distance differing bits. Exact for any input.
 
     Pairs are never listed within a group of near copies. First every block's most
     frequent fingerprint is linked with the block's others within the distance, which
-    joins a group of copies into one class with one row per member. Then only blocks
-    that hold two or more classes are searched, for pairs of different classes. Counts
-    and pivots are pre-aggregated; the joins can be split by AQE where a block is hot.
+    joins a group of copies into one class with one row per member; star_rounds more do
+    so with other members of blocks that hold several classes. Then the fingerprints
+    outside a block's largest class are compared with all others of other classes, so
+    pairs within the largest are never listed. Counts and pivots are pre-aggregated; the
+    joins can be split by AQE where a block is hot.
     """
     masks = block_masks(blocks or choose_blocks(prints.count(), distance), distance)
     keyed = lambda df: df.select("*", F.explode(F.array(*[F.lit(m) for m in masks])).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
@@ -94,13 +96,20 @@ def link_components(prints: DataFrame, distance: int = 4, blocks: int | None = N
     classes = components(stars)
     classed = cut(prints.join(classes.withColumnRenamed("id", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("cls")), "classed")
 
-    every = keyed(classed)
-    mixed = every.groupBy("mask", "key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("mask", "key")
-    searched = every.join(mixed, ["mask", "key"])
-    left, right = searched.toDF("mask", "key", "fa", "ca"), searched.toDF("mask", "key", "fb", "cb")
-    pairs = left.join(right, ["mask", "key"]).where((F.col("ca") < F.col("cb")) & near("fa", "fb"))
-    roots = components(pairs.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    return classed.join(roots.withColumnRenamed("id", "cls"), "cls", "left").select("fp", F.coalesce("root", "cls").alias("root"))
+    for turn in range(star_rounds + 1):
+        every = keyed(classed)
+        drawn = F.max(F.struct(F.xxhash64("fp", F.lit(turn)).alias("h"), "fp", "cls"))
+        mixed = every.groupBy("mask", "key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), drawn.alias("p")).where("lo < hi")
+        if turn < star_rounds:
+            held, other = every, mixed.select("mask", "key", F.col("p.fp").alias("fb"), F.col("p.cls").alias("cb"))
+        else:
+            held = cut(every.join(mixed.select("mask", "key"), ["mask", "key"]).select("mask", "key", "fp", "cls"), "mixed")
+            largest = held.groupBy("mask", "key", "cls").agg(F.count("*").alias("rows")).groupBy("mask", "key").agg(F.max(F.struct("rows", "cls"))["cls"].alias("most"))
+            other = held.join(largest, ["mask", "key"]).where("cls <> most").select("mask", "key", F.col("fp").alias("fb"), F.col("cls").alias("cb"))
+        pairs = held.join(other, ["mask", "key"]).where((F.col("cls") != F.col("cb")) & near("fp", "fb"))
+        roots = components(pairs.select(F.col("cls").alias("a"), F.col("cb").alias("b")))
+        classed = cut(classed.join(roots.withColumnRenamed("id", "cls"), "cls", "left").select("fp", F.coalesce("root", "cls").alias("cls")), "classed")
+    return classed.withColumnRenamed("cls", "root")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, seed: int = 42, distance: int = 4, blocks: int | None = None) -> DataFrame:

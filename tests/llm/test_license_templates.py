@@ -1,22 +1,41 @@
+import random
+
 import pytest
 
 from peeratlas.llm import license_scan
+from peeratlas.llm.license_texts import TEXTS
 
 DOCS = "doc_id long, text string"
+FILLER = " some other words of a file " * 20
+
+
+@pytest.fixture(scope="module")
+def single(spark):
+    """The labels of each text alone."""
+    rows = license_scan.scanned(spark.createDataFrame([(n, t) for n, (_, t, _) in enumerate(TEXTS)], DOCS)).collect()
+    return {r.id: set(r.labels.split(",")) for r in rows}
+
+
+def test_each_text_is_found(single):
+    assert all(label in single[n] for n, (label, *_) in enumerate(TEXTS))
+    named = {label: single[n] for n, (label, *_) in enumerate(TEXTS)}  # whole texts come last
+    assert named["zlib"] == {"zlib"} and named["boost"] == {"boost"} and named["0bsd"] == {"0bsd"} and named["isc"] == {"isc"}
+    assert named["bsd-2-clause"] == {"bsd", "bsd-2-clause"} and named["bsd-3-clause"] == {"bsd", "bsd-3-clause"}
+    assert named["mit"] == {"mit"} and named["unlicense"] == {"unlicense"}
 
 
-@pytest.mark.parametrize("names", [[n for n, *_ in license_scan.TEMPLATES], ["mit", "apache", "gpl", "bsd"], ["mit", "apache", "gpl", "bsd", "isc", "mpl"]])
-def test_files_with_several_texts_have_all_labels(spark, names):
-    bodies = {n: t for n, t, _ in license_scan.TEMPLATES}
-    filler = " some other words of a file " * 20
-    texts = [filler.join(bodies[n] for n in names), " ".join(reversed([bodies[n] for n in names]))]
-    found = license_scan.scanned(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()
-    assert [set(r.labels.split(",")) for r in found] == [set(names)] * 2 and all(r.score == 1 for r in found)
+def test_files_with_several_texts_have_the_labels_of_each(spark, single):
+    rng, groups = random.Random(2), [list(range(len(TEXTS))), list(range(9))]
+    groups += [rng.sample(range(len(TEXTS)), n) for n in (2, 2, 2, 3, 3, 4, 6, 9, 9) for _ in range(3)]
+    files = [(i, joint.join(TEXTS[n][1] for n in g)) for i, (g, joint) in enumerate((g, j) for g in groups for j in (FILLER, "\n\n", " "))]
+    found = {r.id: r for r in license_scan.scanned(spark.createDataFrame(files, DOCS)).collect()}
+    for i, group in enumerate(g for g in groups for _ in range(3)):
+        assert set().union(*(single[n] for n in group)) <= set(found[i].labels.split(",")), group
 
 
 def test_edited_text_beside_other_licence_words(spark):
-    words = dict((n, t) for n, t, _ in license_scan.TEMPLATES)["isc"].split()
+    words = license_scan.plain_words(next(t for n, t, _ in TEXTS if n == "isc"))
     words[20], words[30] = "x", "y"
-    text = " ".join(words) + " z" * 50 + " " + " ".join(" ".join(t.split()[::-1]) for _, t, _ in license_scan.TEMPLATES)
+    text = " ".join(words) + " z" * 50 + " " + " ".join(" ".join(license_scan.plain_words(t)[::-1]) for _, t, _ in TEXTS)
     row = license_scan.scanned(spark.createDataFrame([(1, text)], DOCS)).first()
     assert row.labels == "isc" and 0.8 < row.score < 1

@@ -1,5 +1,7 @@
 import re
 
+import numpy as np
+
 from peeratlas.llm import mixture
 
 DOCS = "doc_id long, text string, source string, size int, kind string"
@@ -66,14 +68,22 @@ def test_the_mix_holds_what_was_taken(spark):
     assert got == {i: n for i, n in takes.items() if n}
 
 
-def test_tilt_solves_its_equation():
-    import numpy as np
-
-    sizes, feature = np.array([10.0, 400, 9000]), np.array([0.1, 1, 30])
-    for target in (1.0, 500, 9410, 20_000, 28_000):
-        tilt = mixture.solve_tilt(sizes, feature, target, 3)
-        assert abs(sizes @ np.minimum(3, np.exp(np.minimum(tilt * feature, 2))) - target) < 1e-6 * target
-    assert mixture.solve_tilt(sizes, feature, 0, 3) == -np.inf and mixture.solve_tilt(sizes, feature, 3 * sizes.sum(), 3) == np.inf
+def test_tilts_equal_bisection(spark):
+    rng = np.random.default_rng(0)
+    sizes = {"a": rng.integers(1, 50, 300), "b": np.concatenate([rng.integers(1, 9, 50), [20_000]]), None: rng.integers(0, 3, 900), "c": np.array([7])}
+    rows = [(s, int(n)) for s, found in sizes.items() for n in found]
+    found = {r.source: r for r in mixture._tilts(spark.createDataFrame(rows, "source string, size long").repartition(5), (5, 2, 1), 3).collect()}
+    assert set(found) == set(sizes)
+    for source, r in found.items():
+        n = sizes[source].astype(float)
+        words = lambda t, n=n: (n * np.minimum(3, np.exp(np.minimum(t * n / n.mean(), 2)))).sum()
+        if r.target >= 3 * n.sum():
+            assert r.tilt == np.inf
+            continue
+        low, high = -200.0, 200.0
+        for _ in range(200):
+            low, high = ((low + high) / 2, high) if words((low + high) / 2) < r.target else (low, (low + high) / 2)
+        assert abs(words(r.tilt) - r.target) <= 1.1e-6 * r.target and abs(words(low) - words(r.tilt)) <= 1.1e-6 * r.target
 
 
 def test_no_documents_and_no_words(spark):

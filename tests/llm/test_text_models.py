@@ -69,10 +69,68 @@ def test_quality(spark, docs):
 
 def test_quality_without_labels(spark, docs):
     model = fm_quality.fitted(docs, spark.createDataFrame([], "doc_id long, quality int"))
-    assert {r.score for r in fm_quality.scored(docs, model).collect()} <= {0.5, *(r.score for r in fm_quality.scored(docs, model).collect())}
+    rows = fm_quality.scored(docs, model).collect()
+    assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
+    assert not model.word_w.any() and model.bias == 0
     assert fm_quality.scored(spark.createDataFrame([], DOCS), model).count() == 0
 
 
+def test_gradient_equals_differences():
+    rng = np.random.default_rng(4)
+    stats = fm_quality.STATISTICS
+    p = {"b": rng.normal(size=1), "w": rng.normal(size=8), "v": rng.normal(size=(8, 2)), "sw": rng.normal(size=stats) / 9, "sv": rng.normal(size=(stats, 2)) / 9}
+    rows = [(1, [0, 3], [2, 1], None), (0, [], [], None), (1, [5], [4], None), (0, [1, 3, 7], [1, 1, 1], None)]
+    z, label = rng.normal(size=(4, stats)), np.array([r[0] for r in rows], float)
+    _, grad = fm_quality.loss_and_gradient(p, rows, z, label)
+    for name, values in p.items():
+        for at in np.ndindex(values.shape):
+            ends = []
+            for step in (1e-5, -1e-5):
+                moved = {k: v.copy() for k, v in p.items()}
+                moved[name][at] += step
+                ends.append(fm_quality.loss_and_gradient(moved, rows, z, label)[0])
+            assert np.isclose(grad[name][at], (ends[0] - ends[1]) / 2e-5, atol=1e-7), (name, at)
+
+
+def test_ridge_in_landmark_features_equals_plain_algebra():
+    rng = np.random.default_rng(6)
+    kernel = kernel_lid.Kernel(bits=8, longest=2)
+    texts = ["".join(rng.choice(list("abcdxyz "), 30)) for _ in range(60)]
+    langs = [("p", "q", "r")[i % 3] for i in range(60)]
+    bits = np.zeros((60, 256), np.uint8)
+    for row, text in zip(bits, texts, strict=True):
+        kernel.presence(text.encode(), row)
+    model = kernel_lid.fit(kernel, [np.packbits(r).tobytes() for r in bits], langs, landmarks=20, ridge=1e-2, seed=5)
+    x = bits / np.sqrt(bits.sum(1, keepdims=True))
+    k = lambda a, b: np.array([[(p * q).sum() for q in b] for p in a])
+    marks = x[np.sort(np.random.default_rng(5).permutation(60)[:20])]
+    low_rank = k(x, marks) @ np.linalg.pinv(k(marks, marks), rcond=1e-6, hermitian=True) @ k(marks, x)  # Nystrom kernel matrix
+    wanted = np.where(np.array(langs)[:, None] == np.array(["p", "q", "r"]), 1.0, -1.0)
+    middle = np.eye(60) - 1 / 60  # languages are equally frequent here
+    centered = middle @ low_rank @ middle
+    dual = np.linalg.solve(centered + 1e-2 * 60 * np.eye(60), wanted - wanted.mean(0))
+    assert np.allclose(x.astype(np.float32) @ model.weights + model.bias, centered @ dual + wanted.mean(0), atol=2e-3)
+
+
+def test_samples_are_bounded(spark):
+    hot = [(1, f"thou text {i}", "aa") for i in range(500)] + [(1, "same text", "bb")] * 500 + [(i, f"w{i} x", f"junk{i}") for i in range(300)]
+    docs = spark.createDataFrame(hot, "doc_id long, text string, lang string")
+    model = kernel_lid.learned(docs, per_language=20, most_languages=5, landmarks=30)
+    assert len(model.languages) <= 5 and {"aa", "bb"} <= set(model.languages)
+    labels = spark.createDataFrame([(1, 1)] * 400 + [(i, i % 2) for i in range(100, 140)], "doc_id long, quality int")
+    rows = fm_quality.labelled_sample(docs, labels, most_rows=30)
+    assert 0 < len(rows) <= 30
+    once = fm_quality.labelled_sample(docs.where("lang = 'bb'"), labels, most_rows=30)
+    assert len(once) == 1
+
+
+def test_columns_of_the_results_can_be_named(spark, docs):
+    model = fm_quality.fitted(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    assert fm_quality.scored(docs, model, score_col="mine").where("score = 's' and mine is not null").count() == 400
+    found = kernel_lid.identified(docs, None, lang_col="l", score_col="p")
+    assert found.columns == [*docs.columns, "l", "p"] and found.where("lang_pred = 'l'").count() == 400
+
+
 def test_machine_equals_all_pairs():
     rng = np.random.default_rng(0)
     stats = fm_quality.STATISTICS
