@@ -96,7 +96,7 @@ def needed_probes(sample: np.ndarray, centers: np.ndarray, k: int, share: float,
 SCAN = "query long, row long, low double, high double"
 
 
-def scan_block(queries: pd.DataFrame, rows: pd.DataFrame, turn: np.ndarray, center: np.ndarray, k: int, width: float, at_once: int = 32) -> pd.DataFrame:
+def scan_block(queries: pd.DataFrame, rows: pd.DataFrame, turn: np.ndarray, center: np.ndarray, k: int, width: float, at_once: int = 16) -> pd.DataFrame:
     """The rows of one block that may be among the k nearest of a query: those whose upper
     bound reaches both the query's floor and the k-th largest lower bound of the block."""
     parts = []
@@ -134,7 +134,7 @@ def exact_products(pairs: DataFrame, dims: int) -> DataFrame:
     return pairs.mapInArrow(of, f"{kinds}, score double")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", bits: int = 512, width: float = 1.25, cells: int | None = None, probes: int | None = None, sample_rows: int = 8192, block_rows: int = 16_384, block_queries: int = 4096, share: float = 0.98, seed: int = 9) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", bits: int = 512, width: float = 1.25, cells: int | None = None, probes: int | None = None, sample_rows: int = 8192, block_rows: int = 65_536, block_queries: int = 512, share: float = 0.98, seed: int = 9) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest rows by inner product in
     double precision, ties to the smaller id, rows with the query's own id left out; all
     rows where there are fewer than k.
@@ -144,7 +144,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     from the sample_rows rows with the smallest hashes; so does the number of cells that a
     query sees (`probes`; all cells where probes = cells, the exact way but for the error
     bounds). Blocks of a cell's codes, without vectors, meet blocks of the queries that
-    see it, in groups of bounded size. What may be among the k nearest by its bounds, also
+    see it, in groups of bounded size; the larger a block of rows, the closer its k-th
+    bound is to the last one and the less passes it. What may be among the k nearest by its bounds, also
     against the k-th best of the sample, is pruned again by all blocks' bounds; vectors
     are joined only to what is left, and reranked exactly.
 
@@ -181,7 +182,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     for r in index.groupBy("cell").count().collect():  # a row a cell
         sizes[r["cell"]] = r["count"]
     blocks = np.maximum(1, -(-sizes // block_rows))
-    rounds = max(1, -(-n_asked // block_queries))
 
     def placed(batches):
         for batch in batches:
@@ -197,12 +197,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(floor), pa.array(lists, pa.list_(pa.int32()))], ["query", "query_id", "vec", "floor", "cells"])
 
     kind = asked.schema["vec"].dataType.simpleString()
-    wanted = asked.select("row", "vec_id", "vec").mapInArrow(placed, f"query long, query_id long, vec {kind}, floor double, cells array<int>")
-    count_of = F.array(*[F.lit(int(b)) for b in blocks])
+    wanted = cut(asked.select("row", "vec_id", "vec").mapInArrow(placed, f"query long, query_id long, vec {kind}, floor double, cells array<int>"), "wanted")
+    rounds = np.zeros(len(centers), np.int64)  # blocks of queries by the cell that they see
+    for r in wanted.select(F.explode("cells").alias("cell")).groupBy("cell").count().collect():
+        rounds[r["cell"]] = -(-r["count"] // block_queries)
+    of_cell = lambda counts: F.get(F.array(*[F.lit(int(c)) for c in counts]), F.col("cell"))
     part = lambda key, n: F.pmod(F.xxhash64(key, F.lit(seed + 1)), n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = wanted.withColumn("cell", F.explode("cells")).drop("cells").withColumn("r", each(F.get(count_of, F.col("cell")))).withColumn("q", part("query", F.lit(rounds)))
-    right = index.withColumn("r", part("row", F.get(count_of, F.col("cell")))).withColumn("q", each(F.lit(rounds)))
+    left = wanted.withColumn("cell", F.explode("cells")).drop("cells").withColumn("r", each(of_cell(blocks))).withColumn("q", part("query", of_cell(rounds)))
+    right = index.where(of_cell(rounds) > 0).withColumn("r", part("row", of_cell(blocks))).withColumn("q", each(of_cell(rounds)))
     key = ["cell", "r", "q"]
 
     def scan(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -222,6 +225,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     scored = exact_products(met.select("query", "query_id", "vec_id", "row", "q", "v"), dims)
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id", "row"))
     found = cut(scored.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nearest")
-    for table in (index, maybe):
+    for table in (index, wanted, maybe):
         drop(table)
     return found
