@@ -20,6 +20,16 @@ def text_slices(batches, column="text", most_bytes=2 << 20):
             stop = max(start + 1, int(np.searchsorted(ends, before + most_bytes, side="right")))
             yield batch.slice(start, stop - start), texts.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()  # workers live on; the next task may need the room elsewhere
+
+
+def small_batches(spark, most_bytes: int = 8 << 20, most_rows: int = 2000) -> None:
+    """Let Spark hand texts to Python in batches of a few MB: JVM and worker hold several
+    copies of each. A session that has values of its own keeps them."""
+    for name, usual, value in (("maxBytesPerBatch", "67108864b", f"{most_bytes}b"), ("maxRecordsPerBatch", "10000", str(most_rows))):
+        key = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(key, usual) == usual:
+            spark.conf.set(key, value)
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

@@ -41,7 +41,7 @@ class WordIds:
     most_words at a time), and texts are put together from word ids by array operations.
     A tokenizer with other rules, as the probe tells, encodes whole texts."""
 
-    def __init__(self, path: str, most_words: int = 400_000):
+    def __init__(self, path: str, most_words: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.full = Tokenizer.from_file(path)
         self.specials = [t.content.encode().lower() for t in self.full.get_added_tokens_decoder().values()]
@@ -175,7 +175,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     def of(batches):
         encoder, part, seen = word_ids(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for rows, texts in text_slices(batches, most_bytes=4 << 20):
+        for rows, texts in text_slices(batches):
             ids, at = encoder.encode(texts)
             own = memoryview(np.insert(ids, at[1:], end_id).astype("<u4").tobytes())
             tokens = np.diff(at) + 1
