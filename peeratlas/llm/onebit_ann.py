@@ -38,26 +38,42 @@ def query_planes(turned: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return np.stack(planes), least, step, whole.sum(1, dtype=np.int64)
 
 
-def estimates(turned: np.ndarray, codes: np.ndarray, length: np.ndarray, fit: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
+def shared_bits(planes: np.ndarray, codes: np.ndarray, tile: int = 4096) -> np.ndarray:
+    """For each query and code the weighted number of bits that the query's planes share
+    with the code, in tiles that stay in a core's cache."""
+    found = np.empty((planes.shape[1], len(codes)), np.int32)
+    for start in range(0, len(codes), tile):
+        words = np.ascontiguousarray(codes[start : start + tile].T)
+        total = np.zeros((planes.shape[1], words.shape[1]), np.int32)
+        for p, plane in enumerate(planes):
+            bits = np.zeros(total.shape, np.uint16 if len(words) < 1024 else np.uint32)
+            for w, word in enumerate(words):
+                bits += np.bitwise_count(plane[:, w, None] & word[None])
+            total += bits.astype(np.int32) << p
+        found[:, start : start + tile] = total
+    return found
+
+
+def estimates(turned: np.ndarray, codes: np.ndarray, length: np.ndarray, fit: np.ndarray, width: float | None) -> tuple[np.ndarray, np.ndarray]:
     """Estimated inner products of rotated queries and coded vectors, and how far off they
     may be: width standard deviations of the part of a vector that its code doesn't tell
-    and of the queries' rounding.
+    and of the queries' rounding. With width None the bound is certain: by Cauchy-Schwarz
+    the length of that part, and half a step in every coordinate.
 
     A product with signs is twice the sum over bits that are set less the sum over all;
     the sum over set bits is the bits that codes and planes share, weighed by plane.
     """
     bits = turned.shape[1]
     planes, least, step, total = query_planes(turned)
-    shared = np.zeros((len(turned), len(codes)), np.int32)
-    for p in range(QUERY_BITS):
-        for word in range(codes.shape[1]):
-            shared += np.left_shift(np.bitwise_count(planes[p, :, word, None] & codes[None, :, word]), p, dtype=np.int32)
     ones = np.bitwise_count(codes).sum(1, dtype=np.int64)
-    signed = step[:, None] * (2 * shared - total[:, None]) + least[:, None] * (2 * ones - bits)[None, :]
+    signed = step[:, None] * (2 * shared_bits(planes, codes) - total[:, None]) + least[:, None] * (2 * ones - bits)[None, :]
     scale = length / fit / np.sqrt(bits)
-    off = np.linalg.norm(turned, axis=1)[:, None] * (length * np.sqrt(np.maximum(0, 1 - fit**2)) / fit / np.sqrt(bits - 1))[None, :]
+    untold = np.linalg.norm(turned, axis=1)[:, None] * (length * np.sqrt(np.maximum(0, 1 - fit**2)) / fit)[None, :]
+    if width is None:
+        slack = 1e-9 * np.linalg.norm(turned, axis=1)[:, None] * (length + 1)[None, :]  # of floating point
+        return signed * scale, untold + step[:, None] * bits / 2 * scale[None, :] + slack
     rounding = step[:, None] * np.sqrt(bits / 12) * scale[None, :]
-    return signed * scale, width * np.sqrt(off**2 + rounding**2)
+    return signed * scale, width * np.sqrt(untold**2 / (bits - 1) + rounding**2)
 
 
 def group_centers(x: np.ndarray, groups: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -93,12 +109,12 @@ def needed_probes(sample: np.ndarray, centers: np.ndarray, k: int, share: float,
     return int(np.quantile(at, share, method="higher")) + 1
 
 
-SCAN = "query long, row long, low double, high double"
+SCAN = "query long, row long, guess double"
 
 
-def scan_block(queries: pd.DataFrame, rows: pd.DataFrame, turn: np.ndarray, center: np.ndarray, k: int, width: float, at_once: int = 16) -> pd.DataFrame:
-    """The rows of one block that may be among the k nearest of a query: those whose upper
-    bound reaches both the query's floor and the k-th largest lower bound of the block."""
+def scan_block(queries: pd.DataFrame, rows: pd.DataFrame, turn: np.ndarray, center: np.ndarray, k: int | None, width: float | None, at_once: int = 16) -> pd.DataFrame:
+    """Of one block of rows, for each query: the k with the largest estimates; without k
+    all whose upper bound reaches the query's floor."""
     parts = []
     if len(queries) and len(rows):
         ids, numbers = rows["vec_id"].to_numpy(), rows["row"].to_numpy()
@@ -110,14 +126,16 @@ def scan_block(queries: pd.DataFrame, rows: pd.DataFrame, turn: np.ndarray, cent
             query = wanted[i : i + at_once]
             guess, off = estimates(query @ turn, codes, length, fit, width)
             guess += (query @ center)[:, None]
-            own = ids[None, :] == names[i : i + at_once, None]
-            low, high = np.where(own, -np.inf, guess - off), np.where(own, -np.inf, guess + off)
-            at = max(0, low.shape[1] - k)
-            least = np.maximum(np.partition(low, at, axis=1)[:, at], floors[i : i + at_once])
-            q, r = np.nonzero((high >= least[:, None]) & ~own)
-            parts.append((keys[i + q], numbers[r], low[q, r], high[q, r]))
-    columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.array([], t) for t in (np.int64, np.int64, float, float)]
-    return pd.DataFrame(dict(zip(("query", "row", "low", "high"), columns, strict=True)))
+            guess[ids[None, :] == names[i : i + at_once, None]] = -np.inf
+            if k is None:
+                q, r = np.nonzero(guess + off >= floors[i : i + at_once, None])
+            else:
+                best = np.argpartition(-guess, min(k, len(rows)) - 1, axis=1)[:, : min(k, len(rows))]
+                q, r = np.repeat(np.arange(len(query)), best.shape[1]), best.ravel()
+            some = np.isfinite(guess[q, r])
+            parts.append((keys[i + q[some]], numbers[r[some]], guess[q[some], r[some]]))
+    columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.array([], t) for t in (np.int64, np.int64, float)]
+    return pd.DataFrame(dict(zip(("query", "row", "guess"), columns, strict=True)))
 
 
 def exact_products(pairs: DataFrame, dims: int) -> DataFrame:
@@ -134,7 +152,7 @@ def exact_products(pairs: DataFrame, dims: int) -> DataFrame:
     return pairs.mapInArrow(of, f"{kinds}, score double")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", bits: int = 512, width: float = 1.25, cells: int | None = None, probes: int | None = None, sample_rows: int = 8192, block_rows: int = 65_536, block_queries: int = 512, share: float = 0.98, seed: int = 9) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", bits: int = 1024, width: float | None = 3.5, cells: int | None = None, probes: int | None = None, sample_rows: int = 8192, block_rows: int = 65_536, block_queries: int = 512, share: float = 0.98, seed: int = 9) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest rows by inner product in
     double precision, ties to the smaller id, rows with the query's own id left out; all
     rows where there are fewer than k.
@@ -142,27 +160,34 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     Every row gets the nearest of `cells` centers (one for each two blocks of rows, 1,024
     at most) and a code of `bits` signs of its rotated difference from there. Centers come
     from the sample_rows rows with the smallest hashes; so does the number of cells that a
-    query sees (`probes`; all cells where probes = cells, the exact way but for the error
-    bounds). Blocks of a cell's codes, without vectors, meet blocks of the queries that
-    see it, in groups of bounded size; the larger a block of rows, the closer its k-th
-    bound is to the last one and the less passes it. What may be among the k nearest by its bounds, also
-    against the k-th best of the sample, is pruned again by all blocks' bounds; vectors
-    are joined only to what is left, and reranked exactly.
-
-    Bounds are `width` standard deviations either way; a neighbour is missed only beyond
-    twice that. Vectors that are null, empty, zero or hold null or non-finite components
-    take no part (nor do null ids); shorter ones count as followed by zeros; of rows that
-    repeat id and vector one counts. Rows with one id and different vectors count each: as
-    queries they are ranked apart, as candidates both may appear.
+    query sees (`probes`; all cells where probes = cells). Blocks of a cell's codes,
+    without vectors, meet blocks of the queries that see it, in groups of bounded size,
+    twice. The first time each block names the k rows with the largest estimates; the best
+    k of all blocks are computed exactly, and their k-th product is the query's floor. The
+    second time a row passes if its upper bound reaches the floor. Vectors are joined only
+    to the rows that passed, and reranked exactly.
+
+    The floor is exact and never above the k-th nearest, so a neighbour in a seen cell is
+    lost only where its estimate is more than `width` standard deviations too low: for the
+    neighbour that lies at the floor 2 in 10,000 at 3.5, for nearer ones less. `width=None`
+    with `probes` = `cells` is exact: bounds are then certain, and cost most of the pruning.
+
+    Of rows with equal vectors the k + 1 smallest ids count, as no others can be among the
+    nearest: a vector that stands on very many rows costs no more. Vectors that are null,
+    empty, zero or hold null or non-finite components take no part (nor do null ids);
+    shorter ones count as followed by zeros; of rows that repeat id and vector one counts.
+    Rows with one id and different vectors count each: as queries they are ranked apart, as
+    candidates both may appear. Empty tables give no rows; other columns are ignored.
     """
     dims = max(dimensions(vectors, vec_col), dimensions(queries, vec_col))
-    clean = lambda df: df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("vec")).where(usable(F.col("vec"))).where("vec_id is not null").withColumn("vec", padded(F.col("vec"), dims)).distinct().withColumn("row", F.monotonically_increasing_id())
-    rows, asked = cut(clean(vectors), "rows"), cut(clean(queries), "queries")
+    clean = lambda df: df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("vec")).where(usable(F.col("vec"))).where("vec_id is not null").withColumn("vec", padded(F.col("vec"), dims))
+    numbered = lambda df: df.distinct().withColumn("row", F.monotonically_increasing_id())
+    of_equal = F.dense_rank().over(Window.partitionBy("vec").orderBy("vec_id"))
+    rows, asked = cut(numbered(clean(vectors).withColumn("n", of_equal).where(F.col("n") <= k + 1).drop("n")), "rows"), cut(numbered(clean(queries)), "queries")
     n_rows, n_asked = rows.count(), asked.count()
     drawn = F.xxhash64("vec_id", F.lit(seed))
     likely = rows if n_rows <= 4 * sample_rows else rows.where(drawn.bitwiseAND((1 << 52) - 1) < int((1 << 52) * 2.0 * sample_rows / n_rows))
     few = likely.orderBy(drawn.bitwiseAND((1 << 52) - 1), "vec_id", "row").limit(sample_rows).select("vec_id", "vec").toArrow()
-    sample_ids = few.column(0).to_numpy()
     sample = few.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dims)
     centers = group_centers(sample, cells or min(1024, max(1, n_rows // (2 * block_rows))), seed=seed)
     seen = min(probes or needed_probes(sample, centers, k, share), len(centers))
@@ -189,42 +214,47 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
             order = np.argsort(-(x @ centers.T), axis=1, kind="stable")
             held = np.cumsum(sizes[order], axis=1)
             fewest = 1 + (held < 8 * k).sum(1)  # cells with hardly a row don't count
-            products = x @ sample.T
-            products[batch.column(1).to_numpy()[:, None] == sample_ids[None, :]] = -np.inf
-            floor = np.partition(products, -k, axis=1)[:, -k] if products.shape[1] >= k else np.full(len(x), -np.inf)
             stops = np.minimum(np.maximum(seen, fewest), len(centers))
             lists = [o[:n].tolist() for o, n in zip(order, stops, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(floor), pa.array(lists, pa.list_(pa.int32()))], ["query", "query_id", "vec", "floor", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(lists, pa.list_(pa.int32()))], ["query", "query_id", "vec", "cells"])
 
     kind = asked.schema["vec"].dataType.simpleString()
-    wanted = cut(asked.select("row", "vec_id", "vec").mapInArrow(placed, f"query long, query_id long, vec {kind}, floor double, cells array<int>"), "wanted")
+    wanted = cut(asked.select("row", "vec_id", "vec").mapInArrow(placed, f"query long, query_id long, vec {kind}, cells array<int>"), "wanted")
     rounds = np.zeros(len(centers), np.int64)  # blocks of queries by the cell that they see
     for r in wanted.select(F.explode("cells").alias("cell")).groupBy("cell").count().collect():
         rounds[r["cell"]] = -(-r["count"] // block_queries)
     of_cell = lambda counts: F.get(F.array(*[F.lit(int(c)) for c in counts]), F.col("cell"))
     part = lambda key, n: F.pmod(F.xxhash64(key, F.lit(seed + 1)), n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = wanted.withColumn("cell", F.explode("cells")).drop("cells").withColumn("r", each(of_cell(blocks))).withColumn("q", part("query", of_cell(rounds)))
     right = index.where(of_cell(rounds) > 0).withColumn("r", part("row", of_cell(blocks))).withColumn("q", each(of_cell(rounds)))
     key = ["cell", "r", "q"]
 
-    def scan(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        cell = int((a if len(a) else b)["cell"].iloc[0])
-        return scan_block(a, b, turn, centers[cell], k, width)
-
-    maybe = cut(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(scan, SCAN), "maybe")
-    lows = F.row_number().over(Window.partitionBy("query").orderBy(F.col("low").desc()))
-    least = maybe.withColumn("place", lows).where(F.col("place") <= k).groupBy("query").agg(F.min("low").alias("least"), F.count("*").alias("n"))
-    bound = checked(least.select("query", F.when(F.col("n") >= k, F.col("least")).otherwise(float("-inf")).alias("least")), 100_000)
-    near = maybe.join(bound, "query").where("high >= least").select("query", "row")
-    named = near.join(rows.select("row", "vec_id", F.col("vec").alias("v")), "row")
-    if n_asked <= 20_000:  # at most some 20,000 vectors
-        met = named.join(F.broadcast(asked.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), F.col("vec").alias("q"))), "query")
-    else:
-        met = named.join(asked.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), F.col("vec").alias("q")), "query")
-    scored = exact_products(met.select("query", "query_id", "vec_id", "row", "q", "v"), dims)
+    def scanned(floors: DataFrame | None) -> DataFrame:
+        asking = wanted.withColumn("floor", F.lit(float("-inf"))) if floors is None else wanted.join(floors, "query", "left")
+        left = asking.withColumn("cell", F.explode("cells")).drop("cells").withColumn("r", each(of_cell(blocks))).withColumn("q", part("query", of_cell(rounds)))
+        best = k if floors is None else None
+
+        def scan(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            cell = int((a if len(a) else b)["cell"].iloc[0])
+            return scan_block(a, b, turn, centers[cell], best, width)
+
+        return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(scan, SCAN)
+
+    vec = F.col("vec")
+    few_queries = F.broadcast if n_asked * dims <= 1 << 22 else lambda table: table  # at most 32 MB of doubles
+
+    def products(pairs: DataFrame) -> DataFrame:
+        named = pairs.join(rows.select("row", "vec_id", vec.alias("v")), "row")
+        met = named.join(few_queries(asked.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), vec.alias("q"))), "query")
+        return exact_products(met.select("query", "query_id", "vec_id", "row", "q", "v"), dims)
+
+    first = lambda n, *order: F.row_number().over(Window.partitionBy("query").orderBy(*order)) <= n
+    likely = cut(scanned(None).withColumn("first", first(k, F.col("guess").desc(), "row")).where("first").select("query", "row"), "likely")
+    kth = F.when(F.count("*") >= k, F.min("score")).otherwise(float("-inf"))
+    floors = cut(products(likely).groupBy("query").agg(kth.alias("floor")), "floors")
+    maybe = cut(scanned(checked(floors, 100_000)).select("query", "row"), "maybe")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id", "row"))
-    found = cut(scored.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nearest")
-    for table in (index, wanted, maybe):
+    found = cut(products(maybe).withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nearest")
+    for table in (rows, asked, index, wanted, likely, floors, maybe):
         drop(table)
     return found

@@ -139,3 +139,24 @@ def test_large_components_are_counted_in_blocks(spark):
     near = unit @ unit.T >= 0.995
     near[:70, 70:] = near[70:, :70] = False
     assert 0 < near.mean() < 1 and found == dict(enumerate((near.sum(1) - 1).tolist()))
+
+
+def test_nearest_at_defaults_and_with_certain_bounds_equal_brute_force(spark):
+    """Vectors of the driver's kind, the parameters of the registered query; then the exact
+    way on few bits and many small blocks, which the default bounds could not survive."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(2000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[1500:1700] = x[3]  # equal rows: ties by id, only the first k + 1 matter
+    table = spark.createDataFrame([(i, [float(v) for v in r], 0, 0, "") for i, r in enumerate(x)], VECTORS)
+    scores = np.add.accumulate(x.astype(float)[:, None, :] * x.astype(float)[None, ::20].swapaxes(0, 1).reshape(1, -1, 64), axis=2)[:, :, -1].T
+    best = {}
+    for n, q in enumerate(range(0, 2000, 20)):
+        own = scores[n].copy()
+        own[q] = -np.inf
+        best |= {(q, r + 1): int(v) for r, v in enumerate(np.lexsort((np.arange(2000), -own))[:20])}
+    asked = table.where("vec_id % 20 = 0")
+    for options in ({}, {"width": None, "bits": 64, "cells": 3, "probes": 3, "block_rows": 300, "block_queries": 16, "sample_rows": 400}):
+        found = onebit_ann.nearest(table, asked, **options).collect()
+        assert {(r.query_id, r.rank): r.vec_id for r in found} == best
+        assert all(r.score == scores[r.query_id // 20, r.vec_id] for r in found)
