@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cap_filters, chat_format, fm_quality, kernel_lid, license_scan, mixture, onebit_ann, packing, simhash, warc_zip
+from . import cap_filters, chat_format, fm_quality, kernel_lid, license_scan, mixture, onebit_ann, packing, periodic_runs, simhash, warc_zip
 from .storage import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +87,17 @@ def op10_onebit_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return onebit_ann.nearest(rows, rows.where(F.col("vec_id") % 20 == 0))
 
 
+@registered
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), rearrange=periodic_runs.planted_repeats)
+    top = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p"))))
+    said = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    length = -top["l"]
+    exponent = F.floor(1000 * length / top["p"]).cast("long")
+    digests = [F.sha2(said, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")]
+    return found.select(F.col("id").alias("doc_id"), "n_words", F.size("runs").cast("long").alias("n_runs"), top["s"].alias("start"), length.alias("length"), top["p"].alias("period"), exponent.alias("exponent_milli"), *digests)
+
+
 _DOT = "list_reduce(list_transform(range(1, 65), lambda i: CAST({a}[i] AS DOUBLE) * CAST({b}[i] AS DOUBLE)), lambda s, x: s + x)"
 _TURNS = r"""(SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')"""
@@ -118,3 +129,22 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
     SELECT q.vec_id AS query_id, v.vec_id, {_DOT.format(a="q.embedding", b="v.embedding")} AS score FROM embeddings q JOIN embeddings v ON v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0))
 WHERE rank <= 20"""
+
+
+# crc32 of short ASCII strings: eight steps of the reflected polynomial for each byte
+_CRC32 = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({s}, ''), lambda ch: ascii(ch)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+
+ORACLE_SQL["op11_periodic_runs"] = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, {_CRC32.format(s="CAST(doc_id AS VARCHAR)")} AS h FROM documents),
+e AS (SELECT *, len(w) AS n, h // 10 AS g FROM d), f AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a FROM e),
+k AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN 1 + (n - a) // (3 + g % 8) END AS p FROM f),
+word AS (SELECT doc_id, i, CASE WHEN p IS NULL OR i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END AS x FROM k, LATERAL (SELECT unnest(range(n)) AS i)),
+met AS (SELECT l.doc_id, l.i, r.i - l.i AS p FROM word l JOIN word r ON l.doc_id = r.doc_id AND l.x = r.x AND l.i < r.i),
+stretch AS (SELECT doc_id, p, min(i) AS start, count(*) AS c FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS island FROM met) GROUP BY doc_id, p, island),
+runs AS (SELECT doc_id, start, c + p AS length, min(p) AS period FROM stretch WHERE c >= p AND c + p >= 12 GROUP BY doc_id, start, c + p),
+gone AS (SELECT DISTINCT r.doc_id, unnest(range(r.start + r.period, r.start + r.length)) AS i FROM runs r),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+said AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS t, min({{'l': -length, 's': start, 'p': period}}) AS top FROM runs GROUP BY doc_id)
+SELECT k.doc_id, k.n AS n_words, coalesce(n_runs, 0) AS n_runs, top.s AS start, -top.l AS length, top.p AS period, 1000 * -top.l // top.p AS exponent_milli,
+       sha256(coalesce(said.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM k LEFT JOIN said USING (doc_id) LEFT JOIN kept USING (doc_id)"""
