@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cap_filters, chat_format, fm_quality, kernel_lid, license_scan, mixture, onebit_ann, packing, periodic_runs, simhash, token_files, warc_zip
+from . import cap_filters, chat_format, fm_quality, kernel_lid, license_scan, mixture, onebit_ann, packing, periodic_runs, simhash, token_files, turn_repair, warc_zip
 from .storage import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,6 +105,16 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@registered
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    found = turn_repair.digests(turn_repair.repair(turn_repair.damaged(rows)))
+    numbers = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    none = rows.select("conv_id").distinct().select("conv_id", *[F.lit(0).cast("long").alias(c) for c in numbers], F.lit("").alias("audit"), F.lit(None).cast("string").alias("repaired_sha256"))
+    # every conversation, also those without a row left
+    return found.select(none.columns).union(none).groupBy("conv_id").agg(*[F.max(c).alias(c) for c in numbers], F.max("audit").alias("audit"), F.coalesce(F.max("repaired_sha256"), F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 _DOT = "list_reduce(list_transform(range(1, 65), lambda i: CAST({a}[i] AS DOUBLE) * CAST({b}[i] AS DOUBLE)), lambda s, x: s + x)"
 _TURNS = r"""(SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')"""
@@ -155,3 +165,29 @@ said AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length ||
 SELECT k.doc_id, k.n AS n_words, coalesce(n_runs, 0) AS n_runs, top.s AS start, -top.l AS length, top.p AS period, 1000 * -top.l // top.p AS exponent_milli,
        sha256(coalesce(said.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
 FROM k LEFT JOIN said USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+ORACLE_SQL["op13_turn_repair"] = f"""
+WITH RECURSIVE r AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC32.format(s="coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS h FROM conversations),
+d AS (SELECT conv_id, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE h WHEN 3 THEN 2 ELSE 1 END)) AS c FROM r WHERE h <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, c) AS i FROM d),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 3 ELSE 0 END AS k,
+      left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) || left(role, 1) AS pair FROM o),
+sums AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (k = 1) AS blank, count(*) FILTER (k = 2) AS duplicate, count(*) FILTER (k = 3) AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+-- the cheapest edits (cost, initials, rows) of the first i rows by what was said last
+best AS (SELECT conv_id, 0::BIGINT AS i, '' AS s, {{'cost': 0::BIGINT, 'audit': '', 'said': []::VARCHAR[]}} AS b FROM sums UNION ALL
+  SELECT conv_id, i, s, min(b) FROM (
+    SELECT t.conv_id, t.i + 1 AS i, m.s, {{'cost': t.b.cost + m.cost, 'audit': t.b.audit || m.edit, 'said': CASE WHEN m.edit = 'D' THEN t.b.said ELSE list_append(t.b.said, m.role || ':' || t.text) END}} AS b
+    FROM (SELECT t.conv_id, t.i, t.s, t.b, f.role, f.text, f.k FROM (
+            SELECT conv_id, i, s, b FROM best UNION ALL
+            SELECT conv_id, i, CASE s WHEN 'u' THEN 'a' ELSE 'u' END, {{'cost': b.cost + 5, 'audit': b.audit || 'I', 'said': list_append(b.said, CASE s WHEN 'u' THEN 'assistant:' ELSE 'user:' END)}} FROM best) t
+          JOIN f ON f.conv_id IS NOT DISTINCT FROM t.conv_id AND f.i = t.i + 1) t,
+    LATERAL (SELECT t.s AS s, 2 AS cost, 'D' AS edit, '' AS role UNION ALL
+             SELECT CASE t.s WHEN 'u' THEN 'a' ELSE 'u' END, CASE t.k WHEN 3 THEN 6 ELSE 1 END, 'R', CASE t.s WHEN 'u' THEN 'assistant' ELSE 'user' END WHERE t.k IN (0, 3) UNION ALL
+             SELECT left(t.role, 1), CASE t.k WHEN 3 THEN 5 ELSE 0 END, 'K', t.role WHERE t.k IN (0, 3) AND t.s || left(t.role, 1) IN ('s', 'u', 'su', 'ua', 'au')) m)
+  GROUP BY conv_id, i, s),
+ends AS (SELECT b.conv_id, b.s, b.b FROM best b JOIN sums ON sums.conv_id IS NOT DISTINCT FROM b.conv_id AND b.i = sums.n),
+done AS (SELECT conv_id, min(b) AS b FROM (SELECT * FROM ends UNION ALL SELECT conv_id, 'a', {{'cost': b.cost + 5, 'audit': b.audit || 'I', 'said': list_append(b.said, 'assistant:')}} FROM ends WHERE s = 'u') WHERE s IN ('', 'a') GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(b.cost, 0) AS cost, coalesce(b.audit, '') AS audit,
+       sha256(coalesce(array_to_string(b.said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN sums ON sums.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM c.conv_id"""
