@@ -17,7 +17,7 @@ from ..sources.storage import cut, new_path
 from ..streaming.extract import extract_new_files
 from . import driver_views as views
 from . import iterate
-from .oracle import _byte, _cell, _colors, sql
+from .oracle import _byte, _cell, _colors, communities_sql, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -643,8 +643,15 @@ def weighted_degree(spark, sf_dir):
     return six(community.weighted_degree(views.graph(spark, sf_dir)), "degree")
 
 
-@query("SELECT node, label FROM label3")
+@query(communities_sql(2, 5, 5))
 def detect_communities(spark, sf_dir):
+    graph = views.graph(spark, sf_dir)
+    labels = cut(community.modularity_communities(graph, 2, 5, 5), "communities")
+    return labels.crossJoin(F.broadcast(six(community.edge_modularity(graph, labels), "modularity")))  # one row
+
+
+@query("SELECT node, label FROM label3")
+def label_propagation(spark, sf_dir):
     return community.propagate_labels(views.graph(spark, sf_dir), 3)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.community import both_ways, vote_round
 from ..sources.sinks import filesystem
+from ..sources.storage import bucketed
 
 
 def latest_round(folder: str) -> tuple[int, str] | None:
@@ -25,14 +26,20 @@ def latest_round(folder: str) -> tuple[int, str] | None:
 
 def label_rounds(edges: DataFrame, folder: str, rounds: int, parameters: dict | None = None) -> DataFrame:
     """Label propagation, each round a table under folder/<hash of the parameters>; rounds
-    that are there are not computed again."""
+    that are there are not computed again. So is the table of edges: seen from either end
+    and bucketed by the other one, it is written before the first round and read where it
+    lies by all later ones, of this run and of those that go on from it."""
     spark = edges.sparkSession
     mark = hashlib.sha256(json.dumps(parameters or {}, sort_keys=True).encode()).hexdigest()[:12]
     place = f"{folder}/{mark}"
     done = latest_round(place)
+    if done is not None and done[0] >= rounds:
+        return spark.read.parquet(f"{place}/round={rounds}")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pairs = bucketed(both_ways(edges), "pairs", "other", buckets, f"{place}/pairs-{buckets}")
     if done is None:
-        both_ways(edges).select("node").distinct().withColumn("label", F.col("node")).write.mode("overwrite").parquet(f"{place}/round=0")
+        pairs.select("node").distinct().withColumn("label", F.col("node")).write.mode("overwrite").parquet(f"{place}/round=0")
         done = (0, f"{place}/round=0")
     for n in range(done[0] + 1, rounds + 1):
-        vote_round(both_ways(edges), spark.read.parquet(f"{place}/round={n - 1}")).write.mode("overwrite").parquet(f"{place}/round={n}")
+        vote_round(pairs, spark.read.parquet(f"{place}/round={n - 1}")).write.mode("overwrite").parquet(f"{place}/round={n}")
     return spark.read.parquet(f"{place}/round={rounds}")

@@ -159,6 +159,47 @@ PARTS = {
 }
 
 
+def communities_sql(levels: int, rounds: int, refine: int) -> str:
+    """node, label, modularity of the same rounds of moves over "edges", every round on its
+    own, without an early end."""
+    parts = [("ways", "SELECT src AS node, dst AS other, CAST(round(weight / 1e-6::DOUBLE, 0) AS BIGINT) AS w FROM edges UNION ALL SELECT dst, src, CAST(round(weight / 1e-6::DOUBLE, 0) AS BIGINT) FROM edges")]
+    parts.append(("twice", "SELECT CAST(sum(w) AS BIGINT) AS m FROM ways"))
+    parts.append(("v0", "SELECT node, CAST(sum(w) AS BIGINT) AS degree FROM ways GROUP BY node"))
+    parts.append(("g0", "SELECT node, other, w, degree FROM ways JOIN v0 USING (node)"))
+
+    def moves(graph: str, members: str, n: int, salt: int) -> str:
+        for k in range(salt, salt + n):
+            parts.append((f"s{k}", f"SELECT m.node, m.community, m.degree, t.total, ('0x' || substr(md5(m.community || ':{k}'), 1, 8))::BIGINT % 2 = 1 AS takes FROM {members} m JOIN (SELECT community, CAST(sum(degree) AS BIGINT) AS total FROM {members} GROUP BY community) t USING (community)"))
+            parts.append(
+                (
+                    f"c{k}",
+                    f"""SELECT node, CASE WHEN NOT takes AND -best.lost > stay THEN best.community ELSE community END AS community, degree FROM (
+    SELECT node, max(community) FILTER (own) AS community, bool_or(takes) FILTER (own) AS takes, max(degree) AS degree, max(score) FILTER (own) AS stay, min({{'lost': -score, 'community': community}}) FILTER (NOT own AND takes) AS best FROM (
+      SELECT *, (SELECT m FROM twice)::DOUBLE * w::DOUBLE - 1.0::DOUBLE * degree::DOUBLE * (total - CASE WHEN own THEN degree ELSE 0 END)::DOUBLE AS score FROM (
+        SELECT node, community, CAST(sum(w) AS BIGINT) AS w, max(total) AS total, bool_or(takes) AS takes, bool_or(own) AS own, max(degree) AS degree FROM (
+          SELECT g.node, s.community, s.total, s.takes, g.w, g.degree, false AS own FROM {graph} g JOIN s{k} s ON s.node = g.other UNION ALL SELECT node, community, total, takes, 0, degree, true FROM s{k}) GROUP BY node, community)) GROUP BY node)""",
+                )
+            )
+            members = f"c{k}"
+        return members
+
+    found, mapping = "v0", "SELECT node, node AS community FROM v0"
+    for level in range(levels):
+        parts.append((f"m{level}", f"SELECT node, node AS community, degree FROM {found}"))
+        last = moves(f"g{level}", f"m{level}", rounds, level * rounds)
+        mapping = f"SELECT p.node, c.community FROM ({mapping}) p JOIN {last} c ON c.node = p.community"
+        if level + 1 < levels:
+            found = f"v{level + 1}"
+            parts.append((found, f"SELECT community AS node, CAST(sum(degree) AS BIGINT) AS degree FROM {last} GROUP BY community"))
+            parts.append((f"g{level + 1}", f"SELECT node, other, w, degree FROM (SELECT a.community AS node, b.community AS other, CAST(sum(g.w) AS BIGINT) AS w FROM g{level} g JOIN {last} a ON a.node = g.node JOIN {last} b ON b.node = g.other WHERE a.community <> b.community GROUP BY 1, 2) JOIN {found} USING (node)"))
+    parts.append(("joined", f"SELECT p.node, p.community, degree FROM ({mapping}) p JOIN v0 USING (node)"))
+    last = moves("g0", "joined", refine, levels * rounds)
+    parts.append(("labelled", f"SELECT node, min(node) OVER (PARTITION BY community) AS label FROM {last}"))
+    parts.append(("within", "SELECT a.label, sum(weight) FILTER (a.label = b.label) AS inside, sum(weight) AS total FROM (SELECT src AS node, dst AS other, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges) e JOIN labelled a ON a.node = e.node JOIN labelled b ON b.node = e.other GROUP BY a.label"))
+    body = ",\n".join(f"{name} AS MATERIALIZED ({part})" for name, part in parts)
+    return f"SELECT * FROM (WITH {body}\nSELECT node, label, (SELECT round(sum(coalesce(inside, 0)) / sum(total) - sum(total * total) / (sum(total) * sum(total)), 6) FROM within) AS modularity FROM labelled)"
+
+
 def sql(select: str) -> str:
     """The statement with the parts it uses, in order."""
     wanted, todo = set(), [select]

@@ -46,11 +46,15 @@ def run_prep(spark: SparkSession, nodes: str, edges_in: str, out: str, min_weigh
     return {"nodes": sinks.write_table(ordered, f"{out}/nodes_int32"), "edges": sinks.write_table(kept, f"{out}/edges_int32")}
 
 
-def run_communities(spark: SparkSession, graph: str, out: str, rounds: int = 3) -> dict:
-    """out/parts (vertex, partition) by label propagation that resumes where an earlier run
-    ended, and out/communities.json with their number and modularity."""
+def run_communities(spark: SparkSession, graph: str, out: str, rounds: int = 12, levels: int = 2) -> dict:
+    """out/parts (vertex, partition) and out/communities.json with their number and
+    modularity. Communities by rounds of moves that raise modularity, on so many levels;
+    with levels 0 by label propagation that resumes where an earlier run ended."""
     links = spark.read.parquet(f"{graph}/edges_int32")
-    labels = label_rounds(links, f"{out}/rounds", rounds, {"graph": graph})
+    if levels:
+        labels = cut(community.modularity_communities(links, levels, rounds, rounds), "communities")
+    else:
+        labels = label_rounds(links, f"{out}/rounds", rounds, {"graph": graph})
     sinks.write_table(labels.select(F.col("node").alias("vertex"), F.col("label").alias("partition")), f"{out}/parts")
     report = {"communities": community.community_count(labels).first()[0], "modularity": community.edge_modularity(links, labels).first()[0], "rounds": rounds}
     sinks.write_json(f"{out}/communities.json", report)

@@ -1,10 +1,10 @@
 """Communities of the coauthor graph."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.colors import FIELD_HUES, community_color, field_color
-from ..sources.storage import cut, drop
+from ..sources.storage import bucketed, cut, drop
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -37,16 +37,118 @@ def vote_round(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def propagate_labels(edges: DataFrame, rounds: int = 3) -> DataFrame:
     """node, label after a fixed number of rounds of weighted label propagation. Rounds
-    are written to the shared folder: a lost executor costs at most one round."""
-    pairs = cut(both_ways(edges), "pairs")
+    are written to the shared folder: a lost executor costs at most one round. Edges are
+    written once, bucketed by the end that is asked, so rounds shuffle labels and votes."""
+    pairs = bucketed(both_ways(edges), "pairs", "other")
     labels = cut(pairs.select("node").distinct().withColumn("label", F.col("node")), "labels")
     for _ in range(rounds):
         after = cut(vote_round(pairs, labels), "labels")
         drop(labels)
         labels = after
+    drop(pairs)
     return labels
 
 
+#: Weights are whole numbers of this part of one, so that sums don't depend on their order.
+WEIGHT_UNIT = 1e-6
+
+
+def takes_in(community: Column, salt: int) -> Column:
+    """Whether a community takes in members in this round; the others may give some away."""
+    drawn = F.substring(F.md5(F.concat_ws(":", community.cast("string"), F.lit(salt)).cast("binary")), 1, 8)
+    return F.conv(drawn, 16, 10).cast("long") % 2 == 1
+
+
+def move_choices(pairs: DataFrame, state: DataFrame, twice: int, resolution: float = 1.0) -> DataFrame:
+    """node, community, degree, wants: where each node moves in this round, or stays.
+
+    pairs(node, other, w, degree) bucketed by other; state(node, community, degree, total,
+    open) bucketed by node, where total is the community's sum of degrees. Moving a node
+    changes modularity in proportion to twice * (its weight to the new community less that
+    to the old one) - degree * (the new total less the old total without it). Only members
+    of communities that aren't open move, and only into open ones, so no two nodes swap and
+    no community loses and gains in one round: gains are computed against members that
+    stay. Ties go to the smallest community. wants: a gain is to be had, if not in this round.
+
+    Weights to a community are summed before each of the two exchanges, so a hub's
+    neighbours never meet in one task, and edges are read where they lie.
+    """
+    seen = pairs.join(state.select(F.col("node").alias("other"), "community", "total", "open"), "other")
+    votes = seen.select("node", "community", "total", "open", "w", "degree", F.lit(False).alias("own"))
+    votes = votes.union(state.select("node", "community", "total", "open", F.lit(0).cast("long"), "degree", F.lit(True)))
+    sums = votes.groupBy("node", "community").agg(F.sum("w").alias("w"), F.max("total").alias("total"), F.max("open").alias("open"), F.max("degree").alias("degree"), F.max("own").alias("own"))
+    others = F.col("total") - F.when(F.col("own"), F.col("degree")).otherwise(0)
+    score = F.lit(float(twice)) * F.col("w").cast("double") - F.lit(float(resolution)) * F.col("degree").cast("double") * others.cast("double")
+    best = F.min(F.when(~F.col("own") & F.col("open"), F.struct((-F.col("score")).alias("lost"), "community")))
+    own = lambda c: F.max(F.when(F.col("own"), F.col(c))).alias(c)
+    found = sums.withColumn("score", score).groupBy("node").agg(own("community"), own("open"), own("degree"), own("score").alias("stay"), best.alias("best"), F.max(F.when(~F.col("own"), F.col("score"))).alias("any"))
+    gains = ~F.col("open") & (-F.col("best.lost") > F.col("stay"))
+    to = F.when(gains, F.col("best.community")).otherwise(F.col("community"))
+    return found.select("node", to.alias("community"), "degree", F.coalesce(F.col("any") > F.col("stay"), F.lit(False)).alias("wants"))
+
+
+def move_rounds(graph: DataFrame, members: DataFrame, twice: int, rounds: int, salt: int, resolution: float = 1.0, buckets: int | None = None) -> tuple[DataFrame, int]:
+    """members(node, community, degree) after rounds of moves, and how many were needed:
+    they end when no node has a gain to make. Each round writes the nodes' communities
+    anew, with the communities' totals, bucketed like the edges: a round shuffles votes and
+    rows of nodes, never edges, and a lost executor costs one round. A community that holds
+    a third of all nodes is one row of totals, met by a join that AQE can split."""
+    for n in range(rounds):
+        totals = members.groupBy("community").agg(F.sum("degree").alias("total")).withColumn("open", takes_in(F.col("community"), salt + n))
+        state = bucketed(members.join(totals, "community").select("node", "community", "degree", "total", "open"), "state", "node", buckets)
+        seen = Observation()
+        choices = move_choices(graph, state, twice, resolution).observe(seen, F.count(F.when(F.col("wants"), 1)).alias("wanting"))
+        after = cut(choices, "choices")
+        drop(state)
+        if seen.get["wanting"] == 0:
+            drop(after)
+            return members, n
+        drop(members)
+        members = after.drop("wants")
+        members._shared_path = after._shared_path
+    return members, rounds
+
+
+def modularity_communities(edges: DataFrame, levels: int = 2, rounds: int = 12, refine: int = 12, resolution: float = 1.0, buckets: int | None = None) -> DataFrame:
+    """node, label: communities by rounds of moves that raise modularity, then the same on
+    the graph of communities (levels in all), and at last rounds of single nodes between
+    the communities found; label is a community's smallest node.
+
+    Weights are rounded to WEIGHT_UNIT, so that sums and with them the result don't depend
+    on the order of rows; edges without weight or with equal ends are left out, as are
+    nodes without another edge. src and dst hold each pair once at most. Other columns are
+    ignored; no edges give no rows.
+    """
+    weight = F.round(F.col("weight") / WEIGHT_UNIT).cast("long")
+    pairs = cut(both_ways(edges.select("src", "dst", weight.alias("weight")).where("weight > 0 and src <> dst")).withColumnRenamed("weight", "w"), "two-ways")
+    nodes = cut(pairs.groupBy("node").agg(F.sum("w").alias("degree")), "nodes")
+    twice = nodes.agg(F.sum("degree")).first()[0] or 0  # the same on all levels
+    weighed = lambda pairs, nodes: bucketed(pairs.join(nodes, "node").select("node", "other", "w", "degree"), "level_pairs", "other", buckets)
+    first = graph = weighed(pairs, nodes)
+    drop(pairs)
+    start = lambda nodes: cut(nodes.select("node", F.col("node").alias("community"), "degree"), "members")
+    members, mapping = start(nodes), None
+    for level in range(levels):
+        members, used = move_rounds(graph, members, twice, rounds, level * rounds, resolution, buckets)
+        found = members.select("node", "community")
+        mapping = cut(found if mapping is None else mapping.join(found.toDF("community", "next"), "community").select("node", F.col("next").alias("community")), "mapping")
+        if used == 0 or level + 1 == levels:
+            break
+        inner = graph.join(found.toDF("other", "to"), "other").groupBy("node", "to").agg(F.sum("w").alias("w"))
+        between = inner.join(found, "node").where("community <> to").groupBy(F.col("community").alias("node"), F.col("to").alias("other")).agg(F.sum("w").alias("w"))
+        merged = cut(members.groupBy(F.col("community").alias("node")).agg(F.sum("degree").alias("degree")), "merged")
+        graph = weighed(between, merged)
+        drop(members)
+        members = start(merged)
+    if levels > 1:
+        if graph is not first:
+            drop(graph)
+        drop(members)
+        members, _ = move_rounds(first, cut(mapping.join(nodes, "node").select("node", "community", "degree"), "members"), twice, refine, levels * rounds, resolution, buckets)
+    smallest = members.groupBy("community").agg(F.min("node").alias("label"))
+    return members.join(smallest, "community").select("node", "label")
+
+
 def community_count(labels: DataFrame, column: str = "label") -> DataFrame:
     return labels.agg(F.count_distinct(column).alias("communities"))
 

@@ -43,8 +43,30 @@ def checked(table: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(table) if table.count() <= most_rows else table
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int | None = None, path: str | None = None) -> DataFrame:
+    """Write the rows once, dealt and sorted by key, as a table whose layout Spark knows:
+    joins and sums by key read it where it lies, without a shuffle. Where path holds a
+    table that was written to its end (by an earlier run, with as many buckets), it is
+    taken as it is. By default a bucket holds what a shuffle partition would."""
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path, table = path or new_path(spark, name), f"{name}_{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+        spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{path}'")
+    else:
+        df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    kept = spark.table(table)
+    kept._shared_path, kept._shared_table = path, table
+    return kept
+
+
 def drop(df: DataFrame) -> None:
-    """Delete the files of a table made by cut() that no later step reads."""
+    """Delete the files of a table made by cut() or bucketed() that no later step reads."""
+    table = getattr(df, "_shared_table", None)
+    if table:
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
     path = getattr(df, "_shared_path", None)
     if path:
         jvm = df.sparkSession._jvm

@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from peeratlas.jobs import iterate
 from peeratlas.operators import community, edges, export, quantiles
 from peeratlas.sources import snapshot
+from peeratlas.sources.storage import bucketed, cut
 from peeratlas.streaming.extract import extract_new_files
 
 WORKS = "work_id string, n_authors int, author_ids array<string>"
@@ -177,3 +179,68 @@ def test_samples_do_not_depend_on_partitions(spark):
     table = spark.range(1000).select(F.concat(F.lit("A"), "id").alias("id"), F.when(F.col("id") % 10 > 0, 1.0).alias("x"))
     first, again = (sorted(r.id for r in export.sample_rows(table.repartition(n), 50).collect()) for n in (2, 9))
     assert first == again and len(first) == 50
+
+
+def planted(groups, size, seed):
+    """Edges of groups of nodes, three of four within a group."""
+    rng, pairs = random.Random(seed), set()
+    for i in range(groups * size):
+        for _ in range(6):
+            j = rng.randrange(size) + i // size * size if rng.random() < 0.75 else rng.randrange(groups * size)
+            if i != j:
+                pairs.add((min(i, j), max(i, j)))
+    return [(a, b, 1.0, 0) for a, b in sorted(pairs)]
+
+
+def test_communities_reach_the_planted_modularity(spark):
+    table = spark.createDataFrame(planted(8, 30, 1), "src long, dst long, weight double, label int")
+    truth = spark.createDataFrame([(i, i // 30) for i in range(240)], "node long, label long")
+    best = community.edge_modularity(table, truth).first()[0]
+    labels = community.modularity_communities(table, buckets=4).cache()
+    assert community.edge_modularity(table, labels).first()[0] >= 0.98 * best
+    assert labels.count() == 240 and labels.where("label > node").count() == 0
+    again = community.modularity_communities(table.repartition(3), buckets=2)
+    assert again.exceptAll(labels).count() == 0
+
+
+def test_communities_of_no_edges_and_of_edges_without_weight(spark):
+    schema = "src long, dst long, weight double"
+    assert community.modularity_communities(spark.createDataFrame([], schema)).count() == 0
+    odd = spark.createDataFrame([(1, 2, 0.0), (3, 3, 5.0), (4, 5, 1.0), (6, 7, None)], schema)
+    assert sorted(tuple(r) for r in community.modularity_communities(odd).collect()) == [(4, 4), (5, 4)]
+
+
+def exchanges_over(df, column):
+    """How often rows of a scan that holds this column are shuffled before they are summed."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*"))
+    found = 0
+    for n, line in enumerate(lines):
+        if "FileScan" in line and column in line:
+            at = depth(line)
+            for above in reversed(lines[:n]):
+                if depth(above) < at:
+                    at = depth(above)
+                    if "Aggregate" in above:
+                        break
+                    found += "Exchange" in above
+    return found
+
+
+def test_rounds_never_shuffle_the_edges(spark, tmp_path):
+    table = spark.createDataFrame(planted(3, 20, 1), "src long, dst long, weight double, x int")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = bucketed(community.both_ways(table), "pairs", "other", 4, str(tmp_path / "pairs"))
+        labels = cut(pairs.select("node").distinct().withColumn("label", F.col("node")), "labels")
+        assert exchanges_over(community.vote_round(pairs, labels), "weight") == 0
+        assert exchanges_over(community.vote_round(cut(pairs, "plain"), labels), "weight") == 1
+        taken = bucketed(community.both_ways(table).where("false"), "pairs", "other", 4, str(tmp_path / "pairs"))
+        assert taken.count() == 2 * table.count()  # written before, so taken as it is
+        assert exchanges_over(community.vote_round(taken, labels), "weight") == 0
+        graph = bucketed(pairs.selectExpr("node", "other", "1L AS w", "6L AS degree"), "graph", "other", 4)
+        state = bucketed(labels.selectExpr("node", "label AS community", "6L AS degree", "6L AS total", "true AS open"), "state", "node", 4)
+        assert exchanges_over(community.move_choices(graph, state, 100), "w#") == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
