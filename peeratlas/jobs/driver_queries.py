@@ -213,7 +213,7 @@ def id_to_number(spark, sf_dir):
     return views.nodes(spark, sf_dir).select("id", id_number("id").alias("number"))
 
 
-@query(f"SELECT id, {r6('x', 'y')}, community % 40 AS hue FROM layout, (SELECT median(x) AS mx, median(y) AS my, stddev_samp(x) AS dx, stddev_samp(y) AS dy FROM layout) WHERE x BETWEEN mx - 0.15::DOUBLE * dx AND mx + 0.15::DOUBLE * dx AND y BETWEEN my - 0.15::DOUBLE * dy AND my + 0.15::DOUBLE * dy")
+@query(f"SELECT * FROM (WITH l AS MATERIALIZED (SELECT id, x, y, community FROM layout), m AS MATERIALIZED (SELECT median(x) AS mx, median(y) AS my, stddev_samp(x) AS dx, stddev_samp(y) AS dy FROM l) SELECT id, {r6('x', 'y')}, community % 40 AS hue FROM l, m WHERE x BETWEEN mx - 0.15::DOUBLE * dx AND mx + 0.15::DOUBLE * dx AND y BETWEEN my - 0.15::DOUBLE * dy AND my + 0.15::DOUBLE * dy)")
 def qa_window(spark, sf_dir):
     return six(export.qa_window(views.layout(spark, sf_dir)), "x", "y")
 
@@ -494,14 +494,10 @@ def web_coords(spark, sf_dir):
     return six(coords.web_coords(views.layout(spark, sf_dir), views.SPREAD, views.RING, BIG), "xw", "yw")
 
 
-_FIRST_WORDS = "array_to_string(string_split_regex(text, '\\s+')[1:3], ' ')"
-
-
-@query(f"SELECT doc_id, trim(regexp_replace(lower(strip_accents({_FIRST_WORDS})), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS norm FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, trim(regexp_replace(lower(strip_accents(text)), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS norm FROM documents WHERE text IS NOT NULL")
 def normalize_name(spark, sf_dir):
     docs = views.table(spark, sf_dir, "documents").where("text is not null")
-    words = F.array_join(F.slice(F.split("text", r"\s+"), 1, 3), " ")
-    return docs.select("doc_id", plain_name(words).alias("norm"))
+    return docs.select("doc_id", plain_name("text").alias("norm"))
 
 
 @query("SELECT id, token FROM entries")

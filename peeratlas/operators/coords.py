@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import unit_hash
 from ..sources.storage import cut
 from .community import community_size
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, exact_quantiles_of
 
 MARGIN = 0.02
 COLUMNS = ["id", "display_name", "xw", "yw", "community", "works_count", "cited_by_count", "institution", "field", "is_ring"]
@@ -22,7 +22,8 @@ def center_scale(coords: DataFrame) -> DataFrame:
     """One row: medians of x and y, and the median distance from there (1e-9 at least);
     nulls where no row has a position."""
     xy = coords.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    (cx,), (cy,) = exact_quantiles(xy, "x", [0.5]), exact_quantiles(xy, "y", [0.5])
+    middle = exact_quantiles_of(xy, {"x": [0.5], "y": [0.5]})
+    (cx,), (cy,) = middle["x"], middle["y"]
     dx, dy = F.col("x") - F.lit(cx), F.col("y") - F.lit(cy)
     (s,) = exact_quantiles(xy.select(F.sqrt(dx * dx + dy * dy).alias("r")), "r", [0.5]) if cx is not None and cy is not None else (None,)
     return coords.sparkSession.createDataFrame([(cx, cy, None if s is None else max(s, 1e-9))], "cx double, cy double, s double")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import byte_of, id_number, placed, size_byte
 from ..sources.storage import cut
 from .edges import with_row_index
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, exact_quantiles_of
 
 
 def export_order_points(web: DataFrame, sample: int | None = None) -> DataFrame:
@@ -46,7 +46,8 @@ def sample_rows(coords: DataFrame, rows: int = 2_000_000, seed: int = 42) -> Dat
 def qa_window(coords: DataFrame, width: float = 0.15) -> DataFrame:
     """id, x, y, hue of rows within width standard deviations of the median point."""
     rows = coords.where("x is not null")
-    (mx,), (my,) = exact_quantiles(rows, "x", [0.5]), exact_quantiles(rows, "y", [0.5])
+    middle = exact_quantiles_of(rows, {"x": [0.5], "y": [0.5]})
+    (mx,), (my,) = middle["x"], middle["y"]
     sx, sy = rows.agg(F.stddev_samp("x"), F.stddev_samp("y")).first()
     near = lambda v, m, s: F.col(v).between(F.lit(m) - width * F.lit(s), F.lit(m) + width * F.lit(s))
     return rows.where(near("x", mx, sx) & near("y", my, sy)).select("id", "x", "y", (F.col("community") % 40).alias("hue"))
@@ -80,7 +81,9 @@ def weight_distance_report(edges: DataFrame, web: DataFrame, least: float = 5.0,
     rows = cut(met.select("kind", F.sqrt(dx * dx + dy * dy).alias("d"), (F.col("c0") == F.col("c1")).alias("same")), "distances")
     share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
     found = rows.groupBy("kind").agg(F.count("*").alias("pairs"), share(F.col("same")).alias("same_community"), share(F.col("d") <= near).alias("near"))
-    medians = [(kind, exact_quantiles(rows.where(F.col("kind") == kind), "d", [0.5])[0]) for kind in ("strong", "random")]
+    kinds = {kind: [0.5] for kind in ("strong", "random")}
+    distances = rows.select(*[F.when(F.col("kind") == kind, F.col("d")).alias(kind) for kind in kinds])
+    medians = [(kind, value) for kind, (value,) in exact_quantiles_of(distances, kinds).items()]
     return found.join(F.broadcast(web.sparkSession.createDataFrame(medians, "kind string, median_distance double")), "kind")  # two rows
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import MAX_ZOOM, PIXELS, TILE, cell, citation_tier, placed
-from ..sources.storage import cut
+from ..sources.storage import checked, cut
 
 MISSING = (0.35, 0.35, 0.35)
 MISSING_SPLAT = (0.6, 0.6, 0.6)
@@ -93,12 +93,15 @@ def splat_radius_at_zoom(splats: DataFrame, zoom: int) -> DataFrame:
     return rows.withColumns({"px": F.shiftright("px", shift), "py": F.shiftright("py", shift)})
 
 
+def splat_colors(splats: DataFrame, palette: DataFrame, zoom: int) -> DataFrame:
+    rows = splat_radius_at_zoom(splats, zoom).join(palette, "community", "left")
+    return rows.withColumns({c: F.coalesce(F.col(c), F.lit(other)) for c, other in zip("rgb", MISSING_SPLAT, strict=True)})
+
+
 def splat_pixels(splats: DataFrame, palette: DataFrame, zoom: int) -> DataFrame:
     """Discs around the splats, within the splat's own tile, largest value per channel."""
     line = F.sequence(-F.col("rad"), F.col("rad"))
-    rows = splat_radius_at_zoom(splats, zoom).join(palette, "community", "left")
-    for c, other in zip("rgb", MISSING_SPLAT, strict=True):
-        rows = rows.withColumn(c, F.coalesce(F.col(c), F.lit(other)))
+    rows = splat_colors(splats, palette, zoom)
     rows = rows.withColumn("dx", F.explode(line)).withColumn("dy", F.explode(line))
     rows = rows.where(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") <= F.col("rad") * F.col("rad"))
     own = lambda p, d: (F.floor((F.col(p) + F.col(d)) / TILE) == F.floor(F.col(p) / TILE))
@@ -106,18 +109,87 @@ def splat_pixels(splats: DataFrame, palette: DataFrame, zoom: int) -> DataFrame:
     return tile_xyz(rows, zoom).groupBy("tx", "ty", "ix", "iy").agg(*[F.max(c).alias(c) for c in "rgb"])
 
 
+#: Samples of a line that go to tiles together: so few touch two columns and rows of tiles at most.
+CHUNK = 256
+#: Chunks of lines in one group of a task; tiles with more are summed in several groups first.
+MOST_CHUNKS = 100_000
+_LINE = ["x0", "y0", "x1", "y1", "k0", "k1"]
+
+
+def edge_chunks(lines: DataFrame, zoom: int) -> DataFrame:
+    """tx, ty, x0, y0, x1, y1, k0, k1: lines in pixels of a zoom, a row for each tile and
+    chunk of samples k0 to k1 that may touch it."""
+    shift, flip = MAX_ZOOM - zoom, (1 << zoom) - 1
+    ends = lines.select(*[F.shiftright(c, shift).alias(c) for c in _LINE[:4]])
+    ends = ends.withColumn("steps", F.greatest(F.lit(1), F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0"))))
+    rows = ends.withColumn("k0", F.explode(F.sequence(F.lit(0), "steps", F.lit(CHUNK)))).withColumn("k1", F.least("steps", F.col("k0") + CHUNK - 1))
+    tile = lambda a, b, k: F.shiftright(F.rint(F.col(a) + F.col(k) * ((F.col(b) - F.col(a)) / F.col("steps"))).cast("int"), 8)
+    rows = rows.withColumns({"tx": F.array(tile("x0", "x1", "k0"), tile("x0", "x1", "k1")), "ty": F.array(tile("y0", "y1", "k0"), tile("y0", "y1", "k1"))})
+    rows = rows.withColumn("tx", F.explode(F.array_distinct("tx"))).withColumn("ty", F.explode(F.array_distinct("ty")))
+    return rows.select("tx", (F.lit(flip) - F.col("ty")).alias("ty"), *_LINE)
+
+
+def add_samples(hits: np.ndarray, tx: int, ty_up: int, x0, y0, x1, y1, k0, k1, at_once: int = 4096) -> None:
+    """Add the samples of chunks that lie in a tile to its counts (iy, ix from the top). A
+    line is sampled at as many points as its longer side has pixels (two at least), rounded
+    half to even."""
+    steps = np.maximum(1, np.maximum(np.abs(x1 - x0), np.abs(y1 - y0))).astype(float)
+    for i in range(0, len(x0), at_once):
+        some = slice(i, i + at_once)
+        n = k1[some] - k0[some] + 1
+        row = np.repeat(np.arange(i, i + len(n)), n)
+        k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + k0[row]
+        px = np.rint(x0[row] + k * ((x1 - x0) / steps)[row]).astype(np.int64)
+        py = np.rint(y0[row] + k * ((y1 - y0) / steps)[row]).astype(np.int64)
+        inside = (px >> 8 == tx) & (py >> 8 == ty_up)
+        hits += np.bincount((255 - (py[inside] & 255)) << 8 | px[inside] & 255, minlength=TILE * TILE).reshape(TILE, TILE)
+
+
+def _hits_of(rows: pd.DataFrame, zoom: int) -> np.ndarray:
+    """A tile's sample counts from its chunks and from counts that were summed before."""
+    hits = np.zeros((TILE, TILE), np.int64)
+    done = rows["body"].notna().to_numpy()
+    for body in rows["body"][done]:
+        hits += np.frombuffer(zlib.decompress(body), "<i8").reshape(TILE, TILE)
+    if not done.all():
+        add_samples(hits, int(rows["tx"].iloc[0]), (1 << zoom) - 1 - int(rows["ty"].iloc[0]), *(rows[c].to_numpy(np.int64)[~done] for c in _LINE))
+    return hits
+
+
+def edge_parts(lines: DataFrame, zoom: int, occupied: DataFrame | None = None) -> DataFrame:
+    """Chunks of lines, and for tiles with more than MOST_CHUNKS the counts of groups of
+    them (dealt by a hash of the line) in their place: tx, ty, x0 .. k1, body. So a group
+    is bounded wherever the lines lie. occupied: only these tiles (tx, ty)."""
+    chunks = edge_chunks(lines, zoom)
+    if occupied is not None:
+        chunks = chunks.join(occupied, ["tx", "ty"], "left_semi")
+    plain = chunks.withColumn("body", F.lit(None).cast("binary"))
+    many = chunks.groupBy("tx", "ty").count().where(F.col("count") > MOST_CHUNKS)
+    many = cut(many.select("tx", "ty", F.ceil(F.col("count") / MOST_CHUNKS).alias("parts")), "dense-tiles")
+    if many.isEmpty():
+        return plain
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        body = zlib.compress(_hits_of(rows.assign(body=None), zoom).astype("<i8").tobytes(), 1)
+        return rows[["tx", "ty", *_LINE]].iloc[:1].assign(body=[body])
+
+    dense = plain.drop("body").join(checked(many), ["tx", "ty"]).withColumn("part", F.pmod(F.xxhash64(*_LINE), F.col("parts")))
+    kinds = "tx int, ty int, " + ", ".join(f"{c} int" for c in _LINE) + ", body binary"
+    summed = dense.groupBy("tx", "ty", "part").applyInPandas(add, kinds)
+    return plain.join(checked(many.select("tx", "ty")), ["tx", "ty"], "left_anti").unionByName(summed)
+
+
 def edge_pixels(lines: DataFrame, occupied: DataFrame, zoom: int, alpha: float) -> DataFrame:
     """Alpha of edges per pixel of a zoom: tx, ty, ix, iy, alpha; in occupied tiles (tx, ty)
-    only. A line is sampled at as many points as its longer side has pixels (two at
-    least), rounded half to even. Samples are summed before the shuffle, so the dense
-    middle of the map costs a row a pixel and task."""
-    shift = MAX_ZOOM - zoom
-    ends = lines.select(*[F.shiftright(c, shift).alias(c) for c in ("x0", "y0", "x1", "y1")])
-    steps = F.greatest(F.lit(1), F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0")))
-    at = lambda a, b: F.rint(F.col(a) + F.col("k") * ((F.col(b) - F.col(a)) / F.col("steps"))).cast("int")
-    samples = ends.withColumn("steps", steps).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("steps"))))
-    hits = samples.select(at("x0", "x1").alias("px"), at("y0", "y1").alias("py")).groupBy("px", "py").agg(F.count("*").alias("n"))
-    return tile_xyz(hits, zoom).join(occupied, ["tx", "ty"], "left_semi").select("tx", "ty", "ix", "iy", (F.col("n") * F.lit(alpha)).alias("alpha"))
+    only. A row is shuffled for each tile and chunk of a line, not one for each sample; a
+    task adds the samples up in the tile's array."""
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        hits = _hits_of(rows, zoom)
+        iy, ix = np.nonzero(hits)
+        return pd.DataFrame({"tx": rows["tx"].iloc[0], "ty": rows["ty"].iloc[0], "ix": ix.astype(np.int32), "iy": iy.astype(np.int32), "alpha": hits[iy, ix] * alpha})
+
+    return by_tile(edge_parts(lines, zoom, occupied)).applyInPandas(add, "tx int, ty int, ix int, iy int, alpha double")
 
 
 def edge_layer(sums: DataFrame) -> DataFrame:
@@ -126,33 +198,66 @@ def edge_layer(sums: DataFrame) -> DataFrame:
     return sums.select("tx", "ty", "ix", "iy", *[(light * v).alias(c) for c, v in zip("rgb", EDGE_RGB, strict=True)])
 
 
-def composed(nodes: DataFrame, edges: DataFrame | None = None, splats: DataFrame | None = None) -> DataFrame:
-    """Edges under nodes under splats: node pixels replace edges, splats take the larger."""
-    place = ["tx", "ty", "ix", "iy"]
-    out = nodes.select(*place, "r", "g", "b")
-    if edges is not None:
-        out = out.unionByName(edges.join(nodes.select(*place), place, "left_anti"))
-    if splats is not None:
-        lit = splats.join(out.select("tx", "ty").distinct(), ["tx", "ty"], "left_semi")
-        out = out.unionByName(lit).groupBy(*place).agg(*[F.max(c).alias(c) for c in "rgb"])
+def glow_of(layer: np.ndarray) -> np.ndarray:
+    """What each pixel of a tile gets from its neighbours in the tile: the layer's eight
+    shifted copies, weighed and summed, in the box that holds all light."""
+    lit, out = layer.any(axis=2), np.zeros_like(layer)
+    rows, columns = np.flatnonzero(lit.any(axis=1)), np.flatnonzero(lit.any(axis=0))
+    if not len(rows):
+        return out
+    top, bottom, left, right = max(0, rows[0] - 1), min(TILE, rows[-1] + 2), max(0, columns[0] - 1), min(TILE, columns[-1] + 2)
+    wide, box = np.pad(layer[top:bottom, left:right], ((1, 1), (1, 1), (0, 0))), out[top:bottom, left:right]
+    height, width = box.shape[:2]
+    for dy in (-1, 0, 1):
+        for dx in (-1, 0, 1):
+            if dx or dy:
+                box += (GLOW_CORNER if dx and dy else GLOW_SIDE) * wide[1 - dy : 1 - dy + height, 1 - dx : 1 - dx + width]
     return out
 
 
-def bloom(layer: DataFrame) -> DataFrame:
-    """The glow that a layer's pixels give to their neighbours in the same tile."""
-    around = [(dx, dy, GLOW_CORNER if dx and dy else GLOW_SIDE) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy]
-    offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(w).alias("w")) for dx, dy, w in around])
-    rows = layer.withColumn("o", F.explode(offsets))
-    rows = rows.withColumns({"ix": F.col("ix") + F.col("o.dx"), "iy": F.col("iy") + F.col("o.dy")})
-    inside = F.col("ix").between(0, TILE - 1) & F.col("iy").between(0, TILE - 1)
-    return rows.where(inside).groupBy("tx", "ty", "ix", "iy").agg(*[F.sum(F.col(c) * F.col("o.w")).alias(c) for c in "rgb"])
+def by_tile(rows: DataFrame):
+    """Rows grouped by tile, in as many tasks as the session's shuffles have: a tile costs
+    an array's work however few its rows are, so tasks aren't to be merged by their bytes."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tx", "ty").groupBy("tx", "ty")
 
 
-def finished(layer: DataFrame, glow: DataFrame | None = None) -> DataFrame:
-    """Bytes of the pixels, with the glow added, clipped and cut off."""
-    rows = layer if glow is None else layer.unionByName(glow)
-    byte = lambda c: F.floor(F.least(F.greatest(F.sum(c), F.lit(0.0)), F.lit(1.0)) * 255).cast("int").alias(c)
-    return rows.groupBy("tx", "ty", "ix", "iy").agg(*[byte(c) for c in "rgb"])
+def bloom(layer: DataFrame) -> DataFrame:
+    """The glow that a layer's pixels give to their neighbours in the same tile; a tile is
+    one group of 65,536 rows at most, and its glow one convolution."""
+
+    def spread(rows: pd.DataFrame) -> pd.DataFrame:
+        lit = np.zeros((TILE, TILE, 4))
+        lit[rows["iy"], rows["ix"]] = np.column_stack([rows[["r", "g", "b"]].to_numpy(float), np.ones(len(rows))])
+        glow = glow_of(lit)
+        iy, ix = np.nonzero(glow[:, :, 3])
+        r, g, b = glow[iy, ix, :3].T
+        return pd.DataFrame({"tx": rows["tx"].iloc[0], "ty": rows["ty"].iloc[0], "ix": ix.astype(np.int32), "iy": iy.astype(np.int32), "r": r, "g": g, "b": b})
+
+    return by_tile(layer.select("tx", "ty", "ix", "iy", "r", "g", "b")).applyInPandas(spread, "tx int, ty int, ix int, iy int, r double, g double, b double")
+
+
+def compose(rows: pd.DataFrame, zoom: int, alpha: float, glow: bool) -> np.ndarray | None:
+    """A tile's image from its rows of tile_layers(); None without a node pixel. Edges (their
+    summed alpha up to a ceiling, times grey) under nodes, which replace them, under splats,
+    which take the larger value; then the glow, clipped and cut off to bytes."""
+    kind = rows["kind"].to_numpy()
+    nodes, lines, spots = (rows[kind == k] for k in (NODES, EDGES, SPLATS))
+    if not len(nodes):
+        return None
+    layer = np.zeros((TILE, TILE, 3))
+    if len(lines):
+        light = np.minimum(_hits_of(lines, zoom) * alpha, EDGE_CEILING)
+        layer[:] = light[:, :, None] * np.array(EDGE_RGB)
+    layer[nodes["y0"].to_numpy(np.int64), nodes["x0"].to_numpy(np.int64)] = nodes[["r", "g", "b"]].to_numpy(float)
+    for (ix, iy, rad), rgb in zip(spots[["x0", "y0", "k0"]].to_numpy(np.int64).tolist(), spots[["r", "g", "b"]].to_numpy(float), strict=True):
+        left, right, top, bottom = max(0, ix - rad), min(TILE, ix + rad + 1), max(0, iy - rad), min(TILE, iy + rad + 1)
+        y, x = np.ogrid[top - iy : bottom - iy, left - ix : right - ix]
+        within = (x * x + y * y <= rad * rad)[:, :, None]
+        disc = layer[top:bottom, left:right]
+        disc[:] = np.where(within, np.maximum(disc, rgb), disc)
+    if glow:
+        layer = layer + glow_of(layer)
+    return (np.clip(layer, 0, 1) * 255).astype(np.uint8)  # cut off
 
 
 def png(image: np.ndarray) -> bytes:
@@ -201,23 +306,45 @@ def tile_bytes(tiles: DataFrame) -> DataFrame:
     return tiles.mapInPandas(read, "tx int, ty int, ix int, iy int, r int, g int, b int")
 
 
-def render_zoom(levels: DataFrame, palette: DataFrame, zoom: int, splats: DataFrame | None = None, lines: DataFrame | None = None, one_off: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
-    """Images of a zoom's occupied tiles, or of those in only(tx, ty): tx, ty, png."""
-    return render_tiles(zoom_pixels(levels, palette, zoom, splats, lines, one_off, only))
+NODES, EDGES, SPLATS = 0, 1, 2
+
+
+def tile_layers(nodes: DataFrame, zoom: int, lines: DataFrame | None = None, splats: DataFrame | None = None) -> DataFrame:
+    """Rows of all layers in one shape, ready for one exchange by tile: node pixels (place
+    in x0, y0; colour), edges as in edge_parts(), splats (centre in x0, y0; radius in k0)."""
+    none = lambda kind, *names: {c: F.lit(None).cast(kind) for c in names}
+    columns = ["tx", "ty", "kind", *_LINE, "body", "r", "g", "b"]
+    place = {"x0": F.col("ix").cast("int"), "y0": F.col("iy").cast("int")}
+    rows = nodes.withColumns({"kind": F.lit(NODES), **place, **none("int", *_LINE[2:]), **none("binary", "body")}).select(*columns)
+    if lines is not None:
+        rows = rows.union(edge_parts(lines, zoom).withColumns({"kind": F.lit(EDGES), **none("double", "r", "g", "b")}).select(*columns))
+    if splats is not None:
+        spots = splats.withColumns({"kind": F.lit(SPLATS), **place, **none("int", "x1", "y1", "k1"), "k0": F.col("rad").cast("int"), **none("binary", "body")})
+        rows = rows.union(spots.select(*columns))
+    return rows
+
 
+def render_zoom(levels: DataFrame, palette: DataFrame, zoom: int, splats: DataFrame | None = None, lines: DataFrame | None = None, one_off: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
+    """Images of a zoom's occupied tiles, or of those in only(tx, ty): tx, ty, png. Edges
+    show at 8 and 9, one-off edges at 10, splats and glow from 9 on.
 
-def zoom_pixels(levels: DataFrame, palette: DataFrame, zoom: int, splats: DataFrame | None = None, lines: DataFrame | None = None, one_off: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
-    """The finished pixels that render_zoom draws. Edges show at 8 and 9, one-off edges at
-    10, splats and glow from 9 on."""
+    All layers meet in one exchange by tile; composition, glow and PNG are one step on the
+    tile's array. A group has 65,536 node pixels, MOST_CHUNKS chunks of lines and the
+    tile's splats at most. Tiles without a node pixel have no image.
+    """
     nodes = tile_pixels(levels.where(F.col("z") == zoom), palette).drop("z")
-    if only is not None:  # brightness is that of the whole zoom
-        nodes = nodes.join(only, ["tx", "ty"], "left_semi")
-    occupied = nodes.select("tx", "ty").distinct()
     drawn = lines if zoom in (MAX_ZOOM - 2, MAX_ZOOM - 1) else one_off if zoom == MAX_ZOOM else None
-    edges = None if drawn is None else edge_layer(edge_pixels(drawn, occupied, zoom, 0.05 if zoom == MAX_ZOOM else 0.08))
-    spots = None if splats is None or zoom < MAX_ZOOM - 1 else splat_pixels(splats, palette, zoom)
-    layer = composed(nodes, edges, spots)
-    return finished(layer, bloom(layer) if zoom >= MAX_ZOOM - 1 else None)
+    spots = None if splats is None or zoom < MAX_ZOOM - 1 else tile_xyz(splat_colors(splats, palette, zoom), zoom)
+    rows = tile_layers(nodes, zoom, drawn, spots)
+    if only is not None:  # brightness is that of the whole zoom
+        rows = rows.join(only, ["tx", "ty"], "left_semi")
+    alpha, glow = 0.05 if zoom == MAX_ZOOM else 0.08, zoom >= MAX_ZOOM - 1
+
+    def draw(rows: pd.DataFrame) -> pd.DataFrame:
+        image = compose(rows, zoom, alpha, glow)
+        return pd.DataFrame({"tx": rows["tx"].iloc[:1], "ty": rows["ty"].iloc[:1], "png": [png(image)]} if image is not None else {"tx": [], "ty": [], "png": []})
+
+    return by_tile(rows).applyInPandas(draw, "tx int, ty int, png binary")
 
 
 def tile_occupancy(levels: DataFrame) -> DataFrame:

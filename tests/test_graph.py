@@ -1,6 +1,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -244,3 +245,20 @@ def test_rounds_never_shuffle_the_edges(spark, tmp_path):
         assert exchanges_over(community.move_choices(graph, state, 100), "w#") == 0
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_all_ranks_are_found_in_four_passes(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(size=3000) * 10.0 ** rng.integers(-200, 200, size=3000), [0.0, -0.0, np.inf, -np.inf], np.repeat(7.5, 900)])
+    y = rng.integers(0, 5, size=len(x)).astype(float)
+    table = spark.createDataFrame([(float(a), None if n % 3 == 0 else float(b)) for n, (a, b) in enumerate(zip(x, y, strict=True))], "x double, y double").repartition(5)
+    shares = [0.001, 0.2, 0.5, 0.7, 0.75, 0.999]
+    passes = []
+    kind = type(table)
+    real = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *a, **k: passes.append(1) or real(self, *a, **k))
+    found = quantiles.exact_quantiles_of(table, {"x": shares, "y": shares}, most=10)
+    assert len(passes) == 4
+    assert np.allclose(found["x"], np.quantile(x, shares), rtol=1e-12)
+    assert found["y"] == np.quantile([b for n, b in enumerate(y) if n % 3], shares).tolist()
+    assert all(quantiles.value_of(int(quantiles.image(np.array([v]))[0])) == v for v in (0.0, -1.5, 1e300, -np.inf))

@@ -11,6 +11,7 @@ from peeratlas.functions.expressions import byte_of, id_number
 from peeratlas.functions.names import normalize_name
 from peeratlas.operators import boundary, community, coords, export, index, raster, regions
 from peeratlas.sources import sinks
+from peeratlas.sources.storage import cut
 
 COORDS = "id string, display_name string, x double, y double, community int, works_count int, cited_by_count int, institution string, field string"
 WEB = "id string, display_name string, xw double, yw double, community int, works_count int, cited_by_count int, institution string, field string, is_ring boolean"
@@ -264,3 +265,38 @@ def test_shards_documents_and_images_on_disk(spark, tmp_path):
     two = spark.createDataFrame([(0, 1), (1, 1)], "tx int, ty int")
     assert [tuple(r) for r in sinks.tiles_without_image(two, f"file://{tmp_path}/t", 3).collect()] == [(1, 1)]
     assert sinks.write_table(rows, str(tmp_path / "table")) == 3
+
+
+def test_lines_by_chunks_equal_all_samples(spark, monkeypatch):
+    """Tiles with few chunks, and dense ones whose chunks are summed in several groups."""
+    rng = np.random.default_rng(2)
+    a, d = rng.integers(0, 3000, size=(400, 2)), rng.integers(-900, 900, size=(400, 2))
+    d[:40] = 0
+    ends = np.concatenate([a, np.clip(a + d, 0, 4000)], axis=1).tolist()
+    lines = spark.createDataFrame([tuple(r) for r in ends], "x0 int, y0 int, x1 int, y1 int")
+    want = {}
+    for x0, y0, x1, y1 in ends:
+        x0, y0, x1, y1 = x0 >> 1, y0 >> 1, x1 >> 1, y1 >> 1
+        n = max(1, abs(x1 - x0), abs(y1 - y0))
+        for px, py in zip(np.rint(x0 + np.arange(n + 1) * ((x1 - x0) / n)), np.rint(y0 + np.arange(n + 1) * ((y1 - y0) / n)), strict=True):
+            key = (int(px) // 256, 511 - int(py) // 256, int(px) % 256, 255 - int(py) % 256)
+            want[key] = want.get(key, 0) + 1
+    tiles = sorted({k[:2] for k in want})
+    occupied = spark.createDataFrame(tiles[::2], "tx int, ty int")
+    for most in (raster.MOST_CHUNKS, 30):
+        monkeypatch.setattr(raster, "MOST_CHUNKS", most)
+        got = {(r.tx, r.ty, r.ix, r.iy): round(r.alpha) for r in raster.edge_pixels(lines, occupied, 9, 1.0).collect()}
+        assert got == {k: v for k, v in want.items() if k[:2] in set(tiles[::2])}
+    chunks = raster.edge_chunks(lines, 9)
+    assert chunks.count() <= 4 * 400 * 4 and chunks.where("k1 - k0 >= 256").count() == 0
+
+
+def test_a_zoom_is_one_exchange_by_tile(spark):
+    web = spark.createDataFrame([(i, i / 100, i / 100, i % 3, 9_000, False) for i in range(1, 100)], "id int, xw double, yw double, community int, cited_by_count int, is_ring boolean")
+    levels = cut(raster.pyramid(raster.pixel_majority(web), 9), "levels")
+    palette = spark.createDataFrame([(0, 1.0, 0.5, 0.2)], "community int, r double, g double, b double")
+    lines = spark.createDataFrame([(0, 0, 2000, 2000)], "x0 int, y0 int, x1 int, y1 int")
+    drawn = raster.render_zoom(levels, palette, 9, raster.splat_tiers(web), lines)
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange hashpartitioning(tx" in line for line in plan.splitlines()) == 1
+    assert drawn.count() == 99
