@@ -5,6 +5,7 @@ Floats are rounded to six digits on both sides.
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,11 +137,17 @@ def read_regions(spark, sf_dir):
 
 @query("SELECT CAST(row_number() OVER (ORDER BY cited_by_count DESC, id) - 1 AS BIGINT) // 1000 AS part, id FROM web WHERE NOT is_ring".join(["SELECT part, count(*) AS records, count(*) * 8 AS bytes FROM (", ") GROUP BY part"]))
 def write_binary(spark, sf_dir):
-    folder = new_path(spark, "ids")
-    numbers = export.id_numbers(export.export_order_points(views.web(spark, sf_dir)))
-    parts = cut(sinks.write_binary(numbers, folder, {"number": "u8"}, rows_a_part=1000), "parts")
-    files = spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", r"part-(\d+)", 1).cast("long").alias("part"), F.col("length").alias("bytes"))
-    return parts.join(files, "part").select("part", "records", "bytes")
+    path, numbers = new_path(spark, "ids") + ".bin", export.id_numbers(export.export_order_points(views.web(spark, sf_dir)))
+    parts = sinks.write_binary(numbers, path, {"number": "u8"}, rows_a_part=1000)
+
+    def read_back(batches):
+        for batch in batches:
+            files, inside = sinks.filesystem(path)
+            with files.open_input_file(inside) as file:
+                sizes = [len(file.read_at(8 * n, 8000 * part)) for part, n in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64())], ["part", "records", "bytes"])
+
+    return parts.select("part", "records").mapInArrow(read_back, "part long, records long, bytes long")
 
 
 @query("SELECT '4/' || tx || '/' || ty AS tile, true AS first, false AS again, '89504E470D0A1A0A' AS head FROM (SELECT DISTINCT tx, ty FROM base WHERE z = 4)")

@@ -150,7 +150,7 @@ PARTS = {
         SELECT tx, ty, ix + dx AS x, iy + dy AS y, CASE WHEN dx <> 0 AND dy <> 0 THEN 0.06::DOUBLE ELSE 0.12::DOUBLE END AS w, r, g, b FROM layered, around WHERE dx <> 0 OR dy <> 0) WHERE x BETWEEN 0 AND 255 AND y BETWEEN 0 AND 255 GROUP BY ALL""",
     "drawn": "SELECT tx, ty, ix, iy, CAST(floor(least(greatest(sum(r), 0.0), 1.0) * 255) AS INTEGER) AS r, CAST(floor(least(greatest(sum(g), 0.0), 1.0) * 255) AS INTEGER) AS g, CAST(floor(least(greatest(sum(b), 0.0), 1.0) * 255) AS INTEGER) AS b FROM (SELECT * FROM layered UNION ALL SELECT * FROM glow) GROUP BY tx, ty, ix, iy",
     "norms": "SELECT id, display_name AS name, xw, yw, cited_by_count, trim(regexp_replace(lower(strip_accents(coalesce(display_name, ''))), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS norm FROM web",
-    "entries": """SELECT *, strlen(norm) + strlen(name) + strlen(id) + length(cited_by_count::VARCHAR) + 30 AS bytes FROM (
+    "entries": """SELECT *, strlen(CAST(json_array(norm, coalesce(name, ''), id, xw, yw, cited_by_count) AS VARCHAR)) + 7 AS bytes FROM (
         SELECT *, unnest(CASE WHEN len(w) > 1 AND w[1] <> w[-1] AND length(w[-1]) >= 2 THEN [w[1], w[-1]] ELSE [w[1]] END) AS token FROM (SELECT *, string_split(norm, ' ') AS w FROM norms))""",
     "heads": """SELECT *, regexp_extract(token, '^[a-z]{2}') AS h2, regexp_extract(token, '^[a-z]{3}') AS h3, regexp_extract(token, '^[a-z]{4}') AS h4, regexp_extract(token, '^[a-z]{5}') AS h5 FROM entries""",
     "sums": """SELECT *, sum(bytes) OVER (PARTITION BY h2) AS s2, sum(bytes) OVER (PARTITION BY h2, h3) AS s3, sum(bytes) OVER (PARTITION BY h2, h3, h4) AS s4 FROM heads""",

@@ -131,17 +131,18 @@ def run_index(spark: SparkSession, web: str, out: str, big: int = 1000, roster:
 
 def _pair(records: DataFrame, out: str, names: tuple[str, str], first: dict[str, str], second: dict[str, str]) -> int:
     """Two files of aligned records; their number."""
-    done = [cut(sinks.write_binary(records, f"{out}/{name}", fields), "parts") for name, fields in zip(names, (first, second), strict=True)]
+    done = [sinks.write_binary(records, f"{out}/{name}", fields) for name, fields in zip(names, (first, second), strict=True)]
     return done[0].agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
 
 
 def run_export_points(spark: SparkSession, web: str, out: str, big: int = 1000, sample: int | None = None) -> dict:
-    """positions and attrs (parts whose concatenation is the file) and meta.json."""
+    """positions and attrs, and meta.json."""
     points = spark.read.parquet(web)
     lut = community.color_lut(cut(community.community_stats(points), "stats"), big)
     records = cut(export.quantize_points(export.export_order_points(points, sample), lut), "records")
     n = _pair(records, out, ("positions.bin", "attrs.bin"), {"x": "u2", "y": "u2"}, dict.fromkeys("rgbs", "u1"))
-    meta = {"count": n, "files": {"positions": "positions.bin", "attrs": "attrs.bin"}, "quantization": QUANTIZED, "size_scale": SIZE_SCALE}
+    filters = {"is_ring": False, "sample": sample}
+    meta = {"count": n, "generated_from": web, "filters": filters, "files": {"positions": "positions.bin", "attrs": "attrs.bin"}, "quantization": QUANTIZED, "size_scale": SIZE_SCALE}
     meta["record_layout"] = {"positions.bin": "little-endian uint16 x, y", "attrs.bin": "uint8 r, g, b, s"}
     sinks.write_json(f"{out}/meta.json", meta)
     return meta
@@ -150,7 +151,7 @@ def run_export_points(spark: SparkSession, web: str, out: str, big: int = 1000,
 def run_export_ids(spark: SparkSession, web: str, out: str, sample: int | None = None) -> dict:
     """ids in the rows of the point export; added to its meta.json."""
     numbers = export.id_numbers(export.export_order_points(spark.read.parquet(web).select("id", "xw", "yw", "is_ring", "cited_by_count"), sample))
-    done = cut(sinks.write_binary(numbers, f"{out}/ids.bin", {"number": "u8"}), "parts")
+    done = sinks.write_binary(numbers, f"{out}/ids.bin", {"number": "u8"})
     meta = sinks.read_json(spark, f"{out}/meta.json") or {}
     n = done.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
     meta["ids"] = {"count": n, "file": "ids.bin", "record_layout": "little-endian uint64, the digits of the id", "id_prefix": "A"}

@@ -5,12 +5,15 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import cell, placed
 from ..functions.names import normalize_name, search_tokens
+from ..sources.sinks import json_bytes
+from ..sources.storage import cut
+from .edges import with_row_index
 
 LABELS_A_TILE = {6: 50, 7: 50, 8: 200, 9: 4000}
 LONGEST_PREFIX = 5
 CODEPOINT_SHARDS = 128
-#: Letters of words by which queries meet entries.
-HEAD = 3
+#: Token places in a block of the search's best lists, and blocks in a block of the next level.
+FAN = 64
 
 
 def by_citations() -> list[Column]:
@@ -58,12 +61,11 @@ def id_shards(web: DataFrame, shards: int = 1000) -> DataFrame:
 
 
 def name_entries(web: DataFrame) -> DataFrame:
-    """One row per author and search token: token, norm, name, id, xw, yw, cited, bytes.
-    bytes estimates the entry's length in a shard."""
+    """One row per author and search token: token, norm, name, id, xw, yw, cited, bytes:
+    the entry's length in a shard, to the byte."""
     rows = web.select(F.coalesce("display_name", F.lit("")).alias("name"), "id", "xw", "yw", "cited_by_count")
     rows = rows.withColumn("norm", normalize_name("name"))
-    size = F.octet_length("norm") + F.octet_length("name") + F.octet_length("id") + F.length(F.col("cited_by_count").cast("string")) + 30
-    return rows.withColumn("bytes", size.cast("long")).withColumn("token", F.explode(search_tokens(F.col("norm"))))
+    return rows.withColumn("bytes", json_bytes(["norm", "name", "id", "xw", "yw", "cited_by_count"])).withColumn("token", F.explode(search_tokens(F.col("norm"))))
 
 
 def search_shards(entries: DataFrame, most_bytes: int = 4_000_000) -> DataFrame:
@@ -98,28 +100,85 @@ def shard_sizes(sharded: DataFrame) -> DataFrame:
     return parents.join(own, "shard", "left").select("shard", F.coalesce("entries", F.lit(0)).alias("entries"), F.coalesce("bytes", F.lit(0)).alias("bytes"))
 
 
-def search_lookup(queries: DataFrame, sharded: DataFrame, best: int = 12) -> DataFrame:
+def token_ranges(entries: DataFrame, prefixes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(token, pos) of the different tokens in order, and (prefix, low, high): the tokens
+    that begin with a prefix are those with low < pos < high. Tokens and the two ends of
+    each prefix are sorted together by ranges, so a place needs no search."""
+    end = F.concat("prefix", F.lit("\U0010ffff"))
+    marks = prefixes.select(F.col("prefix").alias("s"), F.lit(0).alias("kind"), "prefix").union(prefixes.select(end, F.lit(2), "prefix"))
+    tokens = entries.select(F.col("token").alias("s"), F.lit(1), F.lit(None).cast("string")).distinct()
+    sorted_ = cut(with_row_index(marks.union(tokens), ["s", "kind", "prefix"], "pos"), "token-places")
+    bound = lambda kind, name: sorted_.where(F.col("kind") == kind).select("prefix", F.col("pos").alias(name))
+    return sorted_.where("kind = 1").select(F.col("s").alias("token"), "pos"), bound(0, "low").join(bound(2, "high"), "prefix")
+
+
+def best_lists(entries: DataFrame, best: int, levels: int, fan: int = FAN) -> DataFrame:
+    """level, block and the best entries of each block of fan**level token places, in the
+    order of answers to a single word: names that begin with it first, then by citations."""
+    order = [F.col("kind"), F.col("cited_by_count").desc(), F.col("id")]
+    level, out = entries.withColumn("block", F.col("pos")), None
+    for n in range(levels):
+        if n:
+            level = level.withColumn("block", F.floor(F.col("block") / fan))
+        place = F.row_number().over(Window.partitionBy("block").orderBy(*order))
+        level = cut(level.withColumn("place", place).where(F.col("place") <= best).drop("place"), f"best-lists-{n}")
+        rows = level.select(F.lit(n).alias("level"), "block", "kind", "norm", "id", "cited_by_count")
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+def blocks_of(low: Column, high: Column, levels: int, fan: int = FAN) -> Column:
+    """The blocks (level, block) that make up the places between low and high, larger ones
+    in the middle: less than 2 * fan of each level."""
+    pieces = []
+    first = lambda n: F.ceil((low + 1) / F.lit(fan**n))
+    last = lambda n: F.floor(high / F.lit(fan**n))
+    named = lambda n: lambda k: F.struct(F.lit(n).alias("level"), k.alias("block"))
+    run = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
+    for n in range(levels):
+        a, b = first(n), last(n)
+        if n + 1 < levels:
+            up, down = first(n + 1), last(n + 1)
+            both = F.concat(run(a, up * fan), run(down * fan, b))
+            blocks = F.when(up < down, both).otherwise(run(a, b))
+        else:
+            blocks = run(a, b)
+        pieces.append(F.transform(blocks, named(n)))
+    return F.concat(*pieces)
+
+
+def search_lookup(queries: DataFrame, entries: DataFrame, best: int = 12) -> DataFrame:
     """queries(query) to their best entries: query, rn, id, norm, cited_by_count.
 
-    The shard that answers is the longest there is of five letters down to two of the
-    query, then `_` by code point, then `_`. An entry matches if its words begin with the
-    query's, in this order; first come names that begin with the whole query, then those
-    whose first word does with the first, then the rest, by citations. Queries meet the
-    entries of their shard by the first letters of words, so a large shard isn't joined
-    whole to every query it answers.
+    An entry is found by a token that begins with the query's first word; it matches if its
+    words begin with the query's, in this order. First come names that begin with the whole
+    query, then those whose first word does with the first, then the rest, by citations.
+
+    The tokens that begin with a word are a range of the sorted tokens. For a single word
+    it is made up of blocks whose best entries are kept (a token's entries, 64 tokens, 4,096
+    and so on), so a query meets some hundred short lists however common its letters are.
+    Of several words the later ones decide, so all entries of the first one's range are met,
+    64 tokens a block; a block that many queries ask is met by a join that AQE can split.
     """
     asked = queries.select("query", normalize_name("query").alias("norm_q")).where("norm_q <> ''").distinct()
-    joined = F.regexp_replace("norm_q", " ", "")
-    keys = F.concat(F.transform(F.array(*[F.lit(k) for k in range(LONGEST_PREFIX, 1, -1)]), lambda k: F.when(F.length(joined) >= k, F.substring(joined, F.lit(1), k))), F.array(F.concat(F.lit("_"), (F.ascii("norm_q") % CODEPOINT_SHARDS).cast("string")), F.lit("_")))
-    tries = asked.select("query", "norm_q", F.posexplode(keys).alias("turn", "shard")).where("shard is not null")
-    shards = shard_sizes(sharded).select("shard")
-    chosen = tries.join(shards, "shard").groupBy("query", "norm_q").agg(F.min(F.struct("turn", "shard"))["shard"].alias("shard"))
     words = F.split("norm_q", " ")
-    chosen = chosen.withColumn("head", F.substring(F.element_at(words, 1), 1, HEAD))
-    heads = F.flatten(F.transform(F.split("norm", " "), lambda w: F.transform(F.array(*[F.lit(k) for k in range(1, HEAD + 1)]), lambda k: F.substring(w, F.lit(1), k))))
-    entries = sharded.select("shard", "norm", "id", "cited_by_count", F.explode(F.array_distinct(heads)).alias("head"))
+    asked = cut(asked.withColumns({"prefix": F.element_at(words, 1), "words": F.size(words)}), "asked")
+    tokens, ranges = token_ranges(entries, asked.select("prefix").distinct())
+    last = (tokens.agg(F.max("pos")).first()[0] or 0) + 1
+    levels = 1
+    while FAN**levels < last:
+        levels += 1
+    of_first = F.when(F.element_at(F.split("norm", " "), 1) == F.col("token"), 0).otherwise(2)
+    placed_ = cut(entries.select("token", "norm", "id", "cited_by_count").distinct().join(tokens, "token").select("pos", of_first.alias("kind"), "norm", "id", "cited_by_count"), "placed-entries")
+    ranged = cut(asked.join(ranges, "prefix"), "ranged")
+    # an entry may be found by both of its tokens, so twice as many are kept
+    pieces = ranged.where("words = 1").select("query", F.explode(blocks_of(F.col("low"), F.col("high"), levels)).alias("b")).select("query", "b.level", "b.block")
+    single = pieces.join(best_lists(placed_, 2 * best, levels), ["level", "block"]).groupBy("query", "id", "norm", "cited_by_count").agg(F.min("kind").alias("kind"))
+    blocks = F.explode(F.sequence(F.floor(F.col("low") / FAN), F.floor(F.col("high") / FAN)))
+    several = ranged.where("words > 1").withColumn("block", blocks).join(placed_.drop("kind").withColumn("block", F.floor(F.col("pos") / FAN)), "block").where("low < pos and pos < high")
     seen = F.aggregate(F.split("norm", " "), F.lit(0), lambda n, w: F.when(w.startswith(F.coalesce(F.get(words, n), F.lit("\x00"))), n + 1).otherwise(n))
-    hits = chosen.join(entries, ["shard", "head"]).where(seen == F.size(words)).drop("shard", "head").distinct()
-    kind = F.when(F.col("norm").startswith(F.col("norm_q")), 0).when(F.col("norm").startswith(F.element_at(words, 1)), 1).otherwise(2)
-    order = Window.partitionBy("query").orderBy(kind, F.col("cited_by_count").desc(), "id")
-    return hits.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= best).select("query", "rn", "id", "norm", "cited_by_count")
+    kind = F.when(F.col("norm").startswith(F.col("norm_q")), 0).when(F.col("norm").startswith(F.col("prefix")), 1).otherwise(2)
+    several = several.where(seen == F.size(words)).select("query", "id", "norm", "cited_by_count", kind.alias("kind")).distinct()
+    order = Window.partitionBy("query").orderBy("kind", F.col("cited_by_count").desc(), "id")
+    hits = single.unionByName(several).withColumn("rn", F.row_number().over(order))
+    return hits.where(F.col("rn") <= best).select("query", "rn", "id", "norm", "cited_by_count")

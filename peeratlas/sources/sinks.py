@@ -6,10 +6,14 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, Observation
+from pyspark.errors import UnsupportedOperationException
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from .storage import cut
+
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a path as Spark writes it, and the path within."""
@@ -59,35 +63,91 @@ def read_json(spark, path: str):
         return json.loads(body.read())
 
 
+def json_bytes(fields: list[str]) -> Column:
+    """The length in UTF-8 of an entry as a shard's file holds it, with the comma and the
+    blank that part it from the next: texts with their escapes, whole numbers, and doubles
+    of 0.001 up to ten million, which all writers spell alike."""
+    length = lambda c: F.when(F.col(c).isNull(), 4).otherwise(F.octet_length(F.to_json(F.struct(F.col(c).alias("v")))) - len('{"v":}'))
+    total = F.lit(2 * len(fields) + 2)
+    for c in fields:
+        total = total + length(c)
+    return total.cast("long")
+
+
 def write_json_shards(df: DataFrame, folder: str, keys: list[str], order: list[str], fields: list[str], wrap: str | None = None, named: bool = False, empty: DataFrame | None = None) -> DataFrame:
-    """One JSON file per key with its rows in order, as arrays of the fields; returns
-    (path, entries) of the files written. The folder is removed first.
+    """One JSON file per key with its rows in order (ties by the fields), as arrays of the
+    fields; returns (path, entries) of the files written. The folder is removed first.
 
     wrap: the list stands under this name. named: the first field names each entry, so the
-    file is a map from it to the other fields. empty: more keys (key string), whose files
-    have no entries unless df has some. A shard is read whole by a browser, so its size is
-    bounded by the stage that cuts the shards; one row per shard carries it here.
+    file is a map from it to the other fields (of entries with one name, which must be next
+    to each other in this order, the last stands). empty: more keys (key string), whose
+    files have no entries unless df has some.
+
+    Rows are dealt by key and sorted; a task streams them into the open file of the key, so
+    it holds a batch of rows whatever the size of a shard. A file gets its name when it is
+    complete, so a task that is tried again replaces it by the same.
     """
     remove(df.sparkSession, folder)
-    entry = F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(order)], F.to_json(F.array(*[F.to_json(F.struct(F.col(c).alias("v"))) for c in fields])).alias("row"))
-    rows = df.select(F.concat_ws("/", *[F.col(k).cast("string") for k in keys]).alias("key"), entry.alias("e"))
+    key = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
+    rows = df.select(key.alias("key"), F.lit(True).alias("has"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], *[F.col(c).alias(f"f{i}") for i, c in enumerate(fields)])
     if empty is not None:
-        rows = rows.unionByName(empty.select("key"), allowMissingColumns=True)
-    shards = rows.groupBy("key").agg(F.sort_array(F.collect_list("e")).alias("l"))  # nulls aren't collected
-    bodies = shards.select("key", F.transform("l", lambda x: x["row"]).alias("rows"))
+        rows = rows.unionByName(empty.select("key", F.lit(False).alias("has")), allowMissingColumns=True)
+    places, values = [f"o{i}" for i in range(len(order))], [f"f{i}" for i in range(len(fields))]
+    dealt = rows.repartition("key").sortWithinPartitions("key", "has", *places, *values)
+    head, tail = ("{", "}") if named else ('{"%s": [' % wrap, "]}") if wrap else ("[", "]")  # noqa: UP031
 
     def put(batches):
+        shard = None
         for batch in batches:
-            out = []
-            for key, rows in zip(batch["key"], batch["rows"], strict=True):
-                entries = [[json.loads(v).get("v") for v in json.loads(row)] for row in rows]
-                body = {e[0]: e[1:] for e in entries} if named else {wrap: entries} if wrap else entries
-                path = f"{folder}/{key}.json"
-                write_bytes(path, json.dumps(body, ensure_ascii=False).encode())
-                out.append((path, len(entries)))
-            yield pd.DataFrame(out, columns=["path", "entries"])
-
-    return bodies.mapInPandas(put, "path string, entries long")
+            done = []
+            for name, has, *entry in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("key", "has", *values)), strict=True):
+                if shard is None or shard.key != name:
+                    if shard is not None:
+                        done.append(shard.close())
+                    shard = _Shard(name, f"{folder}/{name}.json", head, tail, named)
+                if has:
+                    shard.add(entry)
+            yield _written(done)
+        if shard is not None:
+            yield _written([shard.close()])
+
+    return dealt.select("key", "has", *values).mapInArrow(put, "path string, entries long")
+
+
+def _written(done: list[tuple[str, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], ["path", "entries"])
+
+
+class _Shard:
+    """The open file of a key; an entry waits for the next one, which may replace it."""
+
+    def __init__(self, key: str, uri: str, head: str, tail: str, named: bool):
+        self.key, self.uri, self.tail, self.named = key, uri, tail, named
+        self.files, self.path = filesystem(uri)
+        self.files.create_dir(os.path.dirname(self.path), recursive=True)
+        self.part = f"{self.path}.{uuid.uuid4().hex}.part"
+        self.out = self.files.open_output_stream(self.part)
+        self.out.write(head.encode())
+        self.entries, self.waiting = 0, None
+
+    def add(self, entry: list) -> None:
+        if self.waiting is not None and not (self.named and self.waiting[0] == entry[0]):
+            self._write(", ")
+        self.waiting = entry
+
+    def _write(self, after: str) -> None:
+        text = json.dumps(self.waiting[1:] if self.named else self.waiting, ensure_ascii=False)
+        name = json.dumps({self.waiting[0]: 0}, ensure_ascii=False)[1:-2] if self.named else ""
+        self.out.write((name + text + after).encode())
+        self.entries += 1
+
+    def close(self) -> tuple[str, int]:
+        if self.waiting is not None:
+            self._write("")
+        self.out.write(self.tail.encode())
+        self.out.close()
+        self.files.move(self.part, self.path)
+        return self.uri, self.entries
 
 
 def write_json_doc(df: DataFrame, path: str, order: list, most_rows: int = 1_000_000) -> int:
@@ -109,23 +169,84 @@ def read_regions(spark, path: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def write_binary(df: DataFrame, folder: str, fields: dict[str, str], row: str = "row", rows_a_part: int = 1 << 20) -> DataFrame:
-    """Fixed-width records in the order of row: parts of rows_a_part records each, whose
-    names sort in order, so that their concatenation is the file. fields: columns and
-    their little-endian formats (u1, u2, u8). Returns (part, path, records)."""
+def write_binary(df: DataFrame, path: str, fields: dict[str, str], row: str = "row", rows_a_part: int = 1 << 20, in_place: bool | None = None) -> DataFrame:
+    """One file of fixed-width records in the order of row, a dense number from 0. fields:
+    columns and their little-endian formats (u1, u2, u8). Returns (part, records).
+
+    The place of a record follows from its number. Where the file system is a mounted one,
+    tasks write their parts of rows_a_part records at their places in one unfinished file
+    (in_place; again the same bytes if a task is tried again). Elsewhere parts are files
+    that the file system joins itself or, where it can't, that a task streams into one. The
+    file gets its name when it is whole and has the right size; a second run replaces it.
+    """
+    spark = df.sparkSession
+    files, inside = filesystem(path)
+    in_place = isinstance(files, pafs.LocalFileSystem) if in_place is None else in_place
+    unfinished, width = f"{path}.{uuid.uuid4().hex}.part", np.dtype([(c, f"<{kind}") for c, kind in fields.items()]).itemsize
+    if in_place:
+        write_bytes(unfinished, b"")
 
     def put(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(row)
-        part = int(rows[row].iloc[0]) // rows_a_part
-        path = f"{folder}/part-{part:08d}.bin"
+        first = int(rows[row].iloc[0])
+        part = first // rows_a_part
         records = np.empty(len(rows), [(c, f"<{kind}") for c, kind in fields.items()])
         for c in fields:
             records[c] = rows[c].to_numpy()
-        write_bytes(path, records.tobytes())
-        return pd.DataFrame([(part, path, len(rows))], columns=["part", "path", "records"])
+        if in_place:
+            with open(filesystem(unfinished)[1], "r+b") as out:
+                out.seek(first * width)
+                out.write(records.tobytes())
+        else:
+            write_bytes(f"{unfinished}/{part:08d}", records.tobytes())
+        return pd.DataFrame([(part, len(rows), int(rows[row].iloc[-1]) + 1 - first)], columns=["part", "records", "span"])
 
     parts = df.select(row, *fields).withColumn("_part", F.floor(F.col(row) / rows_a_part))
-    return parts.groupBy("_part").applyInPandas(put, "part long, path string, records long")
+    done = cut(parts.groupBy("_part").applyInPandas(put, "part long, records long, span long"), "binary-parts")
+    if not in_place:
+        unfinished = _joined(spark, unfinished, path, done.count())
+    files, whole = filesystem(unfinished)
+    size, (records, span) = files.get_file_info(whole).size, done.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("records", "span")]).first()
+    if size != records * width or span != records:
+        files.delete_file(whole)
+        raise ValueError(f"{path}: {size} bytes for {records} records of {width}; numbers must be dense")
+    if files.get_file_info(inside).type == pafs.FileType.Directory:
+        remove(spark, path)
+    files.move(whole, inside)
+    return done.select("part", "records")
+
+
+def _joined(spark, folder: str, path: str, parts: int) -> str:
+    """The files 0 to parts - 1 of a folder as one file beside path: joined by the file
+    system if it knows how, else streamed by one task."""
+    target = f"{path}.{uuid.uuid4().hex}.whole"
+    jvm, names = spark._jvm, [f"{folder}/{n:08d}" for n in range(parts)]
+    place = jvm.org.apache.hadoop.fs.Path(target)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    write_bytes(target, b"")
+    if not parts:
+        return target
+    try:
+        sources = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Path, parts)
+        for n, name in enumerate(names):
+            sources[n] = jvm.org.apache.hadoop.fs.Path(name)
+        fs.concat(place, sources)
+    except UnsupportedOperationException:
+
+        def copy(batches):
+            for _ in batches:
+                out_fs, out_path = filesystem(target)
+                with out_fs.open_output_stream(out_path) as out:
+                    for name in names:
+                        in_fs, in_path = filesystem(name)
+                        with in_fs.open_input_stream(in_path) as source:
+                            while piece := source.read(8 << 20):
+                                out.write(piece)
+                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int64())], ["done"])
+
+        spark.range(1).repartition(1).mapInArrow(copy, "done long").collect()
+    remove(spark, folder)
+    return target
 
 
 def tile_path(folder: str, zoom: int, tx: int, ty: int) -> str:

@@ -123,40 +123,41 @@ def test_majority_field(spark):
 
 
 def test_labels_and_rosters(spark):
-    table = web(spark, [(f"A{i:04d}", 0.1001, 0.1001, 1, i, i == 1199) for i in range(1200)] + [("far", 0.9, 0.9, 2, 1, False)])
+    table = web(spark, [(f"R{i:03d}", 0.7305, 0.2205, 5, 3 * i, i % 100 == 99) for i in range(430)] + [("edge", 0.02, 0.98, 6, 8, False)])
     labels = index.label_tiles(table)
-    near = {r.z: r["count"] for r in labels.where("id <> 'far'").groupBy("z").count().collect()}
-    assert near == {6: 50, 7: 50, 8: 200, 9: 1199}
-    first = labels.where("z = 6 and id <> 'far'").orderBy("rn").first()
-    assert (first.id, first.tx, first.ty) == ("A1198", 6, 57)
+    near = {r.z: r["count"] for r in labels.where("id <> 'edge'").groupBy("z").count().collect()}
+    assert near == {6: 50, 7: 50, 8: 200, 9: 426}  # dust has no label
+    first = labels.where("z = 7 and id <> 'edge'").orderBy("rn").first()
+    assert (first.id, first.tx, first.ty) == ("R429", 93, 99)
     stats = community.community_stats(table)
-    roster = index.community_roster(table, stats, 3, 1000).orderBy("rn").collect()
-    assert [(r.id, r.community) for r in roster] == [("A1198", 1), ("A1197", 1), ("A1196", 1)]
-    assert [r.id for r in index.top_authors(table, 2).collect()] == ["A1198", "A1197"]
+    roster = index.community_roster(table.where("id >= 'R398'"), stats, 4, 300).orderBy("rn").collect()
+    assert [(r.id, r.community) for r in roster] == [("R429", 5), ("R428", 5), ("R427", 5), ("R426", 5)]
+    assert index.community_roster(table, stats, 4, 431).count() == 0
+    assert [r.id for r in index.top_authors(table.where("id < 'R401'"), 3).collect()] == ["R400", "R398", "R397"]
 
 
 def test_names_and_shards(spark):
-    names = ["Alice Zhang", "alan turing", "李明", "Jürgen  Müller-Ångström", "Plato", "Boutros Boutros", "Jean Q", "", None, "O'Neil"]
+    names = ["Fatima Haddad", "farid okafor", "李明", "Björn  Sjö-Håkansson", "Hypatia", "Kano Kano", "Ines V", "", None, "D'Arco"]
     table = spark.createDataFrame([(f"A{i}", n, 0.5, 0.5, 100 - i) for i, n in enumerate(names)], "id string, display_name string, xw double, yw double, cited_by_count int")
     norm = [r[0] for r in table.orderBy("cited_by_count").select(normalize_name("display_name")).collect()][::-1]
-    assert norm == ["alice zhang", "alan turing", "李明", "jurgen muller angstrom", "plato", "boutros boutros", "jean q", "", "", "o neil"]
+    assert norm == ["fatima haddad", "farid okafor", "李明", "bjorn sjo hakansson", "hypatia", "kano kano", "ines v", "", "", "d arco"]
     entries = index.name_entries(table)
     tokens = {}
     for r in entries.collect():
         tokens.setdefault(r.id, set()).add(r.token)
-    assert tokens["A0"] == {"alice", "zhang"} and tokens["A5"] == {"boutros"} and tokens["A6"] == {"jean"} and tokens["A7"] == {""}
+    assert tokens["A0"] == {"fatima", "haddad"} and tokens["A5"] == {"kano"} and tokens["A6"] == {"ines"} and tokens["A7"] == {""}
     whole = {(r.id, r.token): r.shard for r in index.search_shards(entries).collect()}
-    assert whole["A0", "zhang"] == "zh" and whole["A2", "李明"] == "_" and whole["A9", "o"] == "_"
+    assert whole["A0", "haddad"] == "ha" and whole["A2", "李明"] == "_" and whole["A9", "d"] == "_"
     split = index.search_shards(entries, 100)
     keys = {(r.id, r.token): r.shard for r in split.collect()}
-    assert keys["A0", "alice"] == "ali" and keys["A1", "alan"] == "ala" and keys["A2", "李明"] == f"_{ord('李') % 128}" and keys["A7", ""] == "_"
+    assert keys["A0", "fatima"] == "fat" and keys["A1", "farid"] == "far" and keys["A2", "李明"] == f"_{ord('李') % 128}" and keys["A7", ""] == "_"
     assert {r.id for r in split.collect()} == {f"A{i}" for i in range(len(names))}
-    assert {r.shard: r.entries for r in index.shard_sizes(split).collect()}["al"] == 0
-    asked = spark.createDataFrame([("al",), ("Zhang",), ("mul",), ("jurgen ang",), ("李",), ("nobody",)], "query string")
+    assert {r.shard: r.entries for r in index.shard_sizes(split).collect()}["fa"] == 0
+    asked = spark.createDataFrame([("fa",), ("Haddad",), ("sjo",), ("bjorn hak",), ("李",), ("nobody",)], "query string")
     hits = {}
     for r in index.search_lookup(asked, index.search_shards(entries)).orderBy("query", "rn").collect():
         hits.setdefault(r.query, []).append(r.id)
-    assert hits == {"al": ["A0", "A1"], "Zhang": ["A0"], "jurgen ang": ["A3"], "李": ["A2"]}
+    assert hits == {"fa": ["A0", "A1"], "Haddad": ["A0"], "bjorn hak": ["A3"], "李": ["A2"]}
 
 
 def test_id_shards(spark):
@@ -224,7 +225,7 @@ def test_binary_records_in_order(spark, tmp_path):
     records = export.quantize_points(points, community.color_lut(stats))
     parts = sinks.write_binary(records, f"file://{tmp_path}/pos", {"x": "u2", "y": "u2"}, rows_a_part=4).collect()
     assert sorted((r.part, r.records) for r in parts) == [(0, 4), (1, 4), (2, 1)]
-    body = b"".join(open(f"{tmp_path}/pos/{f}", "rb").read() for f in sorted(os.listdir(tmp_path / "pos")))
+    body = (tmp_path / "pos").read_bytes()
     x = np.frombuffer(body, "<u2").reshape(-1, 2)[:, 0] / 65535
     assert np.abs(x - np.arange(8, -1, -1) / 9).max() <= 1 / 65535
     assert [r.number for r in export.id_numbers(points).orderBy("row").collect()] == list(range(8, -1, -1))
@@ -300,3 +301,68 @@ def test_a_zoom_is_one_exchange_by_tile(spark):
     plan = drawn._jdf.queryExecution().executedPlan().toString()
     assert sum("Exchange hashpartitioning(tx" in line for line in plan.splitlines()) == 1
     assert drawn.count() == 99
+
+
+def test_lookups_equal_all_names(spark):
+    """Prefixes of every width over thousands of tokens, against every name."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abc"), size=rng.integers(1, 9)))
+    names = [" ".join(word() for _ in range(rng.integers(1, 4))) for _ in range(3000)]
+    table = spark.createDataFrame([(f"A{i:04d}", n, 0.5, 0.5, int(rng.integers(0, 40))) for i, n in enumerate(names)], "id string, display_name string, xw double, yw double, cited_by_count int")
+    cited = {r.id: r.cited_by_count for r in table.collect()}
+    asked = ["a", "ab", "bca", "cc", "abcabc", "zz", "a b", "ab c", "b a a", "", *names[:25]]
+    found = {}
+    for r in index.search_lookup(spark.createDataFrame([(q,) for q in asked], "query string"), index.name_entries(table)).orderBy("query", "rn").collect():
+        found.setdefault(r.query, []).append(r.id)
+    for q in set(asked):
+        words, hits = q.split(), []
+        for i, n in enumerate(names):
+            own, at = n.split(), 0
+            ends = {own[0], own[-1]} if len(own[-1]) >= 2 else {own[0]}
+            for w in own:
+                at += at < len(words) and w.startswith(words[at])
+            if words and at == len(words) and any(t.startswith(words[0]) for t in ends):
+                hits.append((0 if n.startswith(q) else 1 if n.startswith(words[0]) else 2, -cited[f"A{i:04d}"], f"A{i:04d}"))
+        assert found.get(q, []) == [h[2] for h in sorted(hits)[:12]], q
+
+
+def test_blocks_make_up_their_range(spark):
+    rows = [(a, b) for a in (-1, 0, 62, 63, 64, 700, 5000) for b in (0, 1, 64, 65, 900, 4097, 20_000) if a < b]
+    table = spark.createDataFrame(rows, "low long, high long")
+    for r in table.withColumn("b", index.blocks_of(F.col("low"), F.col("high"), 3)).collect():
+        covered = [p for level, block in r.b for p in range(block * 64**level, (block + 1) * 64**level)]
+        assert sorted(covered) == list(range(r.low + 1, r.high)) and len(r.b) < 3 * 128
+
+
+def test_shards_are_written_to_the_byte(spark, tmp_path):
+    rows = [("k/1", 3, 'say "hi"\n\x01', 0.25, None), ("k/1", 1, "Zoë 李 \\ /", 0.123456, 7), ("k/1", 2, None, 0.5, 10**12), ("j", 1, "", 0.75, 0)]
+    table = spark.createDataFrame(rows, "key string, o int, name string, x double, n long")
+    fields = ["name", "x", "n"]
+    sized = {r.key: r.b for r in table.groupBy("key").agg(F.sum(sinks.json_bytes(fields)).alias("b")).collect()}
+    done = sinks.write_json_shards(table, f"file://{tmp_path}/s", ["key"], ["o"], fields, empty=spark.createDataFrame([("none",), ("j",)], "key string"))
+    assert sorted((os.path.basename(r.path), r.entries) for r in done.collect()) == [("1.json", 3), ("j.json", 1), ("none.json", 0)]
+    text = (tmp_path / "s" / "k" / "1.json").read_text()
+    assert text == json.dumps([list(r[2:]) for r in sorted(rows[:3], key=lambda r: r[1])], ensure_ascii=False)
+    assert len(text.encode()) == sized["k/1"] and len((tmp_path / "s" / "j.json").read_bytes()) == sized["j"]
+    assert (tmp_path / "s" / "none.json").read_text() == "[]" and not list((tmp_path / "s").rglob("*.part"))
+    sinks.write_json_shards(table, f"file://{tmp_path}/m", ["key"], ["name", "o"], ["name", "n"], named=True).collect()
+    assert json.loads((tmp_path / "m" / "k" / "1.json").read_text()) == {'say "hi"\n\x01': [None], "Zoë 李 \\ /": [7], "null": [10**12]}
+    sinks.write_json_shards(table, f"file://{tmp_path}/w", ["key"], ["o"], ["n"], wrap="l").collect()
+    assert (tmp_path / "w" / "j.json").read_text() == '{"l": [[0]]}'
+
+
+@pytest.mark.parametrize("in_place", [True, False])
+def test_binary_is_one_file_however_often_it_is_written(spark, tmp_path, in_place):
+    table = spark.range(1000).selectExpr("id AS row", "id * 7 AS x", "id % 200 AS b").repartition(5)
+    path = f"file://{tmp_path}/d/x.bin"
+    for _ in range(2):
+        done = sinks.write_binary(table, path, {"x": "u2", "b": "u1"}, rows_a_part=64, in_place=in_place)
+        assert done.agg(F.sum("records")).first()[0] == 1000
+        assert os.listdir(tmp_path / "d") == ["x.bin"]
+        records = np.frombuffer((tmp_path / "d" / "x.bin").read_bytes(), [("x", "<u2"), ("b", "u1")])
+        assert records["x"].tolist() == [7 * i for i in range(1000)] and records["b"].tolist() == [i % 200 for i in range(1000)]
+    with pytest.raises(ValueError):
+        sinks.write_binary(table.where("row <> 999 and row <> 5").withColumn("row", F.col("row") * 2), path, {"x": "u2"}, in_place=True)
+    assert len((tmp_path / "d" / "x.bin").read_bytes()) == 3000
+    sinks.write_binary(table.limit(0), path, {"x": "u2"}, in_place=in_place)
+    assert (tmp_path / "d" / "x.bin").read_bytes() == b""

@@ -17,14 +17,20 @@ def works(spark, root, rows):
     spark.createDataFrame([(w, n, [((a,),) for a in ids], "2026-01-01") for w, n, ids in rows], WORK).write.partitionBy("updated_date").parquet(root)
 
 
-def test_extract_filter_edges(spark, tmp_path):
-    authors = [("A1", "First", 400, 900_000, [], [], "2026-01-01"), ("A2", "Second", 12, 300, [], [], "2026-01-01"), ("A3", "Third", 1, 5, [], [], "2026-01-01")]
-    spark.createDataFrame(authors, AUTHOR).write.partitionBy("updated_date").parquet(f"{tmp_path}/authors")
-    works(spark, f"{tmp_path}/works", [("W1", 3, ["A1", "A2", "A3"])])
-    assert stages.run_extract(spark, f"{tmp_path}/works", f"{tmp_path}/lists") == ["2026-01-01"]
-    assert stages.run_filter(spark, f"{tmp_path}/authors", f"{tmp_path}/nodes") == 2
-    assert stages.run_edges(spark, f"{tmp_path}/lists", f"{tmp_path}/nodes", f"{tmp_path}/edges") == 1
-    assert tuple(spark.read.parquet(f"{tmp_path}/edges").first()) == ("A1", "A2", 0.5)
+def test_from_snapshot_to_weighted_edges(spark, tmp_path):
+    """Two days of records: a work that stands in both, one over the author limit, one whose
+    authors were mostly left out, and authors on either side of the least number of works."""
+    people = [(f"A{i}", f"Person {i}", works_, 10 * i, [], [], "2026-03-0" + "12"[i % 2]) for i, works_ in enumerate([7, 6, 4, 9, 5, 30, 2])]
+    spark.createDataFrame(people, AUTHOR).write.partitionBy("updated_date").parquet(f"{tmp_path}/people")
+    crowd = [f"A{i}" for i in range(7)]
+    papers = [("P1", 4, ["A0", "A1", "A3", "X9"], "2026-03-01"), ("P2", 2, ["A3", "A5"], "2026-03-01"), ("P3", 7, crowd, "2026-03-02"), ("P2", 2, ["A3", "A5"], "2026-03-02"), ("P4", 3, ["A2", "A6", "A0"], "2026-03-02"), ("P5", 5, ["A5", "A3", "A4", "A1", "A6"], "2026-03-02")]
+    spark.createDataFrame([(w, n, [((a,),) for a in ids], day) for w, n, ids, day in papers], WORK).write.partitionBy("updated_date").parquet(f"{tmp_path}/papers")
+    assert stages.run_extract(spark, f"{tmp_path}/papers", f"{tmp_path}/lists") == ["2026-03-01", "2026-03-02"]
+    assert stages.run_filter(spark, f"{tmp_path}/people", f"{tmp_path}/kept", 5) == 5  # not A2, A6
+    assert stages.run_edges(spark, f"{tmp_path}/lists", f"{tmp_path}/kept", f"{tmp_path}/links", 6) == 8
+    found = {(r.src, r.dst): round(r.weight, 9) for r in spark.read.parquet(f"{tmp_path}/links").collect()}
+    third, quarter = round(1 / 3, 9), 0.25
+    assert found == {("A0", "A1"): third, ("A0", "A3"): third, ("A1", "A3"): round(1 / 3 + quarter, 9), ("A3", "A5"): 1.25, ("A4", "A5"): quarter, ("A1", "A5"): quarter, ("A3", "A4"): quarter, ("A1", "A4"): quarter}
 
 
 @pytest.fixture(scope="module")
@@ -55,7 +61,7 @@ def test_graph_tables(spark, built):
 
 def test_exports_stand_in_one_order(spark, built):
     out, report = built
-    records = lambda name, kind: np.frombuffer(b"".join(p.read_bytes() for p in sorted((out / "export" / name).iterdir())), kind)
+    records = lambda name, kind: np.frombuffer((out / "export" / name).read_bytes(), kind)
     ids, spots = records("ids.bin", "<u8"), records("positions.bin", "<u2").reshape(-1, 2) / 65535
     assert ids.tolist() == list(range(59, -1, -1))  # the one without a coauthor has no place
     web = {int(r.id[1:]): (r.xw, r.yw) for r in spark.read.parquet(f"{out}/coords_web").where("xw is not null").collect()}
@@ -63,6 +69,7 @@ def test_exports_stand_in_one_order(spark, built):
         if i in web:
             assert np.abs(spot - web[i]).max() <= 1 / 65535
     meta = json.loads((out / "export" / "meta.json").read_text())
+    assert meta["generated_from"].endswith("coords_web") and meta["filters"] == {"is_ring": False, "sample": None}
     assert meta["count"] == meta["ids"]["count"] == len(ids) and meta["files"] == {"positions": "positions.bin", "attrs": "attrs.bin"}
     edges = json.loads((out / "export" / "edges_meta.json").read_text())
     assert edges["count"] == 180 == len(records("edges_pos.bin", "<u2")) // 4 and "pos_top" not in edges["files"]
