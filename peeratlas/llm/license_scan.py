@@ -66,19 +66,48 @@ def phrase_places(codes: np.ndarray, ends: np.ndarray, phrase: np.ndarray, idf:
     return at[np.searchsorted(ends, at, "right") == np.searchsorted(ends, at + len(phrase) - 1, "right")]
 
 
-def match_templates(codes: np.ndarray, index: Index, slack: int = 3, least_share: float = 0.6) -> list[tuple[str, float]]:
+def aligned(codes: np.ndarray, body: np.ndarray, start: int, band: int, jump: float = 1.0) -> float:
+    """The most words of a template that stand in order in a text, less jump for each place
+    where words were put in: the template's word t may stand at start + t + shift for shifts
+    up to band either way, and the shift grows where the text has words of its own, and
+    falls by one with each word of the template that the text leaves out."""
+    lo = start - band
+    window = np.full(len(body) + 2 * band, -2, np.int64)
+    a, b = max(0, lo), min(len(codes), lo + len(window))
+    window[a - lo : b - lo] = codes[a:b]
+    hit = np.lib.stride_tricks.sliding_window_view(window, 2 * band + 1)[: len(body)] == body[:, None]
+    if hit.any(axis=1).sum() < 0.5 * len(body):
+        return 0.0
+    best = hit[0].astype(float)
+    for row in hit[1:]:
+        from_lower = np.maximum.accumulate(best) - jump
+        stay = np.maximum(best, from_lower) + row
+        stay[:-1] = np.maximum(stay[:-1], best[1:])  # the word is left out
+        best = stay
+    return float(best.max())
+
+
+def match_templates(codes: np.ndarray, index: Index, slack: int = 3, least_share: float = 0.6, band: int = 40) -> list[tuple[str, float]]:
     """(label, share) of the templates in one text.
 
     A template can stand only where its rarest mandatory phrase does. There the places of
     all its words less their places in the template vote for where it begins. A beginning
     counts if all mandatory phrases stand in its window, and least_share of the words at
     their place within slack words (for edits); fewer votes than that share are no match.
+
+    A template that no beginning shows is aligned around each place of that phrase: words
+    put in or left out shift what follows, by up to band words either way, and votes on
+    both sides add up. So found, it counts unless a template with more words in place
+    stands over half of the same text: the text of a licence holds those of shorter ones
+    with words put in.
     """
-    found, whole = [], np.array([0, len(codes)])
+    straight, spans, open_ = [], [], []
+    whole = np.array([0, len(codes)])
     for template, body in enumerate(index.templates):
         keys = index.mandatory[template]
         reach = len(body) + 2 * slack
-        anchors = phrase_places(codes, whole, max(keys, key=lambda k: index.idf[k].max()), index.idf)
+        rarest = max(keys, key=lambda k: index.idf[k].max())
+        anchors = phrase_places(codes, whole, rarest, index.idf)
         if not len(anchors):
             continue
         edges = np.zeros(len(codes) + 1, np.int64)
@@ -100,9 +129,32 @@ def match_templates(codes: np.ndarray, index: Index, slack: int = 3, least_share
                 inside = (at >= 0) & (at < len(codes))
                 hit[inside] |= codes[at[inside]] == body[inside]
             best = max(best, float(hit.mean()))
+            if hit.mean() >= least_share:
+                spans.append((begin, begin + len(body), int(hit.sum()), template))
         if best >= least_share:
-            found.append((index.labels[template], best))
-    return found
+            straight.append((index.labels[template], best))
+        else:
+            open_.append((template, rarest, anchors))
+    shifted = []
+    for template, rarest, anchors in open_:
+        body, keys = index.templates[template], index.mandatory[template]
+        inner = phrase_places(body, np.array([0, len(body)]), rarest, index.idf)
+        for start in np.unique(np.add.outer(anchors, -(inner if len(inner) else np.array([0])))).tolist():
+            window = codes[max(0, start - band) : max(0, start + len(body) + band)]
+            one = np.array([0, len(window)])
+            if any(not len(phrase_places(window, one, key, index.idf)) for key in keys):
+                continue
+            words = aligned(codes, body, start, band)
+            if words >= least_share * len(body):
+                shifted.append((start, start + len(body), words, template))
+    spans += shifted
+    found = dict(straight)
+    for start, stop, words, template in shifted:
+        half = (stop - start) / 2
+        if not any(other != template and more > words and min(stop, b) - max(start, a) >= half for a, b, more, other in spans):
+            label = index.labels[template]
+            found[label] = max(found.get(label, 0.0), words / len(index.templates[template]))
+    return list(found.items())
 
 
 def word_idf(docs: DataFrame, index: Index, text_col: str = "text") -> np.ndarray:
@@ -135,7 +187,7 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tem
     Words: runs of 0-9, a-z and other than ASCII after lower-casing A-Z; whole texts. A
     null text counts as empty: no words, no labels, score 0, first and last null. score:
     1 for a base phrase, else the best template's share of words in place. Repeated rows
-    each give a row. Two passes: IDF over all documents, then the scan; no shuffle of texts.
+    each give a row; other columns are ignored; an empty table gives no rows. Two passes: IDF over all documents, then the scan; no shuffle of texts.
     """
     index = build_index(templates, phrases)
     index.idf = word_idf(docs, index, text_col)
