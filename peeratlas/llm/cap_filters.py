@@ -50,28 +50,40 @@ def list_decode(rows: np.ndarray, halves: list[np.ndarray], height: float, fewes
     """All filter directions whose caps of this height hold each row, as numbers, and how
     many a row has. A row in fewer than fewest caps gets its fewest nearest directions.
 
-    Scores of both halves are sorted; for each codeword of the first half those of the
-    second that make up the height are a head of the list.
+    A codeword that can't reach the height with the best of the other half is dropped by
+    one comparison; some dozens of each half remain, and their sums are compared. Rows are
+    taken in tiles, so that a tile's scores are some 32 MB whatever the number of codewords.
     """
     codewords = len(halves[0])
-    scores = half_scores(rows, halves)
-    order = [np.argsort(-s, axis=1, kind="stable") for s in scores]
-    first, second = (np.take_along_axis(s, o, 1) for s, o in zip(scores, order, strict=True))
+    tile = max(1, (1 << 22) // codewords)
     found, counts = [], np.zeros(len(rows), np.int64)
-    for row, (a, b) in enumerate(zip(first, second, strict=True)):
-        use = np.searchsorted(-a, b[0] - height, "right")
-        heads = np.searchsorted(-b, a[:use] - height, "right")
-        counts[row] = heads.sum()
-        if counts[row] >= fewest:
-            i = np.repeat(np.arange(use), heads)
-            j = np.arange(counts[row]) - np.repeat(np.cumsum(heads) - heads, heads)
-        else:
-            i, j, _ = best_sums(a, b, fewest)
-            counts[row] = len(i)
-        found.append(order[0][row, i].astype(np.int64) * codewords + order[1][row, j])
+    for start in range(0, len(rows), tile):
+        scores = half_scores(rows[start : start + tile], halves)
+        tops = [s.max(axis=1) for s in scores]
+        places = [np.nonzero(s >= (height - other)[:, None] - 1e-12) for s, other in zip(scores, tops[::-1], strict=True)]
+        ends = [np.searchsorted(p[0], np.arange(len(scores[0]) + 1)) for p in places]
+        for row in range(len(scores[0])):
+            one, two = (p[1][e[row] : e[row + 1]] for p, e in zip(places, ends, strict=True))
+            a, b = scores[0][row, one], scores[1][row, two]
+            i, j = np.nonzero(b[None, :] >= (height - a)[:, None])
+            if len(i) >= fewest:
+                numbers = one[i].astype(np.int64) * codewords + two[j]
+            else:
+                heads = [_largest(s[row], fewest) for s in scores]
+                i, j, _ = best_sums(scores[0][row, heads[0]], scores[1][row, heads[1]], fewest)
+                numbers = heads[0][i].astype(np.int64) * codewords + heads[1][j]
+            counts[start + row] = len(numbers)
+            found.append(numbers)
     return (np.concatenate(found) if found else np.zeros(0, np.int64)), counts
 
 
+def _largest(scores: np.ndarray, n: int) -> np.ndarray:
+    """The places of the n largest, in descending order."""
+    n = min(n, len(scores))
+    some = np.argpartition(-scores, n - 1)[:n]
+    return some[np.argsort(-scores[some], kind="stable")]
+
+
 def codewords_for(n: int) -> int:
     """Codewords a half, so that there are some 16 filters a vector: a filter then holds
     about one or two unrelated vectors, up to 2**17 codewords (a billion vectors; filters
