@@ -157,8 +157,9 @@ def search_lookup(queries: DataFrame, entries: DataFrame, best: int = 12) -> Dat
     The tokens that begin with a word are a range of the sorted tokens. For a single word
     it is made up of blocks whose best entries are kept (a token's entries, 64 tokens, 4,096
     and so on), so a query meets some hundred short lists however common its letters are.
-    Of several words the later ones decide, so all entries of the first one's range are met,
-    64 tokens a block; a block that many queries ask is met by a join that AQE can split.
+    Of several words the later ones decide, so all entries of the first one's range are met
+    (none beside it), by tokens at its ends and blocks of 64 between; one that many queries
+    ask is met by a join that AQE can split.
     """
     asked = queries.select("query", normalize_name("query").alias("norm_q")).where("norm_q <> ''").distinct()
     words = F.split("norm_q", " ")
@@ -174,8 +175,9 @@ def search_lookup(queries: DataFrame, entries: DataFrame, best: int = 12) -> Dat
     # an entry may be found by both of its tokens, so twice as many are kept
     pieces = ranged.where("words = 1").select("query", F.explode(blocks_of(F.col("low"), F.col("high"), levels)).alias("b")).select("query", "b.level", "b.block")
     single = pieces.join(best_lists(placed_, 2 * best, levels), ["level", "block"]).groupBy("query", "id", "norm", "cited_by_count").agg(F.min("kind").alias("kind"))
-    blocks = F.explode(F.sequence(F.floor(F.col("low") / FAN), F.floor(F.col("high") / FAN)))
-    several = ranged.where("words > 1").withColumn("block", blocks).join(placed_.drop("kind").withColumn("block", F.floor(F.col("pos") / FAN)), "block").where("low < pos and pos < high")
+    keyed = [placed_.drop("kind").withColumns({"level": F.lit(n), "block": F.floor(F.col("pos") / FAN**n)}) for n in (0, 1)]
+    blocks = F.explode(blocks_of(F.col("low"), F.col("high"), 2)).alias("b")
+    several = ranged.where("words > 1").select("query", "norm_q", "prefix", blocks).select("query", "norm_q", "prefix", "b.level", "b.block").join(keyed[0].union(keyed[1]), ["level", "block"])
     seen = F.aggregate(F.split("norm", " "), F.lit(0), lambda n, w: F.when(w.startswith(F.coalesce(F.get(words, n), F.lit("\x00"))), n + 1).otherwise(n))
     kind = F.when(F.col("norm").startswith(F.col("norm_q")), 0).when(F.col("norm").startswith(F.col("prefix")), 1).otherwise(2)
     several = several.where(seen == F.size(words)).select("query", "id", "norm", "cited_by_count", kind.alias("kind")).distinct()
