@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .batches import text_slices
 from .components import components
-from .storage import cut
+from .storage import cut, drop
 
 BITS = 64
 
@@ -74,7 +74,21 @@ def choose_blocks(n: int, distance: int) -> int:
     return min(range(distance + 1, distance + 6), key=cost)
 
 
-def link_components(prints: DataFrame, distance: int = 4, blocks: int | None = None, star_rounds: int = 1) -> DataFrame:
+def by_blocks(rows: DataFrame, blocks: int, distance: int, code: str = "fp") -> DataFrame:
+    """Each row once a block mask, with mask and key: its code under the mask."""
+    masks = F.array(*[F.lit(m) for m in block_masks(blocks, distance)])
+    return rows.select("*", F.explode(masks).alias("mask")).withColumn("key", F.col(code).bitwiseAND(F.col("mask")))
+
+
+def block_sizes(held: DataFrame) -> DataFrame:
+    """held(mask, key, cls, ...) -> the blocks of several classes: mask, key, rows, most (the
+    class with most rows) and outside (the rows of the others), counted class by class."""
+    by_class = held.groupBy("mask", "key", "cls").agg(F.count("*").alias("rows"))
+    blocks = by_class.groupBy("mask", "key").agg(F.sum("rows").alias("rows"), F.max(F.struct("rows", "cls")).alias("top"))
+    return blocks.select("mask", "key", "rows", F.col("top.cls").alias("most"), (F.col("rows") - F.col("top.rows")).alias("outside")).where("outside > 0")
+
+
+def link_components(prints: DataFrame, distance: int = 4, blocks: int | None = None, star_rounds: int = 1, most_outside: int = 4) -> DataFrame:
     """prints(fp long, n long), fp unique -> (fp, root): components under links of at
     most distance differing bits. Exact for any input.
 
@@ -83,32 +97,63 @@ def link_components(prints: DataFrame, distance: int = 4, blocks: int | None = N
     joins a group of copies into one class with one row per member; star_rounds more do
     so with other members of blocks that hold several classes. Then the fingerprints
     outside a block's largest class are compared with all others of other classes, so
-    pairs within the largest are never listed. Counts and pivots are pre-aggregated; the
-    joins can be split by AQE where a block is hot.
+    pairs within the largest are never listed.
+
+    Fingerprints of one template share most bits, so that blocks which would tell random
+    ones apart are large. Where more than most_outside are outside a block's largest
+    class, its members are taken again with one block more, that is with longer and more
+    keys: two within the distance share one of those too. This goes on while it costs
+    fewer rows than the pairs it saves; the links are the same at any level. Counts and
+    pivots are pre-aggregated; the joins can be split by AQE where a block is hot.
     """
-    masks = block_masks(blocks or choose_blocks(prints.count(), distance), distance)
-    keyed = lambda df: df.select("*", F.explode(F.array(*[F.lit(m) for m in masks])).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+    level = blocks or choose_blocks(prints.count(), distance)
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
 
-    every = keyed(prints)
+    def joined(before, pairs):
+        """before(fp, cls) with the classes that pairs(a, b) link made one."""
+        roots = components(pairs)
+        after = cut(before.join(roots.withColumnRenamed("id", "cls"), "cls", "left").select("fp", F.coalesce("root", "cls").alias("cls")), "classed")
+        drop(roots)
+        drop(before)
+        return after
+
+    every = by_blocks(prints, level, distance)
     pivots = every.groupBy("mask", "key").agg(F.count("*").alias("size"), F.max(F.struct("n", "fp"))["fp"].alias("pivot")).where("size > 1").select("mask", "key", "pivot")
     stars = every.join(pivots, ["mask", "key"]).where((F.col("fp") != F.col("pivot")) & near("fp", "pivot")).select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
-    classes = components(stars)
-    classed = cut(prints.join(classes.withColumnRenamed("id", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("cls")), "classed")
+    classed = joined(prints.select("fp", F.col("fp").alias("cls")), stars)
 
-    for turn in range(star_rounds + 1):
-        every = keyed(classed)
+    for turn in range(star_rounds):
+        every = by_blocks(classed, level, distance)
         drawn = F.max(F.struct(F.xxhash64("fp", F.lit(turn)).alias("h"), "fp", "cls"))
         mixed = every.groupBy("mask", "key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), drawn.alias("p")).where("lo < hi")
-        if turn < star_rounds:
-            held, other = every, mixed.select("mask", "key", F.col("p.fp").alias("fb"), F.col("p.cls").alias("cb"))
-        else:
-            held = cut(every.join(mixed.select("mask", "key"), ["mask", "key"]).select("mask", "key", "fp", "cls"), "mixed")
-            largest = held.groupBy("mask", "key", "cls").agg(F.count("*").alias("rows")).groupBy("mask", "key").agg(F.max(F.struct("rows", "cls"))["cls"].alias("most"))
-            other = held.join(largest, ["mask", "key"]).where("cls <> most").select("mask", "key", F.col("fp").alias("fb"), F.col("cls").alias("cb"))
+        pairs = every.join(mixed.select("mask", "key", F.col("p.fp").alias("fb"), F.col("p.cls").alias("cb")), ["mask", "key"]).where((F.col("cls") != F.col("cb")) & near("fp", "fb"))
+        classed = joined(classed, pairs.select(F.col("cls").alias("a"), F.col("cb").alias("b")))
+
+    members = classed
+    while members is not None:
+        every = by_blocks(members, level, distance)
+        sized = cut(block_sizes(every), "sized")
+        held = cut(every.join(sized.select("mask", "key"), ["mask", "key"]).select("mask", "key", "fp", "cls"), "mixed")
+        hot = sized.where(F.col("outside") > most_outside)
+        saved = hot.agg(F.sum(F.col("rows") * F.col("outside"))).first()[0] or 0
+        again, now = None, sized
+        if saved:
+            again = cut(held.join(hot.select("mask", "key"), ["mask", "key"]).select("fp").distinct(), "again")
+            if saved > 2 * comb(level + 1, distance) * again.count():
+                now = sized.where(F.col("outside") <= most_outside)
+            else:
+                drop(again)
+                again = None
+        other = held.join(now.select("mask", "key", "most"), ["mask", "key"]).where("cls <> most").select("mask", "key", F.col("fp").alias("fb"), F.col("cls").alias("cb"))
         pairs = held.join(other, ["mask", "key"]).where((F.col("cls") != F.col("cb")) & near("fp", "fb"))
-        roots = components(pairs.select(F.col("cls").alias("a"), F.col("cb").alias("b")))
-        classed = cut(classed.join(roots.withColumnRenamed("id", "cls"), "cls", "left").select("fp", F.coalesce("root", "cls").alias("cls")), "classed")
+        classed = joined(classed, pairs.select(F.col("cls").alias("a"), F.col("cb").alias("b")))
+        members = None
+        if again is not None:
+            level += 1
+            members = cut(classed.join(again, "fp"), "members")
+            drop(again)
+        drop(held)
+        drop(sized)
     return classed.withColumnRenamed("cls", "root")
 
 
@@ -123,6 +168,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = cut(marked.groupBy("fp").agg(F.count("*").alias("n"), F.min("id").alias("first")), "distinct-prints")
     roots = link_components(prints.select("fp", "n"), distance, blocks)
     rooted = cut(prints.select("fp", "first").join(roots, "fp"), "rooted")
+    drop(prints)
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(smallest, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("id", "fp", "component_id")

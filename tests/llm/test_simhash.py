@@ -64,6 +64,27 @@ def test_links_of_close_fingerprints_are_exact(spark, blocks):
     assert len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
+def test_crowded_blocks_of_one_template_are_split_exactly(spark):
+    import random
+
+    rng = random.Random(2)
+    base = rng.getrandbits(64)
+    prints = list({base ^ sum(1 << k for k in range(64) if rng.random() < 0.12) for _ in range(700)})
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    table = spark.createDataFrame([(p, 1) for p in signed], "fp long, n long")
+    sizes = simhash.block_sizes(simhash.by_blocks(table.withColumn("cls", F.col("fp")), 5, 4))
+    assert sizes.where("outside > 4").count() > 50
+    expected, groups = classes(prints), {}
+    for p, c in zip(signed, expected, strict=True):
+        groups.setdefault(c, set()).add(p)
+    for most in (0, 4):
+        found = {}
+        for r in simhash.link_components(table, 4, 5, most_outside=most).collect():
+            found.setdefault(r.root, set()).add(r.fp)
+        assert sorted(map(sorted, found.values())) == sorted(map(sorted, groups.values()))
+    assert 1 < len(groups) < len(prints)
+
+
 def test_large_group_of_near_copies_is_one_class(spark):
     table = spark.range(63).select(F.expr("shiftleft(1L, int(id))").alias("fp"), F.lit(1).cast("long").alias("n"))
     assert simhash.link_components(table).select("root").distinct().count() == 1
