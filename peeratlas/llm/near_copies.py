@@ -1,4 +1,4 @@
-"""Near copies of texts: exact Jaccard similarity of word shingles on MinHash candidates."""
+"""Near copies of texts: exact Jaccard similarity of word shingles on candidates of SimHash blocks and MinHash bands."""
 
 import numpy as np
 import pyarrow as pa
@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 
 from .batches import text_slices
 from .components import components
+from .simhash import BITS, by_blocks, choose_blocks, link_components
 from .storage import checked, cut, drop
 
 #: Two sets of Jaccard similarity s share a band with probability 1 - (1 - s^5)^32: all but 3 in a million at 0.8.
 BANDS, ROWS = 32, 5
 #: Least similarity of a link, as a fraction: whole numbers decide it exactly.
 LEAST = (4, 5)
+#: Most bits in which the SimHashes of two sets differ that are candidates by these alone.
+DISTANCE = 4
 #: Longs of parity bits a set.
 PARITY = 8
 
@@ -61,17 +64,25 @@ def set_print(hashes: np.ndarray) -> int:
     return int(np.array([xxhash.xxh64_intdigest(hashes.tobytes(), 7)], np.uint64).view(np.int64)[0])
 
 
+def sim_print(hashes: np.ndarray, at_once: int = 1 << 16) -> int:
+    """SimHash of the set, signed: a bit is 1 if more than half the shingles set it."""
+    set_bits = np.zeros(BITS, np.int64)
+    for i in range(0, len(hashes), at_once):
+        set_bits += np.unpackbits(hashes[i : i + at_once].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * set_bits > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp long, size int, bits and keys array<long>) for every row; a null text counts as empty."""
+    """(id, fp long, size int, sim long, bits and keys array<long>) for every row; a null text counts as empty."""
 
     def of(batches):
         for rows, texts in text_slices(batches):
             sets = [shingles(t) for t in texts.cast(pa.large_binary()).to_pylist()]
             longs = lambda of_set, sets=sets: pa.array([of_set(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(map(set_print, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), longs(parity), longs(band_keys)], ["id", "fp", "size", "bits", "keys"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(map(set_print, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(map(sim_print, sets), pa.int64()), longs(parity), longs(band_keys)], ["id", "fp", "size", "sim", "bits", "keys"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(of, f"id {kind}, fp long, size int, bits array<long>, keys array<long>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(of, f"id {kind}, fp long, size int, sim long, bits array<long>, keys array<long>")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -119,21 +130,41 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return bodies.select(*pairs.columns, "body_a", "body_b").mapInArrow(of, pairs.schema)
 
 
+def sim_blocks(prints: DataFrame) -> DataFrame:
+    """prints(fp, sim) -> (fp, key): the SimHash blocks of sets that links of at most
+    DISTANCE bits join with other sets, within what they join. Two sets whose SimHashes
+    differ in so few bits share a key."""
+    codes = cut(prints.groupBy("sim").agg(F.count("*").alias("n")), "codes")
+    roots = link_components(codes.select(F.col("sim").alias("fp"), "n"), DISTANCE)
+    alike = cut(prints.join(roots.toDF("sim", "joined"), "sim").select("fp", "sim", "joined"), "alike")
+    several = alike.groupBy("joined").agg(F.count("*").alias("sets")).where("sets > 1").select("joined")
+    held = cut(alike.join(several, "joined"), "held")
+    for old in (codes, roots, alike):
+        drop(old)
+    keyed = by_blocks(held, choose_blocks(held.count(), DISTANCE), DISTANCE, "sim").select("fp", F.xxhash64("joined", "mask", "key").alias("key"))
+    kept = cut(keyed, "sim-blocks")
+    drop(held)
+    return kept
+
+
 def near_copies(docs: DataFrame, star_rounds: int = 2) -> DataFrame:
     """One row per input row: id, fp long, root long (the component), component_id (its smallest id).
 
     A link: the sets of 5-word shingles have a Jaccard similarity of at least 0.8, checked
-    exactly. Candidates share one of 32 bands and pass may_link, which loses none. Equal sets are one row from the start. In
-    star rounds only one member of a band's block is compared with the others, which joins
+    exactly. Candidates share a block of SimHashes that differ in at most 4 bits (sim_blocks),
+    or, for what differs in more, one of 32 bands; they pass may_link, which loses none.
+    Equal sets are one row from the start. In star rounds only one member of a band's block is compared with the others, which joins
     a group of near copies with one pair a member; then all pairs of different classes.
     Ids, nulls and empty texts count as in simhash.near_duplicates.
     """
     marked = cut(sketches(docs), "sketches")
-    same = [F.first(c).alias(c) for c in ("size", "bits", "keys")]
+    same = [F.first(c).alias(c) for c in ("size", "sim", "bits", "keys")]
     prints = cut(marked.groupBy("fp").agg(F.count("*").alias("n"), F.min("id").alias("first"), *same), "sets")
-    every = prints.select("fp", F.explode("keys").alias("key"))
+    close = sim_blocks(prints.select("fp", "sim"))
+    every = prints.select("fp", F.explode("keys").alias("key")).union(close)
     shared = every.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
-    blocks = cut(every.join(shared, "key"), "blocks")
+    blocks = cut(every.join(shared, "key").select("fp", "key"), "blocks")
+    drop(close)
     wanted = cut(prints.join(blocks.select("fp").distinct(), "fp", "left_semi").select("fp", "first", "n", "size", "bits"), "wanted")
     sets = cut(shingle_sets(docs, wanted.select("fp", "first")), "bodies")
     classes = cut(wanted.select("fp", F.col("fp").alias("cls")), "classes")

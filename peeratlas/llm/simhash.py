@@ -154,7 +154,9 @@ def link_components(prints: DataFrame, distance: int = 4, blocks: int | None = N
             drop(again)
         drop(held)
         drop(sized)
-    return classed.withColumnRenamed("cls", "root")
+    found = classed.withColumnRenamed("cls", "root")
+    found._shared_path = classed._shared_path
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, seed: int = 42, distance: int = 4, blocks: int | None = None) -> DataFrame:
@@ -169,6 +171,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = link_components(prints.select("fp", "n"), distance, blocks)
     rooted = cut(prints.select("fp", "first").join(roots, "fp"), "rooted")
     drop(prints)
+    drop(roots)
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(smallest, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("id", "fp", "component_id")

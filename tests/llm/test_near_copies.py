@@ -51,6 +51,20 @@ def test_components_equal_brute_force(spark):
     assert len(set(expected)) < len(texts) - 40
 
 
+def test_close_simhashes_of_sets_share_a_block(spark):
+    texts = near_texts() + [" ".join(f"long{i}" for i in range(k, 600 + 2 * k)) for k in range(12)]
+    sets = [near_copies.shingles((t or "").encode()) for t in texts]
+    prints = {near_copies.set_print(s): near_copies.sim_print(s) for s in sets}
+    bits = [sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in s.tolist()) > len(s)) for s in sets]
+    assert [near_copies.sim_print(s) % (1 << 64) for s in sets] == bits
+    table = spark.createDataFrame(list(prints.items()), "fp long, sim long")
+    keys = {}
+    for r in near_copies.sim_blocks(table).collect():
+        keys.setdefault(r.fp, set()).add(r.key)
+    near = [(a, b) for a in prints for b in prints if a < b and ((prints[a] ^ prints[b]) % (1 << 64)).bit_count() <= 4]
+    assert len(near) > 10 and all(keys[a] & keys[b] for a, b in near)
+
+
 def test_stage_keeps_one_of_near_copies(spark):
     base = [f"word{i}" for i in range(120)]
     near = [" ".join(base), " ".join(base[:30] + ["other"] + base[31:]), " ".join(base[:90] + ["else"] + base[91:])]
