@@ -75,7 +75,8 @@ def formatted(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
 
     Rows are ordered by turn (null first), ties by role and text; null roles and texts
     are empty; null ids make one conversation. Rows are dealt by ranges of (id, turn), so
-    a conversation with very many turns spreads over tasks as segments.
+    a conversation with very many turns spreads over tasks as segments. Repeated rows are
+    turns of their own; other columns are ignored; an empty table gives no rows.
     """
     rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
     dealt = rows.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn", "role", "text")
