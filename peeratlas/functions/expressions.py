@@ -32,6 +32,23 @@ def id_number(id_col) -> Column:
     return F.when(digits != "", digits.cast("bigint")).otherwise(wrong.cast("bigint"))
 
 
+def id_code(id_col) -> Column:
+    """An author id (A and a number of up to 17 digits without leading zeros) as a number,
+    in the order of the ids as texts: the digits, filled up to 17, and how many they are.
+    Joins and sums by it move 8 bytes. An id of another form is an error."""
+    text = F.col(id_col) if isinstance(id_col, str) else id_col
+    wrong = F.raise_error(F.concat(F.lit("malformed author id: "), F.coalesce(text, F.lit("null"))))
+    code = F.rpad(F.substring(text, 2, 17), 17, "0").cast("bigint") * 18 + F.length(text) - 1
+    return F.when(text.rlike("^A(0|[1-9][0-9]{0,16})$"), code).otherwise(wrong.cast("bigint"))
+
+
+def code_id(code) -> Column:
+    """The author id that id_code() made a number of."""
+    code = F.col(code) if isinstance(code, str) else code
+    digits = F.call_function("div", code, F.lit(18)).cast("string")
+    return F.concat(F.lit("A"), F.substring(digits, F.lit(1), (code % 18).cast("int")))
+
+
 def byte_of(value: Column, top: int = 255) -> Column:
     """Rounded half to even and clipped to 0..top."""
     return F.greatest(F.lit(0), F.least(F.lit(top), F.rint(value).cast("int")))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expressions import id_number
+from ..functions.expressions import code_id, id_code, id_number
 from ..functions.names import normalize_name as plain_name
 from ..functions.names import search_tokens
 from ..operators import boundary, community, coords, edges, export, index, raster, regions
@@ -194,7 +194,7 @@ def tile_xyz(spark, sf_dir):
 
 @query(f"SELECT src, dst, {r6('weight')} FROM edges WHERE weight >= 0.5 AND weight < 1")
 def edge_weight_band(spark, sf_dir):
-    return six(edges.weight_band(views.graph(spark, sf_dir), 0.5, 1), "weight")
+    return six(views.named(edges.weight_band(views.coded_edges(spark, sf_dir), 0.5, 1), "src", "dst"), "weight")
 
 
 @query("SELECT id, px, py, community, CAST(rad0 AS INTEGER) AS rad0 FROM splats")

@@ -63,6 +63,15 @@ def bucketed(df: DataFrame, name: str, key: str, buckets: int | None = None, pat
 
 
 def drop(df: DataFrame) -> None:
+def buckets_for(rows: int, each: int = 500_000) -> int:
+    """Buckets for a table of so many short rows: as many as the session's shuffles have
+    partitions, fewer (a core's one at least) where a bucket would hold less than each rows:
+    a task a bucket writes a block for every partition of the next shuffle, however small."""
+    spark = SparkSession.active()
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(most, max(spark.sparkContext.defaultParallelism, -(-rows // each)))
+
+
     """Delete the files of a table made by cut() or bucketed() that no later step reads."""
     table = getattr(df, "_shared_table", None)
     if table:
