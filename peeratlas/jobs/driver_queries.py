@@ -643,7 +643,7 @@ def boundary_polylines(spark, sf_dir):
 
 @query("SELECT node, round(sum(weight), 6) AS degree, count(*) AS neighbours FROM twoway GROUP BY node")
 def weighted_degree(spark, sf_dir):
-    return six(community.weighted_degree(views.graph(spark, sf_dir)), "degree")
+    return six(views.named(community.weighted_degree(views.coded_edges(spark, sf_dir)), "node"), "degree")
 
 
 @query(communities_sql(2, 5, 5))
