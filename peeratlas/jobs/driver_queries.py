@@ -236,8 +236,7 @@ def keep_selected_authors(spark, sf_dir):
 
 @query(f"SELECT work_id, src, dst, {r6('w')} FROM pairs")
 def author_pairs(spark, sf_dir):
-    rows = edges.distinct_work_authors(views.works(spark, sf_dir), views.MAX_AUTHORS)
-    return six(edges.author_pairs(edges.keep_selected_authors(rows, views.nodes(spark, sf_dir))), "w")
+    return six(views.named(edges.author_pairs(views.coded_works(spark, sf_dir)), "src", "dst"), "w")
 
 
 @query("SELECT a.node_idx AS src, b.node_idx AS dst, round(weight, 5) AS weight FROM edges JOIN numbered a ON a.id = src JOIN numbered b ON b.id = dst WHERE weight >= 0.3")
