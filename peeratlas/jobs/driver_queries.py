@@ -318,8 +318,8 @@ def edge_weight_histogram(spark, sf_dir):
   (SELECT community, sum(weight) AS total FROM (SELECT p.community, weight FROM edges JOIN layout p ON p.id = src JOIN layout q ON q.id = dst UNION ALL SELECT q.community, weight FROM edges JOIN layout p ON p.id = src JOIN layout q ON q.id = dst) GROUP BY 1)
   LEFT JOIN (SELECT p.community, sum(weight) AS inside FROM edges JOIN layout p ON p.id = src JOIN layout q ON q.id = dst WHERE p.community = q.community GROUP BY 1) USING (community)""")
 def edge_modularity(spark, sf_dir):
-    labels = views.layout(spark, sf_dir).select(F.col("id").alias("node"), F.col("community").alias("label"))
-    return six(community.edge_modularity(views.graph(spark, sf_dir), labels), "modularity")
+    labels = views.layout(spark, sf_dir).select(id_code("id").alias("node"), F.col("community").alias("label"))
+    return six(community.edge_modularity(views.coded_edges(spark, sf_dir), labels), "modularity")
 
 
 @query("SELECT count(DISTINCT community) AS communities FROM layout")

@@ -19,11 +19,12 @@ def weighted_degree(edges: DataFrame) -> DataFrame:
 
 def edge_modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) -> DataFrame:
     """One row with the modularity of the partition labels(node, label)."""
-    met = edges.join(labels.toDF("src", "ls"), "src").join(labels.toDF("dst", "ld"), "dst")
-    inner = met.where("ls = ld").groupBy(F.col("ls").alias("label")).agg(F.sum("weight").alias("inside"))
-    ends = met.select(F.col("ls").alias("label"), "weight").union(met.select("ld", "weight"))
-    total = ends.groupBy("label").agg(F.sum("weight").alias("total"))
-    sums = total.join(inner, "label", "left").agg(F.sum(F.coalesce("inside", F.lit(0.0))).alias("inside"), F.sum(F.col("total") * F.col("total")).alias("squares"), F.sum("total").alias("twice"))
+    met = edges.select("src", "dst", "weight").join(labels.toDF("src", "ls"), "src").join(labels.toDF("dst", "ld"), "dst")
+    between = met.groupBy("ls", "ld").agg(F.sum("weight").alias("weight"))  # edges are read and joined once
+    inner = F.when(F.col("ls") == F.col("ld"), F.col("weight"))
+    ends = between.select(F.explode(F.array(F.struct(F.col("ls").alias("label"), "weight", inner.alias("inner")), F.struct(F.col("ld").alias("label"), "weight", F.lit(None).cast("double").alias("inner")))).alias("e")).select("e.*")
+    totals = ends.groupBy("label").agg(F.sum("weight").alias("total"), F.sum("inner").alias("inside"))
+    sums = totals.agg(F.sum(F.coalesce("inside", F.lit(0.0))).alias("inside"), F.sum(F.col("total") * F.col("total")).alias("squares"), F.sum("total").alias("twice"))
     m = F.col("twice") / 2
     return sums.select((F.col("inside") / m - F.lit(resolution) * F.col("squares") / (4 * m * m)).alias("modularity"))
 
