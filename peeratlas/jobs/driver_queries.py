@@ -390,7 +390,8 @@ def weight_distance_report(spark, sf_dir):
 @query("""SELECT count(*) AS authors, round(avg(CASE WHEN d <= 0.02::DOUBLE THEN 1.0::DOUBLE ELSE 0 END), 6) AS share FROM (
   SELECT node, min(sqrt((q.xw - p.xw) * (q.xw - p.xw) + (q.yw - p.yw) * (q.yw - p.yw))) AS d FROM twoway JOIN web p ON p.id = node JOIN web q ON q.id = other GROUP BY node)""")
 def near_coauthor_share(spark, sf_dir):
-    return six(export.near_coauthor_share(views.graph(spark, sf_dir), views.web(spark, sf_dir)), "share")
+    web = views.web(spark, sf_dir).withColumn("id", id_code("id"))
+    return six(export.near_coauthor_share(views.coded_edges(spark, sf_dir), web), "share")
 
 
 # --- windows, order, sets

@@ -89,11 +89,10 @@ def weight_distance_report(edges: DataFrame, web: DataFrame, least: float = 5.0,
 
 def near_coauthor_share(edges: DataFrame, web: DataFrame, near: float = 0.02) -> DataFrame:
     """authors (placed ones that have a placed coauthor) and the share of them that have
-    one within near. Each author's smallest distance is pre-aggregated before it is shuffled."""
+    one within near. Each author's flag is pre-aggregated before it is shuffled."""
     points = web.where(placed()).select("id", "xw", "yw")
     met = edges.select("src", "dst").join(points.toDF("src", "x0", "y0"), "src").join(points.toDF("dst", "x1", "y1"), "dst")
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    rows = met.select("src", "dst", F.sqrt(dx * dx + dy * dy).alias("d"))
-    ends = rows.select(F.explode(F.array("src", "dst")).alias("id"), "d")
-    least = ends.groupBy("id").agg(F.min("d").alias("d"))
-    return least.agg(F.count("*").alias("authors"), F.avg(F.when(F.col("d") <= near, 1.0).otherwise(0.0)).alias("share"))
+    ends = met.select(F.explode(F.array("src", "dst")).alias("id"), (F.sqrt(dx * dx + dy * dy) <= near).alias("near"))
+    each = ends.groupBy("id").agg(F.max("near").alias("near"))
+    return each.agg(F.count("*").alias("authors"), F.avg(F.when(F.col("near"), 1.0).otherwise(0.0)).alias("share"))
