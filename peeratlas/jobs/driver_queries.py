@@ -655,7 +655,7 @@ def detect_communities(spark, sf_dir):
 
 @query("SELECT node, label FROM label3")
 def label_propagation(spark, sf_dir):
-    return community.propagate_labels(views.graph(spark, sf_dir), 3)
+    return views.named(community.propagate_labels(views.coded_graph(spark, sf_dir), 3), "node", "label")
 
 
 @query("SELECT node, label FROM label3")

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.colors import FIELD_HUES, community_color, field_color
-from ..sources.storage import bucketed, cut, drop
+from ..sources.storage import bucketed, buckets_for, cut, drop
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -31,17 +31,19 @@ def edge_modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0
 
 def vote_round(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """One round: a node takes the label with the largest weight among its neighbours,
-    ties the smallest. Weights per label are pre-aggregated, so a hub's neighbours don't
-    meet in one task; rounding makes sums equal in whatever order they were added."""
-    votes = pairs.join(labels.toDF("other", "label"), "other").groupBy("node", "label").agg(F.round(F.sum("weight"), 9).alias("w"))
-    return votes.groupBy("node").agg(F.min(F.struct((-F.col("w")).alias("w"), "label"))["label"].alias("label"))
+    ties the smallest. Weights per label are pre-aggregated, so a hub's neighbours meet as a
+    row a label; rounding makes sums equal in whatever order they were added. The labels of
+    a bucket's nodes are hashed, so that its edges aren't sorted anew each round."""
+    nearest = F.rint(F.sum("weight") * 1e9)  # a billionth; round() would go through decimals
+    votes = pairs.join(labels.toDF("other", "label").hint("shuffle_hash"), "other").groupBy("node", "label").agg(nearest.alias("w"))
+    return votes.repartition("node").groupBy("node").agg(F.min(F.struct((-F.col("w")).alias("w"), "label"))["label"].alias("label"))
 
 
 def propagate_labels(edges: DataFrame, rounds: int = 3) -> DataFrame:
     """node, label after a fixed number of rounds of weighted label propagation. Rounds
     are written to the shared folder: a lost executor costs at most one round. Edges are
     written once, bucketed by the end that is asked, so rounds shuffle labels and votes."""
-    pairs = bucketed(both_ways(edges), "pairs", "other")
+    pairs = bucketed(both_ways(edges), "pairs", "other", buckets_for(2 * edges.count()))
     labels = cut(pairs.select("node").distinct().withColumn("label", F.col("node")), "labels")
     for _ in range(rounds):
         after = cut(vote_round(pairs, labels), "labels")

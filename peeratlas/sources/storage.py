@@ -44,8 +44,9 @@ def checked(table: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
 
 
 def bucketed(df: DataFrame, name: str, key: str, buckets: int | None = None, path: str | None = None) -> DataFrame:
-    """Write the rows once, dealt and sorted by key, as a table whose layout Spark knows:
-    joins and sums by key read it where it lies, without a shuffle. Where path holds a
+    """Write the rows once, dealt by key, as a table whose layout Spark knows: joins and sums
+    by key read it where it lies, without a shuffle. (Spark makes no use of an order in
+    buckets, and the writer's sort by two keys cost more than a round of votes.) Where path holds a
     table that was written to its end (by an earlier run, with as many buckets), it is
     taken as it is. By default a bucket holds what a shuffle partition would."""
     spark = df.sparkSession
@@ -54,15 +55,14 @@ def bucketed(df: DataFrame, name: str, key: str, buckets: int | None = None, pat
     place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-        spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{path}'")
+        spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{path}'")
     else:
-        df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+        df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).option("path", path).saveAsTable(table)
     kept = spark.table(table)
     kept._shared_path, kept._shared_table = path, table
     return kept
 
 
-def drop(df: DataFrame) -> None:
 def buckets_for(rows: int, each: int = 500_000) -> int:
     """Buckets for a table of so many short rows: as many as the session's shuffles have
     partitions, fewer (a core's one at least) where a bucket would hold less than each rows:
@@ -72,6 +72,7 @@ def buckets_for(rows: int, each: int = 500_000) -> int:
     return min(most, max(spark.sparkContext.defaultParallelism, -(-rows // each)))
 
 
+def drop(df: DataFrame) -> None:
     """Delete the files of a table made by cut() or bucketed() that no later step reads."""
     table = getattr(df, "_shared_table", None)
     if table:
