@@ -663,4 +663,4 @@ def resume_iterations(spark, sf_dir):
     folder = new_path(spark, "rounds")
     graph = views.graph(spark, sf_dir)
     iterate.label_rounds(graph, folder, 2)
-    return iterate.label_rounds(graph, folder, 3)
+    return views.named(iterate.label_rounds(graph, folder, 3), "node", "label")

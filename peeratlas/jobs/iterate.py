@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.community import both_ways, vote_round
 from ..sources.sinks import filesystem
-from ..sources.storage import bucketed
+from ..sources.storage import bucketed, buckets_for
 
 
 def latest_round(folder: str) -> tuple[int, str] | None:
@@ -35,7 +35,7 @@ def label_rounds(edges: DataFrame, folder: str, rounds: int, parameters: dict |
     done = latest_round(place)
     if done is not None and done[0] >= rounds:
         return spark.read.parquet(f"{place}/round={rounds}")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets_for(2 * edges.count())
     pairs = bucketed(both_ways(edges), "pairs", "other", buckets, f"{place}/pairs-{buckets}")
     if done is None:
         pairs.select("node").distinct().withColumn("label", F.col("node")).write.mode("overwrite").parquet(f"{place}/round=0")
