@@ -648,9 +648,9 @@ def weighted_degree(spark, sf_dir):
 
 @query(communities_sql(2, 5, 5))
 def detect_communities(spark, sf_dir):
-    graph = views.graph(spark, sf_dir)
-    labels = cut(community.modularity_communities(graph, 2, 5, 5), "communities")
-    return labels.crossJoin(F.broadcast(six(community.edge_modularity(graph, labels), "modularity")))  # one row
+    graph = views.coded_graph(spark, sf_dir)
+    labels = cut(community.modularity_communities(graph, 2, 5, 5, text=code_id), "communities")
+    return views.named(labels, "node", "label").crossJoin(F.broadcast(six(community.edge_modularity(graph, labels), "modularity")))  # one row
 
 
 @query("SELECT node, label FROM label3")

@@ -1,5 +1,7 @@
 """Communities of the coauthor graph."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -57,9 +59,13 @@ def propagate_labels(edges: DataFrame, rounds: int = 3) -> DataFrame:
 WEIGHT_UNIT = 1e-6
 
 
-def takes_in(community: Column, salt: int) -> Column:
+def as_text(node: Column) -> Column:
+    return node.cast("string")
+
+
+def takes_in(community: Column, salt: int, text: Callable[[Column], Column] = as_text) -> Column:
     """Whether a community takes in members in this round; the others may give some away."""
-    drawn = F.substring(F.md5(F.concat_ws(":", community.cast("string"), F.lit(salt)).cast("binary")), 1, 8)
+    drawn = F.substring(F.md5(F.concat_ws(":", text(community), F.lit(salt)).cast("binary")), 1, 8)
     return F.conv(drawn, 16, 10).cast("long") % 2 == 1
 
 
@@ -74,13 +80,17 @@ def move_choices(pairs: DataFrame, state: DataFrame, twice: int, resolution: flo
     no community loses and gains in one round: gains are computed against members that
     stay. Ties go to the smallest community. wants: a gain is to be had, if not in this round.
 
-    Weights to a community are summed before each of the two exchanges, so a hub's
-    neighbours never meet in one task, and edges are read where they lie.
+    Weights to a community are summed before they are shuffled and again before they are
+    dealt by node, so a hub's neighbours meet as one row a community, and edges are read
+    where they lie.
     """
-    seen = pairs.join(state.select(F.col("node").alias("other"), "community", "total", "open"), "other")
-    votes = seen.select("node", "community", "total", "open", "w", "degree", F.lit(False).alias("own"))
-    votes = votes.union(state.select("node", "community", "total", "open", F.lit(0).cast("long"), "degree", F.lit(True)))
-    sums = votes.groupBy("node", "community").agg(F.sum("w").alias("w"), F.max("total").alias("total"), F.max("open").alias("open"), F.max("degree").alias("degree"), F.max("own").alias("own"))
+    # a vote is five numbers: totals of closed communities and degrees of own rows are negative
+    signed = F.when(F.col("open"), F.col("total")).otherwise(-F.col("total")).alias("total")
+    seen = pairs.join(state.select(F.col("node").alias("other"), "community", signed).hint("shuffle_hash"), "other")
+    votes = seen.select("node", "community", "total", "w", "degree")
+    votes = votes.union(state.select("node", "community", signed, F.lit(0).cast("long"), -F.col("degree")))
+    sums = votes.groupBy("node", "community").agg(F.sum("w").alias("w"), F.first("total").alias("total"), F.min("degree").alias("degree")).repartition("node")
+    sums = sums.select("node", "community", "w", F.abs("total").alias("total"), (F.col("total") > 0).alias("open"), F.abs("degree").alias("degree"), (F.col("degree") < 0).alias("own"))
     others = F.col("total") - F.when(F.col("own"), F.col("degree")).otherwise(0)
     score = F.lit(float(twice)) * F.col("w").cast("double") - F.lit(float(resolution)) * F.col("degree").cast("double") * others.cast("double")
     best = F.min(F.when(~F.col("own") & F.col("open"), F.struct((-F.col("score")).alias("lost"), "community")))
@@ -91,14 +101,14 @@ def move_choices(pairs: DataFrame, state: DataFrame, twice: int, resolution: flo
     return found.select("node", to.alias("community"), "degree", F.coalesce(F.col("any") > F.col("stay"), F.lit(False)).alias("wants"))
 
 
-def move_rounds(graph: DataFrame, members: DataFrame, twice: int, rounds: int, salt: int, resolution: float = 1.0, buckets: int | None = None) -> tuple[DataFrame, int]:
+def move_rounds(graph: DataFrame, members: DataFrame, twice: int, rounds: int, salt: int, resolution: float = 1.0, buckets: int | None = None, text: Callable[[Column], Column] = as_text) -> tuple[DataFrame, int]:
     """members(node, community, degree) after rounds of moves, and how many were needed:
     they end when no node has a gain to make. Each round writes the nodes' communities
     anew, with the communities' totals, bucketed like the edges: a round shuffles votes and
     rows of nodes, never edges, and a lost executor costs one round. A community that holds
     a third of all nodes is one row of totals, met by a join that AQE can split."""
     for n in range(rounds):
-        totals = members.groupBy("community").agg(F.sum("degree").alias("total")).withColumn("open", takes_in(F.col("community"), salt + n))
+        totals = members.groupBy("community").agg(F.sum("degree").alias("total")).withColumn("open", takes_in(F.col("community"), salt + n, text))
         state = bucketed(members.join(totals, "community").select("node", "community", "degree", "total", "open"), "state", "node", buckets)
         seen = Observation()
         choices = move_choices(graph, state, twice, resolution).observe(seen, F.count(F.when(F.col("wants"), 1)).alias("wanting"))
@@ -113,7 +123,7 @@ def move_rounds(graph: DataFrame, members: DataFrame, twice: int, rounds: int, s
     return members, rounds
 
 
-def modularity_communities(edges: DataFrame, levels: int = 2, rounds: int = 12, refine: int = 12, resolution: float = 1.0, buckets: int | None = None) -> DataFrame:
+def modularity_communities(edges: DataFrame, levels: int = 2, rounds: int = 12, refine: int = 12, resolution: float = 1.0, buckets: int | None = None, text: Callable[[Column], Column] = as_text) -> DataFrame:
     """node, label: communities by rounds of moves that raise modularity, then the same on
     the graph of communities (levels in all), and at last rounds of single nodes between
     the communities found; label is a community's smallest node.
@@ -121,19 +131,21 @@ def modularity_communities(edges: DataFrame, levels: int = 2, rounds: int = 12,
     Weights are rounded to WEIGHT_UNIT, so that sums and with them the result don't depend
     on the order of rows; edges without weight or with equal ends are left out, as are
     nodes without another edge. src and dst hold each pair once at most. Other columns are
-    ignored; no edges give no rows.
+    ignored; no edges give no rows. text: the id of a node that is given as a code, in the
+    order of the ids (communities are drawn by their ids).
     """
-    weight = F.round(F.col("weight") / WEIGHT_UNIT).cast("long")
+    weight = F.floor(F.col("weight") / WEIGHT_UNIT + 0.5)  # round() would go through decimals
     pairs = cut(both_ways(edges.select("src", "dst", weight.alias("weight")).where("weight > 0 and src <> dst")).withColumnRenamed("weight", "w"), "two-ways")
     nodes = cut(pairs.groupBy("node").agg(F.sum("w").alias("degree")), "nodes")
     twice = nodes.agg(F.sum("degree")).first()[0] or 0  # the same on all levels
+    buckets = buckets or buckets_for(pairs.count())
     weighed = lambda pairs, nodes: bucketed(pairs.join(nodes, "node").select("node", "other", "w", "degree"), "level_pairs", "other", buckets)
     first = graph = weighed(pairs, nodes)
     drop(pairs)
     start = lambda nodes: cut(nodes.select("node", F.col("node").alias("community"), "degree"), "members")
     members, mapping = start(nodes), None
     for level in range(levels):
-        members, used = move_rounds(graph, members, twice, rounds, level * rounds, resolution, buckets)
+        members, used = move_rounds(graph, members, twice, rounds, level * rounds, resolution, buckets, text)
         found = members.select("node", "community")
         mapping = cut(found if mapping is None else mapping.join(found.toDF("community", "next"), "community").select("node", F.col("next").alias("community")), "mapping")
         if used == 0 or level + 1 == levels:
@@ -148,7 +160,7 @@ def modularity_communities(edges: DataFrame, levels: int = 2, rounds: int = 12,
         if graph is not first:
             drop(graph)
         drop(members)
-        members, _ = move_rounds(first, cut(mapping.join(nodes, "node").select("node", "community", "degree"), "members"), twice, refine, levels * rounds, resolution, buckets)
+        members, _ = move_rounds(first, cut(mapping.join(nodes, "node").select("node", "community", "degree"), "members"), twice, refine, levels * rounds, resolution, buckets, text)
     smallest = members.groupBy("community").agg(F.min("node").alias("label"))
     return members.join(smallest, "community").select("node", "label")
 
