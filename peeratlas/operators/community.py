@@ -73,7 +73,7 @@ def move_choices(pairs: DataFrame, state: DataFrame, twice: int, resolution: flo
     """node, community, degree, wants: where each node moves in this round, or stays.
 
     pairs(node, other, w, degree) bucketed by other; state(node, community, degree, total,
-    open) bucketed by node, where total is the community's sum of degrees. Moving a node
+    open), where total is the community's sum of degrees. Moving a node
     changes modularity in proportion to twice * (its weight to the new community less that
     to the old one) - degree * (the new total less the old total without it). Only members
     of communities that aren't open move, and only into open ones, so no two nodes swap and
@@ -101,19 +101,19 @@ def move_choices(pairs: DataFrame, state: DataFrame, twice: int, resolution: flo
     return found.select("node", to.alias("community"), "degree", F.coalesce(F.col("any") > F.col("stay"), F.lit(False)).alias("wants"))
 
 
-def move_rounds(graph: DataFrame, members: DataFrame, twice: int, rounds: int, salt: int, resolution: float = 1.0, buckets: int | None = None, text: Callable[[Column], Column] = as_text) -> tuple[DataFrame, int]:
+def move_rounds(graph: DataFrame, members: DataFrame, twice: int, rounds: int, salt: int, resolution: float = 1.0, text: Callable[[Column], Column] = as_text) -> tuple[DataFrame, int]:
     """members(node, community, degree) after rounds of moves, and how many were needed:
-    they end when no node has a gain to make. Each round writes the nodes' communities
-    anew, with the communities' totals, bucketed like the edges: a round shuffles votes and
-    rows of nodes, never edges, and a lost executor costs one round. A community that holds
+    they end when no node has a gain to make. Each round is one job: it sums up the
+    communities' totals, deals them with the nodes to the buckets of the edges and writes the
+    nodes' communities anew. It shuffles votes and rows of nodes, never edges, and a lost
+    executor costs one round. A community that holds
     a third of all nodes is one row of totals, met by a join that AQE can split."""
     for n in range(rounds):
         totals = members.groupBy("community").agg(F.sum("degree").alias("total")).withColumn("open", takes_in(F.col("community"), salt + n, text))
-        state = bucketed(members.join(totals, "community").select("node", "community", "degree", "total", "open"), "state", "node", buckets)
+        state = members.join(totals, "community").select("node", "community", "degree", "total", "open")
         seen = Observation()
         choices = move_choices(graph, state, twice, resolution).observe(seen, F.count(F.when(F.col("wants"), 1)).alias("wanting"))
         after = cut(choices, "choices")
-        drop(state)
         if seen.get["wanting"] == 0:
             drop(after)
             return members, n
@@ -145,7 +145,7 @@ def modularity_communities(edges: DataFrame, levels: int = 2, rounds: int = 12,
     start = lambda nodes: cut(nodes.select("node", F.col("node").alias("community"), "degree"), "members")
     members, mapping = start(nodes), None
     for level in range(levels):
-        members, used = move_rounds(graph, members, twice, rounds, level * rounds, resolution, buckets, text)
+        members, used = move_rounds(graph, members, twice, rounds, level * rounds, resolution, text)
         found = members.select("node", "community")
         mapping = cut(found if mapping is None else mapping.join(found.toDF("community", "next"), "community").select("node", F.col("next").alias("community")), "mapping")
         if used == 0 or level + 1 == levels:
@@ -160,7 +160,7 @@ def modularity_communities(edges: DataFrame, levels: int = 2, rounds: int = 12,
         if graph is not first:
             drop(graph)
         drop(members)
-        members, _ = move_rounds(first, cut(mapping.join(nodes, "node").select("node", "community", "degree"), "members"), twice, refine, levels * rounds, resolution, buckets, text)
+        members, _ = move_rounds(first, cut(mapping.join(nodes, "node").select("node", "community", "degree"), "members"), twice, refine, levels * rounds, resolution, text)
     smallest = members.groupBy("community").agg(F.min("node").alias("label"))
     return members.join(smallest, "community").select("node", "label")
 
