@@ -256,7 +256,8 @@ def assemble_coords(spark, sf_dir):
 
 @query("SELECT x0, y0, x1, y1 FROM lines")
 def drawable_edges(spark, sf_dir):
-    return edges.drawable_edges(views.graph(spark, sf_dir), views.web(spark, sf_dir), 0.5, None, 4_000)
+    web = views.web(spark, sf_dir).withColumn("id", id_code("id"))
+    return edges.drawable_edges(views.coded_edges(spark, sf_dir), web, 0.5, None, 4_000)
 
 
 @query(f"SELECT src, dst, community0, community1, cited0, cited1, {r6('weight', 'xw0', 'yw0', 'xw1', 'yw1')} FROM ends")
@@ -603,7 +604,7 @@ def splat_pixels(spark, sf_dir):
 def edge_pixels(spark, sf_dir):
     web = views.web(spark, sf_dir)
     levels = raster.pyramid(cut(raster.pixel_majority(web), "pixels"), 8).where("z = 8")
-    lines = edges.drawable_edges(views.graph(spark, sf_dir), web, 0.5, None, 4_000)
+    lines = edges.drawable_edges(views.coded_edges(spark, sf_dir), web.withColumn("id", id_code("id")), 0.5, None, 4_000)
     occupied = raster.tile_xyz(levels, 8).select("tx", "ty").distinct()
     return six(raster.edge_pixels(lines, occupied, 8, 0.08), "alpha")
 
@@ -620,7 +621,7 @@ def bloom(spark, sf_dir):
 def render_tiles(spark, sf_dir):
     web, palette = _web_palette(spark, sf_dir)
     levels = cut(raster.pyramid(cut(raster.pixel_majority(web), "pixels"), 10), "levels")
-    lines = cut(edges.drawable_edges(views.graph(spark, sf_dir), web, 0.5, None, 4_000), "lines")
+    lines = cut(edges.drawable_edges(views.coded_edges(spark, sf_dir), web.withColumn("id", id_code("id")), 0.5, None, 4_000), "lines")
     tiles = cut(raster.render_zoom(levels, palette, 10, raster.splat_tiers(web, 800), None, lines), "tiles")
     return raster.tile_bytes(tiles).select(F.lit(10).alias("z"), "tx", "ty", "ix", "iy", "r", "g", "b")
 
@@ -661,6 +662,6 @@ def label_propagation(spark, sf_dir):
 @query("SELECT node, label FROM label3")
 def resume_iterations(spark, sf_dir):
     folder = new_path(spark, "rounds")
-    graph = views.graph(spark, sf_dir)
+    graph = views.coded_graph(spark, sf_dir)
     iterate.label_rounds(graph, folder, 2)
     return views.named(iterate.label_rounds(graph, folder, 3), "node", "label")
