@@ -1,5 +1,7 @@
 """Arrow batches of texts inside tasks."""
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -20,14 +22,23 @@ def text_slices(batches, column="text", most_bytes=2 << 20):
             stop = max(start + 1, int(np.searchsorted(ends, before + most_bytes, side="right")))
             yield batch.slice(start, stop - start), texts.slice(start, stop - start)
             start = stop
-    pa.default_memory_pool().release_unused()  # workers live on; the next task may need the room elsewhere
+    give_back()  # workers live on; the next task may need the room elsewhere
+
+
+def give_back() -> None:
+    """Return to the system what Arrow and the C library keep of freed memory (the latter
+    where it is glibc: numpy's arrays and Python's larger objects)."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
-def small_batches(spark, most_bytes: int = 8 << 20, most_rows: int = 2000) -> None:
-    """Let Spark hand texts to Python in batches of a few MB: JVM and worker hold several
-    copies of each. A session that has values of its own keeps them."""
-    for name, usual, value in (("maxBytesPerBatch", "67108864b", f"{most_bytes}b"), ("maxRecordsPerBatch", "10000", str(most_rows))):
-        key = f"spark.sql.execution.arrow.{name}"
+def small_batches(spark, most_bytes: int = 1 << 20, most_rows: int = 500) -> None:
+    """Let Spark read texts and hand them to Python in batches of about a MB: JVM and worker
+    hold several copies of each. A session that has values of its own keeps them."""
+    arrow = "spark.sql.execution.arrow."
+    for key, usual, value in ((f"{arrow}maxBytesPerBatch", "67108864b", f"{most_bytes}b"), (f"{arrow}maxRecordsPerBatch", "10000", str(most_rows)), ("spark.sql.parquet.columnarReaderBatchSize", "4096", str(most_rows))):
         if spark.conf.get(key, usual) == usual:
             spark.conf.set(key, value)
 

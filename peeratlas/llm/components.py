@@ -40,4 +40,4 @@ def components(edges: DataFrame) -> DataFrame:
                 drop(old)
         live, roots, turn = after, grown, turn + 1
     drop(live)
-    return roots if roots is not None else edges.sparkSession.createDataFrame([], "id long, root long")
+    return roots if roots is not None else edges.sparkSession.range(0).select("id", F.col("id").alias("root"))  # createDataFrame would start Python workers of another kind

@@ -39,7 +39,14 @@ class Kernel:
         found = np.zeros((len(texts), 1 << self.bits), np.float32)
         for row, text in zip(found, texts, strict=True):
             self.presence(text, row)
-        return found / np.sqrt(np.maximum(1, found.sum(1)))[:, None]
+        found /= np.sqrt(np.maximum(1, found.sum(1)))[:, None]
+        return found
+
+    def packed(self, text: bytes) -> bytes:
+        """The text's presence as bits."""
+        row = np.zeros(1 << self.bits, np.uint8)
+        self.presence(text, row)
+        return np.packbits(row).tobytes()
 
 
 @dataclass
@@ -92,10 +99,7 @@ def learned(docs: DataFrame, per_language: int = 400, most_languages: int = 64,
 
     def of(batches):
         for part, texts in text_slices(batches):
-            found = np.zeros((len(texts), 1 << kernel.bits), np.uint8)
-            for row, text in zip(found, texts.cast(pa.large_binary()).to_pylist(), strict=True):
-                kernel.presence(text, row)
-            bits = [r.tobytes() for r in np.packbits(found, axis=1)]
+            bits = [kernel.packed(text) for text in texts.cast(pa.large_binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(bits, pa.binary())], ["drawn", "lang", "bits"])
 
     picked = rows.where(u < rate[F.col("lang")]).select(drawn.alias("drawn"), "text", "lang").mapInArrow(of, "drawn long, lang string, bits binary")
