@@ -649,9 +649,9 @@ def weighted_degree(spark, sf_dir):
 
 @query(communities_sql(2, 5, 5))
 def detect_communities(spark, sf_dir):
-    graph = views.coded_graph(spark, sf_dir)
-    labels = cut(community.modularity_communities(graph, 2, 5, 5, text=code_id), "communities")
-    return views.named(labels, "node", "label").crossJoin(F.broadcast(six(community.edge_modularity(graph, labels), "modularity")))  # one row
+    pairs, names = views.numbered_pairs(spark, sf_dir)
+    labels, modularity = community.found_communities(pairs, 2, 5, 5, text=code_id, names=names)
+    return views.named(labels, "node", "label").crossJoin(F.broadcast(six(modularity, "modularity")))  # one row
 
 
 @query("SELECT node, label FROM label3")

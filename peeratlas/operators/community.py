@@ -1,12 +1,16 @@
 """Communities of the coauthor graph."""
 
 from collections.abc import Callable
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.colors import FIELD_HUES, community_color, field_color
-from ..sources.storage import bucketed, buckets_for, cut, drop
+from ..sources.storage import cut, drop
+from . import blocks
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -35,24 +39,44 @@ def vote_round(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """One round: a node takes the label with the largest weight among its neighbours,
     ties the smallest. Weights per label are pre-aggregated, so a hub's neighbours meet as a
     row a label; rounding makes sums equal in whatever order they were added. The labels of
-    a bucket's nodes are hashed, so that its edges aren't sorted anew each round."""
+    a bucket's nodes are hashed, so that its edges aren't sorted anew each round. This shuffles
+    a vote for nearly every edge; propagate_labels() makes the same rounds in blocks."""
     nearest = F.rint(F.sum("weight") * 1e9)  # a billionth; round() would go through decimals
     votes = pairs.join(labels.toDF("other", "label").hint("shuffle_hash"), "other").groupBy("node", "label").agg(nearest.alias("w"))
     return votes.repartition("node").groupBy("node").agg(F.min(F.struct((-F.col("w")).alias("w"), "label"))["label"].alias("label"))
 
 
-def propagate_labels(edges: DataFrame, rounds: int = 3) -> DataFrame:
+def _vote(parts: int, p: int, own: dict, seen: dict, rows) -> pa.Table:
+    """A part's step of label_round()."""
+    node, label = [np.zeros(0, int)], [np.zeros(0, int)]
+    for place, others, w in rows:
+        place, value, _, added = blocks.sums(place, seen["value"][others], w)
+        at = blocks.best(place, np.rint(added * 1e9))  # of equal ones the first is the smallest
+        node.append(p + parts * place[at])
+        label.append(value[at])
+    return blocks.table("node int, label int", np.concatenate(node), np.concatenate(label))
+
+
+def label_round(graph: blocks.Blocks, labels: DataFrame) -> DataFrame:
+    """vote_round() in blocks: labels(node, label) are numbers of nodes."""
+    return graph.round(labels.select("node", F.col("label").alias("value")), _vote, "node int, label int")
+
+
+def propagate_labels(edges: DataFrame, rounds: int = 3, names: DataFrame | None = None) -> DataFrame:
     """node, label after a fixed number of rounds of weighted label propagation. Rounds
     are written to the shared folder: a lost executor costs at most one round. Edges are
-    written once, bucketed by the end that is asked, so rounds shuffle labels and votes."""
-    pairs = bucketed(both_ways(edges), "pairs", "other", buckets_for(2 * edges.count()))
-    labels = cut(pairs.select("node").distinct().withColumn("label", F.col("node")), "labels")
+    written once, in blocks, so rounds shuffle labels only. With names(number, node) the
+    edges' ends are such numbers, in the order of the nodes; the weights of repeated edges
+    are added up."""
+    edges, names = (edges, names) if names is not None else blocks.numbered(edges)
+    graph = blocks.Blocks(edges, blocks.part_count(2 * edges.count()))
+    labels = cut(graph.nodes().select("node", F.col("node").alias("label")), "labels")
     for _ in range(rounds):
-        after = cut(vote_round(pairs, labels), "labels")
+        after = cut(label_round(graph, labels), "labels")
         drop(labels)
         labels = after
-    drop(pairs)
-    return labels
+    graph.drop()
+    return blocks.named(labels, names, "node", "label").select("node", "label")
 
 
 #: Weights are whole numbers of this part of one, so that sums don't depend on their order.
@@ -101,68 +125,142 @@ def move_choices(pairs: DataFrame, state: DataFrame, twice: int, resolution: flo
     return found.select("node", to.alias("community"), "degree", F.coalesce(F.col("any") > F.col("stay"), F.lit(False)).alias("wants"))
 
 
-def move_rounds(graph: DataFrame, members: DataFrame, twice: int, rounds: int, salt: int, resolution: float = 1.0, text: Callable[[Column], Column] = as_text) -> tuple[DataFrame, int]:
+def _move(unit: float, twice: float, resolution: float, full: bool, parts: int, p: int, own: dict, seen: dict, rows) -> pa.Table:
+    """A part's step of a round, as move_choices() has it; of nodes that can't move only
+    when full, for whether they want to."""
+    community, to = own["value"], own["value"].copy()
+    wants = np.zeros(len(community), bool)
+    stay = -resolution * own["degree"].astype(float) * (own["total"] - own["degree"]).astype(float)
+    for place, others, w in rows:
+        w = blocks.in_units(w, unit)
+        here, at = w > 0, np.zeros(0, int)
+        mine = seen["value"][others] == community[place]
+        if not full:
+            here &= ~own["open"][place] & (mine | seen["open"][others])
+        place, others, w = place[here], others[here], w[here]
+        place, value, at, w = blocks.sums(place, seen["value"][others], w)
+        others = others[at]
+        mine = value == community[place]
+        total, degree = seen["total"][others], own["degree"][place].astype(float)
+        score = twice * w.astype(float) - resolution * degree * (total - np.where(mine, own["degree"][place], 0)).astype(float)
+        home = place[mine]
+        stay[home] = twice * w[mine].astype(float) - resolution * own["degree"][home].astype(float) * (own["total"][home] - own["degree"][home]).astype(float)
+        away = ~mine
+        wants[place[away & (score > stay[place])]] = True
+        gains = np.flatnonzero(away & seen["open"][others] & ~own["open"][place])
+        gains = gains[blocks.best(place[gains], score[gains])]
+        gains = gains[score[gains] > stay[place[gains]]]
+        to[place[gains]] = value[gains]
+    at = own["place"]
+    return blocks.table(MOVED, p + parts * at.astype(np.int64), to[at], own["degree"][at], to[at] != community[at], wants[at])
+
+
+MOVED = "node int, community int, degree long, moved boolean, wants boolean"
+
+
+def _merge(unit: float, keys: list[int], parts: int, p: int, own: dict, seen: dict, rows) -> pa.Table:
+    """A part's edges between different communities, with weights in units, dealt to theirs."""
+    found = []
+    for place, others, w in rows:
+        w, a, b = blocks.in_units(w, unit), own["value"][place], seen["value"][others]
+        here = (w > 0) & (a != b)
+        found.append(blocks.sums(a[here], b[here], w[here]))
+    a, b, w = (np.concatenate([f[n] for f in found] or [np.zeros(0, int)]) for n in (0, 1, 3))
+    a, b, _, w = blocks.sums(a, b, w)
+    return blocks.dealt(parts, keys, a, b, w)
+
+
+def _inside(parts: int, p: int, own: dict, seen: dict, rows) -> pa.Table:
+    """community, inside, total: the weights of a part's edges from labelled nodes, to those of
+    the same label and to all that are labelled."""
+    inside, total = np.zeros(len(own["value"])), np.zeros(len(own["value"]))
+    for place, others, w in rows:
+        a, b = own["value"][place], seen["value"][others]
+        if len(place):
+            first, size = place[0], place[-1] - place[0] + 1
+            total[first : first + size] += np.bincount(place - first, w * (b >= 0), size)
+            inside[first : first + size] += np.bincount(place - first, w * (a == b), size)
+    at = own["place"]
+    return blocks.table("community int, inside double, total double", own["value"][at], inside[at], total[at])
+
+
+def move_rounds(graph: blocks.Blocks, members: DataFrame, names: DataFrame, unit: float, twice: int, rounds: int, salt: int, resolution: float = 1.0, text: Callable[[Column], Column] = as_text) -> tuple[DataFrame, int]:
     """members(node, community, degree) after rounds of moves, and how many were needed:
-    they end when no node has a gain to make. Each round is one job: it sums up the
-    communities' totals, deals them with the nodes to the buckets of the edges and writes the
-    nodes' communities anew. It shuffles votes and rows of nodes, never edges, and a lost
-    executor costs one round. A community that holds
-    a third of all nodes is one row of totals, met by a join that AQE can split."""
+    they end when no node has a gain to make, which is looked at after a round without a move.
+    Each round is one job: it sums up the communities' totals, sends the nodes' communities
+    to the parts of their neighbours and writes the nodes' communities anew. It shuffles rows of
+    nodes and their values, never edges or votes, and a lost executor costs one round. A
+    community that holds a third of all nodes is one row of totals, met by a join that AQE
+    can split."""
+    full, done = False, 0
     for n in range(rounds):
-        totals = members.groupBy("community").agg(F.sum("degree").alias("total")).withColumn("open", takes_in(F.col("community"), salt + n, text))
-        state = members.join(totals, "community").select("node", "community", "degree", "total", "open")
+        totals = members.groupBy("community").agg(F.sum("degree").alias("total"))
+        totals = blocks.named(totals.withColumn("id", F.col("community")), names, "id")
+        totals = totals.select("community", "total", takes_in(F.col("id"), salt + n, text).alias("open"))
+        state = members.join(totals, "community").select("node", F.col("community").alias("value"), "open", "total", "degree")
         seen = Observation()
-        choices = move_choices(graph, state, twice, resolution).observe(seen, F.count(F.when(F.col("wants"), 1)).alias("wanting"))
-        after = cut(choices, "choices")
-        if seen.get["wanting"] == 0:
+        choices = graph.round(state, partial(_move, unit, float(twice), float(resolution), full), MOVED, full)
+        after = cut(choices.observe(seen, *[F.count(F.when(F.col(c), 1)).alias(c) for c in ("moved", "wants")]), "choices")
+        found = seen.get
+        done = n + 1 if found["moved"] else done
+        if full and found["wants"] == 0:
             drop(after)
-            return members, n
+            break
+        full = found["moved"] == 0
         drop(members)
-        members = after.drop("wants")
+        members = after.drop("moved", "wants")
         members._shared_path = after._shared_path
-    return members, rounds
+    return members, done
 
 
-def modularity_communities(edges: DataFrame, levels: int = 2, rounds: int = 12, refine: int = 12, resolution: float = 1.0, buckets: int | None = None, text: Callable[[Column], Column] = as_text) -> DataFrame:
-    """node, label: communities by rounds of moves that raise modularity, then the same on
-    the graph of communities (levels in all), and at last rounds of single nodes between
-    the communities found; label is a community's smallest node.
-
-    Weights are rounded to WEIGHT_UNIT, so that sums and with them the result don't depend
-    on the order of rows; edges without weight or with equal ends are left out, as are
-    nodes without another edge. src and dst hold each pair once at most. Other columns are
-    ignored; no edges give no rows. text: the id of a node that is given as a code, in the
-    order of the ids (communities are drawn by their ids).
-    """
-    weight = F.floor(F.col("weight") / WEIGHT_UNIT + 0.5)  # round() would go through decimals
-    pairs = cut(both_ways(edges.select("src", "dst", weight.alias("weight")).where("weight > 0 and src <> dst")).withColumnRenamed("weight", "w"), "two-ways")
-    nodes = cut(pairs.groupBy("node").agg(F.sum("w").alias("degree")), "nodes")
-    twice = nodes.agg(F.sum("degree")).first()[0] or 0  # the same on all levels
-    buckets = buckets or buckets_for(pairs.count())
-    weighed = lambda pairs, nodes: bucketed(pairs.join(nodes, "node").select("node", "other", "w", "degree"), "level_pairs", "other", buckets)
-    first = graph = weighed(pairs, nodes)
-    drop(pairs)
+def found_communities(edges: DataFrame, levels: int = 2, rounds: int = 12, refine: int = 12, resolution: float = 1.0, parts: int | None = None, text: Callable[[Column], Column] = as_text, names: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """modularity_communities(), and one row with their modularity at resolution 1."""
+    edges, names = (edges, names) if names is not None else blocks.numbered(edges)
+    parts = parts or blocks.part_count(2 * edges.count())
+    first = graph = blocks.Blocks(edges.where("src <> dst"), parts)
+    nodes = cut(first.nodes(WEIGHT_UNIT), "nodes")
+    twice, unit = nodes.agg(F.sum("degree")).first()[0] or 0, WEIGHT_UNIT  # twice is the same on all levels
     start = lambda nodes: cut(nodes.select("node", F.col("node").alias("community"), "degree"), "members")
     members, mapping = start(nodes), None
     for level in range(levels):
-        members, used = move_rounds(graph, members, twice, rounds, level * rounds, resolution, text)
+        members, used = move_rounds(graph, members, names, unit, twice, rounds, level * rounds, resolution, text)
         found = members.select("node", "community")
         mapping = cut(found if mapping is None else mapping.join(found.toDF("community", "next"), "community").select("node", F.col("next").alias("community")), "mapping")
         if used == 0 or level + 1 == levels:
             break
-        inner = graph.join(found.toDF("other", "to"), "other").groupBy("node", "to").agg(F.sum("w").alias("w"))
-        between = inner.join(found, "node").where("community <> to").groupBy(F.col("community").alias("node"), F.col("to").alias("other")).agg(F.sum("w").alias("w"))
-        merged = cut(members.groupBy(F.col("community").alias("node")).agg(F.sum("degree").alias("degree")), "merged")
-        graph = weighed(between, merged)
-        drop(members)
-        members = start(merged)
+        between = graph.round(found.toDF("node", "value"), partial(_merge, unit, graph.keys), blocks.DEALT)
+        merged, unit = blocks.Blocks(between, parts), 1.0
+        if graph is not first:
+            graph.drop()
+        graph = merged
+        members = start(members.groupBy(F.col("community").alias("node")).agg(F.sum("degree").alias("degree")))
     if levels > 1:
         if graph is not first:
-            drop(graph)
+            graph.drop()
         drop(members)
-        members, _ = move_rounds(first, cut(mapping.join(nodes, "node").select("node", "community", "degree"), "members"), twice, refine, levels * rounds, resolution, text)
+        members, _ = move_rounds(first, cut(mapping.join(nodes, "node").select("node", "community", "degree"), "members"), names, WEIGHT_UNIT, twice, refine, levels * rounds, resolution, text)
+    by = first.round(members.select("node", F.col("community").alias("value")), _inside, "community int, inside double, total double")
+    by = by.groupBy("community").agg(F.sum("inside").alias("inside"), F.sum("total").alias("total"))
+    sums = by.agg(F.sum("inside").alias("inside"), F.sum("total").alias("twice"), F.sum(F.col("total") * F.col("total")).alias("squares"))
+    modularity = cut(sums.select((F.col("inside") / F.col("twice") - F.col("squares") / (F.col("twice") * F.col("twice"))).alias("modularity")), "modularity")
+    first.drop()
     smallest = members.groupBy("community").agg(F.min("node").alias("label"))
-    return members.join(smallest, "community").select("node", "label")
+    labels = members.join(smallest, "community").select("node", "label")
+    return blocks.named(labels, names, "node", "label").select("node", "label"), modularity
+
+
+def modularity_communities(edges: DataFrame, levels: int = 2, rounds: int = 12, refine: int = 12, resolution: float = 1.0, buckets: int | None = None, text: Callable[[Column], Column] = as_text) -> DataFrame:
+    """node, label: communities by rounds of moves that raise modularity, then the same on
+    the graph of communities (levels in all), and at last rounds of single nodes between
+    the communities found; label is a community's smallest node.
+
+    Weights are rounded to WEIGHT_UNIT, so that sums and with them the result don't depend
+    on the order of rows; edges without weight or with equal ends are left out, as are
+    nodes without another edge. The weights of repeated edges are added up first. Other
+    columns are ignored; no edges give no rows. text: the id of a node that is given as a
+    code, in the order of the ids (communities are drawn by their ids).
+    """
+    return found_communities(edges, levels, rounds, refine, resolution, buckets, text)[0]
 
 
 def community_count(labels: DataFrame, column: str = "label") -> DataFrame:

@@ -43,12 +43,13 @@ def checked(table: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(table) if table.count() <= most_rows else table
 
 
-def bucketed(df: DataFrame, name: str, key: str, buckets: int | None = None, path: str | None = None) -> DataFrame:
+def bucketed(df: DataFrame, name: str, key: str, buckets: int | None = None, path: str | None = None, dealt: bool = False) -> DataFrame:
     """Write the rows once, dealt by key, as a table whose layout Spark knows: joins and sums
     by key read it where it lies, without a shuffle. (Spark makes no use of an order in
     buckets, and the writer's sort by two keys cost more than a round of votes.) Where path holds a
     table that was written to its end (by an earlier run, with as many buckets), it is
-    taken as it is. By default a bucket holds what a shuffle partition would."""
+    taken as it is. By default a bucket holds what a shuffle partition would. dealt: the rows
+    come out of an exchange into these buckets already."""
     spark = df.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path, table = path or new_path(spark, name), f"{name}_{uuid.uuid4().hex}"
@@ -57,7 +58,8 @@ def bucketed(df: DataFrame, name: str, key: str, buckets: int | None = None, pat
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
         spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{path}'")
     else:
-        df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).option("path", path).saveAsTable(table)
+        rows = df if dealt else df.repartition(buckets, key)
+        rows.write.mode("overwrite").bucketBy(buckets, key).option("path", path).saveAsTable(table)
     kept = spark.table(table)
     kept._shared_path, kept._shared_table = path, table
     return kept
