@@ -656,7 +656,8 @@ def detect_communities(spark, sf_dir):
 
 @query("SELECT node, label FROM label3")
 def label_propagation(spark, sf_dir):
-    return views.named(community.propagate_labels(views.coded_graph(spark, sf_dir), 3), "node", "label")
+    pairs, names = views.numbered_pairs(spark, sf_dir)
+    return views.named(community.propagate_labels(pairs, 3, names), "node", "label")
 
 
 @query("SELECT node, label FROM label3")
