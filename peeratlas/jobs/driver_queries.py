@@ -663,6 +663,6 @@ def label_propagation(spark, sf_dir):
 @query("SELECT node, label FROM label3")
 def resume_iterations(spark, sf_dir):
     folder = new_path(spark, "rounds")
-    graph = views.coded_graph(spark, sf_dir)
-    iterate.label_rounds(graph, folder, 2)
-    return views.named(iterate.label_rounds(graph, folder, 3), "node", "label")
+    pairs, names = views.numbered_pairs(spark, sf_dir)
+    iterate.label_rounds(pairs, folder, 2, names=names)
+    return views.named(iterate.label_rounds(pairs, folder, 3, names=names), "node", "label")
