@@ -20,7 +20,7 @@ from ..sources.storage import bucketed, cut, drop
 from .edges import with_row_index
 
 #: Edges of a part, counted from either end, of a row of its table, and of what is dealt at once.
-EACH, ROW, DEAL = 6_000_000, 250_000, 2_000_000
+EACH, ROW, DEAL = 12_000_000, 250_000, 2_000_000
 
 DEALT = "part long, node binary, other binary, weight binary"
 EDGES = "part long, p int, first int, counts binary, others binary, weights binary, peer int, route binary"
@@ -133,11 +133,13 @@ def _both_ways(parts: int, keys: list[int], read: list) -> pa.Table:
 def _build(parts: int, keys: list[int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     read = {}
     for batch in batches:
-        for row in batch.to_pylist():
-            read.setdefault(row["part"], []).append((np.frombuffer(row["node"], np.int32).astype(np.int64) << 32 | _numbers(row["other"], np.int32), np.frombuffer(row["weight"])))
+        for key, *row in zip(batch.column("part").to_pylist(), *(batch.column(c) for c in ("node", "other", "weight")), strict=True):
+            node, other, weight = (v.as_buffer() for v in row)
+            pair = np.frombuffer(node, np.int32).astype(np.int64) << 32
+            pair |= _numbers(other, np.int32)
+            read.setdefault(key, []).append((pair, np.frombuffer(weight).copy()))
     for key in list(read):
-        pair, w = (np.concatenate(c) for c in zip(*read.pop(key), strict=True))
-        for row in _block(parts, key, keys.index(key), pair, w):
+        for row in _block(parts, key, keys.index(key), read.pop(key)):
             yield pa.RecordBatch.from_pylist([row], _schema(EDGES))
 
 
@@ -146,23 +148,37 @@ def _schema(ddl: str) -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in (c.split() for c in ddl.split(", "))])
 
 
-def _block(parts: int, key: int, p: int, pair: np.ndarray, w: np.ndarray) -> Iterator[dict]:
+def _block(parts: int, key: int, p: int, read: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[dict]:
     """The rows of one part: its edges by node, and for each peer the places of its nodes
-    that have neighbours there."""
+    that have neighbours there. What is not needed is let go: a part is some hundred MB."""
+    pair, w = (np.concatenate(c) for c in zip(*read, strict=True))
+    read.clear()
     order = np.argsort(pair)
     pair, w = pair[order], w[order]
+    del order
     starts = _runs(pair)
     if len(starts) < len(pair):  # repeats are added up from the smallest, so that both ends get the same sum
-        again = np.repeat(np.diff(np.append(starts, len(pair))) > 1, np.diff(np.append(starts, len(pair))))
-        at = np.flatnonzero(again)
+        sizes = np.diff(starts, append=len(pair))
+        at = np.flatnonzero(np.repeat(sizes > 1, sizes))
         w[at] = w[at][np.lexsort((w[at], pair[at]))]
         w, pair = np.add.reduceat(w, starts), pair[starts]
-    place, other = (pair >> 32) // parts, pair & 0xFFFFFFFF
-    peer = other % parts
-    _, others = np.unique(peer << 32 | other // parts, return_inverse=True)
-    others = others.astype(np.int32)
-    routes = np.unique(peer << 32 | place)
-    del pair, other, peer
+        del sizes, at
+    del starts
+    place = ((pair >> 32) // parts).astype(np.int32)
+    pair &= 0xFFFFFFFF
+    peer = (pair % parts) << 32
+    pair //= parts
+    pair |= peer  # the neighbours, by part and place
+    peer |= place
+    peer.sort()
+    routes = peer[_runs(peer)]
+    del peer
+    known = np.sort(pair)
+    known = known[_runs(known)]
+    others = np.empty(len(pair), np.int32)
+    for n in range(0, len(pair), DEAL):
+        others[n : n + DEAL] = np.searchsorted(known, pair[n : n + DEAL])
+    del pair, known
     counts = np.bincount(place).astype(np.int32)
     ends = np.cumsum(counts)
     first = int(place[0])

@@ -159,14 +159,24 @@ MOVED = "node int, community int, degree long, moved boolean, wants boolean"
 
 
 def _merge(unit: float, keys: list[int], parts: int, p: int, own: dict, seen: dict, rows) -> pa.Table:
-    """A part's edges between different communities, with weights in units, dealt to theirs."""
-    found = []
+    """A part's edges between different communities, with weights in units, dealt to theirs;
+    summed up by and by, so that a part's sums aren't held at once."""
+    tables, found, size = [blocks.dealt(parts, keys, *[np.zeros(0, int)] * 3)], [], 0
     for place, others, w in rows:
         w, a, b = blocks.in_units(w, unit), own["value"][place], seen["value"][others]
         here = (w > 0) & (a != b)
-        found.append(blocks.sums(a[here], b[here], w[here]))
-    a, b, w = (np.concatenate([f[n] for f in found] or [np.zeros(0, int)]) for n in (0, 1, 3))
-    a, b, _, w = blocks.sums(a, b, w)
+        found.append((a[here], b[here], w[here]))
+        size += len(w)
+        if size >= blocks.DEAL:
+            tables.append(_summed(parts, keys, found))
+            found, size = [], 0
+    if found:
+        tables.append(_summed(parts, keys, found))
+    return pa.concat_tables(tables)
+
+
+def _summed(parts: int, keys: list[int], found: list) -> pa.Table:
+    a, b, _, w = blocks.sums(*(np.concatenate(c) for c in zip(*found, strict=True)))
     return blocks.dealt(parts, keys, a, b, w)
 
 

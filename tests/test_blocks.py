@@ -67,8 +67,8 @@ def test_a_round_sends_a_value_once_a_part(spark):
 def test_ends_of_an_edge_get_the_same_sum():
     rng = np.random.default_rng(1)
     w = 1 / rng.integers(1, 50, 200)
-    one = list(blocks._block(1, 0, 0, np.full(200, 5), w))
-    other = list(blocks._block(1, 0, 0, np.full(200, 5), w[::-1].copy()))
+    one = list(blocks._block(1, 0, 0, [(np.full(200, 5), w)]))
+    other = list(blocks._block(1, 0, 0, [(np.full(200, 5), w[::-1])]))
     assert one[0]["weights"] == other[0]["weights"]
 
 
